@@ -18,6 +18,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ridgeline.llm.token_files import read_documents, write_shards
+
+    docs = table(spark, sf_dir, "documents")
+    folder, manifest = write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(folder, manifest, docs)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ridgeline.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.decontaminate import contamination, report
 
