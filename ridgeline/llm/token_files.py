@@ -47,7 +47,7 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash over distinct 64-bit keys: slot = place(bucket's displacement, key)."""
+    """Minimal perfect hash over distinct 64-bit keys: slot = hash(key, its bucket's displacement) modulo n."""
 
     def __init__(self, displacement: np.ndarray, n: int, seed: int):
         self.displacement, self.n, self.seed = displacement, n, seed
@@ -57,47 +57,45 @@ class PerfectHash:
         n = len(keys)
         buckets = max(1, n // 3)
         for seed in range(1, 100):
-            bucket = mixed(keys, 3 * seed) % np.uint64(buckets)
-            base, step = cls._places(keys, n, seed)
-            if len(np.unique(np.stack([bucket, base, step]), axis=1)[0]) < n:
-                continue  # two keys no displacement can part
+            h = mixed(keys, seed)
+            bucket = (mixed(keys, -seed) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            count = np.bincount(bucket.astype(np.int64), minlength=buckets)
+            count = np.bincount(bucket, minlength=buckets)
             start = np.cumsum(count) - count
             taken, displacement = np.zeros(n, bool), np.zeros(buckets, np.int64)
             free, failed = 0, False
             for b in np.argsort(-count, kind="stable").tolist():
-                if count[b] == 0:
+                if count[b] == 0 or failed:
                     break
-                own = order[start[b] : start[b] + count[b]]
+                own = h[order[start[b] : start[b] + count[b]]]
                 if count[b] == 1:  # straight to a free slot
                     while taken[free]:
                         free += 1
                     displacement[b], taken[free] = -free - 1, True
                     continue
-                x, y = base[own].tolist(), step[own].tolist()
-                for d in range(64 * n + 1000):
-                    slots = {(p + d * q) % n for p, q in zip(x, y, strict=True)}
-                    if len(slots) == len(own) and not any(taken[s] for s in slots):
+                failed = True
+                for lo in range(0, 64 * n + 4096, 256):
+                    slots = cls._places(own, np.arange(lo, lo + 256)[:, None], n)
+                    fits = ~taken[slots].any(axis=1)
+                    if len(own) > 1:
+                        ordered = np.sort(slots, axis=1)
+                        fits &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+                    if fits.any():
+                        d = int(fits.argmax())
+                        displacement[b], failed = lo + d, False
+                        taken[slots[d]] = True
                         break
-                else:
-                    failed = True
-                    break
-                displacement[b] = d
-                taken[list(slots)] = True
             if not failed:
                 return cls(displacement, n, seed)
         raise ValueError("no perfect hash found")
 
     @staticmethod
-    def _places(keys: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mixed(keys, 3 * seed + 1)
-        return (h % np.uint64(n)).astype(np.int64), (mixed(keys, 3 * seed + 2) % np.uint64(max(n - 1, 1))).astype(np.int64) + 1
+    def _places(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+        return (mixed(h ^ mixed(d, 77), 5) % np.uint64(n)).astype(np.int64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        d = self.displacement[(mixed(keys, 3 * self.seed) % np.uint64(len(self.displacement))).astype(np.int64)]
-        base, step = self._places(keys, self.n, self.seed)
-        return np.where(d < 0, -d - 1, (base + np.maximum(d, 0) * step) % self.n)
+        d = self.displacement[(mixed(keys, -self.seed) % np.uint64(len(self.displacement))).astype(np.int64)]
+        return np.where(d < 0, -d - 1, self._places(mixed(keys, self.seed), np.maximum(d, 0), self.n))
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
