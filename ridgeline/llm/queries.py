@@ -18,6 +18,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.shuffle_shards import shuffle_into_shards
+
+    rows = shuffle_into_shards(table(spark, sf_dir, "documents"), scan=True)
+    text = F.coalesce("text", F.lit(""))
+    size, crc = F.octet_length(text).cast("long") + 16, F.crc32(text.cast("binary"))
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
