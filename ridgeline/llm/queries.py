@@ -27,6 +27,16 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.chat_format import digest, format_records, records_of_turns
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    found = format_records(records_of_turns(turns.unionByName(own)))
+    return found.select("conv_id", digest(F.col("formatted"), F.col("loss")).alias("d")).select("conv_id", "d.*")
+
+
 def op4_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,6 +97,15 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.
 """
 
 
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '<\||\|>|</?s>|\[/?INST\]|<</?SYS>>|<(?:start|end)_of_turn>|<(?:bos|eos|pad|unk)>|\[gMASK\]|</?s_')) AS more FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss, sum(length(role) + length(text) + more + 13 + 11) AS formatted_chars FROM e GROUP BY 1)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
+"""
+
 OP6_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 f AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -122,4 +141,4 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_bloom_url_rules": OP7_SQL, "op6_hnsw_near_duplicates": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    return {"op2_fingerprint_chat_format": OP2_SQL, "op7_bloom_url_rules": OP7_SQL, "op6_hnsw_near_duplicates": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op8_benchmark_decontamination": OP8_SQL}
