@@ -37,6 +37,12 @@ def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", digest(F.col("formatted"), F.col("loss")).alias("d")).select("conv_id", "d.*")
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
