@@ -16,6 +16,7 @@ one queue: each opened bucket then serves all of them.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -30,9 +31,9 @@ from ridgeline.llm.common import runs, small_batches
 
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_PIECES = 700_000
-MERGED_TOGETHER = 100_000
-CHUNK_CHARS = 8 << 20
+KEPT_PIECES = 350_000
+MERGED_TOGETHER = 60_000
+CHUNK_CHARS = 4 << 20
 
 
 def pieces(text: str) -> list[str]:
@@ -45,6 +46,37 @@ def pieces(text: str) -> list[str]:
     return cut if cut[0] else cut[1:]
 
 
+def sides(new: list[str]) -> tuple[list[str], list[str]]:
+    """Pieces whose tokens stay the same when they stand side by side, and those to encode on their own."""
+    whole = [p for p in new if p[0] == " " and not p[-1].isspace()]
+    return whole, [p for p in new if p[0] != " " or p[-1].isspace()]
+
+
+class PieceCoder:
+    """Token ids of texts by a bounded table of their pieces' ids; learn() adds pieces to it."""
+
+    kind = "<u4"
+
+    def __init__(self) -> None:
+        self.table: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        raise NotImplementedError
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Token ids of each text; all of the texts' pieces are held at a time."""
+        if len(self.table) > KEPT_PIECES:
+            self.table.clear()
+        cut = [pieces(text) for text in texts]
+        self.learn(list(set().union(*cut).difference(self.table)))
+        look = self.table.__getitem__
+        for some in cut:
+            yield np.frombuffer(b"".join(map(look, some)), self.kind)
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_many([text]))
+
+
 class RankQueue:
     """Positions by rank; first() is the smallest rank that has any."""
 
@@ -106,10 +138,11 @@ class _Pairs(dict):
         return rank
 
 
-class Bpe:
+class Bpe(PieceCoder):
     """Encoder and decoder over a rank file's content."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.ranks = ranks
         blank = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.matches = regex.compile(blank).findall
@@ -121,11 +154,12 @@ class Bpe:
         self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.pair = _Pairs(ranks, self.tokens).__getitem__
         self.queue = RankQueue(size)
-        self.table: dict[str, bytes] = {}
         self.decoding = _Gather(self.tokens)
 
     @classmethod
+    @functools.lru_cache(maxsize=2)
     def load(cls, path: str, pattern: str) -> Bpe:
+        """Kept with its table for the next tasks of the same worker."""
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}, pattern)
 
@@ -215,11 +249,8 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def learn(self, new: list[str]) -> None:
-        """Put pieces, each with its blank, into the table of ids."""
         for lo in range(0, len(new), MERGED_TOGETHER):
-            part = new[lo : lo + MERGED_TOGETHER]
-            whole = [p for p in part if p[0] == " " and not p[-1].isspace()]  # their matches stay the same side by side
-            apart = [p for p in part if p[0] != " " or p[-1].isspace()]
+            whole, apart = sides(new[lo : lo + MERGED_TOGETHER])
             matches = self.matches("".join(whole))
             for p in apart:
                 matches += self.matches(p)
@@ -240,22 +271,6 @@ class Bpe:
         ends = (np.concatenate([[0], np.cumsum(live)])[ends] * 4).tolist()
         return [tokens[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Token ids of each text. A text counts as pieces twice: to learn the new ones, then to look all up."""
-        if len(self.table) > KEPT_PIECES:
-            self.table.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(pieces(text))
-        self.learn([p for p in new if p not in self.table])
-        del new
-        look = self.table.__getitem__
-        for text in texts:
-            yield np.frombuffer(b"".join(map(look, pieces(text))), "<u4")
-
-    def encode(self, text: str) -> np.ndarray:
-        return next(self.encode_many([text]))
-
     def decode(self, ids: np.ndarray) -> bytes:
         return self.decoding(ids)
 

@@ -14,6 +14,7 @@ files that the manifest names count.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -26,15 +27,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.bpe import chunks, pieces
+from ridgeline.llm.bpe import PieceCoder, chunks, sides
 from ridgeline.llm.common import few_enough, small_batches, staged, work_dir
 
 MAGIC = b"RLIDS001"
 _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bytes of an id, seed, documents, ids, keys, buckets
 NO_KEY = -(1 << 63)  # stands for a null key
 SHARD_IDS = 4 << 20
-KEPT_PIECES = 700_000
-ENCODED_TOGETHER = 50_000
+ENCODED_TOGETHER = 5000
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -142,36 +142,47 @@ class Shard:
         return self.ids[self.offsets[ordinal] : self.offsets[ordinal + 1]]
 
 
-class _Encoder:
-    """A tokenizer file's ids for whole texts; a text's pieces repeat, and each new one is encoded once.
+class Encoder(PieceCoder):
+    """A tokenizer file's ids for whole texts, by the tokenizers library.
 
-    The cut into pieces falls only where a byte-level pre-tokenizer splits anyway.
+    A text's pieces repeat; new ones are encoded side by side in long strings, as the pre-tokenizer
+    splits between them anyway, and parted again by the tokens' lengths in bytes.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.table: dict[str, bytes] = {}
-
-    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.table) > KEPT_PIECES:
-            self.table.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(pieces(text))
-        fresh = [p for p in new if p not in self.table]
-        del new
-        kind = f"<u{self.width}"
-        for lo in range(0, len(fresh), ENCODED_TOGETHER):
-            part = fresh[lo : lo + ENCODED_TOGETHER]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.table.update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(part, found, strict=True))
-        look = self.table.__getitem__
-        for text in texts:
-            yield np.frombuffer(b"".join(map(look, pieces(text))), kind)
+        self.kind = f"<u{self.width}"
+        names = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():  # a character of a byte-level token is a byte
+            self.lengths[i] = len(name)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        whole, apart = sides(new)
+        for lo in range(0, len(whole), ENCODED_TOGETHER):
+            part = whole[lo : lo + ENCODED_TOGETHER]
+            ids = self._ids(["".join(part)])[0]
+            size = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), size) + 1) * self.width
+            data = ids.tobytes()
+            self.table.update((p, data[a:b]) for p, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        for lo in range(0, len(apart), ENCODED_TOGETHER):
+            part = apart[lo : lo + ENCODED_TOGETHER]
+            self.table.update((p, x.tobytes()) for p, x in zip(part, self._ids(part), strict=True))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(vocabulary: str) -> Encoder:
+    """Kept with its table for the next tasks of the same worker."""
+    return Encoder(vocabulary)
 
 
 _MANIFEST = pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -185,7 +196,7 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         tail = np.array([] if end_id is None else [end_id], f"<u{encoder.width}")
         store, root = _store(folder)
         part, seq, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
