@@ -61,6 +61,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Stands in for the secret that a deployment brings along.
+SURROGATE_KEY = b"a key of its own for every corpus"
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.surrogates import replace_pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, SURROGATE_KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op6_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.hnsw import near_duplicates
 
