@@ -163,7 +163,7 @@ KINDS = (
     Kind("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Z0-9])"), _same, _iban, _iban_valid),
     Kind("card", re.compile(r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"), _bare, _card, lambda m: luhn(_bare(m)), digits_only=True),
     Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"), _bare, _phone, digits_only=True),
-    Kind("phone", re.compile(r"(?<![\w.+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d{2,5}){2,4}(?![\d-])"), lambda m: "+" + _bare(m), _phone, lambda m: 8 <= len(_bare(m)) <= 15, digits_only=True),
+    Kind("phone", re.compile(r"(?<![\w.+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d{2,8}){2,4}(?![\d-])"), lambda m: "+" + _bare(m), _phone, lambda m: 8 <= len(_bare(m)) <= 15, digits_only=True),
     Kind("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _bare, _ssn, digits_only=True),
     Kind("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)(?!\w)"), _same, _ip, lambda m: all(int(x) < 256 for x in m.split("."))),
     Kind("name", re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.?|" + "|".join(_GENDER) + r") " + _CAPITAL), _same, _name),
