@@ -7,6 +7,7 @@ documents. Row order means nothing. A row without a doc_id is kept by the filter
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,14 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Words inside occurrences of benchmark windows are cut out; a document that has no other words goes."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0)
     found = staged(found.select(F.col("doc_id").alias("_id"), "n_words", "spans").dropDuplicates(["_id"]), "spans")
-    cut = F.udf(lambda text, spans: without_spans(text, [(s["start"], s["end"]) for s in spans]), "string")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
+
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     rows = docs.join(found, docs["doc_id"] == F.col("_id"), "left").where(F.col("_id").isNull() | (hit < F.col("n_words")))
-    text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(cut("text", "spans"))
+    text = cut("text", "spans")
     n_chars = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("new_text").cast("long"))
     return rows.withColumn("new_text", text).withColumn("n_chars", n_chars).select(*[F.col("new_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
