@@ -139,10 +139,16 @@ def stopped_seconds(speeds: Column) -> Column:
     return F.least(trailing_run(speeds) * STEP_S, F.lit(STOPPED_CAP_S))
 
 
-def speed_bucket(v: Column, five: bool = False) -> Column:
-    """stopped, slow, mid, fast; the five-way form parts the fastest."""
-    out = F.when(v < 0.5, "stopped").when(v < 5, "slow").when(v < 10, "mid")
-    return out.when(v < 15, "fast").otherwise("very_fast") if five else out.otherwise("fast")
+#: Names and upper bounds of the speed buckets.
+FOUR = (("v0<0.5", 0.5), ("0.5<=v0<3", 3.0), ("3<=v0<8", 8.0), ("v0>=8", float("inf")))
+FIVE = (("v0<0.5", 0.5), ("0.5-3", 3.0), ("3-8", 8.0), ("8-15", 15.0), ("15+", float("inf")))
+
+
+def speed_bucket(v: Column, buckets: tuple = FOUR) -> Column:
+    out = F.lit(buckets[-1][0])
+    for name, high in reversed(buckets[:-1]):
+        out = F.when(v < high, name).otherwise(out)
+    return out
 
 
 def count_bucket(n: Column) -> Column:

@@ -152,8 +152,8 @@ def parse_answer(text: Column) -> Column:
 
 
 def canonical(value: Column) -> Column:
-    """Attribute text for comparison: lower case, underscores and runs of blanks as one blank."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[_\s]+", " "))
+    """Attribute text for comparison: lower case, runs of blanks as one blank."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"\s+", " "))
 
 
 def loosely_equal(a: Column, b: Column) -> Column:
@@ -225,6 +225,24 @@ def content(value: Column) -> Column:
     return F.when(text.contains("stop") & text.contains("red"), "stop").otherwise(_first_rule(text, CONTENT))
 
 
+#: Fixed patterns, first match wins.
+LANES = (
+    ("adjacent-same-dir", r"adjacent|same[- ]direction|neighbou?r|next lane|parallel lane"),
+    ("oncoming", r"oncoming|opposite|opposing|incoming lane"),
+    ("cross-street", r"cross[- ]?street|crossing street|perpendicular|intersecting|side street"),
+    ("roadside", r"road ?side|side of the road|curb|kerb|sidewalk|shoulder|parking (?:lot|space|lane|area)"),
+    ("ego-lane", r"same lane|ego(?:'s)?[- ]lane|in (?:the |my |our |its )?(?:current |own )?lane\b|current lane|own lane|ego path"),
+)
+
+
+def location_slots(value: Column) -> Column:
+    """(direction, lane) of a location text; the first side word decides, NULL where nothing is said."""
+    text = canonical(value)
+    left, right = F.regexp_instr(text, F.lit(r"\bleft\b")), F.regexp_instr(text, F.lit(r"\bright\b"))
+    side = F.when((left > 0) & ((right == 0) | (left < right)), "front left").when(right > 0, "front right").when(F.regexp_like(text, F.lit(r"\b(front|ahead)\b")), "front")
+    return F.struct(side.alias("direction"), F.nullif(_first_rule(text, LANES), F.lit("other")).alias("lane"))
+
+
 def degenerate(text: Column) -> Column:
     """Whether a chunk of 25 to 200 characters stands three times in a row."""
     return F.coalesce(F.regexp_like(text, F.lit(r"(?s)(.{25,200}?)\1\1")), F.lit(False))

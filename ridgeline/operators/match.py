@@ -1,18 +1,17 @@
 """Matching of predicted to annotated objects inside frames, and of text spans and boxes.
 
 Frames are the shuffle key. Pair distances are joins; only the one-to-one assignment, which is
-sequential inside a frame, runs as a grouped function, over one frame's candidate pairs at a time.
+sequential inside a frame, is a fold over that frame's sorted candidate pairs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Gates in pixels, as a share of the box diagonal within bounds.
 ASSIGN_SHARE, ASSIGN_LOW, ASSIGN_HIGH = 1.5, 60.0, 300.0
-LOC_SHARE, LOC_LOW, LOC_HIGH = 0.5, 20.0, 100.0
+LOC_SHARE, LOC_LOW, LOC_HIGH = 0.5, 15.0, 60.0
 
 
 def diagonal(w: Column, h: Column) -> Column:
@@ -53,18 +52,21 @@ def candidate_pairs(truth: DataFrame, found: DataFrame, frame: str) -> DataFrame
     return pairs.select(frame, "g", "rank", "p", d.alias("d"), assign_gate(F.col("w"), F.col("h")).alias("gate"))
 
 
-def _greedy(scale: float):
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for g, own in pairs.sort_values(["rank", "g", "d", "p"]).groupby(["rank", "g"], sort=True):
-            free = own[~own["p"].isin(used)]
-            if len(free) and free["d"].iloc[0] <= free["gate"].iloc[0] * scale:
-                used.add(free["p"].iloc[0])
-                out.append((own.iloc[0, 0], g[1], free["p"].iloc[0], free["d"].iloc[0]))
-        return pd.DataFrame(out, columns=[pairs.columns[0], "g", "p", "d"])
+def _greedy(pairs: DataFrame, frame: str) -> DataFrame:
+    """(frame, g, p, d): in order of (rank, g) each g takes its nearest p that is still free.
 
-    return run
+    One fold over a frame's sorted pairs: the first pair of a g with a free p is its match.
+    """
+    kind = dict(pairs.dtypes)
+    one = F.struct(F.col("rank"), F.col("g"), F.col("d"), F.col("p"))
+    rows = pairs.groupBy(frame).agg(F.sort_array(F.collect_list(one)).alias("pairs"))
+    none = F.array().cast(f"array<struct<g:{kind['g']},p:{kind['p']},d:double>>")
+
+    def step(taken: Column, x: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["g"] == x["g"]) | (t["p"] == x["p"]))
+        return F.when(free, F.array_append(taken, F.struct(x["g"].alias("g"), x["p"].alias("p"), x["d"].alias("d")))).otherwise(taken)
+
+    return rows.select(frame, F.inline(F.aggregate("pairs", none, step)))
 
 
 def assign_objects(truth: DataFrame, found: DataFrame, frame: str, scale: float = 1.0) -> DataFrame:
@@ -72,9 +74,7 @@ def assign_objects(truth: DataFrame, found: DataFrame, frame: str, scale: float
 
     Types play no part. Work is bounded by the objects of one frame.
     """
-    pairs = candidate_pairs(truth, found, frame).where(F.col("d") <= F.col("gate") * scale)
-    kind = dict(pairs.dtypes)
-    return pairs.groupBy(frame).applyInPandas(_greedy(scale), f"{frame} {kind[frame]}, g {kind['g']}, p {kind['p']}, d double")
+    return _greedy(candidate_pairs(truth, found, frame).where(F.col("d") <= F.col("gate") * scale), frame)
 
 
 def assign_typed(truth: DataFrame, found: DataFrame, frame: str, same: Column | None = None) -> DataFrame:
@@ -84,9 +84,7 @@ def assign_typed(truth: DataFrame, found: DataFrame, frame: str, same: Column |
     """
     ok = same if same is not None else F.col("class") == F.col("pclass")
     d = F.coalesce(box_distance(*[F.col(c) for c in ("px", "py", "x", "y", "w", "h")]), F.lit(1e12))
-    pairs = truth.join(found, frame).where(ok).select(frame, "g", F.lit(0).alias("rank"), "p", d.alias("d"), F.lit(float("inf")).alias("gate"))
-    kind = dict(pairs.dtypes)
-    return pairs.groupBy(frame).applyInPandas(_greedy(1.0), f"{frame} {kind[frame]}, g {kind['g']}, p {kind['p']}, d double")
+    return _greedy(truth.join(found, frame).where(ok).select(frame, "g", F.lit(0).alias("rank"), "p", d.alias("d")), frame)
 
 
 def assign_sensitivity(truth: DataFrame, found: DataFrame, frame: str, scales: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
@@ -140,8 +138,8 @@ def pick_object(ann: DataFrame, frame: str, key: str, minority: Column, seed: in
 
 
 def direction(x: Column, width: float) -> Column:
-    """left, center or right of an image."""
-    return F.when(x < width * 0.45, "left").when(x > width * 0.55, "right").otherwise("center")
+    """front left, front or front right by the place in the image."""
+    return F.when(x / width < 0.45, "front left").when(x / width > 0.55, "front right").otherwise("front")
 
 
 def encode_point(x: Column, y: Column, width: float, height: float) -> Column:

@@ -102,36 +102,36 @@ def deviation(selected: DataFrame, quotas: DataFrame, stratum: str) -> DataFrame
 def repair_selection(pool: DataFrame, selected: DataFrame, key: str, stratum: str, quotas: DataFrame, minima: dict[str, float], candidates: int = 40, rounds: int = 400, seed: int = 0) -> DataFrame:
     """Swap rows in and out while that lowers (shortfall, deviation); returns the selection.
 
-    Each round takes the constraint that lacks most, tries the ``candidates`` outside rows that bring
-    most of it against every selected row, and keeps the best swap. Selections are short lists; the
-    pool is not gathered.
+    Each round takes the constraint that lacks most and tries the ``candidates`` outside rows that
+    bring most of it, one distributed top-k over the pool, against every selected row. The selection
+    and the quotas are short lists, as their n is an argument; the pool is never gathered.
     """
     columns = [key, stratum, *minima]
-    selected, quota_of = selected.select(*columns), F.broadcast(quotas.select(stratum, "quota"))
-    score = (shortfall(selected, minima).first()["shortfall"], deviation(selected, quotas, stratum).first()["deviation"])
+    kept = [tuple(r) for r in selected.select(*columns).collect()]
+    of = {r[0]: r[1] for r in quotas.select(stratum, "quota").collect()}
+    need = list(minima.values())
+
+    def score(rows: list[tuple]) -> tuple[float, int]:
+        lack = sum(max(0.0, m - sum(r[2 + i] or 0 for r in rows)) for i, m in enumerate(need))
+        n: dict = {}
+        for r in rows:
+            n[r[1]] = n.get(r[1], 0) + 1
+        return lack, sum(abs(of.get(s, 0) - n.get(s, 0)) for s in {*of, *n})
+
+    best = score(kept)
     for _ in range(rounds):
-        lacks = shortfall(selected, minima).first()
-        if not lacks["shortfall"]:
+        if not best[0]:
             break
-        worst = max(minima, key=lambda c: (lacks[f"lack_{c}"] / max(minima[c], 1e-9), c))
-        more = pool.select(*columns).join(selected.select(key), key, "left_anti").orderBy(F.desc(worst), seeded(seed, key)).limit(candidates)
-        counts = selected.groupBy(stratum).agg(F.count("*").alias("_n"))
-        state = quota_of.join(counts, stratum, "left").select(stratum, (F.coalesce("_n", F.lit(0)) - F.col("quota")).alias("_over"))
-        out = selected.select(*[F.col(c).alias(f"o_{c}") for c in columns]).join(F.broadcast(state.select(F.col(stratum).alias(f"o_{stratum}"), F.col("_over").alias("_o"))), f"o_{stratum}", "left")
-        into = more.join(F.broadcast(state.withColumnRenamed("_over", "_i")), stratum, "left")
-        swaps = out.join(F.broadcast(into), F.lit(True))  # candidates x selection: both bounded
-        lack = sum((F.greatest(F.lit(0.0), F.lit(float(m)) - (F.lit(float(lacks[c] or 0)) - F.col(f"o_{c}") + F.col(c))) for c, m in minima.items()), F.lit(0.0))
-        same = F.col(stratum) == F.col(f"o_{stratum}")
-        change = F.abs(F.coalesce("_o", F.lit(0)) - 1) - F.abs(F.coalesce("_o", F.lit(0))) + F.abs(F.coalesce("_i", F.lit(0)) + 1) - F.abs(F.coalesce("_i", F.lit(0)))
-        ranked = swaps.select(F.col(f"o_{key}").alias("o"), F.col(key).alias("i"), lack.alias("lack"), (F.lit(score[1]) + F.when(same, 0).otherwise(change)).alias("dev"))
-        best = ranked.orderBy("lack", "dev", "o", "i").first()
-        if best is None or (best["lack"], best["dev"]) >= score:
+        lacks = [(m - sum(r[2 + i] or 0 for r in kept)) / max(m, 1e-9) for i, m in enumerate(need)]
+        worst = columns[2 + max(range(len(need)), key=lambda i: (lacks[i], columns[2 + i]))]
+        outside = pool.select(*columns).where(~F.col(key).isin([r[0] for r in kept]))
+        more = [tuple(r) for r in outside.orderBy(F.desc(worst), seeded(seed, key)).limit(candidates).collect()]
+        swaps = [(score([*kept[:k], into, *kept[k + 1 :]]), k, j) for k in range(len(kept)) for j, into in enumerate(more)]
+        if not swaps or min(swaps)[0] >= best:
             break
-        score = (best["lack"], best["dev"])
-        entering = pool.where(F.col(key) == best["i"]).select(*columns)
-        spark = selected.sparkSession
-        selected = spark.createDataFrame(selected.where(F.col(key) != best["o"]).unionByName(entering).collect(), selected.schema)  # the selection is a short list
-    return selected
+        best, k, j = min(swaps)
+        kept[k] = more[j]
+    return pool.sparkSession.createDataFrame(kept, selected.select(*columns).schema)
 
 
 def select_scenes(pool: DataFrame, key: str, stratum: str, n: int, minima: dict[str, float], seed: int = 0, restarts: int = 3) -> DataFrame:

@@ -1,9 +1,520 @@
 """Registered queries of the curation and evaluation operators, with their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ridgeline.functions import motion, text, vocab
+from ridgeline.operators import aggregate, clean, match, select, weights
+from ridgeline.plans.views import FRAMES_SQL, OBJECTS_SQL, SERIES_SQL, frames, objects, series, table
+from ridgeline.sources import sinks
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+SLOW, LEAST_RUN = 1.0, 3
+_KIND = "CASE WHEN intent <> 'GO_STRAIGHT' THEN 'turn' WHEN speed >= 0.5 THEN 'object' ELSE 'empty' END"
+_STRIDES = {"turn": 1, "object": 2, "empty": 12}
+
+RUNS_SQL = (
+    FRAMES_SQL
+    + """, a AS (SELECT *, speed >= 1.0 AS ok, lag(speed >= 1.0) OVER w AS pok, lag(intent) OVER w AS pi FROM frames WINDOW w AS (PARTITION BY scene_id ORDER BY frame_no)),
+b AS (SELECT *, sum(CASE WHEN ok AND NOT (coalesce(pok, false) AND pi = intent) THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id ORDER BY frame_no) AS run FROM a),
+c AS (SELECT *, sum(ok::INT) OVER (PARTITION BY scene_id, run) AS n FROM b),
+r AS (SELECT *, CASE WHEN ok AND n >= 3 THEN run END AS run_id, CASE WHEN ok AND n >= 3 THEN n END AS run_len, CASE WHEN ok AND n >= 3 THEN intent END AS stable FROM c),
+d AS (SELECT *, CASE WHEN NOT ok THEN coalesce(
+    first_value(stable IGNORE NULLS) OVER (PARTITION BY scene_id ORDER BY frame_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+    last_value(stable IGNORE NULLS) OVER (PARTITION BY scene_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), intent) ELSE intent END AS intent_corrected FROM r)"""
+)
+
+
+def _deflickered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.deflicker(frames(spark, sf_dir), "scene_id", "frame_no", "intent", F.col("speed") < SLOW, LEAST_RUN)
+
+
+FLAGSHIP_SQL = (
+    "WITH "
+    + RUNS_SQL
+    + """, k AS (SELECT scene_id, frame_no, intent_corrected, CASE WHEN intent_corrected <> 'GO_STRAIGHT' THEN 'turn' WHEN speed >= 0.5 THEN 'object' ELSE 'empty' END AS kind FROM d),
+s AS (SELECT *, row_number() OVER (PARTITION BY scene_id, kind ORDER BY frame_no) AS n FROM k),
+t AS (SELECT * FROM s WHERE (n - 1) % (CASE kind WHEN 'turn' THEN 1 WHEN 'object' THEN 2 ELSE 12 END) = 0)
+SELECT 'intent' AS field, intent_corrected AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM t GROUP BY 2"""
+)
+
+
+@query(FLAGSHIP_SQL)
+def flagship_curation(spark, sf_dir):
+    rows = _deflickered(spark, sf_dir).withColumn("intent", F.col("intent_corrected"))
+    kept = select.stride_select(rows.withColumn("kind", F.expr(_KIND)), "scene_id", "frame_no", F.col("kind"), _STRIDES)
+    return aggregate.marginals(kept, "intent", "kind").orderBy("field", "value")
+
+
+@query("WITH " + RUNS_SQL + " SELECT scene_id, frame_no, run_id, run_len FROM r")
+def stable_runs(spark, sf_dir):
+    return clean.runs(frames(spark, sf_dir), "scene_id", "frame_no", "intent", F.col("speed") >= SLOW, LEAST_RUN).select("scene_id", "frame_no", "run_id", "run_len")
+
+
+@query("WITH " + RUNS_SQL + " SELECT scene_id, frame_no, intent, intent_corrected FROM d")
+def deflicker(spark, sf_dir):
+    return _deflickered(spark, sf_dir).select("scene_id", "frame_no", "intent", "intent_corrected")
+
+
+@query("WITH " + RUNS_SQL + " SELECT intent || '->' || intent_corrected AS transition, count(*) AS n FROM d WHERE intent <> intent_corrected GROUP BY 1")
+def deflicker_transitions(spark, sf_dir):
+    return clean.transitions(_deflickered(spark, sf_dir), "intent", "intent_corrected")
+
+
+@query("WITH " + RUNS_SQL + " SELECT count(*) AS frames, count(*) FILTER (intent <> intent_corrected) AS changed, count(*) FILTER (intent <> intent_corrected) / count(*)::DOUBLE AS rate FROM d")
+def deflicker_report(spark, sf_dir):
+    return clean.deflicker_report(_deflickered(spark, sf_dir), "intent", "intent_corrected")
+
+
+@query(
+    "WITH "
+    + FRAMES_SQL
+    + """, e AS (SELECT scene_id, frame_no, intent AS edit FROM frames WHERE event_type = 'signup')
+SELECT f.scene_id, f.frame_no, coalesce(last_value(e.edit IGNORE NULLS) OVER (PARTITION BY f.scene_id ORDER BY f.frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f.intent) AS intent
+FROM frames f LEFT JOIN e ON e.scene_id = f.scene_id AND e.frame_no = f.frame_no"""
+)
+def propagate_edits(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    edits = f.where("event_type = 'signup'").select("scene_id", "frame_no", "intent")
+    return clean.propagate_edits(f, edits, "scene_id", "frame_no", ["intent"]).select("scene_id", "frame_no", "intent")
+
+
+@query(
+    "WITH "
+    + FRAMES_SQL
+    + """, k AS (SELECT *, CASE WHEN intent <> 'GO_STRAIGHT' THEN 'turn' WHEN speed >= 0.5 THEN 'object' ELSE 'empty' END AS kind FROM frames),
+s AS (SELECT *, row_number() OVER (PARTITION BY scene_id, kind ORDER BY frame_no) AS n FROM k)
+SELECT scene_id, frame_no, kind FROM s WHERE (n - 1) % (CASE kind WHEN 'turn' THEN 1 WHEN 'object' THEN 2 ELSE 12 END) = 0"""
+)
+def stride_selection(spark, sf_dir):
+    return select.stride_select(frames(spark, sf_dir).withColumn("kind", F.expr(_KIND)), "scene_id", "frame_no", F.col("kind"), _STRIDES).select("scene_id", "frame_no", "kind")
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey, o_orderstatus = 'F' AS pos FROM orders), n AS (SELECT floor(0.35::DOUBLE / (1::DOUBLE - 0.35::DOUBLE) * count(*) FILTER (pos)) AS most FROM p),
+r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('7|', o_orderkey)), o_orderkey) AS k FROM p WHERE NOT pos)
+SELECT o_orderkey, 'positive' AS side FROM p WHERE pos UNION ALL SELECT o_orderkey, 'negative' FROM r, n WHERE k <= most"""
+)
+def capped_negatives(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    kept = select.cap_ratio(o, F.col("o_orderstatus") != "F", 0.35, 7, "o_orderkey")
+    return kept.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "positive").otherwise("negative").alias("side"))
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5(concat('3|', p_partkey)), p_partkey LIMIT 50")
+def seeded_sample(spark, sf_dir):
+    return select.sample_n(table(spark, sf_dir, "part").select("p_partkey"), 50, 3, "p_partkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def excluded_scenes(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return select.exclude(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ids, "o_custkey")
+
+
+QUOTA_SQL = """s AS (SELECT c_mktsegment AS stratum, count(*) AS size FROM customer GROUP BY 1), t AS (SELECT sum(size) AS total FROM s),
+e AS (SELECT stratum, size, size * 40 / total::DOUBLE AS x FROM s, t), b AS (SELECT *, floor(x)::BIGINT AS base, round(x - floor(x), 9) AS rest FROM e),
+k AS (SELECT *, row_number() OVER (ORDER BY rest DESC, size DESC, stratum) AS r FROM b),
+q AS (SELECT stratum, size, base + CASE WHEN r <= 40 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS quota FROM k)"""
+
+
+def _segments(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("stratum"))
+    return c, select.quota(c.groupBy("stratum").agg(F.count("*").alias("size")), "stratum", "size", 40)
+
+
+@query("WITH " + QUOTA_SQL + " SELECT stratum, size, quota FROM q")
+def stratum_quota(spark, sf_dir):
+    return _segments(spark, sf_dir)[1]
+
+
+@query("WITH " + QUOTA_SQL + ", d AS (SELECT c_custkey, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat('5|', c_custkey)), c_custkey) AS n FROM customer) SELECT c_custkey, stratum FROM d JOIN q USING (stratum) WHERE n <= quota")
+def stratified_draw(spark, sf_dir):
+    c, q = _segments(spark, sf_dir)
+    return select.stratified_draw(c, q, "stratum", 5, "c_custkey").select("c_custkey", "stratum")
+
+
+@query()
+def split_repair(spark, sf_dir):
+    pool = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    found = select.select_scenes(pool, "p_partkey", "p_brand", 20, {"p_size": 900.0, "p_retailprice": 30000.0}, seed=1, restarts=1)
+    return select.shortfall(found, {"p_size": 900.0, "p_retailprice": 30000.0})
+
+
+@query("WITH f AS (SELECT o_custkey, min(o_orderkey) AS m FROM orders GROUP BY 1), r AS (SELECT o_custkey, row_number() OVER (ORDER BY m, o_custkey) AS ordinal FROM f) SELECT o_custkey, ordinal, ((ordinal - 1) // 100 + 1)::BIGINT AS batch FROM r")
+def appearance_batches(spark, sf_dir):
+    return select.group_by_appearance(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_custkey", "ordinal", "batch").distinct()
+
+
+_MOTION_SQL = (
+    "WITH "
+    + SERIES_SQL
+    + """, m AS (SELECT *, (future[17] + future[18] + future[19] + future[20]) / 4 AS v_end, list_max(future) AS v_max, greatest(1.0, 0.2 * v0) AS b, coalesce(past[len(past) - 4], past[1]) AS v1 FROM series)"""
+)
+
+
+@query(
+    _MOTION_SQL
+    + """ SELECT scene_id, frame_no, CASE WHEN v0 < 0.5 AND v_max < 0.5 THEN 'stay' WHEN v0 < 0.5 AND v_max >= 1.0 THEN 'start' WHEN v0 >= 0.5 AND v_end < 0.5 THEN 'stop' WHEN v_end < v0 - b THEN 'decel' WHEN v_end > v0 + b THEN 'accel' ELSE 'keep' END AS sample_class,
+CASE WHEN v_end < 0.5 THEN 'stop' WHEN (v0 < 0.5 AND v_max >= 1.0) OR v_end - v0 > b THEN 'accelerate' WHEN v0 - v_end > b THEN 'decelerate' ELSE 'keep' END AS lon_class,
+CASE WHEN v0 < 0.5 THEN 'stopped' WHEN v0 - v1 > 0.6 THEN 'accelerating' WHEN v0 - v1 < -0.6 THEN 'decelerating' ELSE 'cruising' END AS ego_class,
+CASE WHEN v0 < 0.5 THEN 'v0<0.5' WHEN v0 < 3 THEN '0.5<=v0<3' WHEN v0 < 8 THEN '3<=v0<8' ELSE 'v0>=8' END AS bucket FROM m"""
+)
+def motion_classes(spark, sf_dir):
+    s = series(spark, sf_dir)
+    v0, v_end, v_max = F.col("v0"), motion.end_speed(F.col("future")), F.array_max("future")
+    return s.select("scene_id", "frame_no", motion.sample_class(v0, v_end, v_max).alias("sample_class"), motion.lon_class(v0, v_end, v_max).alias("lon_class"), motion.ego_class(v0, motion.back_in_array(F.col("past"), 4)).alias("ego_class"), motion.speed_bucket(v0).alias("bucket"))
+
+
+@query(
+    _MOTION_SQL
+    + """ SELECT scene_id, frame_no, round(v_end, 6) AS v_end, (list_position(list_transform(future, lambda x: x >= 0.5), true) * 0.25)::DOUBLE AS start_t,
+CASE WHEN list_position(list_transform(list_reverse(past), lambda x: x < 0.5), false) IS NULL THEN len(past) ELSE list_position(list_transform(list_reverse(past), lambda x: x < 0.5), false) - 1 END::BIGINT AS trailing FROM m"""
+)
+def speed_summaries(spark, sf_dir):
+    s = series(spark, sf_dir)
+    return s.select("scene_id", "frame_no", F.round(motion.end_speed(F.col("future")), 6).alias("v_end"), motion.start_time(F.col("future")).cast("double").alias("start_t"), motion.trailing_run(F.col("past")).cast("long").alias("trailing"))
+
+
+@query(
+    "WITH "
+    + SERIES_SQL
+    + """, p AS (SELECT scene_id, frame_no, v0, future, list_transform(range(1, 21), lambda i: list_sum(future[1:i]) * 0.25) AS truth FROM series),
+q AS (SELECT *, list_transform(range(1, 21), lambda i: abs(v0 * i * 0.25 - truth[i])) AS err FROM p)
+SELECT scene_id, frame_no, round(list_avg(err[1:4]), 9) AS ade1, round(list_avg(err[1:12]), 9) AS ade3, round(list_avg(err), 9) AS ade5, round(err[20], 9) AS fde, round(exp(-list_avg(err) / 2), 9) AS score FROM q"""
+)
+def displacement_errors(spark, sf_dir):
+    s = series(spark, sf_dir)
+    zero = F.lit(0.0)
+    travelled = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct((F.aggregate(F.slice("future", F.lit(1), i), zero, lambda a, x: a + x) * 0.25).alias("x"), zero.alias("y")))
+    rows = s.withColumn("err", motion.displacement(motion.constant_velocity(F.col("v0"), zero), travelled))
+    e = F.col("err")
+    ade5 = motion.average_error(e, 20)
+    return rows.select("scene_id", "frame_no", *[F.round(c, 9).alias(n) for n, c in (("ade1", motion.average_error(e, 4)), ("ade3", motion.average_error(e, 12)), ("ade5", ade5), ("fde", motion.final_error(e)), ("score", motion.trajectory_score(ade5)))])
+
+
+@query("SELECT 'o_orderpriority' AS field, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2")
+def marginals(spark, sf_dir):
+    return aggregate.marginals(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query(
+    """SELECT 'all' AS slice, NULL AS value, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders UNION ALL
+SELECT 'o_orderpriority', o_orderpriority, count(*), round(avg(o_totalprice), 4) FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), round(avg(o_totalprice), 4) FROM orders GROUP BY 2"""
+)
+def metrics_by_slice(spark, sf_dir):
+    return aggregate.by_slice(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT least(n, 8) AS bucket, count(*) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1")
+def capped_histogram(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("k"))
+    return aggregate.capped_histogram(n.withColumnRenamed("k", "count"), "count", 8)
+
+
+@query("SELECT l_returnflag AS class, l_linestatus AS state, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def attribute_frequency(spark, sf_dir):
+    return aggregate.frequency(objects(spark, sf_dir), "class", "state")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10")
+def top_values(spark, sf_dir):
+    return aggregate.top_k(table(spark, sf_dir, "part"), "p_brand", 10)
+
+
+@query("WITH r AS (SELECT p_brand, p_type, p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part) SELECT p_brand, p_type, p_partkey FROM r WHERE n = 1 ORDER BY p_partkey LIMIT 60")
+def first_examples(spark, sf_dir):
+    return aggregate.examples(table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey"), "p_partkey", 60, "p_brand", "p_type")
+
+
+@query(
+    "WITH n AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS k FROM n) SELECT o_custkey, o_orderpriority, n FROM r WHERE k = 1"
+)
+def majority_value(spark, sf_dir):
+    return aggregate.majority(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+_CONF = "c AS (SELECT quality::VARCHAR AS truth, toxic::VARCHAR AS found, count(*) AS n FROM labels GROUP BY 1, 2)"
+
+
+@query("WITH " + _CONF + " SELECT truth, found, n FROM c")
+def confusion(spark, sf_dir):
+    return aggregate.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+_REPORT = (
+    _CONF
+    + """, t AS (SELECT truth AS label, sum(n)::BIGINT AS support, coalesce(sum(n) FILTER (truth = found), 0)::BIGINT AS tp FROM c GROUP BY 1), p AS (SELECT found AS label, sum(n)::BIGINT AS found FROM c GROUP BY 1),
+r AS (SELECT coalesce(t.label, p.label) AS label, coalesce(support, 0) AS support, coalesce(found, 0) AS found, coalesce(tp, 0) AS tp FROM t FULL JOIN p ON p.label = t.label)"""
+)
+
+
+@query("WITH " + _REPORT + " SELECT label, support, found, tp, tp / nullif(support, 0)::DOUBLE AS recall, tp / nullif(found, 0)::DOUBLE AS precision FROM r")
+def class_report(spark, sf_dir):
+    return aggregate.class_report(aggregate.confusion(table(spark, sf_dir, "labels"), "quality", "toxic"))
+
+
+@query("WITH " + _REPORT + " SELECT avg(tp / support::DOUBLE) FILTER (support >= 10) AS macro_recall, sum(tp) / sum(support)::DOUBLE AS accuracy, (SELECT label FROM r ORDER BY support DESC, label DESC LIMIT 1) AS majority_class, max(support) / sum(support)::DOUBLE AS majority_share FROM r")
+def macro_recall(spark, sf_dir):
+    return aggregate.macro_recall(aggregate.class_report(aggregate.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")))
+
+
+@query("SELECT o_orderpriority, round(p[1], 4) AS p10, round(p[2], 4) AS p50, round(p[3], 4) AS p99 FROM (SELECT o_orderpriority, quantile_cont(o_totalprice, [0.1, 0.5, 0.99]) AS p FROM orders GROUP BY 1)")
+def percentiles(spark, sf_dir):
+    p = aggregate.percentiles("o_totalprice", [0.1, 0.5, 0.99])
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(p.alias("p"))
+    return rows.select("o_orderpriority", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
+
+
+@query("WITH c AS (SELECT o_orderpriority AS c, avg(o_totalprice) AS m, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) SELECT round(avg(m), 4) AS cluster_mean, round(sum(s) / sum(n), 4) AS row_mean, count(*) AS clusters FROM c")
+def cluster_leaderboard(spark, sf_dir):
+    found = aggregate.leaderboard(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return found.select(F.round("cluster_mean", 4).alias("cluster_mean"), F.round("row_mean", 4).alias("row_mean"), "clusters")
+
+
+@query("""WITH m AS (SELECT 'price' AS metric, avg(o_totalprice) AS value FROM orders UNION ALL SELECT 'orders', count(*)::DOUBLE FROM orders), g(metric, op, threshold) AS (VALUES ('price', '>=', 1000.0), ('orders', '<=', 10.0), ('absent', '>=', 0.5))
+SELECT g.metric, round(value, 4) AS value, op, threshold::DOUBLE AS threshold, CASE op WHEN '>=' THEN value >= threshold ELSE value <= threshold END AS passed FROM g LEFT JOIN m ON m.metric = g.metric""")
+def acceptance_gates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("orders"))
+    long = o.select(F.explode(F.create_map(F.lit("price"), "price", F.lit("orders"), "orders")).alias("metric", "value"))
+    limits = spark.createDataFrame([("price", ">=", 1000.0), ("orders", "<=", 10.0), ("absent", ">=", 0.5)], "metric string, op string, threshold double")
+    return aggregate.gates(long, limits).withColumn("value", F.round("value", 4))
+
+
+@query()
+def paired_bootstrap(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    pairs = pairs.withColumn("k", F.concat_ws("|", "l_returnflag", "l_linestatus", "l_linenumber"))
+    return aggregate.paired_bootstrap(pairs, "k", "a", "b", 500, 3)
+
+
+@query("SELECT lang, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS percent FROM documents GROUP BY 1")
+def value_distribution(spark, sf_dir):
+    return aggregate.distribution(table(spark, sf_dir, "documents"), "lang").withColumn("percent", F.round("percent", 6))
+
+
+@query("WITH a AS (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), b AS (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) SELECT a.l_returnflag, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (l_returnflag) WHERE a.n > coalesce(b.n, 0)")
+def bag_difference(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return aggregate.bag_except(li.where("l_linenumber <= 3"), li.where("l_linenumber > 3"), "l_returnflag")
+
+
+@query("WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) FILTER (l_linenumber <= 3) AS t, list(DISTINCT l_returnflag) FILTER (l_linenumber > 3) AS f FROM lineitem GROUP BY 1), c AS (SELECT len(list_intersect(coalesce(t, []), coalesce(f, []))) AS tp, len(coalesce(f, [])) AS nf, len(coalesce(t, [])) AS nt FROM s), u AS (SELECT sum(tp)::BIGINT AS tp, sum(nf - tp)::BIGINT AS fp, sum(nt - tp)::BIGINT AS fn FROM c) SELECT tp, fp, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, round(2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE), 9) AS f1 FROM u")
+def set_f1(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    sides = li.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_returnflag"))).alias("t"), F.collect_set(F.when(F.col("l_linenumber") > 3, F.col("l_returnflag"))).alias("f"))
+    return aggregate.set_f1(sides, "t", "f").withColumn("f1", F.round("f1", 9))
+
+
+@query("SELECT source AS model, 'text' AS capability, count(nullif(lower(trim(text)), '')) / count(*)::DOUBLE AS coverage, count(DISTINCT nullif(lower(trim(text)), '')) / count(nullif(lower(trim(text)), ''))::DOUBLE AS distinct_ratio, true AS able FROM documents GROUP BY 1")
+def capabilities(spark, sf_dir):
+    return aggregate.detect_capabilities(table(spark, sf_dir, "documents"), "source", {"text": False})
+
+
+@query("SELECT p_partkey, round(1.0 / n, 12) AS weight FROM part JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) USING (p_brand)")
+def inverse_frequency(spark, sf_dir):
+    return weights.inverse_frequency(table(spark, sf_dir, "part"), "p_brand", "weight").select("p_partkey", F.round("weight", 12).alias("weight"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderstatus, count(*) AS m FROM orders GROUP BY 1)
+SELECT o_orderkey, round(least(5.0, greatest(1.0, greatest(pow((SELECT max(n) FROM a) / n::DOUBLE, 0.3), pow((SELECT max(m) FROM b) / m::DOUBLE, 0.3)) * CASE WHEN o_totalprice > 200000 THEN 2.0 ELSE 1.0 END)), 9) AS weight
+FROM orders JOIN a USING (o_orderpriority) JOIN b USING (o_orderstatus)"""
+)
+def context_weight(spark, sf_dir):
+    o = weights.context_weight(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", F.col("o_totalprice") > 200000, "weight")
+    return o.select("o_orderkey", F.round("weight", 9).alias("weight"))
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, p_size, p_size::DOUBLE / avg(p_size) OVER () AS a, p_retailprice / avg(p_retailprice) OVER () AS b FROM part), x AS (SELECT *, a * b AS c FROM w), y AS (SELECT *, least(c / avg(c) OVER (), 8.0) * CASE WHEN p_size > 40 THEN 2.0 ELSE 1.0 END AS d FROM x)
+SELECT p_partkey, round(d / avg(d) OVER (), 6) AS weight FROM y"""
+)
+def combined_weight(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    found = weights.combined_weight(p, "a", "b", F.when(F.col("p_size") > 40, 2.0).otherwise(1.0), F.lit(1.0), "weight")
+    return found.select("p_partkey", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT 'p_brand' AS field, p_brand AS value, round(sum(p_size) / (SELECT sum(p_size) FROM part)::DOUBLE, 9) AS share FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, round(sum(p_size) / (SELECT sum(p_size) FROM part)::DOUBLE, 9) FROM part GROUP BY 2")
+def weighted_marginals(spark, sf_dir):
+    return weights.weighted_marginals(table(spark, sf_dir, "part"), "p_size", "p_brand", "p_type").withColumn("share", F.round("share", 9))
+
+
+@query("WITH f AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand, n, round(least(3.0, greatest(0.5, sqrt((SELECT quantile_cont(n, 0.5) FROM f) / n))), 9) AS factor FROM f")
+def balance_factor(spark, sf_dir):
+    f = aggregate.frequency(table(spark, sf_dir, "part"), "p_brand")
+    return weights.balance_factor(f, "p_brand", "n", "factor").withColumn("factor", F.round("factor", 9))
+
+
+@query()
+def weighted_draw(spark, sf_dir):
+    return weights.weighted_draw(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w")), "p_partkey", "w", 500, 11)
+
+
+@query("WITH " + OBJECTS_SQL + " SELECT frame, g, row_number() OVER (PARTITION BY frame ORDER BY rank, g) AS place, rank AS written_rank FROM objects")
+def ranked_objects(spark, sf_dir):
+    return match.rank_objects(objects(spark, sf_dir), "frame", "rank", "g").select("frame", "g", "place", "written_rank")
+
+
+_BOXES = (
+    OBJECTS_SQL
+    + """, t AS (SELECT * FROM objects WHERE g <= 3), m AS (SELECT * FROM objects WHERE g > 3),
+p AS (SELECT t.frame, t.g, m.g AS mg, abs(t.x - m.x) + abs(t.y - m.y) + abs(t.h - m.h) + abs(t.w - m.w) AS d FROM t LEFT JOIN m ON m.frame = t.frame)"""
+)
+
+
+@query("WITH " + _BOXES + ", r AS (SELECT *, row_number() OVER (PARTITION BY frame, g ORDER BY round(d, 6), mg) AS k FROM p) SELECT frame, g, mg AS mask, round(d, 6) AS distance FROM r WHERE k = 1")
+def nearest_boxes(spark, sf_dir):
+    o = objects(spark, sf_dir)
+    o = o.withColumns({c: F.round(c, 6) for c in "xywh"})
+    found = match.match_boxes(o.where("g <= 3"), o.where("g > 3").withColumnRenamed("g", "mask"), "frame", "g", "mask")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def _sides(spark, sf_dir):
+    o = objects(spark, sf_dir)
+    found = o.where("g > 3").select("frame", F.col("g").alias("p"), F.col("class").alias("pclass"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return o.where("g <= 3"), found
+
+
+@query()
+def object_assignment(spark, sf_dir):
+    return match.assign_objects(*_sides(spark, sf_dir), "frame")
+
+
+@query()
+def typed_assignment(spark, sf_dir):
+    return match.assign_typed(*_sides(spark, sf_dir), "frame")
+
+
+@query()
+def assignment_sensitivity(spark, sf_dir):
+    return match.assign_sensitivity(*_sides(spark, sf_dir), "frame", (0.1, 0.5, 1.0))
+
+
+@query(
+    "WITH "
+    + OBJECTS_SQL
+    + """, t AS (SELECT frame, class, count(*) AS t FROM objects WHERE g <= 3 GROUP BY 1, 2), f AS (SELECT frame, class, count(*) AS f FROM objects WHERE g > 3 GROUP BY 1, 2),
+b AS (SELECT coalesce(t.frame, f.frame) AS frame, coalesce(t.class, f.class) AS class, coalesce(t, 0) AS t, coalesce(f, 0) AS f FROM t FULL JOIN f ON f.frame = t.frame AND f.class = t.class)
+SELECT frame, class, least(t, f) AS tp, greatest(t - f, 0) AS missed, greatest(f - t, 0) AS extra FROM b"""
+)
+def multiset_match(spark, sf_dir):
+    o = objects(spark, sf_dir)
+    return match.match_multiset(o.where("g <= 3"), o.where("g > 3"), "frame", "class")
+
+
+@query("SELECT doc, c, m FROM (SELECT user_id AS doc, event_id AS c, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_type <> 'signup', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM events) WHERE event_type = 'click'")
+def points_to_mentions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    e = e.select(F.col("user_id").alias("doc"), F.col("event_id"), "event_type", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_type") == "signup", F.col("event_id")).otherwise(0).alias("i")).alias("at"))
+    mentions = e.where("event_type = 'signup'").select("doc", F.col("at").withField("i", F.lit(0).cast("long")).alias("at"), F.col("event_id").alias("m"))
+    clicks = e.where("event_type = 'click'").select("doc", F.col("at").withField("i", F.lit(1).cast("long")).alias("at"), F.col("event_id").alias("c"))
+    return match.attach_points(mentions, clicks, "doc")
+
+
+@query("WITH " + OBJECTS_SQL + " SELECT frame, g, round(least(300.0, greatest(60.0, 1.5 * sqrt(w * w + h * h))), 6) AS assign_gate, round(least(60.0, greatest(15.0, 0.5 * sqrt(w * w + h * h))), 6) AS location_gate, round(sqrt(pow(greatest(x - 30, 0, 30 - (x + w)), 2) + pow(greatest(y - 5, 0, 5 - (y + h)), 2)), 6) AS distance FROM objects")
+def gates_and_distances(spark, sf_dir):
+    o = objects(spark, sf_dir)
+    c = F.col
+    return o.select("frame", "g", F.round(match.assign_gate(c("w"), c("h")), 6).alias("assign_gate"), F.round(match.location_gate(c("w"), c("h")), 6).alias("location_gate"), F.round(match.box_distance(F.lit(30.0), F.lit(5.0), c("x"), c("y"), c("w"), c("h")), 6).alias("distance"))
+
+
+@query()
+def object_choice(spark, sf_dir):
+    return match.pick_object(objects(spark, sf_dir), "frame", "g", F.col("class") == "R", 5).select("frame", "g", "class")
+
+
+_ANSWER = """'<ego_state>lon=cruising ' || printf('%.1f', speed) || ' m/s | lat=LANE_KEEPING</ego_state><context>weather=Sunny; road=Merge</context><events>' || event_type || ', none2</events><has_objects>yes<n_objects>' || frame_no || '<obj type="Car"><point>(' || frame_no || ', 5)</point><rank>1</rank><location>front</location></obj><final_plan> keep lane </final_plan><motion>lon=' || intent || ' | lat=left turn</motion><traj>[' || frame_no || ', 0.5], [2, 0], [3, 0], [4, 0], [5, 0]</traj>'"""
+
+
+@query("WITH " + FRAMES_SQL + " SELECT event_id, 'cruising' AS ego, event_type AS event, frame_no AS n_objects, 'Car' AS type, frame_no::DOUBLE AS px, 1 AS rank, 'keep lane' AS plan, 'left_turn' AS lat, frame_no::DOUBLE AS x1, 5 AS points FROM frames")
+def parsed_answers(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    head = F.format_string('<ego_state>lon=cruising %.1f m/s | lat=LANE_KEEPING</ego_state><context>weather=Sunny; road=Merge</context><events>%s, none2</events><has_objects>yes<n_objects>%d', "speed", "event_type", "frame_no")
+    body = F.format_string('<obj type="Car"><point>(%d, 5)</point><rank>1</rank><location>front</location></obj><final_plan> keep lane </final_plan><motion>lon=%s | lat=left turn</motion><traj>[%d, 0.5], [2, 0], [3, 0], [4, 0], [5, 0]</traj>', "frame_no", "intent", "frame_no")
+    a = f.select("event_id", text.parse_answer(F.concat(head, body)).alias("a"))
+    one = F.col("a.objects")[0]
+    return a.select("event_id", F.col("a.ego_state.lon_class").alias("ego"), F.col("a.events")[0].alias("event"), F.col("a.n_objects").alias("n_objects"), one["type"].alias("type"), one["point"]["x"].alias("px"), one["rank"].alias("rank"), F.col("a.final_plan").alias("plan"), F.col("a.motion.lat").alias("lat"), F.col("a.traj")[0]["x"].alias("x1"), F.col("a.traj_n_points").alias("points"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[_\\n]', ' ', 'g'), '\\s+', ' ', 'g'), ' .') AS plan, substr(sha256(text), 1, 16) AS digest FROM documents")
+def normal_plans(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm_plan(F.col("text")).alias("plan"), text.fingerprint(F.col("text")).alias("digest"))
+
+
+@query(
+    """WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark),
+p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM w a JOIN w b ON b.item_id = a.item_id + 1)
+SELECT a, b, round(i / u::DOUBLE, 9) AS overlap FROM p"""
+)
+def word_overlap(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("tb")), F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", F.round(text.word_overlap(F.col("ta"), F.col("tb")), 9).alias("overlap"))
+
+
+@query()
+def degenerate_texts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(text.degenerate(F.col("text"))).alias("degenerate"), F.count("*").alias("n"))
+
+
+@query("WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)")
+def new_rows_only(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return sinks.new_rows(o, o.where("o_orderkey % 2 = 0"), "o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'patched' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def overlay_patch(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.concat(F.lit("p/"), "o_orderkey").alias("path"), F.col("o_orderkey").cast("string").alias("base"), "o_orderpriority")
+    full = o.where("o_orderkey % 6 = 0").select(F.col("path").alias("key"), F.lit("patched").alias("o_orderpriority"))
+    short = o.where("o_orderkey % 6 = 3").select(F.col("base").alias("key"), F.lit("patched").alias("o_orderpriority"))
+    return sinks.apply_overlay(o, full.unionByName(short), "path", "base", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'moving' WHEN 'click' THEN 'slowing/stopped' WHEN 'purchase' THEN 'turning/merging' WHEN 'signup' THEN 'parked' ELSE 'other' END AS behaviour, CASE event_type WHEN 'view' THEN 'stop' WHEN 'click' THEN 'green' ELSE 'other' END AS content, CASE event_type WHEN 'view' THEN 'front left' ELSE 'front' END AS direction FROM events")
+def canonical_attributes(spark, sf_dir):
+    e, t = table(spark, sf_dir, "events"), F.col("event_type")
+    state = F.when(t == "view", "Driving  slowly").when(t == "click", "give way").when(t == "purchase", "U turn").when(t == "signup", "pull over and park").otherwise("??")
+    sign = F.when(t == "view", "stop here on red").when(t == "click", "GREEN arrow").otherwise("none")
+    where = F.when(t == "view", "adjacent lane, left").otherwise("ahead in the lane")
+    return e.select("event_id", text.coarse_behaviour(text.behaviour(state)).alias("behaviour"), text.content(sign).alias("content"), text.location_slots(where)["direction"].alias("direction"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'Urban Highway' WHEN 'click' THEN 'Unknown' WHEN 'purchase' THEN NULL ELSE 'Rural' END AS scenario, CASE WHEN event_type = 'click' THEN 'Fog' ELSE 'Fair' END AS weather, CASE event_type WHEN 'view' THEN ['Traffic jam'] WHEN 'click' THEN ['Roadside parking'] ELSE [] END AS types FROM events")
+def cleaned_context(spark, sf_dir):
+    t = F.col("event_type")
+    names = lambda *x: F.array(F.array(*[F.lit(v) for v in x]))
+    scenario = F.when(t == "view", "Urban, Highway").when(t == "click", "").when(t == "purchase", None).otherwise("Rural")
+    weather = F.when(t == "click", "Fog").when(t == "view", "")
+    events = F.when(t == "view", names("traffic jam", "none")).when(t == "click", names("left roadside parking", "Roadside parking")).otherwise(names("Airport"))
+    ann = table(spark, sf_dir, "events").select("event_id", F.struct(weather.alias("weather"), scenario.alias("scenario")).alias("context"), events.alias("events"))
+    done = clean.clean_context(ann)
+    return done.select("event_id", "context.scenario", "context.weather", F.flatten("events").alias("types"))
