@@ -164,7 +164,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, opts: Chain = Chain(), id_col:
             out[test] = _sigmoid(model.margin(r, c, len(data), dense))[test]
         held_out[name] = float(((out >= 0.5) == (y == 1)).mean()) if len(y) else 1.0
         model = Linear(len(features), i).fit(r, c, dense, y, opts)
-        true, seen = min(max(shares[i] or 0.0, 1e-6), 1 - 1e-6), min(max(y.mean() if len(y) else 0.0, 1e-6), 1 - 1e-6)
+        true, seen = min(max(shares[i] or 0.0, 1e-6), 1 - 1e-6), min(max(y.mean() if len(y) else 0.5, 1e-6), 1 - 1e-6)
         model.b += float(np.log(true / (1 - true)) - np.log(seen / (1 - seen)))
         models.append(model)
         dense = np.column_stack([dense, out])
