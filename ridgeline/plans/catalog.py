@@ -174,7 +174,7 @@ def appearance_batches(spark, sf_dir):
 _MOTION_SQL = (
     "WITH "
     + SERIES_SQL
-    + """, m AS (SELECT *, (future[17] + future[18] + future[19] + future[20]) / 4 AS v_end, list_max(future) AS v_max, greatest(1.0, 0.2 * v0) AS b, coalesce(past[len(past) - 4], past[1]) AS v1 FROM series)"""
+    + """, m AS (SELECT *, (future[17] + future[18] + future[19] + future[20]) / 4 AS v_end, list_max(future) AS v_max, greatest(1.0, 0.2 * v0) AS b, CASE WHEN len(past) >= 5 THEN past[len(past) - 4] ELSE past[1] END AS v1 FROM series)"""
 )
 
 
