@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions import motion, text, vocab
-from ridgeline.operators import aggregate, clean, match, select, weights
+from ridgeline.functions import geometry, motion, text
+from ridgeline.operators import aggregate, clean, evaluate, match, plans, select, weights
 from ridgeline.plans.views import FRAMES_SQL, OBJECTS_SQL, SERIES_SQL, frames, objects, series, table
 from ridgeline.sources import sinks
 
@@ -518,3 +518,111 @@ def cleaned_context(spark, sf_dir):
     ann = table(spark, sf_dir, "events").select("event_id", F.struct(weather.alias("weather"), scenario.alias("scenario")).alias("context"), events.alias("events"))
     done = clean.clean_context(ann)
     return done.select("event_id", "context.scenario", "context.weather", F.flatten("events").alias("types"))
+
+
+#: sentence, class when moving, class when stopped
+PLAN_SENTENCES = [
+    ("Decelerate and stop.", "stop", "stop"),
+    ("keep lane and cruise", "keep", "keep"),
+    ("wait, then proceed", "stop", "stop"),
+    ("proceed_through the intersection", "keep", "accelerate"),
+    ("keep lane", "unspecified", "unspecified"),
+    ("turn left and accelerate", "accelerate", "accelerate"),
+    ("follow the stopped car", "keep", "keep"),
+]
+_PLANS_SQL = (
+    "WITH "
+    + FRAMES_SQL
+    + ", k(i, plan, moving, still) AS (VALUES "
+    + ", ".join(f"({i}, '{p}', '{m}', '{s}')" for i, (p, m, s) in enumerate(PLAN_SENTENCES))
+    + "), p AS (SELECT event_id, speed, plan, CASE WHEN speed >= 0.5 THEN moving ELSE still END AS lon FROM frames JOIN k ON k.i = event_id % 7)"
+)
+
+
+def _plans(spark, sf_dir):
+    names = spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(PLAN_SENTENCES)], "i long, plan string")
+    f = frames(spark, sf_dir).join(F.broadcast(names), F.col("event_id") % 7 == F.col("i"))
+    return plans.classify_plans(f, "plan", "speed")
+
+
+@query(_PLANS_SQL + " SELECT event_id, lon, CASE WHEN plan LIKE 'turn left%' THEN 'turn left' ELSE 'keep lane' END AS lateral FROM p")
+def plan_classes(spark, sf_dir):
+    p = _plans(spark, sf_dir).withColumn("t", plans.taxonomy(F.col("plan_read")))
+    return p.select("event_id", F.col("plan_read.lon").alias("lon"), F.col("t.lateral").alias("lateral"))
+
+
+@query(_PLANS_SQL + """, m AS (SELECT *, CASE WHEN speed < 3 THEN 'decelerate' ELSE 'keep' END AS m_lon FROM p)
+SELECT event_id, CASE WHEN lon = 'unspecified' THEN NULL WHEN lon = m_lon THEN true WHEN lon = 'keep' THEN m_lon = 'decelerate' AND speed >= 0.5 WHEN lon = 'accelerate' THEN m_lon = 'keep' WHEN lon = 'stop' THEN m_lon = 'decelerate' OR speed < 1.5 ELSE false END AS consistent FROM m""")
+def plan_consistency(spark, sf_dir):
+    p = _plans(spark, sf_dir).withColumn("m_lon", F.when(F.col("speed") < 3, "decelerate").otherwise("keep"))
+    ok = plans.consistent(F.col("plan_read"), F.col("m_lon"), F.lit(None).cast("string"), F.col("speed"), F.col("speed"), F.lit(None).cast("double"))
+    return p.select("event_id", ok.alias("consistent"))
+
+
+@query()
+def plan_repairs(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    names = spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(PLAN_SENTENCES)], "i long, plan string")
+    f = f.join(F.broadcast(names), F.col("event_id") % 7 == F.col("i")).withColumn("m_lon", F.lit("accelerate")).withColumn("none", F.lit(None).cast("double"))
+    done = plans.repair_plans(f.withColumn("m_lat", F.lit("straight")), "plan", "m_lon", "m_lat", "speed", "none", "none")
+    return done.groupBy("plan", "new_plan", "reason_weight").agg(F.count("*").alias("n"))
+
+
+def _paths(spark, sf_dir):
+    """Paths of 20 samples that bend with the scene's number."""
+    s = series(spark, sf_dir)
+    bend = (F.col("scene_id") % 7 - 3) / 20.0
+    at = lambda i: F.aggregate(F.slice("future", F.lit(1), i), F.lit(0.0), lambda a, x: a + x) * 0.25
+    pts = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct((at(i) * F.cos(bend * i)).alias("x"), (at(i) * F.sin(bend * i)).alias("y")))
+    return s.withColumn("truth", pts)
+
+
+@query()
+def lateral_motion(spark, sf_dir):
+    p = _paths(spark, sf_dir).withColumn("h", geometry.heading(F.col("truth")))
+    lat = motion.lat_class(F.col("h.theta"), F.col("h.residual"), F.col("intent"))
+    return p.groupBy("intent", lat.alias("lat")).agg(F.count("*").alias("n"))
+
+
+@query()
+def reference_rows(spark, sf_dir):
+    p = _paths(spark, sf_dir).select(F.concat_ws("-", "scene_id", "frame_no").alias("frame_key"), "truth", F.col("v0").alias("vx"), F.lit(0.0).alias("vy"), motion.speed_bucket(F.col("v0")).alias("bucket"))
+    rows = evaluate.reference_predictions(p, "frame_key").join(p.select("frame_key", "truth", "bucket"), "frame_key")
+    return evaluate.trajectory_summary(rows, ["kind", "bucket"])
+
+
+@query("SELECT 'all' AS slice, NULL AS value, 'n' AS metric, count(*)::DOUBLE AS value_of FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, 'n', count(*)::DOUBLE FROM orders GROUP BY 2")
+def long_metrics(spark, sf_dir):
+    wide = aggregate.by_slice(table(spark, sf_dir, "orders"), ["o_orderstatus"], F.count("*").alias("n"))
+    return evaluate.long_metrics(wide.withColumnRenamed("value", "v"), "slice", "v").withColumnRenamed("value", "value_of").withColumnRenamed("v", "value")
+
+
+@query()
+def object_scores(spark, sf_dir):
+    truth, found = _sides(spark, sf_dir)
+    return evaluate.object_metrics(truth, found, match.assign_objects(truth, found, "frame"), "frame")
+
+
+@query(
+    "WITH "
+    + OBJECTS_SQL
+    + """, t AS (SELECT frame, class, count(*) AS t FROM objects WHERE g <= 3 GROUP BY 1, 2), f AS (SELECT frame, class, count(*) AS f FROM objects WHERE g > 3 GROUP BY 1, 2),
+b AS (SELECT coalesce(t, 0) AS t, coalesce(f, 0) AS f FROM t FULL JOIN f ON f.frame = t.frame AND f.class = t.class), s AS (SELECT sum(least(t, f))::BIGINT AS tp, sum(greatest(t - f, 0))::BIGINT AS missed, sum(greatest(f - t, 0))::BIGINT AS extra FROM b)
+SELECT tp, missed, extra, round(tp / (tp + extra)::DOUBLE, 9) AS precision, round(tp / (tp + missed)::DOUBLE, 9) AS recall, round(2 * tp / (2 * tp + extra + missed)::DOUBLE, 9) AS f1 FROM s"""
+)
+def typeonly_scores(spark, sf_dir):
+    o = objects(spark, sf_dir)
+    found = evaluate.typeonly_metrics(o.where("g <= 3"), o.where("g > 3"), "frame", "class")
+    return found.select("tp", "missed", "extra", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("SELECT o_orderstatus AS status, max(o_custkey) AS longest, round(avg(o_custkey), 6) AS mean, round(quantile_cont(o_custkey, 0.99), 6) AS p99, count(*) FILTER (o_totalprice > 100000) AS hit_cap, count(*) AS n FROM orders GROUP BY 1")
+def answer_lengths(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("n_new_tokens"), (F.col("o_totalprice") > 100000).alias("hit_cap"))
+    return evaluate.length_summary(o, "status").withColumns({c: F.round(c, 6) for c in ("mean", "p99")})
+
+
+@query("WITH " + FRAMES_SQL + ", k(target, sentence) AS (VALUES ('stop', 'decelerate to a stop'), ('decelerate', 'decelerate'), ('keep', 'keep lane and cruise'), ('accelerate', 'accelerate')) SELECT event_id, target, 'r ' || intent || '<final_plan>' || sentence || '</final_plan>' AS prefix FROM frames, k WHERE target <> CASE WHEN speed < 1 THEN 'stop' ELSE 'keep' END")
+def intervention_prefixes(spark, sf_dir):
+    f = frames(spark, sf_dir).select("event_id", F.concat(F.lit("r "), "intent", F.lit("<final_plan>go</final_plan> rest")).alias("answer"), F.when(F.col("speed") < 1, "stop").otherwise("keep").alias("lon"))
+    return evaluate.intervention_prefixes(f, "answer", "lon").select("event_id", "target", "prefix")
