@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text
-from ridgeline.operators import aggregate, clean, evaluate, match, plans, select, weights
+from ridgeline.operators import aggregate, clean, evaluate, match, plans, select, targets, weights
+from ridgeline.operators import prose as prose_module
 from ridgeline.plans.views import FRAMES_SQL, OBJECTS_SQL, SERIES_SQL, frames, objects, series, table
 from ridgeline.sources import sinks
 
@@ -626,3 +627,29 @@ def answer_lengths(spark, sf_dir):
 def intervention_prefixes(spark, sf_dir):
     f = frames(spark, sf_dir).select("event_id", F.concat(F.lit("r "), "intent", F.lit("<final_plan>go</final_plan> rest")).alias("answer"), F.when(F.col("speed") < 1, "stop").otherwise("keep").alias("lon"))
     return evaluate.intervention_prefixes(f, "answer", "lon").select("event_id", "target", "prefix")
+
+
+@query(
+    "WITH "
+    + FRAMES_SQL
+    + """, k(field, origin) AS (VALUES ('reason', 'prose'), ('final_plan', 'prose'), ('traj', 'prose'), ('objects', 'prose')), n AS (SELECT count(*) FILTER (event_id % 2 = 0) AS even, count(*) FILTER (event_id % 2 = 1) AS odd FROM frames)
+SELECT field, origin, odd AS n FROM k, n UNION ALL SELECT field, 'strict', even FROM k, n"""
+)
+def extraction_origins(spark, sf_dir):
+    f = frames(spark, sf_dir).select("event_id", "frame_no")
+    tagged = F.format_string("<reason>r</reason><final_plan>stop</final_plan><obj type=Car><rank>1</rank></obj><traj>[1, %d], [2, 0], [3, 0], [4, 0], [5, 0]</traj>", "frame_no")
+    prose = F.format_string("A white car at (1200, 600) waits. There is no bus.\nReason: it waits\nPlan: stop\nTrajectory: (1.0, %d), (2.0, 0), (3.0, 0), (4.0, 0), (5.0, 0)", "frame_no")
+    return prose_module.extraction_stats(prose_module.extract_answers(f.withColumn("text", F.when(F.col("event_id") % 2 == 0, tagged).otherwise(prose)), "text"))
+
+
+@query("WITH " + FRAMES_SQL + """ SELECT event_id, '<context>weather=Fair;daytime=Unknown;visibility=Unknown;scenario=Unknown;road=Merge</context><events>' || event_type || '</events><has_objects>yes</has_objects><obj type=Car><point>' || frame_no || ',5</point><rank>1</rank><state>moving</state></obj><n_objects>1</n_objects>' AS target,
+(1.0 + 1.0 + 1.0 + 3.0 + 2.0 + 3.0 + 1.5 + 1.5 + 2.0 + 0.2 * 16)::DOUBLE AS weight FROM frames""")
+def target_texts(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    context = F.struct(F.lit("Fair").alias("weather"), F.lit("").alias("daytime"), F.lit(None).cast("string").alias("visibility"), F.lit(None).cast("string").alias("scenario"), F.lit("Merge").alias("road"))
+    none = F.lit(None).cast("string")
+    point = F.struct(F.col("frame_no").alias("x"), F.lit(5).alias("y"))
+    car = F.struct(F.lit("Car").alias("type"), point.alias("point"), F.lit(1).alias("rank"), none.alias("location"), none.alias("intention"), F.lit("moving").alias("state"), F.lit("red").alias("content"), none.alias("implication"), F.lit(1.0).alias("intention_factor"), F.lit(None).cast("double").alias("state_factor"))
+    rows = f.select("event_id", context.alias("context"), F.array(F.array("event_type")).alias("events"), F.array(car).alias("objects"))
+    t = targets.segment_columns(targets.build_targets(rows, "s1"))
+    return t.select("event_id", "target", F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 6).alias("weight"))
