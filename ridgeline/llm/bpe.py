@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,7 +32,7 @@ from ridgeline.llm.common import runs, small_batches
 
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_PIECES = 350_000
+KEPT_PIECES = 600_000
 MERGED_TOGETHER = 60_000
 CHUNK_CHARS = 4 << 20
 
@@ -65,8 +66,8 @@ class PieceCoder:
 
     def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text; all of the texts' pieces are held at a time."""
-        if len(self.table) > KEPT_PIECES:
-            self.table.clear()
+        if len(self.table) > KEPT_PIECES:  # the pieces met first are mostly the frequent ones
+            self.table = dict(itertools.islice(self.table.items(), KEPT_PIECES // 2))
         cut = [pieces(text) for text in texts]
         self.learn(list(set().union(*cut).difference(self.table)))
         look = self.table.__getitem__
