@@ -32,7 +32,7 @@ from ridgeline.llm.common import runs, small_batches
 
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 MERGED_TOGETHER = 60_000
 CHUNK_CHARS = 4 << 20
 
