@@ -40,7 +40,7 @@ def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("rejected", "toxic")
 
 
 def op4_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
