@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text
-from ridgeline.operators import aggregate, clean, evaluate, match, plans, select, targets, weights
+from ridgeline.operators import aggregate, clean, curate, evaluate, match, plans, select, targets, weights
 from ridgeline.operators import prose as prose_module
 from ridgeline.plans.views import FRAMES_SQL, OBJECTS_SQL, SERIES_SQL, frames, objects, series, table
 from ridgeline.sources import sinks
@@ -653,3 +653,49 @@ def target_texts(spark, sf_dir):
     rows = f.select("event_id", context.alias("context"), F.array(F.array("event_type")).alias("events"), F.array(car).alias("objects"))
     t = targets.segment_columns(targets.build_targets(rows, "s1"))
     return t.select("event_id", "target", F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 6).alias("weight"))
+
+
+@query("SELECT o_orderstatus AS part, count(DISTINCT o_custkey) AS scenes, count(*) AS scanned, count(*) FILTER (o_orderkey % 2 = 0) AS kept, count(*) FILTER (o_orderkey % 2 = 0 AND o_totalprice >= 100000) AS pos, count(*) FILTER (o_orderkey % 2 = 0 AND o_totalprice < 100000) AS neg FROM orders GROUP BY 1")
+def index_statistics(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("part"), F.col("o_custkey").alias("scene_id"), "o_orderkey", "o_totalprice")
+    return curate.index_stats(o, F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") < 100000, "part")
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS sc_F, count(*) FILTER (o_orderstatus = 'O') AS sc_O, count(*) FILTER (o_orderstatus = 'P') AS sc_P FROM orders GROUP BY 1")
+def class_counts(spark, sf_dir):
+    return curate.class_counts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"])
+
+
+@query(
+    "WITH "
+    + FRAMES_SQL
+    + """, k AS (SELECT scene_id, frame_no, intent, CASE WHEN speed < 0.5 THEN 'stop' WHEN speed < 1 THEN 'start' ELSE 'keep' END AS kind FROM frames),
+i AS (SELECT scene_id, intent, row_number() OVER (PARTITION BY scene_id ORDER BY count(*) DESC, min(frame_no)) AS r FROM k GROUP BY 1, 2), c AS (SELECT scene_id, kind, row_number() OVER (PARTITION BY scene_id ORDER BY count(*) DESC, min(frame_no)) AS r FROM k GROUP BY 1, 2),
+n AS (SELECT scene_id, count(*) AS n_frames, count(*) FILTER (kind = 'start') AS n_start, count(*) FILTER (kind = 'stop') AS n_stop, count(*) FILTER (intent = 'GO_LEFT') AS n_left, count(*) FILTER (intent = 'GO_RIGHT') AS n_right FROM k GROUP BY 1)
+SELECT n.*, i.intent || '|' || c.kind AS stratum FROM n JOIN i ON i.scene_id = n.scene_id AND i.r = 1 JOIN c ON c.scene_id = n.scene_id AND c.r = 1"""
+)
+def scene_profiles(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("kind", F.expr("CASE WHEN speed < 0.5 THEN 'stop' WHEN speed < 1 THEN 'start' ELSE 'keep' END"))
+    return curate.scene_profile(f, "frame_no", "intent", "kind")
+
+
+@query("WITH f AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, n FROM part JOIN f ON f.value = p_brand")
+def value_frequency(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    freq = aggregate.frequency(p, "p_brand").withColumnRenamed("p_brand", "value")
+    return curate.with_frequency(p.select("p_partkey", F.lower("p_brand").alias("b")), "b", freq).select("p_partkey", "n")
+
+
+@query("WITH b AS (SELECT l_orderkey, l_tax AS base FROM lineitem WHERE l_linenumber = 1) SELECT l_linenumber AS variant, count(*) AS n, round(avg(l_tax), 9) AS mean, round(avg(l_tax - base), 9) AS diff, count(base) AS paired FROM lineitem LEFT JOIN b USING (l_orderkey) GROUP BY 1")
+def variant_summary(spark, sf_dir):
+    first = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("variant"), "l_tax")
+    found = curate.variant_summary(first, "variant", "l_orderkey", "l_tax", 1)
+    return found.withColumns({c: F.round(c, 9) for c in ("mean", "diff")})
+
+
+@query("WITH " + OBJECTS_SQL + " SELECT CASE class WHEN 'A' THEN 'cruising' WHEN 'N' THEN 'parking' ELSE 'other' END AS label, count(*) AS support FROM objects GROUP BY 1")
+def behaviour_report(spark, sf_dir):
+    o = objects(spark, sf_dir)
+    said = F.when(F.col("class") == "A", "driving").when(F.col("class") == "N", "park").otherwise("??")
+    rows = o.select(said.alias("state"), F.when(F.col("g") > 3, "cruise").otherwise(said).alias("pred_state"))
+    return curate.behaviour_metrics(rows).where("support > 0").select("label", "support")
