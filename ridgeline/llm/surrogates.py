@@ -5,13 +5,15 @@ secret key gives its surrogate by HMAC, in the entity's own format: digits for d
 punctuation, valid check digits, a name of the same gender and script. So mentions of one entity
 share a surrogate wherever they stand. The distinct entities of all texts are then checked together:
 where two would share a surrogate, or one would equal a real entity, all but one draw again, until
-none collides. Only entities that drew again have to be told to the rewriting pass: by broadcast if
+none collides. No kind runs out of surrogates: where an entity's format leaves few (a local part of
+one letter), later draws are longer. Only entities that drew again have to be told to the rewriting pass: by broadcast if
 they are few (checked), else by a join with the documents that mention them.
 """
 
 from __future__ import annotations
 
 import hmac
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -37,6 +39,8 @@ LAST = {
 #: Titles before a surname, with the gender they tell.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f"}
 _GENDER = {name: (script, gender) for (script, gender), names in FIRST.items() for name in names}
+#: Draws from which numbers leave their range, and twice as many from which they have more digits.
+WIDER = 8
 _CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
 
 
@@ -54,9 +58,10 @@ def _same(mention: str) -> str:
 
 
 class Stream:
-    """Keyed choices for one entity and draw."""
+    """Keyed choices for one entity and draw; ``draw`` tells how far a surrogate has to grow."""
 
     def __init__(self, key: bytes, kind: str, entity: str, draw: int):
+        self.draw = draw
         self.seed, self.count, self.data = (key, f"{kind}\0{entity}\0{draw}".encode("utf-8", "surrogatepass")), 0, b""
 
     def below(self, n: int) -> int:
@@ -82,38 +87,50 @@ def _email(s: Stream, entity: str) -> str:
     local, _, domain = entity.rpartition("@")
     labels = domain.split(".")
     tail = labels[-1] if labels[-1] in ("com", "net", "org") else "com"
-    return shaped(s, local) + "@" + ".".join([*[shaped(s, x) for x in labels[:-2]], "example", tail])
+    # a longer label with every draw, so that short local parts never run out
+    own = ["".join(s.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(min(s.draw, 60)))] if s.draw else []
+    return shaped(s, local) + "@" + ".".join([*[shaped(s, x) for x in labels[:-2]], *own, "example", tail])
+
+
+def _secret(s: Stream, entity: str) -> str:
+    return shaped(s, entity) + "".join(s.pick("abcdef0123456789") for _ in range(s.draw))
+
+
+def _more(s: Stream) -> str:
+    return "".join(s.pick("0123456789") for _ in range(s.draw - 2 * WIDER + 1))
 
 
 def _phone(s: Stream, entity: str) -> str:
     if entity[0] == "+":
         return _dialled(s, entity)
     country, rest = entity[:-10], entity[-10:]
-    middle = "555" if rest[3:6] == "555" else s.pick("23456789") + s.pick("0123456789") + s.pick("0123456789")
-    return country + s.pick("23456789") + s.pick("0123456789") + s.pick("0123456789") + middle + "".join(s.pick("0123456789") for _ in rest[6:])
+    middle = "555" if rest[3:6] == "555" and s.draw < WIDER else s.pick("23456789") + s.pick("0123456789") + s.pick("0123456789")
+    return country + s.pick("23456789") + s.pick("0123456789") + s.pick("0123456789") + middle + "".join(s.pick("0123456789") for _ in rest[6:]) + _more(s)
 
 
 def _dialled(s: Stream, entity: str) -> str:
-    return entity[1:3] + "".join(s.pick("0123456789") for _ in entity[3:])
+    return entity[1:3] + "".join(s.pick("0123456789") for _ in entity[3:]) + _more(s)
 
 
 def _card(s: Stream, entity: str) -> str:
-    body = entity[0] + "".join(s.pick("0123456789") for _ in entity[1:-1])
+    body = entity[0] + "".join(s.pick("0123456789") for _ in entity[1:-1]) + _more(s)
     return body + (next(d for d in "0123456789" if luhn(body + d)) if luhn(entity) else s.pick("0123456789"))
 
 
 def _ssn(s: Stream, entity: str) -> str:
-    return "".join(s.pick("0123456789") for _ in entity)
+    return "".join(s.pick("0123456789") for _ in entity) + _more(s)
 
 
 def _ip(s: Stream, entity: str) -> str:
     first = entity.split(".")[0]
-    head = first if first in ("10", "127", "192", "172") else str(11 + s.below(115))
+    if s.draw >= 2 * WIDER:  # no address any more
+        return ".".join(str(256 + s.below(744)) for _ in range(4))
+    head = first if first in ("10", "127", "192", "172") and s.draw < WIDER else str(11 + s.below(115))
     return ".".join([head, *[str(s.below(256)) for _ in range(2)], str(1 + s.below(254))])
 
 
 def _iban(s: Stream, entity: str) -> str:
-    body = shaped(s, entity[4:])
+    body = shaped(s, entity[4:]) + _more(s)
     number = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
     return f"{entity[:2]}{98 - number % 97:02d}{body}"
 
@@ -158,8 +175,8 @@ def _iban_valid(text: str) -> bool:
 KINDS = (
     Kind("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"), str.lower, _email, hint="@"),
     Kind("access_key", re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"), _same, _access_key, hint="IA"),
-    Kind("password", re.compile(r"(?i)\b(?:password|passwd|pwd|secret)\s?[=:]\s?[\"']?([^\s\"']{6,})"), _same, shaped),
-    Kind("token", re.compile(r"(?i)\b(?:token|api[_-]?key|access[_-]?token|bearer)\s?[=:]?\s?[\"']([^\s\"']{12,})[\"']"), _same, shaped),
+    Kind("password", re.compile(r"(?i)\b(?:password|passwd|pwd|secret)\s?[=:]\s?[\"']?([^\s\"']{6,})"), _same, _secret),
+    Kind("token", re.compile(r"(?i)\b(?:token|api[_-]?key|access[_-]?token|bearer)\s?[=:]?\s?[\"']([^\s\"']{12,})[\"']"), _same, _secret),
     Kind("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Z0-9])"), _same, _iban, _iban_valid),
     Kind("card", re.compile(r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"), _bare, _card, lambda m: luhn(_bare(m)), digits_only=True),
     Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"), _bare, _phone, digits_only=True),
@@ -189,22 +206,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
 
 def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     """Surrogate normal form of an entity's normal form; never the entity itself."""
-    while True:
-        s = Stream(key, kind, entity, draw)
-        s.draw = draw
+    for again in itertools.count():
+        s = Stream(key, kind, entity, draw + again * 1_000_000)  # of a sequence that no collision reaches
+        s.draw = draw + again
         found = _BY_NAME[kind].surrogate(s, entity)
         if found != entity:
             return found
-        draw += 1_000_000  # of a sequence that no collision reaches
-        if kind == "name":
-            draw = draw % 1_000_000 + 1
 
 
 def in_format(kind: str, mention: str, found: str) -> str:
     """A surrogate's normal form written as the mention is."""
     if _BY_NAME[kind].digits_only:
         digits = iter(found)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     return found.upper() if kind == "email" and mention.isupper() else found
 
 

@@ -116,6 +116,24 @@ def test_surrogates_stay_distinct(spark):
     assert max(r.draw for r in found) > 0
 
 
+def test_surrogates_never_run_out(spark):
+    """More entities of one format than it has surrogates."""
+    names = [("email", f"{a}@{b}{c}.com") for a in "abcdefghij_" for b in "abcdefgh" for c in "xyz"] + [("password", f"{a}*****") for a in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"]
+    found = surrogates.assign(spark.createDataFrame(names, "kind string, entity string"), b"k").collect()
+    assert {(r.kind, r.entity) for r in found} == set(names) and len({(r.kind, r.surrogate) for r in found}) == len(names)
+    assert not {(r.kind, r.surrogate) for r in found} & set(names)
+    docs = spark.createDataFrame([(i, f"to {e}, please") for i, (_, e) in enumerate(n for n in names if n[0] == "email")], "doc_id long, text string")
+    out = surrogates.replace_pii(docs, b"k").collect()
+    assert len({r.text for r in out}) == docs.count() and all(surrogates.detect(r.text) for r in out)
+
+
+@pytest.mark.parametrize("mention", ["+49 12 3456", "988-555-2485", "123-45-6789", "10.1.2.3", "4041894974608795", "DE89370400440532013000"])
+def test_surrogates_grow(mention):
+    _, _, kind, entity = surrogates.detect(mention)[0]
+    sizes = [len(surrogates.in_format(kind, mention, surrogates.surrogate(b"k", kind, entity, d))) for d in (0, 40)]
+    assert sizes[1] > sizes[0]
+
+
 def test_hnsw_recall():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(300, 24))
