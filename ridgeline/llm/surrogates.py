@@ -13,7 +13,6 @@ they are few (checked), else by a join with the documents that mention them.
 from __future__ import annotations
 
 import hmac
-import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,6 +40,8 @@ TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m",
 _GENDER = {name: (script, gender) for (script, gender), names in FIRST.items() for name in names}
 #: Draws from which numbers leave their range, and twice as many from which they have more digits.
 WIDER = 8
+#: Drawn for a secret without letters and digits, as a mask is.
+_MARKS = "!#$%&*+-.:=?@^_~"
 _CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
 
 
@@ -93,7 +94,8 @@ def _email(s: Stream, entity: str) -> str:
 
 
 def _secret(s: Stream, entity: str) -> str:
-    return shaped(s, entity) + "".join(s.pick("abcdef0123456789") for _ in range(s.draw))
+    own = shaped(s, entity) if any(c.isalpha() or c.isdigit() for c in entity) else "".join(s.pick(_MARKS) for _ in entity)
+    return own + "".join(s.pick("abcdef0123456789") for _ in range(s.draw))
 
 
 def _more(s: Stream) -> str:
@@ -206,12 +208,13 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
 
 def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     """Surrogate normal form of an entity's normal form; never the entity itself."""
-    for again in itertools.count():
+    for again in range(100):
         s = Stream(key, kind, entity, draw + again * 1_000_000)  # of a sequence that no collision reaches
         s.draw = draw + again
         found = _BY_NAME[kind].surrogate(s, entity)
         if found != entity:
             return found
+    raise ValueError(f"no surrogate for an entity of kind {kind}")
 
 
 def in_format(kind: str, mention: str, found: str) -> str:

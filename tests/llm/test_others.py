@@ -134,6 +134,14 @@ def test_surrogates_grow(mention):
     assert sizes[1] > sizes[0]
 
 
+def test_masked_secrets(spark):
+    texts = ["password: ********", "secret=------", 'api_key = "************"', "pwd=••••••••", "write to _@example.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in surrogates.replace_pii(docs, b"k").collect():
+        (_, _, _, old), (e,) = surrogates.detect(texts[r.doc_id])[0], r.entities
+        assert r.text[e.start : e.end] == e.surrogate != old and r.text == texts[r.doc_id].replace(old, e.surrogate)
+
+
 def test_hnsw_recall():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(300, 24))
