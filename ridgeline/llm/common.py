@@ -41,6 +41,11 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return session(df).read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, what: str) -> DataFrame:
+    """The table with a unique number for each row, in the shared folder: written once, the numbers stay as they are."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), what)
+
+
 def columns_free_of(df: DataFrame, *names: str) -> list[str]:
     """Fresh column names that clash with none of the table's, in the order asked."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -10,12 +10,13 @@ located spans merged per document.
 
 The phrases are the windows of ``window`` words of every item, or all words of a shorter item. They
 reach the tasks by broadcast in blocks of at most ``block_windows`` windows; a larger benchmark
-takes more passes over the documents, not more memory.
+takes more passes over the documents, which are numbered and written once for that, not more memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import small_batches, staged
+from ridgeline.llm.common import numbered, small_batches, staged
 
 #: A-Z to lower case; all other ASCII but digits and a-z to blanks. Bytes over 0x7F belong to words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -189,19 +190,19 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def _search(block_of, item_type: pa.DataType, opts: Search):
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(item_type))])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(item_type))])
 
-    def flush(ids: list, counts: list, shard: list, block: _Phrases) -> pa.RecordBatch:
+    def flush(ids: list, rows: list, counts: list, shard: list, block: _Phrases) -> pa.RecordBatch:
         hits = _hits(shard, block, opts.sample) if shard else {}
         spans = [merged(*hits[i][:2]) if i in hits else [] for i in range(len(ids))]
-        items = [sorted(hits[i][2]) if i in hits else [] for i in range(len(ids))]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(item_type))], schema=schema)
+        items = [sorted(hits[i][2], key=lambda x: (x is None, x)) if i in hits else [] for i in range(len(ids))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(counts, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(item_type))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, counts, shard, held = block_of(), [], [], [], 0
+        block, ids, rows, counts, shard, held = block_of(), [], [], [], [], 0
         get = block.symbol.get
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = words(text)
                 s = np.fromiter(map(get, w, [1] * len(w)), np.int64, len(w))
                 cut = np.flatnonzero(np.concatenate([[True], s == 1, [True]]))  # runs between these
@@ -212,18 +213,19 @@ def _search(block_of, item_type: pa.DataType, opts: Search):
                     shard.append((symbols, np.concatenate([np.append(p, -1) for p in parts]), len(ids)))
                     held += len(symbols)
                 ids.append(i)
+                rows.append(row)
                 counts.append(len(w))
                 if held >= opts.shard_words or len(ids) >= 200_000:
-                    yield flush(ids, counts, shard, block)
-                    ids, counts, shard, held = [], [], [], 0
+                    yield flush(ids, rows, counts, shard, block)
+                    ids, rows, counts, shard, held = [], [], [], [], 0
         if ids:
-            yield flush(ids, counts, shard, block)
+            yield flush(ids, rows, counts, shard, block)
 
     return run
 
 
 def _blocks(items: DataFrame, opts: Search) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded numbers of windows; only one block is held at a time by the caller."""
+    """The items in blocks of bounded numbers of windows; the caller holds no more than two at a time."""
     block, size = [], 0
     for item, text in items.toLocalIterator(prefetchPartitions=False):
         n = max(1, len(words(text)) - opts.window + 1)
@@ -239,18 +241,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """Per row of docs: id, n_words, spans (merged, by word position, end exclusive) and the items with occurring windows.
 
     A word is a run of letters, digits and non-ASCII characters, A-Z lowered. A null text has no words;
-    an item without words has no window. Items of equal ids count once. Rows of equal ids are each
-    judged when the whole benchmark fits one block; beyond it the id must name one text. Tables may be empty.
+    an item without words has no window. Items of equal ids count once, and so do all items without one
+    (as a null). Rows of equal or null ids are each judged by their own text. Tables may be empty.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     item_type = pa.string() if dict(items.dtypes)[item_col] == "string" else pa.int64()
     kind = "string" if item_type == pa.string() else "long"
-    schema = f"id long, n_words long, starts array<long>, ends array<long>, items array<{kind}>"
+    schema = f"id long, row long, n_words long, starts array<long>, ends array<long>, items array<{kind}>"
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast(kind).alias("item"), F.col(item_text).alias("text"))
+    wanted = items.select(F.col(item_col).cast(kind).alias("item"), F.col(item_text).alias("text"))
     done: DataFrame | None = None
-    for n, block in enumerate(_blocks(wanted, opts)):
+    blocks = _blocks(wanted, opts)
+    ahead = list(itertools.islice(blocks, 2))
+    texts = numbered(texts, "row", "texts") if len(ahead) > 1 else texts.withColumn("row", F.lit(None).cast("long"))
+    texts = texts.select("id", "row", "text")
+    for n, block in enumerate(itertools.chain(ahead, blocks)):
         shared = spark.sparkContext.broadcast([(i, t) for i, t in block])
 
         def block_of(shared=shared) -> _Phrases:
@@ -261,7 +267,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             done = found
         else:
             done = staged(done.unionByName(found), f"blocks-{n}")
-            done = done.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            done = done.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select(found.columns)
     starts_ends = F.array_sort(F.arrays_zip("starts", "ends"))
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     spans = F.aggregate(

@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from ridgeline.llm.bpe import Bpe, digests, encode_decode, pieces
-from ridgeline.llm.decontaminate import FMIndex, contamination, report, without_spans
+from ridgeline.llm.decontaminate import FMIndex, Search, contamination, report, without_spans
 from ridgeline.llm.ngram_join import Rule, ngram_jaccard_join
 from ridgeline.llm.shuffle_shards import communication_matrix, permuted, shuffle_into_shards
 from ridgeline.llm.token_files import PerfectHash, Shard, read_documents, shard_bytes, write_shards
@@ -133,6 +133,21 @@ def test_contamination(spark, docs, rows):
         assert low(left) == [w for p, w in enumerate(low(text)) if p not in gone]
 
 
+def test_contamination_in_blocks(spark, docs):
+    """As many blocks as items; repeated and null ids stand in documents, null ids also in the benchmark."""
+    rng = random.Random(4)
+    base = words(rng, 120)
+    items = [(2, " ".join(base.split()[10:40])), (10, "one TWO"), (10, "two"), (13, "日本語 ½ Ⅷ"), (None, " ".join(base.split()[60:75])), (None, "three")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: sorted(map(repr, t.collect()))
+    whole = contamination(docs, items)
+    parts = contamination(docs, items, opts=Search(block_windows=1))
+    assert plain(parts) == plain(whole) and plain(report(parts)) == plain(report(whole)) and whole.count() == docs.count()
+    by_null = report(contamination(docs, items.where("item_id IS NULL")))
+    assert {r.doc_id for r in by_null.where("n_hit > 0").collect()} >= {6, 9, None}
+    assert {r.n_items for r in by_null.where("n_hit > 0").collect()} == {1}
+
+
 def test_contamination_empty(spark, docs, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert contamination(empty, items).count() == 0
