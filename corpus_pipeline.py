@@ -2,7 +2,8 @@
 
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a table, which is
 written as Parquet and read again as the next one's docs. All but the last keep the columns of
-documents. Row order means nothing. A row without a doc_id is kept by the filters: nothing links it.
+documents. Row order means nothing. Stages 2 and 3 decide by row, whatever doc_id it has: repeated and
+null ids are judged each by their own text. Labels need a doc_id.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import digests
-from ridgeline.llm.common import staged
+from ridgeline.llm.common import columns_free_of, numbered, staged
 from ridgeline.llm.decontaminate import contamination, without_spans
 from ridgeline.llm.ngram_join import Rule, ngram_jaccard_join
 from ridgeline.llm.queries import SURROGATE_KEY, table
@@ -28,24 +29,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays."""
-    groups = ngram_jaccard_join(docs, rule=Rule(n=5, num=80, den=100))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = staged(gone, "copies")  # its size is known then, and Spark broadcasts it only if it is small
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)
+    """Of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays, as one row.
+
+    A row without a doc_id stays only where its group has no other, and of equal ids one row does.
+    """
+    (row,) = columns_free_of(docs, "_row")
+    rows = numbered(docs, row, "rows")
+    groups = staged(ngram_jaccard_join(rows, id_col=row, rule=Rule(n=5, num=80, den=100)).select(F.col(row).alias("_id"), "component_id"), "groups")
+    others = groups.where("_id <> component_id")
+    members = staged(others.unionByName(others.select(F.col("component_id").alias("_id"), "component_id").distinct()), "members")
+    named = members.join(rows.select(F.col(row).alias("_id"), F.col("doc_id").alias("_doc")), "_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_id"))["_id"].alias("_id"))
+    # its size is known then, and Spark broadcasts it only if it is small
+    gone = staged(members.join(first, "_id", "left_anti").select(F.col("_id").alias("_gone")), "copies")
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside occurrences of benchmark windows are cut out; a document that has no other words goes."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0)
-    found = staged(found.select(F.col("doc_id").alias("_id"), "n_words", "spans").dropDuplicates(["_id"]), "spans")
+    (row,) = columns_free_of(docs, "_row")
+    rows = numbered(docs, row, "rows")
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row).where(F.size("spans") > 0)
+    found = staged(found.select(F.col(row).alias("_id"), "n_words", "spans"), "spans")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    rows = docs.join(found, docs["doc_id"] == F.col("_id"), "left").where(F.col("_id").isNull() | (hit < F.col("n_words")))
+    rows = rows.join(found, rows[row] == F.col("_id"), "left").where(F.col("_id").isNull() | (hit < F.col("n_words")))
     text = cut("text", "spans")
     n_chars = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("new_text").cast("long"))
     return rows.withColumn("new_text", text).withColumn("n_chars", n_chars).select(*[F.col("new_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

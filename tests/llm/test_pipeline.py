@@ -57,3 +57,23 @@ def test_stages(spark, tmp_path):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     ran = {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ran == {(i, r.ids_sha256) for i, r in seen[4].items()}
+
+
+def test_rows_of_repeated_and_null_ids(spark, tmp_path):
+    """Copies and passages in rows whose doc_id is null or names several texts."""
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nd", "rt", "st", "m")]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    base, other, lost, item, own = prose(200), prose(150), prose(120), prose(25), prose(30)
+    docs = [(1, base), (2, base), (2, other), (None, base), (None, base), (3, lost), (3, lost), (None, own), (None, own)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA).write.parquet(f"{tmp_path}/copies.parquet")
+    out = corpus_pipeline.one_of_each_group(spark, spark.read.parquet(f"{tmp_path}/copies.parquet"), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", base), ("2", other), ("3", lost), ("None", own)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = prose(40), prose(60), prose(5)
+    docs = [(1, f"{a} {item} {b}"), (1, c), (1, item), (1, prose(80)), (None, f"{b} {item}"), (None, item), (None, c)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA).write.parquet(f"{tmp_path}/passages.parquet")
+    out = corpus_pipeline.cut_benchmark_passages(spark, spark.read.parquet(f"{tmp_path}/passages.parquet"), str(tmp_path)).collect()
+    want = [("1", f"{a} {b}"), ("1", c), ("1", docs[3][1]), ("None", b), ("None", c)]
+    assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in out) == sorted(want)
+    assert all(r.n_chars == len(r.text) for r in out)
