@@ -146,21 +146,35 @@ class Encoder(PieceCoder):
     """A tokenizer file's ids for whole texts, by the tokenizers library.
 
     A text's pieces repeat; new ones are encoded side by side in long strings, as the pre-tokenizer
-    splits between them anyway, and parted again by the tokens' lengths in bytes.
+    splits between them anyway, and parted again by the tokens' lengths in bytes. Special tokens that
+    stand in a text are found as the library does by default; encode_special splits them like other text.
+    Texts with added tokens that may take or need what is beyond a piece are encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, encode_special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         names = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():  # a character of a byte-level token is a byte
             self.lengths[i] = len(name)
+        beyond = []
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.lengths[i] = len(token.content.encode("utf-8"))
+            if not (token.special and encode_special) and (token.lstrip or token.rstrip or token.single_word or token.normalized or re.search(r"\s", token.content)):
+                beyond.append(re.escape(token.content))
+        self.beyond = re.compile("|".join(beyond)).search if beyond else None
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        apart = {k for k, text in enumerate(texts) if self.beyond(text)} if self.beyond else ()
+        found = super().encode_many([text for k, text in enumerate(texts) if k not in apart])
+        for k, text in enumerate(texts):
+            yield self._ids([text])[0] if k in apart else next(found)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -180,9 +194,9 @@ class Encoder(PieceCoder):
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_of(vocabulary: str) -> Encoder:
+def encoder_of(vocabulary: str, encode_special: bool = False) -> Encoder:
     """Kept with its table for the next tasks of the same worker."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, encode_special)
 
 
 _MANIFEST = pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -192,11 +206,11 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder) if ":" in folder else "file://" + folder)
 
 
-def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int):
+def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int, encode_special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, encode_special)
         tail = np.array([] if end_id is None else [end_id], f"<u{encoder.width}")
         store, root = _store(folder)
         part, seq, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -223,12 +237,13 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int):
     return run
 
 
-def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, encode_special: bool = False) -> tuple[str, DataFrame]:
     """Encode every text and write the shards; returns their folder and the manifest, in shared storage.
 
     Manifest: path (name in the folder), first_key, last_key, n_docs, n_ids, first_id (ids of all
     shards before). A null text counts as empty, so that its document is the end id alone. A null id
     is kept under a key of its own, before all others. Documents of equal ids follow each other.
+    A special token's name in a text gives its id, unless encode_special says that it is text like other.
     An empty table writes no shard. The manifest has one row per shard_ids ids and is ranked by one task.
     """
     spark = docs.sparkSession
@@ -238,7 +253,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartitionByRange(parts, "key").sortWithinPartitions(F.col("key").asc_nulls_first())
     schema = "path string, part long, seq long, first_key long, last_key long, n_docs long, n_ids long"
-    rows = staged(texts.mapInArrow(_writer(folder, vocabulary, end_id, shard_ids), schema), "manifest")
+    rows = staged(texts.mapInArrow(_writer(folder, vocabulary, end_id, shard_ids, encode_special), schema), "manifest")
     before = Window.orderBy("first_key", "last_key", "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return folder, rows.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("part", "seq")
 

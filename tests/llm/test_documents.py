@@ -11,13 +11,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from ridgeline.llm.bpe import Bpe, digests, encode_decode, pieces
 from ridgeline.llm.decontaminate import FMIndex, Search, contamination, report, without_spans
 from ridgeline.llm.ngram_join import Rule, ngram_jaccard_join
 from ridgeline.llm.shuffle_shards import communication_matrix, permuted, shuffle_into_shards
-from ridgeline.llm.token_files import PerfectHash, Shard, read_documents, shard_bytes, write_shards
+from ridgeline.llm.token_files import Encoder, PerfectHash, Shard, read_documents, shard_bytes, write_shards
 
 RANKS, JSON = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, shard string, slot int, id int, spans string, entities int"
@@ -211,6 +211,26 @@ def test_token_files(spark, docs, rows, empty):
     assert read_documents(folder, manifest, docs).count() == 0
 
 
+def test_special_tokens_in_texts(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"x{end}y", f"a  {end}  b", f"\n {end}\n b", f"{end}{end} {end}", f" {end} a" * 40, "<|endo ftext|> <|end oftext|>", f"plain text <|endoftext {end}"]
+    plain, split = Tokenizer.from_file(JSON), Tokenizer.from_file(JSON)
+    split.encode_special_tokens = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tokenizer, options in ((plain, {}), (split, {"encode_special": True})):
+        folder, manifest = write_shards(docs, JSON, **options)
+        start, found = 0, {r.doc_id: r for r in read_documents(folder, manifest, docs).collect()}
+        for i, t in enumerate(texts):
+            ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+            assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+    plain.add_special_tokens([AddedToken("<é>", rstrip=True), AddedToken("<of us>"), AddedToken("<w>", single_word=True)])
+    plain.save(f"{tmp_path}/more.json")
+    texts += ["a <é>  b", "x <of us> y", "one<w> <w> two", "<é> <é>"]
+    for t, ids in zip(texts, Encoder(f"{tmp_path}/more.json").encode_many(texts), strict=True):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_perfect_hash():
     for n in (1, 2, 3, 50, 1000):
         keys = np.unique(np.random.default_rng(n).integers(-(10**15), 10**15, n))
