@@ -1,7 +1,7 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-The rows' origins are blocks of the input's files (file and row number), fixed however Spark splits
-the scan. How many rows each origin sends to each shard is drawn first, exactly, as a multivariate
+The rows' origins are blocks of the running row number through the input's files in order of their
+names (small files share an origin), fixed however Spark splits the scan. How many rows each origin sends to each shard is drawn first, exactly, as a multivariate
 hypergeometric matrix whose column sums are the shard sizes: counts at most one apart. Each origin
 permutes its rows locally and cuts the permutation by its row of the matrix; the rows are exchanged;
 each shard permutes again, by a keyed permutation of its slots (a Feistel network walked into the
@@ -121,14 +121,13 @@ def shuffle_into_shards(docs: DataFrame, opts: Shuffle = Shuffle(), scan: bool =
     files = rows.groupBy(origin).agg(F.max(place).alias("last"), F.count("*").alias("n")).orderBy(origin).toPandas()
     if (files["n"] != files["last"] + 1).any():
         raise ValueError("not a Parquet table as it was read; call with scan=False")
-    block = opts.origin_rows
-    while (files["last"] // block + 1).sum() > opts.max_origins:
+    sizes = files["n"].to_numpy(np.int64)
+    total, block = int(sizes.sum()), opts.origin_rows
+    while -(-total // block) > opts.max_origins:
         block *= 2
-    counts, first = [], {}
-    for name, last in zip(files[origin], files["last"].tolist(), strict=True):
-        first[name] = len(counts)
-        counts += [block] * (last // block) + [last % block + 1]
-    counts = np.array(counts, np.int64)
+    first = dict(zip(files[origin], (np.cumsum(sizes) - sizes).tolist(), strict=True))  # a file's first row
+    counts = np.full(-(-total // block), block, np.int64)
+    counts[-1:] -= len(counts) * block - total
     matrix = communication_matrix(counts, opts.shards, opts.seed)
     shared = spark.sparkContext.broadcast((first, counts, np.cumsum(matrix, axis=1), np.cumsum(matrix, axis=0) - matrix, matrix.sum(axis=0)))
 
@@ -137,8 +136,8 @@ def shuffle_into_shards(docs: DataFrame, opts: Shuffle = Shuffle(), scan: bool =
         first, counts, ends, before, sizes = shared.value
         kept: dict[int, np.ndarray] = {}
         for names, index in parts:
-            index = index.to_numpy()
-            numbers = names.map(first).to_numpy(np.int64) + index // block
+            index = index.to_numpy() + names.map(first).to_numpy(np.int64)
+            numbers = index // block
             to, at = np.zeros(len(index), np.int32), np.zeros(len(index), np.int64)
             for o in np.unique(numbers).tolist():
                 if o not in kept:

@@ -16,7 +16,7 @@ from tokenizers import AddedToken, Tokenizer
 from ridgeline.llm.bpe import Bpe, digests, encode_decode, pieces
 from ridgeline.llm.decontaminate import FMIndex, Search, contamination, report, without_spans
 from ridgeline.llm.ngram_join import Rule, ngram_jaccard_join
-from ridgeline.llm.shuffle_shards import communication_matrix, permuted, shuffle_into_shards
+from ridgeline.llm.shuffle_shards import Shuffle, communication_matrix, permuted, shuffle_into_shards
 from ridgeline.llm.token_files import Encoder, PerfectHash, Shard, read_documents, shard_bytes, write_shards
 
 RANKS, JSON = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
@@ -252,6 +252,21 @@ def test_shuffle(spark, docs, rows, empty):
     assert shuffle_into_shards(empty).count() == 0
 
 
+def test_shuffle_of_many_files(spark, tmp_path):
+    """More files than origins, one of them longer than an origin and one empty."""
+    path = f"{tmp_path}/many"
+    for lo, hi, files in ((0, 200, 12), (200, 260, 1), (260, 260, 1)):
+        spark.range(lo, hi).repartition(files).write.mode("append").parquet(path)
+    opts = Shuffle(shards=7, origin_rows=16, max_origins=4)
+    runs = []
+    for _ in range(2):
+        runs.append(sorted((r.shard, r.slot, r.id) for r in shuffle_into_shards(spark.read.parquet(path), opts, scan=True).collect()))
+    assert runs[0] == runs[1] and sorted(i for _, _, i in runs[0]) == list(range(260))
+    sizes = collections.Counter(s for s, _, _ in runs[0])
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 7
+    assert [(s, k) for s, k, _ in runs[0]] == [(s, k) for s in range(7) for k in range(sizes[s])]
+
+
 def test_communication_matrix():
     counts = np.array([10, 0, 1000, 3])
     m = communication_matrix(counts, 7, 1)
