@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ridgeline.functions.text import let
+
 #: Seconds between samples, samples kept, thresholds in m/s, seconds and degrees.
 STEP_S, PAST, FUTURE = 0.25, 16, 20
 STOPPED, START_MAX, EGO_CHANGE, STOPPED_CAP_S = 0.5, 1.0, 0.6, 4.0
@@ -157,10 +159,14 @@ def count_bucket(n: Column) -> Column:
 
 def displacement(pred: Column, truth: Column) -> Column:
     """Errors per sample; a short prediction goes on with its last point, a short truth ends it."""
-    held = F.try_element_at(pred, F.lit(-1))
-    padded = F.transform(F.sequence(F.lit(1), F.size(truth)), lambda i: F.coalesce(F.try_element_at(pred, i), held))
-    errors = F.zip_with(padded, truth, lambda p, t: F.hypot(p["x"] - t["x"], p["y"] - t["y"]))
-    return F.when((F.size(pred) > 0) & (F.size(truth) > 0), errors)
+
+
+    def errors(p: Column, t: Column) -> Column:
+        held = F.array_repeat(F.try_element_at(p, F.lit(-1)), F.greatest(F.size(t) - F.size(p), F.lit(0)))
+        steps = F.zip_with(F.slice(F.concat(p, held), F.lit(1), F.size(t)), t, lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))
+        return F.when((F.size(p) > 0) & (F.size(t) > 0), steps)
+
+    return let(pred, lambda p: let(truth, lambda t: errors(p, t)))
 
 
 def average_error(errors: Column, samples: int) -> Column:
@@ -189,17 +195,22 @@ def resample(pts: Column, seconds: Column, n: int = FUTURE) -> Column:
     """A path with one point every ``seconds``, linearly resampled to n samples; the origin is added
     before and the end held; an empty path becomes zeros."""
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    path = F.concat(F.array(zero), pts)
-
-    def at(k: Column) -> Column:
-        place = k * STEP_S / seconds
-        low = F.floor(place).cast("int")
-        a = F.coalesce(F.try_element_at(path, low + 1), F.try_element_at(path, F.lit(-1)))
-        b = F.coalesce(F.try_element_at(path, low + 2), F.try_element_at(path, F.lit(-1)))
-        part = place - low
+
+    def at(path: Column, place: Column) -> Column:
+        """Where a path is after so many of its steps."""
+        low = F.least(F.floor(place).cast("int"), F.size(path) - 1)
+        a, b = F.get(path, low), F.get(path, F.least(low + 1, F.size(path) - 1))
+        part = F.least(place - low, F.lit(1.0))
         return F.struct((a["x"] + (b["x"] - a["x"]) * part).alias("x"), (a["y"] + (b["y"] - a["y"]) * part).alias("y"))
 
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), at)
+    places = lambda path: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: at(path, k * STEP_S / seconds))
+    return let(F.concat(F.array(zero), pts), places)
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of the first one, two, three… values."""
+    add = lambda sums, x: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)) + x)
+    return F.aggregate(values, F.array().cast("array<double>"), add)
 
 
 def waypoint_weights(pts: Column, reference: Column) -> Column:
@@ -207,10 +218,36 @@ def waypoint_weights(pts: Column, reference: Column) -> Column:
     return F.zip_with(pts, reference, lambda a, b: F.lit(3.0) * F.greatest(F.lit(1.0), F.least(F.lit(3.0), 1 + F.hypot(a["x"] - b["x"], a["y"] - b["y"]) / 2)))
 
 
-def is_progression(values: Column, within: float = 1e-3) -> Column:
-    """Whether the steps of a series are all equal; three values at least."""
-    steps = F.zip_with(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), lambda b, a: b - a)
-    return (F.size(values) >= 3) & F.forall(steps, lambda s: F.abs(s - F.get(steps, F.lit(0))) <= within)
+#: Fixed values in metres, and metres a second: equal steps, varying truth, flat speed.
+EQUAL_STEP, VARYING_STEP, FLAT_SPEED = 0.05, 0.5, 0.5
+
+
+def is_progression(pts: Column, within: float = EQUAL_STEP) -> Column:
+    """Whether a path goes on by one and the same real step on both axes, from the origin on; two points at least."""
+    origin = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    moved = lambda p: F.zip_with(p, F.slice(F.concat(origin, p), F.lit(1), F.size(p)), lambda b, a: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+
+    def even(steps: Column) -> Column:
+        first = F.get(steps, F.lit(0))
+        same = F.forall(steps, lambda s: (F.abs(s["x"] - first["x"]) <= within) & (F.abs(s["y"] - first["y"]) <= within))
+        return (F.size(steps) >= 2) & (F.hypot(first["x"], first["y"]) >= within) & same
+
+    return F.coalesce(let(let(pts, moved), even), F.lit(False))
+
+
+def spread_of_steps(pts: Column) -> Column:
+    """Largest less smallest step length, the first one from the origin."""
+    return let(step_lengths(pts), lambda d: F.array_max(d) - F.array_min(d))
+
+
+def varies(truth: Column, more: float = VARYING_STEP) -> Column:
+    """Whether the steps of a 4 Hz path between full seconds differ by more than half a metre; false without a full path."""
+    return F.coalesce(spread_of_steps(points_1hz(truth)) > more, F.lit(False))
+
+
+def is_flat(pts: Column, less: float = FLAT_SPEED) -> Column:
+    """Whether a path of one point a second keeps its speed, and moves."""
+    return F.coalesce(let(step_lengths(pts), lambda d: (F.array_max(d) - F.array_min(d) < less) & (F.array_max(d) >= STOPPED)), F.lit(False))
 
 
 def smallest_forward_step(pts: Column) -> Column:

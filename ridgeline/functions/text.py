@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm_plan(plan: Column) -> Column:
     """Lower case, underscores and line ends as blanks, blanks collapsed, outer blanks and dots gone."""
     text = F.lower(F.coalesce(plan, F.lit("")))
@@ -28,15 +35,19 @@ def plan_first(plan: Column) -> Column:
 
 def tag(text: Column, name: str) -> Column:
     """Trimmed content of the first <name>…</name>, NULL without one."""
-    return F.when(F.regexp_like(text, F.lit(rf"(?s)<{name}>.*?</{name}>")), F.trim(F.regexp_extract(text, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1)))
+    return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?s)<{name}>\s*(.*?)\s*</{name}>"), F.lit(1)), F.lit(1)))
 
 
 def key_values(text: Column, separator: str = r"\|") -> Column:
     """map of ``k=v`` entries: keys lowered and trimmed, entries without ``=`` ignored, the last of equal keys wins."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda p: p.contains("="))
-    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    none = F.create_map().cast("map<string,string>")
+
+    def put(found: Column, part: Column) -> Column:
+        key, value = F.lower(F.trim(F.substring_index(part, "=", 1))), F.trim(F.substring(part, F.instr(part, "=") + 1, F.length(part)))
+        return F.map_concat(F.map_filter(found, lambda k, v: k != key), F.create_map(key, value))
+
+    return F.aggregate(parts, none, put)
 
 
 def motion_lon(word: Column) -> Column:
@@ -110,12 +121,10 @@ def parse_objects(text: Column) -> Column:
     """Closed <obj> blocks in order: type, point, rank and attribute fields."""
     types, bodies = (F.regexp_extract_all(text, F.lit(OBJECT), F.lit(g)) for g in (1, 2))
 
-    def number(body: Column, g: int) -> Column:
-        return F.nullif(F.regexp_extract(body, POINT, g), F.lit("")).cast("double")
-
     def one(kind: Column, body: Column) -> Column:
         fields = [tag(body, f).alias(f) for f in ("location", "intention", "state", "content", "implication")]
-        point = F.when(F.regexp_like(body, F.lit(POINT)), F.struct(number(body, 1).alias("x"), number(body, 2).alias("y")))
+        xy = [F.nullif(F.regexp_extract(body, POINT, g), F.lit("")).cast("double").alias(n) for g, n in ((1, "x"), (2, "y"))]
+        point = F.when(xy[0].isNotNull(), F.struct(*xy))
         rank = F.nullif(F.regexp_extract(body, r"<rank>\s*(\d+)\s*</rank>", 1), F.lit("")).cast("int")
         return F.struct(F.trim(kind).alias("type"), point.alias("point"), rank.alias("rank"), *fields)
 
@@ -123,32 +132,60 @@ def parse_objects(text: Column) -> Column:
 
 
 def parse_answer(text: Column) -> Column:
-    """One answer as a struct; absent parts are NULL, absent lists empty."""
-    t = F.coalesce(text, F.lit(""))
-    ego, motion = key_values(tag(t, "ego_state")), key_values(tag(t, "motion"))
-    events = tag(t, "events")
-    listed = F.filter(F.transform(F.split(events, ","), F.trim), lambda e: e != "")
+    """One answer as a struct; absent parts are NULL, absent lists empty. Every part is read once, whatever the text's expression costs."""
+    return let(F.coalesce(text, F.lit("")), _read_answer)
+
+
+def _read_answer(t: Column) -> Column:
     none = F.array().cast("array<string>")
-    objects = parse_objects(t)
-    lon = F.try_element_at(ego, F.lit("lon"))
-    m_lon, m_lat = F.try_element_at(motion, F.lit("lon")), F.try_element_at(motion, F.lit("lat"))
-    has_motion = tag(t, "motion").isNotNull()
-    return F.struct(
-        F.when(tag(t, "ego_state").isNotNull(), F.struct(lon.alias("lon"), F.try_element_at(ego, F.lit("lat")).alias("lat"), ego_word(lon).alias("lon_class"))).alias("ego_state"),
+    item = lambda m, k: F.try_element_at(m, F.lit(k))
+
+    def ego(state: Column) -> Column:
+        fields = lambda m: F.struct(item(m, "lon").alias("lon"), item(m, "lat").alias("lat"), ego_word(item(m, "lon")).alias("lon_class"))
+        return F.when(state.isNotNull(), let(key_values(state), fields))
+
+    def events(said: Column) -> Column:
+        listed = F.filter(F.transform(F.split(said, ","), F.trim), lambda e: e != "")
+        return F.when(said.isNull() | F.lower(said).isin("", "none"), none).otherwise(listed)
+
+    def motion(said: Column) -> Column:
+        both = lambda m: F.struct(F.struct(motion_lon(item(m, "lon")).alias("lon"), motion_lat(item(m, "lat")).alias("lat")).alias("read"), F.struct(item(m, "lon").alias("lon"), item(m, "lat").alias("lat")).alias("raw"))
+        return F.when(said.isNotNull(), let(key_values(said), both))
+
+    def assemble(parts: Column) -> Column:
+        objects, pairs = parts["objects"], parts["pairs"]
+        return F.struct(
+            parts["ego"].alias("ego_state"),
+            parts["context"].alias("context"),
+            parts["events"].alias("events"),
+            F.when(parts["has"] == "yes", True).when(parts["has"] == "no", False).alias("has_objects"),
+            parts["n"].alias("n_objects"),
+            objects.alias("objects"),
+            F.greatest(F.lit(0), parts["opened"] - F.size(objects)).alias("n_unclosed_obj"),
+            parts["reason"].alias("reason"),
+            parts["plan"].alias("final_plan"),
+            parts["motion"]["read"].alias("motion"),
+            parts["motion"]["raw"].alias("motion_raw"),
+            F.when(F.size(pairs) >= 5, F.slice(pairs, 1, 5)).alias("traj"),
+            F.coalesce(F.size(pairs), F.lit(0)).alias("traj_n_points"),
+            parts["closed"].alias("traj_closed"),
+        )
+
+    parts = F.struct(
+        let(tag(t, "ego_state"), ego).alias("ego"),
         key_values(tag(t, "context"), ";").alias("context"),
-        F.when(events.isNull() | F.lower(events).isin("", "none"), none).otherwise(listed).alias("events"),
-        F.when(F.regexp_like(t, F.lit(r"(?i)<has_objects>\s*yes")), True).when(F.regexp_like(t, F.lit(r"(?i)<has_objects>\s*no")), False).alias("has_objects"),
-        F.nullif(F.regexp_extract(t, r"<n_objects>\s*(\d+)", 1), F.lit("")).cast("int").alias("n_objects"),
-        objects.alias("objects"),
-        F.greatest(F.lit(0), F.regexp_count(t, F.lit(r"<obj\s+type=")) - F.size(objects)).alias("n_unclosed_obj"),
+        let(tag(t, "events"), events).alias("events"),
+        F.lower(F.regexp_extract(t, r"(?i)<has_objects>\s*(yes|no)", 1)).alias("has"),
+        F.nullif(F.regexp_extract(t, r"<n_objects>\s*(\d+)", 1), F.lit("")).cast("int").alias("n"),
+        parse_objects(t).alias("objects"),
+        F.regexp_count(t, F.lit(r"<obj\s+type=")).alias("opened"),
         tag(t, "reason").alias("reason"),
-        tag(t, "final_plan").alias("final_plan"),
-        F.when(has_motion, F.struct(motion_lon(m_lon).alias("lon"), motion_lat(m_lat).alias("lat"))).alias("motion"),
-        F.when(has_motion, F.struct(m_lon.alias("lon"), m_lat.alias("lat"))).alias("motion_raw"),
-        parse_trajectory(t).alias("traj"),
-        F.coalesce(F.size(bracket_pairs(trajectory_text(t))), F.lit(0)).alias("traj_n_points"),
-        (t.contains("<traj>") & t.contains("</traj>")).alias("traj_closed"),
+        tag(t, "final_plan").alias("plan"),
+        let(tag(t, "motion"), motion).alias("motion"),
+        bracket_pairs(trajectory_text(t)).alias("pairs"),
+        (t.contains("<traj>") & t.contains("</traj>")).alias("closed"),
     )
+    return let(parts, assemble)
 
 
 def canonical(value: Column) -> Column:
@@ -156,10 +193,15 @@ def canonical(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"\s+", " "))
 
 
-def loosely_equal(a: Column, b: Column) -> Column:
-    """Equal, or one within the other; an empty text is within every other."""
-    x, y = canonical(a), canonical(b)
-    return (x == y) | x.contains(y) | y.contains(x)
+def loosely_equal(found: Column, truth: Column) -> Column:
+    """Equal, or one within the other, by canonical texts; an empty text is within every other. False where either is missing."""
+    both = lambda x, y: (x == y) | x.contains(y) | y.contains(x)
+    return F.coalesce(let(canonical(found), lambda x: let(canonical(truth), lambda y: both(x, y))) & found.isNotNull() & truth.isNotNull(), F.lit(False))
+
+
+def loosely_any(found: Column, truths: Column) -> Column:
+    """Whether a text is loosely equal to any of a list."""
+    return F.coalesce(F.exists(truths, lambda t: loosely_equal(found, t)), F.lit(False))
 
 
 #: Fixed patterns, first match wins.

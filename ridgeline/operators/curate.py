@@ -37,8 +37,8 @@ def valid_frames(df: DataFrame, past: str = "past_states", future: str = "future
 
 def truth_grid(pts: Column, padded: bool = False) -> Column:
     """20 samples, or NULL if there are fewer; padded: the last one is held."""
-    held = F.transform(F.sequence(F.lit(1), F.lit(motion.FUTURE)), lambda i: F.coalesce(F.try_element_at(pts, i), F.try_element_at(pts, F.lit(-1))))
-    return F.when(F.size(pts) > 0, held) if padded else F.when(F.size(pts) >= motion.FUTURE, F.slice(pts, 1, motion.FUTURE))
+    held = lambda p: F.slice(F.concat(p, F.array_repeat(F.try_element_at(p, F.lit(-1)), motion.FUTURE)), 1, motion.FUTURE)
+    return F.when(F.size(pts) > 0, text.let(pts, held)) if padded else F.when(F.size(pts) >= motion.FUTURE, F.slice(pts, 1, motion.FUTURE))
 
 
 def current_speed(vel_x: Column, vel_y: Column, pos_x: Column, pos_y: Column, fallback: str = "positions") -> Column:

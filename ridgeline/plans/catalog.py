@@ -212,7 +212,7 @@ SELECT scene_id, frame_no, round(list_avg(err[1:4]), 9) AS ade1, round(list_avg(
 def displacement_errors(spark, sf_dir):
     s = series(spark, sf_dir)
     zero = F.lit(0.0)
-    travelled = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct((F.aggregate(F.slice("future", F.lit(1), i), zero, lambda a, x: a + x) * 0.25).alias("x"), zero.alias("y")))
+    travelled = F.transform(motion.running_sums(F.col("future")), lambda d: F.struct((d * 0.25).alias("x"), zero.alias("y")))
     rows = s.withColumn("err", motion.displacement(motion.constant_velocity(F.col("v0"), zero), travelled))
     e = F.col("err")
     ade5 = motion.average_error(e, 20)
@@ -573,8 +573,7 @@ def _paths(spark, sf_dir):
     """Paths of 20 samples that bend with the scene's number."""
     s = series(spark, sf_dir)
     bend = (F.col("scene_id") % 7 - 3) / 20.0
-    at = lambda i: F.aggregate(F.slice("future", F.lit(1), i), F.lit(0.0), lambda a, x: a + x) * 0.25
-    pts = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct((at(i) * F.cos(bend * i)).alias("x"), (at(i) * F.sin(bend * i)).alias("y")))
+    pts = F.transform(motion.running_sums(F.col("future")), lambda d, i: F.struct((d * 0.25 * F.cos(bend * (i + 1))).alias("x"), (d * 0.25 * F.sin(bend * (i + 1))).alias("y")))
     return s.withColumn("truth", pts)
 
 
