@@ -1,12 +1,14 @@
 """Plan sentences: classification, taxonomy, consistency with motion, rewriting.
 
 Few sentences are distinct, so the pattern work runs once per distinct (sentence, moving) pair in a
-vectorised function and is joined back; everything after it is column expressions.
+vectorised function, after the masks (column expressions), and is joined back; so is all after it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,61 +19,65 @@ from ridgeline.functions.motion import STOPPED
 from ridgeline.functions.text import norm_plan, plan_first
 
 LON = ("accelerate", "decelerate", "keep", "stop")
-_MASKS = {"object": [re.compile(p) for p in words.OBJECT_MASKS], "clause": [re.compile(p) for p in words.CLAUSE_MASKS]}
 _TABLES = [(name, [(label, re.compile(p)) for label, p in table]) for name, table in (("strong", words.STRONG), ("weak", words.WEAK), ("fallback", words.FALLBACK))]
 _TURN = re.compile(words.TURN)
 _NOTES = [(label, re.compile(p)) for label, p in words.NOTES]
-_BLANKS = re.compile(r"\s+")
+#: Words that join two actions.
+_JOIN = r"(?:and|to|then|while)"
+
+
+def masked(text: Column, masks: Iterable[str]) -> Column:
+    """The text with a blank for whatever a mask matches, mask after mask, blanks collapsed."""
+    return F.trim(F.regexp_replace(reduce(lambda c, p: F.regexp_replace(c, p, " "), masks, text), r"\s+", " "))
+
+
+def spans(table: list[tuple[str, re.Pattern]], text: str) -> list[tuple[int, int, str]]:
+    """(start, end, label) from left to right: at each place the longest match, each one after the end of that before."""
+    longest: dict[int, tuple[int, str]] = {}
+    for label, pattern in table:
+        for m in pattern.finditer(text):
+            if m.end() > longest.get(m.start(), (m.start(), ""))[0]:
+                longest[m.start()] = m.end(), label
+    out, free = [], 0
+    while (start := min((k for k in longest if k >= free), default=None)) is not None:
+        free, label = longest[start]
+        out.append((start, free, label))
+    return out
 
 
-def masked(text: str, masks: list[re.Pattern]) -> str:
-    for mask in masks:
-        text = mask.sub(" ", text)
-    return _BLANKS.sub(" ", text).strip()
+def phrase_of(text: str) -> tuple[str, str, str] | None:
+    """(table, label, phrase) that decides a masked step: the last one of the first table that has any."""
+    return next(((name, found[-1][2], text[found[-1][0] : found[-1][1]]) for name, table in _TABLES if (found := spans(table, text))), None)
 
 
-def matches(table: list[tuple[str, re.Pattern]], text: str) -> list[tuple[int, int, str]]:
-    """(start, end, label) of matches that don't overlap; the earliest start wins, then the longest."""
-    out: list[tuple[int, int, str]] = []
-    for start, end, label in sorted(((m.start(), m.end(), label) for label, p in table for m in p.finditer(text)), key=lambda h: (h[0], -h[1])):
-        if not out or start >= out[-1][1]:
-            out.append((start, end, label))
-    return out
+_READ = "struct<lon:string,lat:string,notes:array<string>,matched_by:string,side:string>"
 
 
-def read_plan(first: str, moving: bool) -> tuple[str, str | None, list[str], str, str | None]:
-    """(lon, lat, notes, matched_by, side) of a plan's first step."""
-    own = masked(first, _MASKS["object"])
-    rest = masked(own, _MASKS["clause"])
-    turn = _TURN.search(own)
+def read_step(own: str, rest: str, moving: bool) -> tuple[str, str | None, list[str], str, str | None]:
+    """(lon, lat, notes, matched_by, side) of a step without object nouns (own), and without clauses, too (rest)."""
+    turn, sides = _TURN.search(own), re.findall(r"\b(left|right)\b", own)
     lat = None if not turn else "right_turn" if "right" in (turn["a"], turn["b"], turn["c"]) else "left_turn"
-    notes = [label for label, p in _NOTES if p.search(own)]
-    sides = re.findall(r"\b(left|right)\b", own)
-    side = sides[0] if sides else None
-    for name, table in _TABLES:
-        found = matches(table, rest) if rest else []
-        if found:
-            start, end, label = found[-1]
-            lon = ("keep" if moving else "accelerate") if label == "split" else label
-            return lon, lat, notes, f"{'fallback' if name == 'fallback' else 'table'}:{rest[start:end]}", side
+    notes, side = [label for label, p in _NOTES if p.search(own)], next(iter(sides), None)
+    if (found := phrase_of(rest)) is not None:
+        name, label, phrase = found
+        lon = label if label != "split" else "keep" if moving else "accelerate"
+        return lon, lat, notes, f"{'fallback' if name == 'fallback' else 'table'}:{phrase}", side
     if lat or notes:
         return "unspecified", lat, notes, "unspecified:lateral_only", side
-    return "unmatched", lat, notes, "unmatched" if first else "empty_plan", side
-
-
-_READ = "struct<lon:string,lat:string,notes:array<string>,matched_by:string,side:string>"
+    return "unmatched", lat, notes, "unmatched" if own else "empty_plan", side
 
 
-def classify_plans(df: DataFrame, plan: str, v0: str) -> DataFrame:
+def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read") -> DataFrame:
     """df with ``plan_read``: lon, lat, notes, matched_by and side of the plan's first step. An unknown speed counts as moving."""
 
     @F.pandas_udf(_READ)
-    def read(first: pd.Series, moving: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_plan(t, bool(m)) for t, m in zip(first, moving, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
+    def read(own: pd.Series, rest: pd.Series, moving: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_step(a, b, bool(m)) for a, b, m in zip(own, rest, moving, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
 
     rows = df.withColumn("_first", plan_first(F.col(plan))).withColumn("_moving", F.coalesce(F.col(v0) >= STOPPED, F.lit(True)))
-    distinct = rows.select("_first", "_moving").distinct().withColumn("plan_read", read("_first", "_moving"))
-    return rows.join(distinct, ["_first", "_moving"]).drop("_first", "_moving")
+    distinct = rows.select("_first", "_moving").distinct().withColumn("_own", masked(F.col("_first"), words.OBJECT_MASKS))
+    distinct = distinct.withColumn("_rest", masked(F.col("_own"), words.CLAUSE_MASKS)).withColumn(out, read("_own", "_rest", "_moving"))
+    return rows.join(distinct.drop("_own", "_rest"), ["_first", "_moving"]).drop("_first", "_moving")
 
 
 def taxonomy(read: Column) -> Column:
@@ -117,40 +123,44 @@ def target_verb(motion: Column, v0: Column) -> Column:
     return F.when(motion == "keep", "cruise").when(motion == "accelerate", F.when(still, "proceed").otherwise("accelerate")).when(motion == "decelerate", "decelerate").when(motion == "stop", F.when(still, "remain stopped").otherwise("stop and wait"))
 
 
-def _rewrite(plan: str, first: str, verb: str, target: str, moving: bool) -> str | None:
-    """First longitudinal phrase replaced by the verb, the others of that step deleted; None unless it reads as the target."""
-    table = [pair for _, t in _TABLES[:2] for pair in t]
-    found = matches(table, first)
+def tidy(text: Column) -> Column:
+    """Without doubled blanks and commas, blanks before commas, and joining words or commas at either end."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s*,(?:\s*,)*", ",")
+    ends = rf"^(?:[\s,]*\b{_JOIN}\b)*[\s,]+(?=\S)|^(?:{_JOIN}\b[\s,]*)+|(?:[\s,]+{_JOIN}\b)*[\s,]*$"
+    return F.trim(F.regexp_replace(text, ends, ""))
+
+
+def reworded(text: str, verb: str) -> str | None:
+    """The step with the verb in the place of its first longitudinal phrase and without the others, each gone with the word that joins it."""
+    found = spans([pair for _, table in _TABLES[:2] for pair in table], text)
     if not found:
         return None
-    out, at = [], 0
-    for k, (start, end, _) in enumerate(found):
-        before = first[at:start]
-        out.append(before + verb if k == 0 else re.sub(r"\s*(?:,\s*)?(?:and|to|then|while|,)\s*$", " ", before))
-        at = end
-    new = "".join([*out, first[at:]])
-    for pattern, by in ((r"\s+", " "), (r"\s+,", ","), (r",\s*,", ","), (r"^\s*(?:and|then|to|while|,)\s+", ""), (r"\s+(?:and|to|then|while|,)\s*$", "")):
-        new = re.sub(pattern, by, new)
-    new = new.strip(" ,") or verb
-    return new + plan[len(first) :] if read_plan(new, moving)[0] == target and plan.startswith(first) else None
+    joined = [re.search(rf"[\s,]*(?:\b{_JOIN}\b)?[\s,]*$", text[:start]).start() for start, _, _ in found]
+    edits = [(found[0][0], found[0][1], verb), *((max(j, before), end, " ") for j, (_, end, _), (_, before, _) in zip(joined[1:], found[1:], found, strict=False))]
+    at = [0, *(end for _, end, _ in edits)]
+    return "".join(text[a:start] + by for a, (start, _, by) in zip(at, edits, strict=False)) + text[at[-1] :]
 
 
 def repair_plans(df: DataFrame, plan: str, m_lon: str, m_lat: str, v0: str, v_end: str, start_t: str) -> DataFrame:
     """Contradicting plans with ``new_plan`` (NULL if no rewrite reads as the motion) and ``reason_weight`` 0.5 where rewritten.
 
-    Judges every row, rewrites contradictions only, and leaves the source as it is: an overlay.
+    Judges every row, rewrites contradictions only, and leaves the source as it is: an overlay. A
+    rewrite counts if the classifier then reads it as the motion, and the plan starts with the step.
     """
 
     @F.pandas_udf("string")
-    def rewrite(text: pd.Series, first: pd.Series, verb: pd.Series, target: pd.Series, moving: pd.Series) -> pd.Series:
-        return pd.Series([_rewrite(*row) for row in zip(text, first, verb, target, moving, strict=True)], dtype=object)
+    def reword(first: pd.Series, verb: pd.Series) -> pd.Series:
+        return pd.Series([reworded(*row) for row in zip(first, verb, strict=True)], dtype=object)
 
     read = classify_plans(df, plan, v0)
     ok = consistent(F.col("plan_read"), F.col(m_lon), F.col(m_lat), F.col(v0), F.col(v_end), F.col(start_t))
-    bad = read.where(~ok).withColumn("_text", norm_plan(F.col(plan)))
-    moving = F.coalesce(F.col(v0) >= STOPPED, F.lit(True))
-    bad = bad.withColumn("new_plan", rewrite("_text", plan_first(F.col(plan)), target_verb(F.col(m_lon), F.col(v0)), F.col(m_lon), moving))
-    return bad.withColumn("reason_weight", F.when(F.col("new_plan").isNotNull(), 0.5).otherwise(1.0)).drop("_text")
+    bad = read.where(~ok).withColumn("_text", norm_plan(F.col(plan))).withColumn("_step", plan_first(F.col(plan))).withColumn("_verb", target_verb(F.col(m_lon), F.col(v0)))
+    steps = bad.select("_step", "_verb").distinct().withColumn("_new", reword("_step", "_verb"))
+    steps = steps.withColumn("_new", F.when(F.col("_new").isNotNull(), F.coalesce(F.nullif(tidy(F.col("_new")), F.lit("")), F.col("_verb"))))
+    bad = classify_plans(bad.join(steps, ["_step", "_verb"]), "_new", v0, "_again")
+    fits = (F.col("_again.lon") == F.col(m_lon)) & F.startswith("_text", "_step") & F.col("_new").isNotNull()
+    new = F.when(fits, F.concat("_new", F.substring(F.col("_text"), F.length("_step") + 1, F.length("_text"))))
+    return bad.withColumn("new_plan", new).withColumn("reason_weight", F.when(F.col("new_plan").isNotNull(), 0.5).otherwise(1.0)).drop("_text", "_step", "_verb", "_new", "_again")
 
 
 def repair_report(df: DataFrame, read: str, m_lon: str, m_lat: str, v0: str, v_end: str, start_t: str, by: str) -> DataFrame:

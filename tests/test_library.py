@@ -47,8 +47,10 @@ def test_plan_rewrite_reads_as_motion(spark):
     df = spark.createDataFrame([(p, m, "straight", 5.0, 0.0, None) for p, m in rows], "plan string, m_lon string, m_lat string, v0 double, v_end double, start_t double")
     done = plans.repair_plans(df, "plan", "m_lon", "m_lat", "v0", "v_end", "start_t").collect()
     assert {r.plan for r in done} == {"keep lane and cruise, then stop", "accelerate", "proceed and accelerate"}
-    for r in done:
-        assert r.new_plan is None or plans.read_plan(r.new_plan.split(", then")[0], True)[0] == r.m_lon
+    new = {r.plan: r.new_plan for r in done}
+    assert new == {"keep lane and cruise, then stop": "keep lane and decelerate, then stop", "accelerate": "stop and wait", "proceed and accelerate": "cruise"}
+    again = spark.createDataFrame([(r.new_plan, r.m_lon, 5.0) for r in done], "plan string, m_lon string, v0 double")
+    assert all(r.plan_read.lon == r.m_lon for r in plans.classify_plans(again, "plan", "v0").collect())
     assert {r.plan: r.new_plan for r in done}["keep lane and cruise, then stop"] == "keep lane and decelerate, then stop"
 
 
