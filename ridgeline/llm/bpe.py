@@ -18,9 +18,12 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import itertools
+import operator
 import re
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,44 +33,68 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import runs, small_batches
 
-_BLANK_BEFORE_SPACE = re.compile(r"\s ")
+_DOUBLE_BLANK = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
+LONG_PIECE = 64
 MERGED_TOGETHER = 60_000
 CHUNK_CHARS = 4 << 20
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each blank that follows a non-blank; no match of the pattern crosses a cut."""
-    if _BLANK_BEFORE_SPACE.search(text):
-        return _CUT.split(text)
-    if not text or "\0" in text:
+    """The text cut before each blank that follows a non-blank, and around lone line ends; no match of the pattern crosses a cut."""
+    if "\0" in text or _DOUBLE_BLANK.search(text):
         return _CUT.split(text) if text else []
-    cut = text.replace(" ", "\0 ").split("\0")
-    return cut if cut[0] else cut[1:]
+    # every white space stands alone here: a line end is a match of its own, a blank starts one
+    return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
-def sides(new: list[str]) -> tuple[list[str], list[str]]:
-    """Pieces whose tokens stay the same when they stand side by side, and those to encode on their own."""
-    whole = [p for p in new if p[0] == " " and not p[-1].isspace()]
-    return whole, [p for p in new if p[0] != " " or p[-1].isspace()]
+def cores(new: list[str]) -> list[tuple[str, str]]:
+    """(piece, core) of those whose punctuation at the end is a match of its own."""
+    found = zip(new, [p.rstrip(string.punctuation) for p in new], strict=True)
+    return [(p, c) for p, c in found if p != c and c and c[-1] < "\u0250" and c[-1].isalpha()]
 
 
 class PieceCoder:
-    """Token ids of texts by a bounded table of their pieces' ids; learn() adds pieces to it."""
+    """Token ids of texts by a bounded table of the ids of their pieces and the pieces' cores.
+
+    An entry longer than LONG_PIECE is forgotten after its chunk, so that ``kept`` bounds bytes, too.
+    """
 
     kind = "<u4"
 
-    def __init__(self) -> None:
+    def __init__(self, kept: int = KEPT_PIECES) -> None:
+        self.kept = kept
         self.table: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
-    def learn(self, new: list[str]) -> None:
+    def ids_of(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Strings that no match crosses the ends of, in any order, with their ids."""
         raise NotImplementedError
 
+    def cores(self, new: list[str]) -> list[tuple[str, str]]:
+        return cores(new)
+
+    def learn(self, new: list[str]) -> None:
+        pairs = self.cores(new)
+        parts = set(new).difference([p for p, _ in pairs])
+        parts.update([c for _, c in pairs], [p[len(c) :] for p, c in pairs])
+        todo = list(parts.difference(self.table))
+        for lo in range(0, len(todo), MERGED_TOGETHER):
+            self.table.update(self.ids_of(todo[lo : lo + MERGED_TOGETHER]))
+        self.table.update([(p, self.table[c] + self.table[p[len(c) :]]) for p, c in pairs])
+        self.passing = [p for p in itertools.chain(todo, new) if len(p) > LONG_PIECE]
+
+    def forget(self) -> None:
+        for p in self.passing:
+            self.table.pop(p, None)
+        self.passing = []
+        if len(self.table) > self.kept:  # those met first are mostly the frequent ones
+            self.table = dict(itertools.islice(self.table.items(), self.kept // 2))
+
     def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text; all of the texts' pieces are held at a time."""
-        if len(self.table) > KEPT_PIECES:  # the pieces met first are mostly the frequent ones
-            self.table = dict(itertools.islice(self.table.items(), KEPT_PIECES // 2))
+        self.forget()
         cut = [pieces(text) for text in texts]
         self.learn(list(set().union(*cut).difference(self.table)))
         look = self.table.__getitem__
@@ -93,6 +120,10 @@ class RankQueue:
             bucket.append(positions)
             return
         self.buckets[rank] = [positions]
+        self.mark(rank)
+
+    def mark(self, rank: int) -> None:
+        """The rank's bucket has positions."""
         self.low[rank >> 6] |= 1 << (rank & 63)
         self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
@@ -116,14 +147,18 @@ class RankQueue:
 
     def take(self, rank: int) -> np.ndarray:
         """The rank's positions in ascending order; they leave the queue."""
+        self.clear(rank)
+        bucket = self.buckets.pop(rank)
+        return np.unique(bucket[0] if len(bucket) == 1 else np.concatenate(bucket))
+
+    def clear(self, rank: int) -> None:
+        """The rank's bucket is empty."""
         i, j = rank >> 6, rank >> 12
         self.low[i] &= ~(1 << (rank & 63))
         if not self.low[i]:
             self.mid[j] &= ~(1 << (i & 63))
             if not self.mid[j]:
                 self.top &= ~(1 << j)
-        bucket = self.buckets.pop(rank)
-        return np.unique(bucket[0] if len(bucket) == 1 else np.concatenate(bucket))
 
 
 class _Pairs(dict):
@@ -227,17 +262,22 @@ class Bpe(PieceCoder):
         ids = self.byte[np.frombuffer(match, np.uint8)].tolist()
         n, queue = len(ids), self.queue
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        buckets: dict[int, list[int]] = {}  # heaps of positions
 
         def put(i: int) -> None:
             if i >= 0 and after[i] < n and (rank := self.pair(ids[i] << 20 | ids[after[i]])) >= 0:
-                queue.push(rank, np.array([i]))
+                if rank not in buckets:
+                    buckets[rank] = []
+                    queue.mark(rank)
+                heapq.heappush(buckets[rank], i)
 
         for i in range(n - 1):
             put(i)
         while (rank := queue.first()) >= 0:
-            i, *rest = queue.take(rank).tolist()
-            if rest:
-                queue.push(rank, np.array(rest))
+            i = heapq.heappop(buckets[rank])
+            if not buckets[rank]:
+                del buckets[rank]
+                queue.clear(rank)
             j = after[i]
             if ids[i] < 0 or j == n or self.pair(ids[i] << 20 | ids[j]) != rank:
                 continue
@@ -249,20 +289,14 @@ class Bpe(PieceCoder):
             put(before[i])
         return [x for x in ids if x >= 0]
 
-    def learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), MERGED_TOGETHER):
-            whole, apart = sides(new[lo : lo + MERGED_TOGETHER])
-            matches = self.matches("".join(whole))
-            for p in apart:
-                matches += self.matches(p)
-            part = whole + apart
-            distinct = list(dict.fromkeys(matches))
-            merged = self._sliced(self.merge([m.encode("utf-8", "surrogatepass") for m in distinct]), distinct)
-            ids = dict(zip(distinct, merged, strict=True))
-            found = list(map(ids.__getitem__, matches))
-            ends = np.cumsum(list(map(len, matches)))  # in characters
-            last = np.searchsorted(ends, np.cumsum(list(map(len, part)))) + 1
-            self.table.update((p, b"".join(found[a:b])) for p, a, b in zip(part, [0, *last[:-1].tolist()], last.tolist(), strict=True))
+    def ids_of(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
+        one = [p for p in new if p[p[:1] == " " :].isalpha() and max(p) < "\u0250"]  # each a match as it is
+        others = list(set(new).difference(one))
+        found = list(map(self.matches, others))
+        distinct = list(dict.fromkeys(itertools.chain(one, *found)))
+        ids = dict(zip(distinct, self._sliced(self.merge([m.encode("utf-8", "surrogatepass") for m in distinct]), distinct), strict=True))
+        ids.update([(p, b"".join(map(ids.__getitem__, some))) for p, some in zip(others, found, strict=True)])
+        return ids.items()
 
     @staticmethod
     def _sliced(ids: np.ndarray, matches: list[str]) -> list[bytes]:

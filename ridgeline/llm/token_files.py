@@ -19,7 +19,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +27,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.bpe import PieceCoder, chunks, sides
-from ridgeline.llm.common import few_enough, small_batches, staged, work_dir
+from ridgeline.llm.bpe import PieceCoder, chunks, cores
+from ridgeline.llm.common import hint, small_batches, staged, work_dir
 
 MAGIC = b"RLIDS001"
 _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bytes of an id, seed, documents, ids, keys, buckets
 NO_KEY = -(1 << 63)  # stands for a null key
 SHARD_IDS = 4 << 20
 ENCODED_TOGETHER = 5000
+ENCODED_PIECES = 1_200_000
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -154,21 +155,24 @@ class Encoder(PieceCoder):
     def __init__(self, vocabulary: str, encode_special: bool = False):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(ENCODED_PIECES)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = encode_special
+        self.tokenizer.model._resize_cache(0)  # what is encoded twice stands in the tables here
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         names = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():  # a character of a byte-level token is a byte
             self.lengths[i] = len(name)
-        beyond = []
+        beyond, added = [], []
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.lengths[i] = len(token.content.encode("utf-8"))
+            added.append(re.escape(token.content))
             if not (token.special and encode_special) and (token.lstrip or token.rstrip or token.single_word or token.normalized or re.search(r"\s", token.content)):
                 beyond.append(re.escape(token.content))
         self.beyond = re.compile("|".join(beyond)).search if beyond else None
+        self.added = re.compile("|".join(added)).search if added else None
 
     def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
         apart = {k for k, text in enumerate(texts) if self.beyond(text)} if self.beyond else ()
@@ -179,18 +183,28 @@ class Encoder(PieceCoder):
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        whole, apart = sides(new)
-        for lo in range(0, len(whole), ENCODED_TOGETHER):
-            part = whole[lo : lo + ENCODED_TOGETHER]
-            ids = self._ids(["".join(part)])[0]
-            size = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
-            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), size) + 1) * self.width
-            data = ids.tobytes()
-            self.table.update((p, data[a:b]) for p, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    def cores(self, new: list[str]) -> list[tuple[str, str]]:
+        found = cores(new)
+        return [x for x in found if not self.added(x[0])] if self.added else found
+
+    def ids_of(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Side by side where each starts with the blank that the pre-tokenizer splits before, else on lines of their own."""
+        found: dict[str, bytes] = {"": b""}
+        spaced = [p for p in new if p[:1] == " " and not p[-1].isspace()]
+        bare = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        for some, between in ((spaced, ""), (bare, "\n")):
+            for lo in range(0, len(some), ENCODED_TOGETHER):
+                part = some[lo : lo + ENCODED_TOGETHER]
+                ids = self._ids([between.join(part)])[0]
+                data, gap = ids.tobytes(), len(between) * self.width
+                size = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + len(between) for p in part]) - len(between)
+                ends = ((np.searchsorted(np.cumsum(self.lengths[ids]), size) + 1) * self.width).tolist()
+                found.update((p, data[a:b]) for p, a, b in zip(part, [0, *[e + gap for e in ends[:-1]]], ends, strict=True))
+        apart = [p for p in new if p not in found]
         for lo in range(0, len(apart), ENCODED_TOGETHER):
             part = apart[lo : lo + ENCODED_TOGETHER]
-            self.table.update((p, x.tobytes()) for p, x in zip(part, self._ids(part), strict=True))
+            found.update((p, x.tobytes()) for p, x in zip(part, self._ids(part), strict=True))
+        return found.items()
 
 
 @functools.lru_cache(maxsize=2)
@@ -199,7 +213,7 @@ def encoder_of(vocabulary: str, encode_special: bool = False) -> Encoder:
     return Encoder(vocabulary, encode_special)
 
 
-_MANIFEST = pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+_MANIFEST = pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64())])
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -213,24 +227,25 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int, en
         encoder = encoder_of(vocabulary, encode_special)
         tail = np.array([] if end_id is None else [end_id], f"<u{encoder.width}")
         store, root = _store(folder)
-        part, seq, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, keys, ids, held, nulls = TaskContext.get().partitionId(), 0, [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             path = f"{root}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.ids"
             store.create_dir(root, recursive=True)
             with store.open_output_stream(path) as out:
                 out.write(shard_bytes(np.array(keys, np.int64), ids, encoder.width))
-            row = (path.rpartition("/")[2], part, seq, keys[0], keys[-1], len(keys), sum(map(len, ids)))
+            row = (path.rpartition("/")[2], part, seq, keys[0], keys[-1], len(keys), nulls, sum(map(len, ids)))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _MANIFEST.types, strict=True)], schema=_MANIFEST)
 
         for some, texts in chunks(batches):
             for key, found in zip(some, encoder.encode_many(texts), strict=True):
                 keys.append(NO_KEY if key is None else key)
+                nulls += key is None
                 ids.append(np.concatenate([found, tail]))
                 held += len(ids[-1])
                 if held >= shard_ids:
                     yield close()
-                    keys, ids, held, seq = [], [], 0, seq + 1
+                    keys, ids, held, nulls, seq = [], [], 0, 0, seq + 1
         if keys:
             yield close()
 
@@ -240,11 +255,11 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int, en
 def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, encode_special: bool = False) -> tuple[str, DataFrame]:
     """Encode every text and write the shards; returns their folder and the manifest, in shared storage.
 
-    Manifest: path (name in the folder), first_key, last_key, n_docs, n_ids, first_id (ids of all
-    shards before). A null text counts as empty, so that its document is the end id alone. A null id
+    Manifest: path (name in the folder), part (range of keys), first_key, last_key, n_docs, n_null (of
+    them without an id, which come first), n_ids, first_id (ids of all shards before). A null text counts as empty, so that its document is the end id alone. A null id
     is kept under a key of its own, before all others. Documents of equal ids follow each other.
     A special token's name in a text gives its id, unless encode_special says that it is text like other.
-    An empty table writes no shard. The manifest has one row per shard_ids ids and is ranked by one task.
+    An empty table writes no shard. The running sums go over the parts first, then within each.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -252,10 +267,13 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartitionByRange(parts, "key").sortWithinPartitions(F.col("key").asc_nulls_first())
-    schema = "path string, part long, seq long, first_key long, last_key long, n_docs long, n_ids long"
+    schema = "path string, part long, seq long, first_key long, last_key long, n_docs long, n_null long, n_ids long"
     rows = staged(texts.mapInArrow(_writer(folder, vocabulary, end_id, shard_ids, encode_special), schema), "manifest")
-    before = Window.orderBy("first_key", "last_key", "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return folder, rows.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("part", "seq")
+    earlier = (Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.sum("n_ids").alias("_n"))  # no more rows than the write has tasks
+    starts = starts.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("_start"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*earlier))
+    return folder, rows.withColumn("_before", F.coalesce(within, F.lit(0))).join(F.broadcast(starts), "part").withColumn("first_id", F.col("_start") + F.col("_before")).drop("seq", "_start", "_before")
 
 
 _FOUND = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -266,7 +284,7 @@ def _reader(folder: str):
         store, root = _store(folder)
         name, shard = None, None
         for batch in batches:
-            names, first = batch.column("path"), batch.column("first_id").to_numpy()
+            names, first, nulls = batch.column("path"), batch.column("first_id").to_numpy(), batch.column("n_null").to_numpy()
             keys = batch.column("key").to_numpy()
             paths = names.dictionary_encode()
             codes = paths.indices.to_numpy()
@@ -281,7 +299,7 @@ def _reader(folder: str):
                 for key, ordinal, n in zip(keys[lo:hi].tolist(), at.tolist(), copies.tolist(), strict=True):
                     for k in range(ordinal, ordinal + n):
                         ids = shard.document(k)
-                        out[0].append(None if key == NO_KEY else key)
+                        out[0].append(None if k < nulls[lo] else key)
                         out[1].append(int(first[lo]) + int(shard.offsets[k]))
                         out[2].append(len(ids))
                         out[3].append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -290,35 +308,34 @@ def _reader(folder: str):
     return run
 
 
-def read_documents(folder: str, manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id", manifest_rows: int = 500_000) -> DataFrame:
+def read_documents(folder: str, manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id", few_shards: int = 100_000) -> DataFrame:
     """Look keys up in the shards: one row per stored document of a key, with start, n_tokens and ids_crc32.
 
     start counts the ids of all documents before it. A key that no shard holds gives no row (but with
-    a chance of 2 ** -32, when its fingerprint agrees). Keys go to the shards whose range holds them.
+    a chance of 2 ** -32, when its fingerprint agrees). A key goes to the parts whose range holds it,
+    which are broadcast, no more than the write had tasks; then to those of their shards whose range
+    holds it, by a join with the manifest, broadcast if it is short (counted). Null asks for documents
+    without an id, and so does the smallest long, whose documents are found with them.
     """
     spark = keys.sparkSession
     small_batches(spark)
-    if not few_enough(manifest, manifest_rows):
-        raise ValueError("more shards than may be broadcast; write larger ones")
     wanted = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY)).alias("key")).distinct()
-    shards = manifest.select("path", "first_key", "last_key", "first_id").orderBy("first_key", "last_key").toArrow()
-    firsts, lasts = shards.column("first_key").to_numpy(), shards.column("last_key").to_numpy()
-    ranges = spark.sparkContext.broadcast((firsts, np.maximum.accumulate(lasts) if len(lasts) else lasts))
+    bounds = manifest.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("first", "last", "part").toArrow()
+    first, last, part = (bounds.column(c).to_numpy() for c in ("first", "last", "part"))
+    ranges = spark.sparkContext.broadcast((first, np.maximum.accumulate(last) if len(last) else last, part))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = ranges.value
+        first, last, part = ranges.value
         for batch in batches:
             key = batch.column(0).to_numpy()
             lo, hi = np.searchsorted(last, key, side="left"), np.searchsorted(first, key, side="right")
             n = np.maximum(hi - lo, 0)
-            shard = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(shard)], names=["key", "shard"])
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(part[at])], names=["key", "part"])
 
-    numbered = spark.createDataFrame(shards.append_column("shard", pa.array(np.arange(len(firsts)), pa.int64())).select(["shard", "path", "first_id"])) if len(firsts) else None
-    if numbered is None:
-        return spark.createDataFrame([], f"{id_col} long, start long, n_tokens long, ids_crc32 long")
-    placed = wanted.mapInArrow(places, "key long, shard long").join(F.broadcast(numbered), "shard")
+    shards = hint(manifest.select("part", "path", "first_key", "last_key", "n_null", "first_id"), few_shards)
+    placed = wanted.mapInArrow(places, "key long, part long").join(shards, "part").where("key BETWEEN first_key AND last_key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.select("shard", "path", "first_id", "key").repartition(parts, "shard").sortWithinPartitions("shard")
+    placed = placed.select("path", "first_id", "n_null", "key").repartition(parts, "path").sortWithinPartitions("path")
     found = placed.mapInArrow(_reader(folder), "key long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("key", id_col)
