@@ -3,7 +3,8 @@
 Detection is local to a text. An entity's normal form (lower-cased address, bare digits) with a
 secret key gives its surrogate by HMAC, in the entity's own format: digits for digits, the same
 punctuation, valid check digits, a name of the same gender and script. So mentions of one entity
-share a surrogate wherever they stand. The distinct entities of all texts are then checked together:
+share a surrogate wherever they stand. Given names and surnames are entities of their own, so that
+"Hans Weber", "Mr Weber" and "Weber" stay one person. The distinct entities of all texts are then checked together:
 where two would share a surrogate, or one would equal a real entity, all but one draw again, until
 none collides. No kind runs out of surrogates: where an entity's format leaves few (a local part of
 one letter), later draws are longer. Only entities that drew again have to be told to the rewriting pass: by broadcast if
@@ -22,19 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import few_enough, small_batches, staged
+from ridgeline.llm.common import columns_free_of, few_enough, small_batches, staged
 
-#: First names by script and gender, surnames by script; fixed values, chosen as common ones.
+#: Common given names by script and gender; fixed values.
 FIRST = {
     ("latin", "f"): "Maria Anna Emma Sofia Laura Julia Sarah Lena Clara Elena Marta Alice Nina Paula Eva Louise Camille Carmen Lucia Ingrid Helen Ruth Grace Mary Patricia Jennifer Linda Susan Karen Emily".split(),
     ("latin", "m"): "Peter Paul Thomas Lukas Max Felix Jonas David Daniel Martin Carlos Miguel Pablo Jorge Pierre Louis Henri Antoine Hans Karl James John Robert Michael William Richard George Edward Frank Oliver".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Сергей Дмитрий Андрей Михаил Николай Павел Олег".split(),
 }
-LAST = {
-    "latin": "Miller Smith Jones Brown Taylor Wilson Weber Fischer Wagner Becker Hoffmann Schulz Koch Bauer Richter Martin Bernard Dubois Moreau Laurent Simon Michel Garcia Fernandez Lopez Martinez Sanchez Romero Torres Navarro Walker Hall Young King Wright Scott Green Baker Adams Nelson".split(),
-    "cyrillic": "Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Волков Зайцев".split(),
-}
 #: Titles before a surname, with the gender they tell.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f"}
 _GENDER = {name: (script, gender) for (script, gender), names in FIRST.items() for name in names}
@@ -42,7 +39,53 @@ _GENDER = {name: (script, gender) for (script, gender), names in FIRST.items() f
 WIDER = 8
 #: Drawn for a secret without letters and digits, as a mask is.
 _MARKS = "!#$%&*+-.:=?@^_~"
-_CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
+#: Words after which a person's name stands, in lower case; fixed values.
+CUES = ("my name is", "name is", "name:", "named", "signed,", "signed by", "regards,", "contact:", "contact person:", "dear", "attn:", "ich heiße", "mein name ist", "je m'appelle", "me llamo", "mi nombre es", "меня зовут")
+#: Onsets, vowels and ends of made-up surnames.
+SYLLABLES = {
+    "latin": ("b br d dr f g gr h k kl l m n p r s st t v w".split(), "a e i o u".split(), "l ck nd rt ng ms rn ff lt sk".split()),
+    "cyrillic": ("б бр в г гр д з к кл л м н п пр р с ст т".split(), "а е и о у".split(), "лов ров ков нов дин тин рин сев гов бин".split()),
+}
+_NAME = r"[^\W\d_a-zà-öø-ÿа-яё](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+_BEFORE_NAME = re.compile(
+    rf"\b(?P<title>{'|'.join(TITLES)})\.?\ (?:(?P<given>{_NAME})\ )?(?P<surname>{_NAME})"
+    rf"|\b(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<given2>{_NAME})(?:\ (?P<surname2>{_NAME}))?"
+    rf"|\b(?P<given3>{'|'.join(_GENDER)})\ (?P<surname3>{_NAME})"
+)
+_KNOWN, _WORD = frozenset([*TITLES, *_GENDER]), re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]+")
+#: A word of every cue.
+_CUE_SIGNS = ("name", "signed", "regards", "contact", "dear", "attn", "heiße", "appelle", "llamo", "nombre", "зовут")
+_FEMININE = re.compile("(?:ов|ев|ин)а$")
+
+
+def _script(name: str) -> str:
+    return "cyrillic" if re.search("[А-яЁё]", name) else "latin"
+
+
+def _surname_form(mention: str) -> str:
+    """A surname's normal form: lower case, a feminine end of Russian names taken off."""
+    low = mention.lower()
+    return low[:-1] if _FEMININE.search(low) else low
+
+
+def names(text: str, low: str) -> list[tuple[int, int, str, str]]:
+    """Given names and surnames after a title, a cue or a known given name, and their further mentions in the text."""
+    if _KNOWN.isdisjoint(_WORD.findall(text)) and not any(x in low for x in _CUE_SIGNS):
+        return []
+    found: dict[tuple[int, int], str] = {}
+    for m in _BEFORE_NAME.finditer(text):
+        title = m["title"] and m["surname"] in TITLES
+        for group in () if title else ("given", "surname", "given2", "surname2", "given3", "surname3"):
+            if m[group] and m[group] not in TITLES:
+                found[m.span(group)] = group.rstrip("23")
+    if not found:
+        return []
+    surnames = {text[a:b] for (a, b), kind in found.items() if kind == "surname"}
+    surnames |= {s.upper() for s in surnames}
+    if surnames:
+        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})\b", text):
+            found.setdefault(m.span(), "surname")
+    return [(a, b, kind, _surname_form(text[a:b]) if kind == "surname" else text[a:b].lower()) for (a, b), kind in found.items()]
 
 
 def luhn(digits: str) -> bool:
@@ -141,18 +184,16 @@ def _access_key(s: Stream, entity: str) -> str:
     return entity[:4] + "".join(s.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in entity[4:])
 
 
-def _name(s: Stream, entity: str) -> str:
-    first, _, last = entity.rpartition(" ")
-    script = "cyrillic" if re.search("[А-яЁё]", entity) else "latin"
-    surnames = LAST[script]
-    # more surnames with every draw, so that the names never run out
-    own = "-".join([s.pick(surnames) for _ in range(1 + s.draw)])
-    gender = TITLES.get(first.rstrip(".")) or _GENDER[first][1]
-    if script == "cyrillic" and gender == "f":
-        own = "-".join(x + "а" for x in own.split("-"))
-    if first in TITLES or first.rstrip(".") in TITLES:
-        return f"{first} {own}"
-    return f"{s.pick(FIRST[_GENDER[first]])} {own}"
+def _surname(s: Stream, entity: str) -> str:
+    """A made-up surname of the entity's script, longer with every draw, so that surnames never run out."""
+    onsets, vowels, ends = SYLLABLES[_script(entity)]
+    return "".join(s.pick(onsets) + s.pick(vowels) for _ in range(1 + s.draw)) + s.pick(onsets) + s.pick(vowels) + s.pick(ends)
+
+
+def _given(s: Stream, entity: str) -> str:
+    """A given name of the same gender and script, more of them with every draw. An unknown one's gender is read off its end."""
+    known = _GENDER.get(entity.capitalize()) or (_script(entity), "f" if entity[-1] in "aeая" else "m")
+    return "-".join(s.pick(FIRST[known]).lower() for _ in range(1 + s.draw))
 
 
 @dataclass(frozen=True)
@@ -164,9 +205,19 @@ class Kind:
     normal: Callable[[str], str]
     surrogate: Callable[[Stream, str], str]
     accept: Callable[[str], bool] = bool
-    hint: str = ""
+    #: Looked for first, as most texts hold none: one of these in the lower-case text, or this pattern.
+    signs: tuple[str, ...] = ()
+    sign: re.Pattern | None = None
     digits_only: bool = False
 
+    def may_stand_in(self, text: str, low: str) -> bool:
+        return any(x in low for x in self.signs) if self.sign is None else self.sign.search(text) is not None
+
+
+#: Seven digits and separators, as every number below has; two digits and 11 more characters of an IBAN.
+_NUMBER = re.compile(r"\d[\d .()+-]{5,}\d")
+_LONG = re.compile(r"\d\d[A-Z0-9]{11}")
+
 
 def _iban_valid(text: str) -> bool:
     bare = text.replace(" ", "")
@@ -175,19 +226,19 @@ def _iban_valid(text: str) -> bool:
 
 #: In order of precedence where matches overlap.
 KINDS = (
-    Kind("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"), str.lower, _email, hint="@"),
-    Kind("access_key", re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"), _same, _access_key, hint="IA"),
-    Kind("password", re.compile(r"(?i)\b(?:password|passwd|pwd|secret)\s?[=:]\s?[\"']?([^\s\"']{6,})"), _same, _secret),
-    Kind("token", re.compile(r"(?i)\b(?:token|api[_-]?key|access[_-]?token|bearer)\s?[=:]?\s?[\"']([^\s\"']{12,})[\"']"), _same, _secret),
-    Kind("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Z0-9])"), _same, _iban, _iban_valid),
-    Kind("card", re.compile(r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"), _bare, _card, lambda m: luhn(_bare(m)), digits_only=True),
-    Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"), _bare, _phone, digits_only=True),
-    Kind("phone", re.compile(r"(?<![\w.+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d{2,8}){2,4}(?![\d-])"), lambda m: "+" + _bare(m), _phone, lambda m: 8 <= len(_bare(m)) <= 15, digits_only=True),
-    Kind("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _bare, _ssn, digits_only=True),
-    Kind("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)(?!\w)"), _same, _ip, lambda m: all(int(x) < 256 for x in m.split("."))),
-    Kind("name", re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.?|" + "|".join(_GENDER) + r") " + _CAPITAL), _same, _name),
+    Kind("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"), str.lower, _email, signs=("@",)),
+    Kind("access_key", re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"), _same, _access_key, signs=("akia", "asia")),
+    Kind("password", re.compile(r"(?i)\b(?:password|passwd|pwd|secret)\s?[=:]\s?[\"']?([^\s\"']{6,})"), _same, _secret, signs=("password", "passwd", "pwd", "secret")),
+    Kind("token", re.compile(r"(?i)\b(?:token|api[_-]?key|access[_-]?token|bearer)\s?[=:]?\s?[\"']([^\s\"']{12,})[\"']"), _same, _secret, signs=("token", "api", "bearer")),
+    Kind("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Z0-9])"), _same, _iban, _iban_valid, sign=_LONG),
+    Kind("card", re.compile(r"(?<![\d.-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"), _bare, _card, lambda m: luhn(_bare(m)), sign=_NUMBER, digits_only=True),
+    Kind("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"), _bare, _phone, sign=_NUMBER, digits_only=True),
+    Kind("phone", re.compile(r"(?<![\w.+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d{2,8}){2,4}(?![\d-])"), lambda m: "+" + _bare(m), _phone, lambda m: 8 <= len(_bare(m)) <= 15, sign=_NUMBER, digits_only=True),
+    Kind("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _bare, _ssn, sign=_NUMBER, digits_only=True),
+    Kind("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)(?!\w)"), _same, _ip, lambda m: all(int(x) < 256 for x in m.split(".")), sign=_NUMBER),
+    Kind("given", re.compile("(?!)"), str.lower, _given),  # found by names()
+    Kind("surname", re.compile("(?!)"), _surname_form, _surname),
 )
-_DIGIT = re.compile(r"\d")
 _BY_NAME = {k.name: k for k in reversed(KINDS)}
 
 
@@ -195,14 +246,18 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of a text's entities, left to right, none overlapping."""
     if not text:
         return []
-    digit, found = _DIGIT.search(text) is not None, []
+    low, found = text.lower(), []
+    checked: dict[re.Pattern | None, bool] = {}
     for kind in KINDS:
-        if kind.hint and kind.hint not in text or kind.name in ("iban", "card", "phone", "ssn", "ip") and not digit:
+        if kind.sign not in checked or kind.sign is None:
+            checked[kind.sign] = kind.may_stand_in(text, low)
+        if not checked[kind.sign]:
             continue
         for m in kind.pattern.finditer(text):
             start, end = m.span(m.re.groups and 1)
             if kind.accept(text[start:end]) and not any(start < b and a < end for a, b, _, _ in found):
                 found.append((start, end, kind.name, kind.normal(text[start:end])))
+    found += [n for n in names(text, low) if not any(n[0] < b and a < n[1] for a, b, _, _ in found)]
     return sorted(found)
 
 
@@ -222,7 +277,11 @@ def in_format(kind: str, mention: str, found: str) -> str:
     if _BY_NAME[kind].digits_only:
         digits = iter(found)
         return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
-    return found.upper() if kind == "email" and mention.isupper() else found
+    if kind == "surname" and _FEMININE.search(mention.lower()):
+        found += "а"
+    if kind in ("given", "surname") and not mention.isupper():
+        return found.title()
+    return found.upper() if kind in ("email", "given", "surname") and mention.isupper() else found
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +350,8 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     """docs with rewritten texts and a column ``entities`` (places in the new text, kind, surrogate).
 
     A null text stays null and has no entities; texts without entities are not changed. Rows of equal
-    or null ids are rewritten each by its own text. docs' own column of that name is replaced.
+    or null ids are rewritten each by its own text. docs' own column of that name is replaced; all others
+    stay, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -299,14 +359,15 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     found = staged(texts.mapInArrow(_entities, "id long, kind string, entity string"), "mentions")
     assigned = assign(found.select("kind", "entity").distinct(), key)
     redrawn = assigned.where("draw > 0").select("kind", "entity", "draw")
-    kept = [c for c in docs.columns if c.lower() not in ("entities", "_redrawn", "_done")]
+    kept = [c for c in docs.columns if c.lower() != "entities"]
+    own, done, key_id = columns_free_of(docs, "_redrawn", "_done", "_id")
     if few_enough(redrawn, few_redrawn):
         few = {(r.kind, r.entity): r.draw for r in redrawn.collect()}
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<struct<kind:string,entity:string,draw:int>>").alias("_redrawn"))
+        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<struct<kind:string,entity:string,draw:int>>").alias(own))
     else:
         few = None
-        per = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("kind", "entity", "draw")).alias("_redrawn"))
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(per, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    rows = rows.withColumn("_done", _rewrite(key, F.col(text_col), F.col("_redrawn"), few, spark))
-    columns = [F.col("_done.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept]
-    return rows.select(*columns, F.col("_done.entities").alias("entities"))
+        per = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias(key_id)).agg(F.collect_set(F.struct("kind", "entity", "draw")).alias(own))
+        rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(per, F.col(id_col).cast("long").eqNullSafe(F.col(key_id)), "left").drop(key_id)
+    rows = rows.withColumn(done, _rewrite(key, F.col(text_col), F.col(own), few, spark))
+    columns = [F.col(f"{done}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept]
+    return rows.select(*columns, F.col(f"{done}.entities").alias("entities"))
