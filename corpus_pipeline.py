@@ -17,7 +17,7 @@ from ridgeline.llm.bpe import digests
 from ridgeline.llm.common import columns_free_of, numbered, staged
 from ridgeline.llm.decontaminate import contamination, without_spans
 from ridgeline.llm.ngram_join import Rule, ngram_jaccard_join
-from ridgeline.llm.queries import SURROGATE_KEY, table
+from ridgeline.llm.queries import surrogate_key, table
 from ridgeline.llm.surrogates import replace_pii
 from ridgeline.llm.toxicity import chain_scores, fit_chain
 
@@ -41,31 +41,30 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = members.join(rows.select(F.col(row).alias("_id"), F.col("doc_id").alias("_doc")), "_id")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_id"))["_id"].alias("_id"))
     # its size is known then, and Spark broadcasts it only if it is small
-    gone = staged(members.join(first, "_id", "left_anti").select(F.col("_id").alias("_gone")), "copies")
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = staged(members.join(first, "_id", "left_anti").select(F.col("_id").alias(row)), "copies")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside occurrences of benchmark windows are cut out; a document that has no other words goes."""
-    (row,) = columns_free_of(docs, "_row")
+    row, key, n_words, spans, new = columns_free_of(docs, "_row", "_id", "_n_words", "_spans", "_text")
     rows = numbered(docs, row, "rows")
     found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row).where(F.size("spans") > 0)
-    found = staged(found.select(F.col(row).alias("_id"), "n_words", "spans"), "spans")
+    found = staged(found.select(F.col(row).alias(key), F.col("n_words").alias(n_words), F.col("spans").alias(spans)), "spans")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    rows = rows.join(found, rows[row] == F.col("_id"), "left").where(F.col("_id").isNull() | (hit < F.col("n_words")))
-    text = cut("text", "spans")
-    n_chars = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("new_text").cast("long"))
-    return rows.withColumn("new_text", text).withColumn("n_chars", n_chars).select(*[F.col("new_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    rows = rows.join(found, rows[row] == F.col(key), "left").where(F.col(key).isNull() | (hit < F.col(n_words)))
+    n_chars = F.when(F.col(key).isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))
+    return rows.withColumn(new, cut("text", spans)).withColumn("n_chars", n_chars).select(*[F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates; every document stays."""
-    done = replace_pii(docs, SURROGATE_KEY)
+    done = replace_pii(docs, surrogate_key(spark))
     n_chars = F.when(F.size("entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*docs.columns)
 

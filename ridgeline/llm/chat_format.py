@@ -184,9 +184,12 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
 
 
 def records_of_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows by turn to one JSON record of messages per conversation, in order of turn, role and text."""
+    """Rows by turn to one JSON record of messages per conversation, in order of turn, role and text.
+
+    Rows without an id are the turns of one conversation without an id; null roles and texts are empty.
+    """
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    rows = turns.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    rows = turns.groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias("t"))
     messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return rows.select(id_col, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 

@@ -19,16 +19,18 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch: ten thousand documents at once is Spark's default."""
+    """Bound the rows of an Arrow batch, where the session leaves Spark's default of 10,000; Spark bounds its bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder's URI below spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -6,8 +6,9 @@ bounded size within their label, and each shard becomes one graph: exact small u
 bottom layer to which nodes are added in batches, each linked to diverse neighbours found by a beam
 search and within its batch. Every shard of a label is then searched with every other's vectors (one
 task per pair of shards). A query whose beam ends above the threshold gets a wider one; so do all if
-an audit of sampled queries against an exact scan finds a lost link; a beam as wide as the shard is
-that scan. Links are verified in double precision; a task returns, per vector, the number of links,
+an audit of sampled queries against an exact scan finds a lost link. A search begins with the graph
+unless the shard has no more vectors than the beam; a beam that widening takes to a quarter of the
+shard becomes the exact scan, which is cheaper then and loses nothing. Links are verified in double precision; a task returns, per vector, the number of links,
 and a spanning forest of them, never the list of pairs.
 
 Searching every shard is quadratic in the number of shards of one label; ``shard_rows`` sets it.
@@ -15,7 +16,6 @@ Searching every shard is quadratic in the number of shards of one label; ``shard
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -195,17 +195,21 @@ class Hnsw:
 def range_search(graph: Hnsw, exact: np.ndarray, q: np.ndarray, opts: Graph) -> tuple[np.ndarray, np.ndarray, dict]:
     """(query, node) of all links found, verified; and what the audit saw. exact: the graph's unit vectors in double."""
     n, floor = len(exact), opts.threshold - 1e-4  # the graph's vectors are in single precision
+
+    def scans(width: int) -> bool:
+        return width >= n or width > opts.beam and 4 * width >= n
+
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     rng = np.random.default_rng(opts.seed)
     audit = np.sort(rng.choice(len(q), min(opts.audited, len(q)), replace=False))
     truth = {int(i): np.flatnonzero(exact @ q[i] >= opts.threshold) for i in audit}
     todo, width, report = np.arange(len(q)), opts.beam, {"widths": []}
     while len(todo):
-        report["widths"].append(width)
+        report["widths"].append("scan" if scans(width) else width)
         found, wide = [], []
         for lo in range(0, len(todo), 512):
             own = todo[lo : lo + 512]
-            if width >= n // 4:
+            if scans(width):
                 sims = q[own] @ exact.T
                 a, b = np.nonzero(sims >= floor)
                 found.append((own[a], b))
@@ -219,7 +223,7 @@ def range_search(graph: Hnsw, exact: np.ndarray, q: np.ndarray, opts: Graph) ->
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         again = np.concatenate(wide) if wide else np.empty(0, np.int64)
         lost = 0
-        if width < n // 4:
+        if not scans(width):
             seen = np.setdiff1d(np.intersect1d(audit, todo), again)
             got = {int(i): set(b[a == i].tolist()) for i in seen}
             lost = sum(len(set(truth[i].tolist()) - got[i]) for i in got)
@@ -233,7 +237,23 @@ def range_search(graph: Hnsw, exact: np.ndarray, q: np.ndarray, opts: Graph) ->
     return a[good], b[good], report
 
 
-_SHARD = pa.schema([("shard", pa.int64()), ("graph", pa.binary())])
+_LONGS = pa.list_(pa.int64())
+_SHARD = pa.schema([("shard", pa.int64()), ("ids", _LONGS), ("copies", _LONGS), ("x", pa.list_(pa.float64())), ("bottom", pa.list_(pa.int32())), ("nodes", pa.list_(_LONGS)), ("links", pa.list_(_LONGS))])
+_GRAPH = "ids array<long>, copies array<long>, x array<double>, bottom array<int>, nodes array<array<long>>, links array<array<long>>"
+
+
+def _vectors(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, copies, unit vectors) of a stored shard."""
+    ids = row["ids"].values.to_numpy()
+    return ids, row["copies"].values.to_numpy(), row["x"].values.to_numpy().reshape(len(ids), -1)
+
+
+def _graph(row: dict, x: np.ndarray, opts: Graph) -> Hnsw:
+    """The stored graph over its vectors."""
+    graph = Hnsw.__new__(Hnsw)
+    graph.x, graph.opts, graph.bottom = x.astype(np.float32), opts, row["bottom"].values.to_numpy().reshape(len(x), -1)
+    graph.layers = [(np.array(n, np.int64), np.array(k, np.int64).reshape(len(n), -1)) for n, k in zip(row["nodes"].as_py(), row["links"].as_py(), strict=True)]
+    return graph
 
 
 def _build(opts: Graph):
@@ -246,8 +266,8 @@ def _build(opts: Graph):
                 x = part.column("v").combine_chunks()
                 x = unit(x.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float64))
                 graph = Hnsw(x, opts)
-                blob = pickle.dumps((part.column("id").to_numpy(), part.column("copies").to_numpy(), x, graph.bottom, graph.layers))
-                yield pa.RecordBatch.from_arrays([pa.array([shards[lo]], pa.int64()), pa.array([blob], pa.binary())], schema=_SHARD)
+                row = [shards[lo], part.column("id").to_numpy(), part.column("copies").to_numpy(), x.ravel(), graph.bottom.ravel(), [n.tolist() for n, _ in graph.layers], [k.ravel().tolist() for _, k in graph.layers]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SHARD.types, strict=True)], schema=_SHARD)
 
     return run
 
@@ -261,11 +281,11 @@ def _query(opts: Graph):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids_t, copies_t, x_t, bottom, layers = pickle.loads(batch.column("target")[k].as_py())
+                target, source = batch.column("target")[k], batch.column("source")[k]
+                ids_t, copies_t, x_t = _vectors(target)
                 same = batch.column("source_shard")[k] == batch.column("target_shard")[k]
-                ids_q, copies_q, x_q = (ids_t, copies_t, x_t) if same else pickle.loads(batch.column("source")[k].as_py())[:3]
-                graph = Hnsw.__new__(Hnsw)
-                graph.x, graph.opts, graph.bottom, graph.layers = x_t.astype(np.float32), opts, bottom, layers
+                ids_q, copies_q, x_q = (ids_t, copies_t, x_t) if same else _vectors(source)
+                graph = _graph(target, x_t, opts)
                 a, b, _ = range_search(graph, x_t, x_q, opts)
                 if same:  # either direction counts once for both ends
                     lo, hi = np.minimum(a, b), np.maximum(a, b)
@@ -310,13 +330,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shard_of = staged(dealt, "dealt")
     graphs = shard_of.select("shard", "id", "copies", "v").repartition(parts, "shard").sortWithinPartitions("shard")
-    graphs = staged(graphs.mapInArrow(_build(opts), "shard long, graph binary"), "graphs")
+    graphs = staged(graphs.mapInArrow(_build(opts), f"shard long, {_GRAPH}"), "graphs")
+    own = [c for c in graphs.columns if c != "shard"]
+    target = graphs.select(F.col("shard").alias("target_shard"), F.struct(*own).alias("target"))
+    source = graphs.select(F.col("shard").alias("source_shard"), F.struct("ids", "copies", "x").alias("source"))
     names = shard_of.select("of", "shard").distinct()
     pairs = names.join(names.withColumnRenamed("shard", "other"), "of").where("shard <= other").select(F.col("shard").alias("source_shard"), F.col("other").alias("target_shard"))
     pairs = staged(pairs, "pairs")
-    loaded = pairs.join(graphs.withColumnRenamed("shard", "target_shard").withColumnRenamed("graph", "target"), "target_shard")
-    source = graphs.withColumnRenamed("shard", "source_shard").withColumnRenamed("graph", "source")
-    alone = loaded.where("source_shard = target_shard").withColumn("source", F.lit(None).cast("binary"))
+    loaded = pairs.join(target, "target_shard")
+    alone = loaded.where("source_shard = target_shard").withColumn("source", F.lit(None).cast(source.schema["source"].dataType))
     loaded = alone.unionByName(loaded.where("source_shard <> target_shard").join(source, "source_shard"))
     spread = max(parts, min(pairs.count(), 10_000))
     links = loaded.repartition(spread, "source_shard", "target_shard").mapInArrow(_query(opts), "a long, b long, n long")
@@ -324,9 +346,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     joined = components(links.where("b IS NOT NULL")).select(F.col("node").alias("id"), "component")
     counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     nodes = reps.select("id", "k1", "k2", "rep", "copies").join(joined, "id", "left").join(counts, "id", "left")
-    nodes = nodes.withColumn("comp", F.coalesce("component", "id")).withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+    nodes = nodes.withColumn("comp", F.coalesce("component", "id")).withColumn("n_links", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long"))
     least = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
     nodes = staged(nodes.join(least, "comp").select("k1", "k2", "n_links", "component_id"), "components")
-    out = rows.select("id", "k1", "k2").join(nodes, ["k1", "k2"], "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.where("k1 IS NOT NULL").select("id", "k1", "k2").join(nodes, ["k1", "k2"]).select("id", "n_links", "component_id")
+    alone = rows.where("k1 IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))  # link with nothing, and never meet the join
+    out = out.unionByName(alone).withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

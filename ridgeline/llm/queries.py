@@ -61,15 +61,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-#: Stands in for the secret that a deployment brings along.
-SURROGATE_KEY = b"a key of its own for every corpus"
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The session's secret, from spark.ridgeline.surrogateKey; without one, a key for test tables only."""
+    return spark.conf.get("spark.ridgeline.surrogateKey", "a key for test tables").encode()
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.surrogates import replace_pii
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs, SURROGATE_KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+    return replace_pii(docs, surrogate_key(spark)).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
 def op6_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.
 
 
 OP2_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 e AS (SELECT *, len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '<\||\|>|</?s>|\[/?INST\]|<</?SYS>>|<(?:start|end)_of_turn>|<(?:bos|eos|pad|unk)>|\[gMASK\]|</?s_')) AS more FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,

@@ -5,7 +5,7 @@ probabilities, and learns from out-of-fold ones, as it will meet them in texts i
 Features are the distinct words of a text and their leading 4, 5 and 6 characters, so that inflected
 and compounded forms share evidence.
 
-Fitting uses a bounded sample of the labelled rows: at most ``per_class`` rows with and as many
+Fitting uses a bounded sample of the labelled rows, which bounds the features, too: at most ``per_class`` rows with and as many
 without the last category, those with the smallest hashes of their ids. Which features count is
 decided by a likelihood-ratio statistic over that sample; only they reach the driver. The intercepts
 are then set to the categories' shares among all labelled rows.
@@ -37,7 +37,6 @@ class Chain:
     per_class: int = 3000
     folds: int = 3
     evidence: float = 12.0
-    most_features: int = 20_000
     penalty: float = 1.0
     steps: int = 200
     threshold: float = 0.5
@@ -130,7 +129,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, opts: Chain = Chain(), id_col:
     rows = staged(sample.mapInArrow(_extract, f"{types}, features array<bigint>"), "labelled")
     totals = rows.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = max(totals["n"] or 0, 1)
-    counts = rows.select(F.explode("features").alias("f"), *ys).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).where("n > 1")
+    counts = rows.select(F.explode("features").alias("f"), *ys).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys])
 
     def term(observed: Column, expected: Column) -> Column:
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -141,10 +140,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, opts: Chain = Chain(), id_col:
         pos, neg = F.col(y).cast("double"), (F.col("n") - F.col(y)).cast("double")
         scores.append(2 * (term(pos, F.col("n") * share) + term(neg, F.col("n") * (1 - share))))
     chosen = counts.withColumn("score", F.greatest(*scores, F.lit(0.0))).where(F.col("score") >= opts.evidence)
-    chosen = [r[0] for r in chosen.orderBy(F.desc("score"), "f").limit(opts.most_features).select("f").collect()]
+    chosen = [r[0] for r in chosen.select("f").collect()]  # of the sample's features, a bounded number
     features = {f: i for i, f in enumerate(sorted(chosen))}
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(f, i) for f, i in features.items()], "f long, place int"))  # at most most_features rows
+    wanted = F.broadcast(spark.createDataFrame([(f, i) for f, i in features.items()], "f long, place int"))  # as bounded
     pairs = rows.select("id", F.explode("features").alias("f")).join(wanted, "f").groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("places"))
     data = rows.select("id", *ys).join(pairs, "id", "left").orderBy("id").toPandas()
     places = [p if p is not None else [] for p in data["places"]]

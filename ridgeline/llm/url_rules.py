@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ascii_lower, hint
+from ridgeline.llm.common import ascii_lower, columns_free_of, hint
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     rules: host, path (with its leading slash), verdict. Rules of one host and path: the strictest in
     alphabetical order from the end counts ("block" before "allow"). Without a fitting rule the
-    verdict is ``default``. Every row is kept; pages' own columns of the new names are replaced.
+    verdict is ``default``. Every row is kept; pages' own columns of the new names are replaced, all
+    others stay, whatever their names. Only pages with a fitting rule are looked up by join, broadcast
+    if they are few (counted).
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = canonical(F.col(url_col))
@@ -80,6 +82,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     exact = hits.drop("key").join(hint(listed.drop("key"), opts.broadcast_rules), same)
     size = F.length("r_host") + F.length("r_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("r_host").alias("hosts"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("b_verdict"))
-    out = pages.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
-    return out.drop("b_host", "b_path").withColumn("verdict", F.coalesce("b_verdict", F.lit(default))).drop("b_verdict")
+    b_host, b_path = columns_free_of(pages, "_host", "_path")
+    best = best.select(F.col("host").alias(b_host), F.col("path").alias(b_path), "best.rule", "best.verdict")
+    some = pages.where("host <> ''").join(hint(best, opts.broadcast_rules), (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), "left").drop(b_host, b_path)
+    none = pages.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})  # these meet no rule, and never the join
+    return some.unionByName(none).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
