@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.select import hint
+
 
 def rate(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
@@ -166,7 +168,7 @@ def best_runs(history: DataFrame, stage: str = "stage", score: str = "composite"
 
 def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(metric, value, op, threshold, passed): passed is NULL without a value. thresholds: metric, op (>= or <=), threshold."""
-    both = F.broadcast(thresholds).join(metrics.select("metric", "value"), "metric", "left")
+    both = hint(thresholds, 10_000).join(metrics.select("metric", "value"), "metric", "left")
     passed = F.when(F.col("op") == ">=", F.col("value") >= F.col("threshold")).when(F.col("op") == "<=", F.col("value") <= F.col("threshold"))
     return both.select("metric", "value", "op", "threshold", passed.alias("passed"))
 
@@ -194,7 +196,7 @@ def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, resamples: int
 def mask_metrics(metrics: DataFrame, capabilities: DataFrame, needs: dict[str, str]) -> DataFrame:
     """Long metrics (model, metric, value) with NULL where the model lacks what a metric needs. capabilities: model, capability, able."""
     need = reduce(lambda out, kv: F.when(F.col("metric") == kv[0], kv[1]).otherwise(out), needs.items(), F.lit(None).cast("string"))
-    rows = metrics.withColumn("capability", need).join(F.broadcast(capabilities), ["model", "capability"], "left")
+    rows = metrics.withColumn("capability", need).join(hint(capabilities, 100_000), ["model", "capability"], "left")
     return rows.select("model", "metric", F.when(F.col("capability").isNull() | F.coalesce("able", F.lit(False)), F.col("value")).alias("value"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text, vocab
 from ridgeline.operators.aggregate import accuracy, by_slice, class_report, confusion, rate
-from ridgeline.operators.select import seeded
+from ridgeline.operators.select import hint, seeded
 
 
 def complete_frames(*scans: DataFrame, key: str = "frame_key") -> DataFrame:
@@ -42,7 +42,12 @@ def truth_grid(pts: Column, padded: bool = False) -> Column:
 
 
 def current_speed(vel_x: Column, vel_y: Column, pos_x: Column, pos_y: Column, fallback: str = "positions") -> Column:
-    """Speed now, in m/s. Without velocities: from positions as the labels do, by the last difference ("difference"), or zero ("zero")."""
+    """Speed now, in m/s. Without velocities: from positions as the labels do, by the last difference ("difference"), or zero ("zero").
+
+    "x only" takes a missing lateral velocity as zero, and needs a forward one.
+    """
+    if fallback == "x only":
+        return F.coalesce(F.hypot(F.try_element_at(vel_x, F.lit(-1)), F.coalesce(F.try_element_at(vel_y, F.lit(-1)), F.lit(0.0))), F.lit(0.0))
     v = F.hypot(F.try_element_at(vel_x, F.lit(-1)), F.try_element_at(vel_y, F.lit(-1)))
     if fallback == "zero":
         return F.coalesce(v, F.lit(0.0))
@@ -52,6 +57,10 @@ def current_speed(vel_x: Column, vel_y: Column, pos_x: Column, pos_y: Column, fa
     return F.coalesce(F.try_element_at(motion.past_speeds(vel_x, vel_y, pos_x, pos_y), F.lit(-1)), F.lit(0.0))
 
 
+def kmh(speed: Column) -> Column:
+    return speed * 3.6
+
+
 def label_path(df: DataFrame, path: str, v0: str, intent: str) -> DataFrame:
     """df with label (sample, lon, lat) of a predicted path by the rules for frames; without a path it keeps."""
     speeds = motion.future_speeds(F.col(path))
@@ -80,6 +89,39 @@ def build_caches(index: DataFrame, frames: DataFrame, ann: DataFrame, key: str =
     )
 
 
+def norm_index_row(row: Column) -> Column:
+    """struct(intent, n_objects) of a cached row in VARIANT: a list [intent, n], or an object with its names of old and new."""
+    get = lambda path, kind: F.try_variant_get(row, path, kind)
+    text_ = lambda *paths: F.coalesce(*[F.nullif(get(p, "string"), F.lit("")) for p in paths], F.lit("GO_STRAIGHT"))
+    number = lambda *paths: F.coalesce(*[get(p, "int") for p in paths], F.lit(0))
+    listed = F.schema_of_variant(row).startswith("ARRAY")
+    return F.when(listed, F.struct(text_("$[0]").alias("intent"), number("$[1]").alias("n_objects"))).otherwise(F.struct(text_("$.intent_corrected", "$.intent").alias("intent"), number("$.n_objects", "$.n_obj").alias("n_objects")))
+
+
+def norm_context_row(row: Column) -> Column:
+    """struct(weather, visibility, event) of a cached row in VARIANT, a list or an object."""
+    get = lambda path, kind: F.try_variant_get(row, path, kind)
+    known = lambda p: F.coalesce(F.nullif(get(p, "string"), F.lit("")), F.lit("Unknown"))
+    listed = F.schema_of_variant(row).startswith("ARRAY")
+    of_list = F.struct(known("$[0]").alias("weather"), known("$[1]").alias("visibility"), F.coalesce(get("$[2]", "int"), F.lit(0)).alias("event"))
+    return F.when(listed, of_list).otherwise(F.struct(known("$.weather").alias("weather"), known("$.visibility").alias("visibility"), F.coalesce(get("$.has_interesting_event", "int"), get("$.interesting", "int"), F.lit(0)).alias("event")))
+
+
+def derive_missing(index: DataFrame, cache: DataFrame, frames: DataFrame, ann: DataFrame, key: str = "frame_key") -> DataFrame:
+    """Cached rows of the index, and rows derived from frames and annotations where the cache has none."""
+    lacks = index.select(key).join(cache.select(key), key, "left_anti")
+    have = cache.join(index.select(key), key, "left_semi")
+    return have.unionByName(build_caches(lacks, frames, ann, key).select(have.columns))
+
+
+def richest_frame(ann: DataFrame, key: str = "frame_key", least: int = 3) -> DataFrame:
+    """The frame with the most explained objects (10 each) and both reason and plan (5), of those with three objects; of equals the first by key."""
+    said = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    explained = F.size(F.filter("objects", lambda o: said(o["implication"])))
+    score = explained * 10 + F.when(said(F.col("reason")) & said(F.col("final_plan")), 5).otherwise(0)
+    return ann.where(F.size("objects") >= least).withColumn("score", score).orderBy(F.desc("score"), key).limit(1)
+
+
 def chain_pool(caches: DataFrame, partitions: list[str]) -> DataFrame:
     """Rows of the partitions whose chain is complete; an empty pool is an error."""
     pool = caches.where(F.col("partition").isin(partitions) & F.col("chain_complete"))
@@ -102,6 +144,11 @@ def index_stats(df: DataFrame, kept: Column, negative: Column, by: str) -> DataF
     return rows.groupBy(by).agg(F.countDistinct("scene_id").alias("scenes"), F.count("*").alias("scanned"), F.count_if("_k").alias("kept"), F.count_if(F.col("_k") & ~F.col("_n")).alias("pos"), F.count_if(F.col("_k") & F.col("_n")).alias("neg"))
 
 
+def kept_by(df: DataFrame, kept: Column, *by: Column) -> DataFrame:
+    """Kept frames by several properties, as by intent and whether they are empty."""
+    return df.where(kept).groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def class_counts(df: DataFrame, by: str, kind: str, values: list[str], prefix: str = "sc_") -> DataFrame:
     """Counts of each class per group as columns."""
     found = df.groupBy(by).pivot(kind, values).count().na.fill(0)
@@ -137,8 +184,8 @@ def resolve_frames(preds: DataFrame, *trees: DataFrame, key: str = "frame_key",
 def with_frequency(df: DataFrame, value: str, freq: DataFrame) -> DataFrame:
     """df with the count of its value, exact or else without regard to case and outer blanks; freq: value, n (a vocabulary)."""
     norm = lambda c: F.lower(F.trim(c))
-    exact = F.broadcast(freq.select(F.col("value").alias("_v"), F.col("n").alias("_n")))
-    loose = F.broadcast(freq.groupBy(norm(F.col("value")).alias("_lv")).agg(F.max("n").alias("_ln")))
+    exact = hint(freq.select(F.col("value").alias("_v"), F.col("n").alias("_n")))
+    loose = hint(freq.groupBy(norm(F.col("value")).alias("_lv")).agg(F.max("n").alias("_ln")))
     return df.join(exact, F.col(value) == F.col("_v"), "left").join(loose, norm(F.col(value)) == F.col("_lv"), "left").withColumn("n", F.coalesce("_n", "_ln")).drop("_v", "_n", "_lv", "_ln")
 
 
@@ -191,7 +238,7 @@ def project_points(points: DataFrame, cameras: DataFrame, key: str) -> DataFrame
 
     cameras (a short table): camera, m (12 values, ego to camera by rows), fx, fy, cx, cy, offset, width.
     """
-    c = F.broadcast(cameras)
+    c = hint(cameras, 1000)
     rows = points.join(c, F.lit(True))
     row = lambda i: F.col("m")[4 * i] * F.col("x") + F.col("m")[4 * i + 1] * F.col("y") + F.col("m")[4 * i + 2] * F.col("z") + F.col("m")[4 * i + 3]
     rows = rows.select(key, "camera", "offset", "width", "fx", "fy", "cx", "cy", row(0).alias("_x"), row(1).alias("_y"), row(2).alias("_z")).where("_z > 0.1")

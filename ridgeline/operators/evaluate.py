@@ -61,7 +61,7 @@ def duplicate_objects(objects: Column) -> Column:
 def chain_metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
     """Rows need answer, text, motion (truth: lon, lat), ego (truth class) and derived (motion class of the predicted path)."""
     a, m = F.col("answer"), missing_flags(F.col("answer"))
-    progression = motion.is_progression(F.transform(a["traj"], lambda p: p["x"]))
+    progression = motion.is_progression(a["traj"]) & (motion.varies(F.col("truth")) if "truth" in rows.columns else F.lit(True))
     share = lambda c: accuracy(c)
     flags = rows.withColumns({f"_m_{f}": m[f] for f in ("reason", "final_plan", "motion", "traj", "implication")})
     flags = flags.withColumns({
@@ -144,7 +144,51 @@ def intervention_prefixes(base: DataFrame, answer: str, lon: str, one: bool = Fa
 def intervention_metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
     """Rows: kind (self or swap), target_lon, base_derived_lon, derived_lon. Follow and change rates, self-follow apart."""
     swap, follow = F.col("kind") == "swap", F.col("derived_lon") == F.col("target_lon")
-    return by_slice(rows, slices, F.count("*").alias("n"), accuracy(F.when(swap, follow)).alias("follow_rate"), accuracy(F.when(swap, F.col("derived_lon") != F.col("base_derived_lon"))).alias("change_rate"), accuracy(F.when(~swap, follow)).alias("self_follow_rate"))
+    return by_slice(rows, slices, F.count("*").alias("n"), accuracy(F.when(swap, follow)).alias("follow_rate"), accuracy(F.when(swap, F.col("derived_lon") != F.col("base_derived_lon"))).alias("change_rate"), accuracy(F.when(~swap, follow)).alias("self_follow_rate"), *([F.avg(F.when(~swap, F.col("ade_vs_base"))).alias("reproduction_ade")] if "ade_vs_base" in rows.columns else []))
+
+
+def with_base(rows: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Intervention rows with their frame's base row: base_derived_lon, base_ade5, whether the motion changed, and the mean distance of the paths."""
+    b = base.select(key, F.col("derived_lon").alias("base_derived_lon"), F.col("ade5").alias("base_ade5"), F.col("pred").alias("_base"))
+    both = rows.join(b, key)
+    changed = F.col("derived_lon") != F.col("base_derived_lon")
+    apart = motion.array_mean(motion.displacement(F.col("pred"), F.col("_base")))
+    return both.withColumn("changed_vs_base", changed).withColumn("ade_vs_base", F.when(F.size("pred") == F.size("_base"), apart)).drop("_base")
+
+
+def with_scores(rows: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """Rows with their score, NULL where there is none."""
+    return rows.join(scores.groupBy(key).agg(F.max("score").alias("score")), key, "left")
+
+
+def coalesce_aliases(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Record fields under their canonical names: the first of the names that is there and not NULL."""
+    have = set(rows.columns)
+    found = {name: [c for c in names if c in have] for name, names in aliases.items()}
+    out = rows.withColumns({f"_a_{n}": F.coalesce(*[F.col(c) for c in cs]) if cs else F.lit(None) for n, cs in found.items()})
+    rest = [c for c in rows.columns if c not in {c for cs in found.values() for c in cs}]
+    return out.select(*rest, *[F.col(f"_a_{n}").alias(n) for n in aliases])
+
+
+def history_clause(frame: dict[str, str], steps: int = 6) -> Column:
+    """``(t-3.0s) [x, y], Acceleration…, Velocity…`` every half second up to now, relative to it, of the six series named in frame."""
+    at = lambda name, i: F.get(F.col(frame[name]), i)
+    n = F.size(F.col(frame["pos_x"]))
+
+    def item(k: Column) -> Column:
+        i, last = n - 1 - 2 * k, n - 1
+        place = [at(c, i) - at(c, last) for c in ("pos_x", "pos_y")]
+        speed = F.hypot(at("vel_x", i), at("vel_y", i))
+        return F.format_string("(t-%.1fs) [%.2f, %.2f], Acceleration: X %.2f, Y %.2f m/s^2, Velocity: %.2f m/s", k * 0.5, *place, at("accel_x", i), at("accel_y", i), speed)
+
+    back = F.filter(F.sequence(F.lit(steps), F.lit(0), F.lit(-1)), lambda k: n - 1 - 2 * k >= 0)
+    return F.array_join(F.transform(back, item), ", ")
+
+
+def planning_pairs(answer: Column) -> Column:
+    """Bracket pairs of <PLANNING>, or of the whole text without it; NULL without any."""
+    body = F.when(answer.contains("<PLANNING>"), F.regexp_extract(answer, r"(?s)<PLANNING>(.*?)(?:</PLANNING>|$)", 1)).otherwise(answer)
+    return text.let(text.bracket_pairs(body), lambda p: F.when(F.size(p) > 0, p))
 
 
 def prepare_scores(preds: DataFrame, frames: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -190,10 +234,17 @@ def reference_predictions(frames: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def trajectory_profile(paths: DataFrame, path: str) -> DataFrame:
-    """One row: mean and largest extent ahead and aside, mean speed, and how many end left, right or neither (half a metre)."""
+def trajectory_profile(paths: DataFrame, path: str, speeds: str | None = None) -> DataFrame:
+    """One row: mean and largest extent ahead and aside, speed and its change, curvature by the end point, and how many end left, right or neither (half a metre).
+
+    speeds: past speeds, for the speed and its change; without them the speed is the path's.
+    """
     pts = F.col(path)
-    x, y = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    end = F.try_element_at(y, F.lit(-1))
-    rows = paths.select((F.array_max(x) - F.array_min(x)).alias("ahead"), (F.array_max(y) - F.array_min(y)).alias("aside"), motion.array_mean(motion.future_speeds(pts)).alias("speed"), end.alias("end"))
-    return rows.agg(F.avg("ahead").alias("ahead"), F.max("aside").alias("aside_max"), F.avg("speed").alias("speed"), F.stddev_pop("speed").alias("speed_sd"), F.count_if(F.col("end") > 0.5).alias("left"), F.count_if(F.col("end") < -0.5).alias("right"), F.count_if(F.abs("end") <= 0.5).alias("neither"))
+    x, y = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: F.abs(p["y"]))
+    end, ahead = F.try_element_at(pts, F.lit(-1))["y"], F.array_max(x)
+    past = F.col(speeds) if speeds else motion.future_speeds(pts)
+    rows = paths.select(ahead.alias("ahead"), F.array_max(y).alias("aside"), motion.array_mean(past).alias("speed"), F.when(F.size(past) > 1, F.try_element_at(past, F.lit(-1)) - F.get(past, F.lit(0))).alias("change"), F.when(ahead > 0.1, F.abs(end) / ahead).alias("curve"), end.alias("end"))
+    return rows.agg(
+        F.avg("ahead").alias("ahead"), F.avg("aside").alias("aside"), F.max("aside").alias("aside_max"), F.avg("speed").alias("speed"), F.stddev_pop("speed").alias("speed_sd"), F.avg("change").alias("speed_change"), F.avg("curve").alias("curvature"),
+        F.count_if(F.col("end") > 0.5).alias("left"), F.count_if(F.col("end") < -0.5).alias("right"), F.count_if(F.abs("end") <= 0.5).alias("neither"),
+    )

@@ -1,13 +1,16 @@
 """Selection: strides, caps, seeded orders, quotas, splits and their repair.
 
 Seeded choices order rows by an md5 of seed and key, so that they repeat on any cluster and in any
-SQL engine. Limits that need no exact rank use a distributed top-k rather than a global window.
+SQL engine. Exact counts of them need no task that holds a stratum: the leading digits of the md5 are
+buckets, whose counts tell which buckets are taken whole and in which one rows are ranked.
 """
 
 from __future__ import annotations
 
+import collections
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +37,50 @@ def stride_select(df: DataFrame, scene: str, order: str, kind: Column, strides:
     return rows.where((F.col("_n") - 1) % stride == 0).drop("_n", "_kind")
 
 
+def few_enough(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows; reads no more than it must."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def hint(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast a table of narrow rows if it is that short (counted), else leave the join to Spark."""
+    return F.broadcast(df) if few_enough(df, rows) else df
+
+
+def least_seeds(df: DataFrame, quotas: DataFrame, stratum: str, seed: int | str, *keys: str, digits: int = 4) -> DataFrame:
+    """Per stratum the ``quota`` rows of the least seeds, exactly; quotas: stratum, quota. A NULL stratum has none.
+
+    Buckets are the first hexadecimal digits of the seed, 16 ** digits per stratum: one aggregation
+    counts them, running sums over them find each bucket's room, and rows are ranked within buckets.
+    """
+    h = seeded(seed, *keys)
+    rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
+    counts = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = counts.withColumn("_before", before).join(quotas.select(stratum, "quota"), stratum).select(stratum, "_b", (F.col("quota") - F.col("_before")).alias("_room")).where("_room > 0")
+    ranked = rows.join(room, [stratum, "_b"]).withColumn("_n", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", *keys)))
+    return ranked.where("_n <= _room").select(df.columns)
+
+
 def cap_ratio(df: DataFrame, negative: Column, share: float, seed: int, *keys: str) -> DataFrame:
     """All positives, and a seeded sample of the negatives so that they are at most ``share`` of the result."""
     marked = df.withColumn("_neg", negative)
-    positives = marked.where("NOT _neg").count()
-    most = int(share / (1 - share) * positives)
-    kept = marked.where("_neg").orderBy(seeded(seed, *keys), *keys).limit(most)
+    most = marked.where("NOT _neg").agg(F.floor(F.lit(share / (1 - share)) * F.count("*")).alias("quota")).select(F.lit(True).alias("_neg"), "quota")
+    kept = least_seeds(marked.where("_neg"), most, "_neg", seed, *keys)
     return marked.where("NOT _neg").unionByName(kept).drop("_neg")
 
 
+def frame_window(df: DataFrame, frame_no: str, low: int = 140, high: int = 160) -> DataFrame:
+    """Frames whose number lies in a window, both ends included."""
+    return df.where(F.col(frame_no).between(low, high))
+
+
+def natural_key(name: Column) -> Column:
+    """A key that orders names by their numbers as numbers: runs of digits padded to twenty places."""
+    parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit(r"^\d+$")), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not listed; to be applied before any stride or cap."""
     return df.join(ids.select(key).distinct(), key, "left_anti")
@@ -74,15 +112,24 @@ def quota(strata: DataFrame, stratum: str, size: str, n: int) -> DataFrame:
 
 def stratified_draw(df: DataFrame, quotas: DataFrame, stratum: str, seed: int, *keys: str) -> DataFrame:
     """Per stratum a seeded draw of its quota."""
-    order = Window.partitionBy(stratum).orderBy(seeded(seed, *keys), *keys)
-    return df.join(F.broadcast(quotas.select(stratum, "quota")), stratum).withColumn("_n", F.row_number().over(order)).where("_n <= quota").drop("_n", "quota")
+    return least_seeds(df, quotas, stratum, seed, *keys)
 
 
-def group_by_appearance(df: DataFrame, group: str, position: str, per: int = 100) -> DataFrame:
-    """Groups numbered by first appearance, and in batches of ``per``: columns ordinal and batch."""
+def group_by_appearance(df: DataFrame, group: str, position: str, per: int = 100, parts: int = 200) -> DataFrame:
+    """Groups numbered by first appearance, and in batches of ``per``: columns ordinal and batch. Positions are numbers.
+
+    The groups are cut at approximate quantiles of their first positions; counts of the parts before
+    give each part's offset, so that groups are ranked within parts only, and exactly.
+    """
     first = df.groupBy(group).agg(F.min(position).alias("_first"))
-    ranked = first.withColumn("ordinal", F.row_number().over(Window.orderBy("_first", group))).withColumn("batch", F.floor((F.col("ordinal") - 1) / per).cast("long") + 1)
-    return df.join(ranked.drop("_first"), group)
+    cuts = first.agg(F.percentile_approx("_first", [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("_first"))) if cuts else F.lit(0)
+    rows = first.withColumn("_part", part)
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_c"))  # no more rows than parts
+    offsets = offsets.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_first", group))).join(F.broadcast(offsets), "_part")
+    ranked = ranked.select(group, (F.col("_n") + F.col("_before")).cast("int").alias("ordinal"))
+    return df.join(ranked.withColumn("batch", F.floor((F.col("ordinal") - 1) / per).cast("long") + 1), group)
 
 
 def shortfall(selected: DataFrame, minima: dict[str, float]) -> DataFrame:
@@ -103,35 +150,42 @@ def repair_selection(pool: DataFrame, selected: DataFrame, key: str, stratum: st
     """Swap rows in and out while that lowers (shortfall, deviation); returns the selection.
 
     Each round takes the constraint that lacks most and tries the ``candidates`` outside rows that
-    bring most of it, one distributed top-k over the pool, against every selected row. The selection
-    and the quotas are short lists, as their n is an argument; the pool is never gathered.
+    bring most of it against every selected row. Rows that may ever be tried are gathered once: per
+    constraint the n + candidates rows that bring most, as n rows at most are inside. These, the
+    selection and the quotas are short lists, bounded by arguments; the pool is never gathered.
     """
     columns = [key, stratum, *minima]
-    kept = [tuple(r) for r in selected.select(*columns).collect()]
+    inside = [tuple(r) for r in selected.select(*columns).collect()]
     of = {r[0]: r[1] for r in quotas.select(stratum, "quota").collect()}
-    need = list(minima.values())
+    most = len(inside) + candidates
+    ranked = {c: [tuple(r) for r in pool.select(*columns).orderBy(F.desc(c), seeded(seed, key)).limit(most).collect()] for c in minima}
+    need = np.array(list(minima.values()), float)
+    value = lambda rows: np.array([[x or 0 for x in r[2:]] for r in rows], float).reshape(len(rows), len(need))
 
-    def score(rows: list[tuple]) -> tuple[float, int]:
-        lack = sum(max(0.0, m - sum(r[2 + i] or 0 for r in rows)) for i, m in enumerate(need))
-        n: dict = {}
-        for r in rows:
-            n[r[1]] = n.get(r[1], 0) + 1
-        return lack, sum(abs(of.get(s, 0) - n.get(s, 0)) for s in {*of, *n})
+    def apart(rows: list[tuple]) -> dict:
+        n = collections.Counter(r[1] for r in rows)
+        return {s: (of.get(s, 0), n.get(s, 0)) for s in {*of, *n}}
 
-    best = score(kept)
+    shift = lambda at, s, by: abs(at.get(s, (0, 0))[0] - at.get(s, (0, 0))[1] - by) - abs(at.get(s, (0, 0))[0] - at.get(s, (0, 0))[1])
     for _ in range(rounds):
-        if not best[0]:
+        have = value(inside)
+        lack = need - have.sum(axis=0)
+        now = np.maximum(lack, 0).sum(), sum(abs(q - n) for q, n in apart(inside).values())
+        if not now[0] or not inside:
+            break
+        worst = max(range(len(need)), key=lambda i: (lack[i] / max(need[i], 1e-9), columns[2 + i]))
+        names = {r[0] for r in inside}
+        more = [r for r in ranked[columns[2 + worst]] if r[0] not in names][:candidates]
+        if not more:
             break
-        lacks = [(m - sum(r[2 + i] or 0 for r in kept)) / max(m, 1e-9) for i, m in enumerate(need)]
-        worst = columns[2 + max(range(len(need)), key=lambda i: (lacks[i], columns[2 + i]))]
-        outside = pool.select(*columns).where(~F.col(key).isin([r[0] for r in kept]))
-        more = [tuple(r) for r in outside.orderBy(F.desc(worst), seeded(seed, key)).limit(candidates).collect()]
-        swaps = [(score([*kept[:k], into, *kept[k + 1 :]]), k, j) for k in range(len(kept)) for j, into in enumerate(more)]
-        if not swaps or min(swaps)[0] >= best:
+        short = np.maximum(lack + have[:, None, :] - value(more)[None, :, :], 0).sum(axis=2)
+        at = apart(inside)
+        change = np.array([[0 if a[1] == b[1] else shift(at, a[1], -1) + shift(at, b[1], 1) for b in more] for a in inside])
+        k, j = divmod(int(np.lexsort((change.ravel(), short.ravel()))[0]), len(more))
+        if (short[k, j], now[1] + change[k, j]) >= now:
             break
-        best, k, j = min(swaps)
-        kept[k] = more[j]
-    return pool.sparkSession.createDataFrame(kept, selected.select(*columns).schema)
+        inside[k] = more[j]
+    return pool.sparkSession.createDataFrame(inside, selected.select(*columns).schema)
 
 
 def select_scenes(pool: DataFrame, key: str, stratum: str, n: int, minima: dict[str, float], seed: int = 0, restarts: int = 3) -> DataFrame:

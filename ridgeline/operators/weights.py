@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.select import hint
+
 
 def with_total(df: DataFrame, **totals: Column) -> DataFrame:
     return df.join(F.broadcast(df.agg(*[c.alias(n) for n, c in totals.items()])), F.lit(True))
@@ -78,26 +80,46 @@ def balance_factor(df: DataFrame, value: str, n: str, out: str) -> DataFrame:
     return df.join(F.broadcast(median), F.lit(True)).withColumn(out, F.least(F.lit(3.0), F.greatest(F.lit(0.5), F.sqrt(F.col("_m") / F.col(n))))).drop("_m")
 
 
-def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int, buckets: int = 64) -> DataFrame:
+def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int, digits: int = 3) -> DataFrame:
     """n seeded draws with replacement by weight: (draw, key).
 
-    Cumulative weights come in two steps, sums per hash bucket and running sums within each, so no
-    task orders the whole table; a uniform number then falls into one row's interval of its bucket.
+    Rows lie in 16 ** digits buckets by the md5 of their key, each after the one before: sums per bucket
+    give its start, running sums within it a row's start. A draw's uniform number is a place on that
+    line; it belongs to the last row that starts at or before it, found by one window over both.
     """
-    rows = df.where(F.col(weight) > 0).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    sums = rows.groupBy("_b").agg(F.sum(weight).alias("_s"))
+    rows = df.where(F.col(weight) > 0).withColumn("_b", F.substring(F.md5(F.col(key).cast("string")), 1, digits))
+    sums = rows.groupBy("_b").agg(F.sum(weight).alias("_s"))  # no more rows than buckets
     over = Window.orderBy("_b")
-    starts = sums.withColumn("_start", F.sum("_s").over(over) - F.col("_s")).withColumn("_total", F.sum("_s").over(Window.partitionBy(F.lit(1))))
-    within = Window.partitionBy("_b").orderBy(key)
-    spans = rows.withColumn("_hi", F.sum(weight).over(within)).withColumn("_lo", F.col("_hi") - F.col(weight)).select("_b", "_lo", "_hi", key)
+    starts = sums.withColumn("_end", F.sum("_s").over(over)).withColumn("_start", F.col("_end") - F.col("_s"))
+    total = sums.agg(F.sum("_s").alias("_total"))
+    within = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.select("_b", F.coalesce(F.sum(weight).over(within), F.lit(0.0)).alias("_at"), F.lit(0).alias("_side"), F.col(key), F.lit(None).cast("long").alias("draw"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", u)
-    placed = draws.join(F.broadcast(starts), (F.col("_u") * F.col("_total") >= F.col("_start")) & (F.col("_u") * F.col("_total") < F.col("_start") + F.col("_s")))
-    placed = placed.select("draw", "_b", (F.col("_u") * F.col("_total") - F.col("_start")).alias("_at"))
-    return placed.join(spans, "_b").where("_at >= _lo AND _at < _hi").select("draw", key)
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total), F.lit(True)).withColumn("_u", u * F.col("_total"))
+    bounds = starts.select(F.struct("_start", "_end", "_b").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("_all"))
+    # the buckets are few, so the one of a draw is found in their sorted list
+    mine = draws.join(F.broadcast(bounds), F.lit(True)).withColumn("x", F.get(F.filter("_all", lambda x: (x["_start"] <= F.col("_u")) & (F.col("_u") < x["_end"])), F.lit(0)))
+    placed = mine.select(F.col("x._b").alias("_b"), (F.col("_u") - F.col("x._start")).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(dict(df.dtypes)[key]).alias(key), "draw")
+    last = F.last(key, ignorenulls=True).over(Window.partitionBy("_b").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    return spans.unionByName(placed).withColumn(key, last).where("_side = 1").select("draw", key)
+
+
+#: The answer fields that a stage unlocks; another stage unlocks all.
+STAGE_FIELDS = {
+    "a": ("context", "events", "presence"),
+    "b": ("context", "events", "presence", "count", "obj_open", "type", "point", "rank", "location", "intention", "state", "content"),
+}
+
+
+def unlocked(field: Column, stage: Column) -> Column:
+    """Whether a field may be trained in a stage; without a stage, or in one that has no list, all may."""
+    out = F.lit(True)
+    for name, fields in STAGE_FIELDS.items():
+        out = F.when(stage == name, field.isin(*fields)).otherwise(out)
+    return out
 
 
 def stage_of(df: DataFrame, fraction: str, stages: DataFrame) -> DataFrame:
     """df with the stage whose [from, to) holds the progress fraction. stages: stage, from, to."""
-    s = F.broadcast(stages.select("stage", F.col("from").alias("_f"), F.col("to").alias("_t")))
+    s = hint(stages.select("stage", F.col("from").alias("_f"), F.col("to").alias("_t")), 10_000)
     return df.join(s, (F.col(fraction) >= F.col("_f")) & (F.col(fraction) < F.col("_t")), "left").drop("_f", "_t")

@@ -163,7 +163,7 @@ def stratified_draw(spark, sf_dir):
 @query()
 def split_repair(spark, sf_dir):
     pool = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    found = select.select_scenes(pool, "p_partkey", "p_brand", 20, {"p_size": 900.0, "p_retailprice": 30000.0}, seed=1, restarts=1)
+    found = select.select_scenes(pool, "p_partkey", "p_brand", 20, {"p_size": 900.0, "p_retailprice": 30000.0}, seed=1)
     return select.shortfall(found, {"p_size": 900.0, "p_retailprice": 30000.0})
 
 
@@ -307,11 +307,17 @@ def acceptance_gates(spark, sf_dir):
     return aggregate.gates(long, limits).withColumn("value", F.round("value", 4))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT o_custkey AS k, avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus <> 'F') AS d FROM orders GROUP BY 1), v AS (SELECT * FROM p WHERE d IS NOT NULL),
+w AS (SELECT r, d, ('0x' || substr(md5('3|' || r || '|' || k), 1, 8))::UBIGINT / 4294967296.0 AS u FROM v, range(2000) t(r)),
+x AS (SELECT r, d, CASE WHEN u < 0.3678794412 THEN 0 WHEN u < 0.7357588823 THEN 1 WHEN u < 0.9196986029 THEN 2 WHEN u < 0.9810118431 THEN 3 WHEN u < 0.9963401532 THEN 4 WHEN u < 0.9994058152 THEN 5 WHEN u < 0.9999167588 THEN 6 ELSE 7 END AS n FROM w), m AS (SELECT r, sum(n * d) / sum(n) AS m FROM x GROUP BY 1)
+SELECT (SELECT round(avg(d), 4) FROM v) AS mean_diff, (SELECT count(*) FROM v) AS n, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round(avg((m > 0)::INT), 9) AS share_above FROM m"""
+)
 def paired_bootstrap(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
-    pairs = pairs.withColumn("k", F.concat_ws("|", "l_returnflag", "l_linestatus", "l_linenumber"))
-    return aggregate.paired_bootstrap(pairs, "k", "a", "b", 500, 3)
+    o, side = table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F"
+    pairs = o.groupBy("o_custkey").agg(F.avg(F.when(side, F.col("o_totalprice"))).alias("a"), F.avg(F.when(~side, F.col("o_totalprice"))).alias("b"))
+    found = aggregate.paired_bootstrap(pairs, "o_custkey", "a", "b", 2000, 3)
+    return found.select(F.round("mean_diff", 4).alias("mean_diff"), "n", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("share_above", 9).alias("share_above"))
 
 
 @query("SELECT lang, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS percent FROM documents GROUP BY 1")
@@ -373,7 +379,9 @@ def balance_factor(spark, sf_dir):
     return weights.balance_factor(f, "p_brand", "n", "factor").withColumn("factor", F.round("factor", 9))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS w, substr(md5(p_partkey::VARCHAR), 1, 3) AS b FROM part WHERE p_size > 0),
+s AS (SELECT p_partkey, sum(w) OVER (ORDER BY b, p_partkey) - w AS lo, sum(w) OVER (ORDER BY b, p_partkey) AS hi FROM p),
+d AS (SELECT i AS draw, (('0x' || substr(md5('11|' || i), 1, 13))::UBIGINT / 4503599627370496.0) * (SELECT sum(w) FROM p) AS u FROM range(500) t(i)) SELECT draw, p_partkey FROM d JOIN s ON u >= lo AND u < hi""")
 def weighted_draw(spark, sf_dir):
     return weights.weighted_draw(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w")), "p_partkey", "w", 500, 11)
 
@@ -398,25 +406,42 @@ def nearest_boxes(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+#: Candidate pairs of a frame; objects 1, 2 and 3 then take the nearest prediction that is still free.
+_PAIRS = (
+    OBJECTS_SQL
+    + """, d AS (SELECT t.frame, t.g, p.g AS p, t.class, p.class AS pclass, sqrt(pow(greatest(t.x - p.x, 0, p.x - (t.x + t.w)), 2) + pow(greatest(t.y - p.y, 0, p.y - (t.y + t.h)), 2)) AS d,
+  least(300.0, greatest(60.0, 1.5 * sqrt(t.w * t.w + t.h * t.h))) AS gate FROM objects t JOIN objects p ON p.frame = t.frame AND p.g > 3 WHERE t.g <= 3)"""
+)
+
+
+def _greedy_sql(where: str) -> str:
+    """Objects 1, 2, 3 of a frame each take the nearest free prediction of those allowed."""
+    one = "SELECT frame, g, p, d, row_number() OVER (PARTITION BY frame ORDER BY d, p) AS k FROM ok WHERE g = {g}{free}"
+    parts = ["ok AS (SELECT * FROM d WHERE " + where + ")", "a1 AS (SELECT * FROM (" + one.format(g=1, free="") + ") WHERE k = 1)"]
+    parts.append("a2 AS (SELECT * FROM (" + one.format(g=2, free=" AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.frame = ok.frame AND a1.p = ok.p)") + ") WHERE k = 1)")
+    parts.append("a3 AS (SELECT * FROM (" + one.format(g=3, free=" AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.frame = ok.frame AND a1.p = ok.p) AND NOT EXISTS (SELECT 1 FROM a2 WHERE a2.frame = ok.frame AND a2.p = ok.p)") + ") WHERE k = 1)")
+    return ", ".join(parts) + ", taken AS (SELECT frame, g, p, d FROM a1 UNION ALL SELECT frame, g, p, d FROM a2 UNION ALL SELECT frame, g, p, d FROM a3)"
+
+
 def _sides(spark, sf_dir):
     o = objects(spark, sf_dir)
     found = o.where("g > 3").select("frame", F.col("g").alias("p"), F.col("class").alias("pclass"), F.col("x").alias("px"), F.col("y").alias("py"))
     return o.where("g <= 3"), found
 
 
-@query()
+@query("WITH " + _PAIRS + ", " + _greedy_sql("d <= gate") + " SELECT frame, g, p, round(d, 6) AS d FROM taken")
 def object_assignment(spark, sf_dir):
-    return match.assign_objects(*_sides(spark, sf_dir), "frame")
+    return match.assign_objects(*_sides(spark, sf_dir), "frame").withColumn("d", F.round("d", 6))
 
 
-@query()
+@query("WITH " + _PAIRS + ", " + _greedy_sql("class = pclass") + " SELECT frame, g, p, round(d, 6) AS d FROM taken")
 def typed_assignment(spark, sf_dir):
-    return match.assign_typed(*_sides(spark, sf_dir), "frame")
+    return match.assign_typed(*_sides(spark, sf_dir), "frame").withColumn("d", F.round("d", 6))
 
 
-@query()
+@query(" UNION ALL ".join("SELECT * FROM (WITH " + _PAIRS + ", " + _greedy_sql(f"d <= gate * {k}") + f" SELECT {k}::DOUBLE AS scale, (SELECT count(*) FROM objects WHERE g <= 3) AS objects, count(*) AS matched, round(count(*) / (SELECT count(*) FROM objects WHERE g <= 3)::DOUBLE, 9) AS recall FROM taken)" for k in (0.1, 0.5, 1.0)))
 def assignment_sensitivity(spark, sf_dir):
-    return match.assign_sensitivity(*_sides(spark, sf_dir), "frame", (0.1, 0.5, 1.0))
+    return match.assign_sensitivity(*_sides(spark, sf_dir), "frame", (0.1, 0.5, 1.0)).withColumn("recall", F.round("recall", 9))
 
 
 @query(
@@ -447,9 +472,9 @@ def gates_and_distances(spark, sf_dir):
     return o.select("frame", "g", F.round(match.assign_gate(c("w"), c("h")), 6).alias("assign_gate"), F.round(match.location_gate(c("w"), c("h")), 6).alias("location_gate"), F.round(match.box_distance(F.lit(30.0), F.lit(5.0), c("x"), c("y"), c("w"), c("h")), 6).alias("distance"))
 
 
-@query()
+@query("WITH " + OBJECTS_SQL + ", k AS (SELECT *, (('0x' || substr(md5('5|' || frame || '|' || g), 1, 8))::UBIGINT + 0.5) / 4294967296.0 AS u FROM objects), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY -ln(u) / CASE WHEN class = 'R' THEN 3.0 ELSE 1.0 END, g, x, y, w, h) AS n FROM k) SELECT frame, g FROM r WHERE n = 1")
 def object_choice(spark, sf_dir):
-    return match.pick_object(objects(spark, sf_dir), "frame", "g", F.col("class") == "R", 5).select("frame", "g", "class")
+    return match.pick_object(objects(spark, sf_dir), "frame", "g", F.col("class") == "R", 5).select("frame", "g")
 
 
 _ANSWER = """'<ego_state>lon=cruising ' || printf('%.1f', speed) || ' m/s | lat=LANE_KEEPING</ego_state><context>weather=Sunny; road=Merge</context><events>' || event_type || ', none2</events><has_objects>yes<n_objects>' || frame_no || '<obj type="Car"><point>(' || frame_no || ', 5)</point><rank>1</rank><location>front</location></obj><final_plan> keep lane </final_plan><motion>lon=' || intent || ' | lat=left turn</motion><traj>[' || frame_no || ', 0.5], [2, 0], [3, 0], [4, 0], [5, 0]</traj>'"""
@@ -481,7 +506,8 @@ def word_overlap(spark, sf_dir):
     return pairs.select("a", "b", F.round(text.word_overlap(F.col("ta"), F.col("tb")), 9).alias("overlap"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT role, text, length(text) AS n FROM conversations), p AS (SELECT role, text, n, unnest(range(1, greatest(n, 75) - 73)) AS i FROM c), q AS (SELECT role, text, i, unnest(range(25, least(200, (n - i + 1) // 3) + 1)) AS k FROM p WHERE n - i + 1 >= 75),
+f AS (SELECT DISTINCT role, text FROM q WHERE substr(text, i, k) = substr(text, i + k, k) AND substr(text, i, k) = substr(text, i + 2 * k, k)) SELECT c.role, count(*) FILTER (f.text IS NOT NULL) AS degenerate, count(*) AS n FROM c LEFT JOIN f ON f.role = c.role AND f.text = c.text GROUP BY 1""")
 def degenerate_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(text.degenerate(F.col("text"))).alias("degenerate"), F.count("*").alias("n"))
 
@@ -577,11 +603,24 @@ def _paths(spark, sf_dir):
     return s.withColumn("truth", pts)
 
 
-@query()
+@query(
+    "WITH "
+    + SERIES_SQL
+    + """, p AS (SELECT intent, (scene_id % 7 - 3) / 60.0 AS b, list_transform(range(0, 21), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE list_sum(list_transform(future[1:i], lambda v: v + 1.6)) * 0.25 END) AS r FROM series),
+c AS (SELECT intent, list_transform(range(0, 21), lambda i: r[i + 1] * cos(b * i)) AS x, list_transform(range(0, 21), lambda i: r[i + 1] * sin(b * i)) AS y FROM p),
+h AS (SELECT intent, list_transform(range(1, 21), lambda i: atan2(y[i + 1] - y[i], x[i + 1] - x[i])) AS h, list_transform(range(1, 21), lambda i: sqrt(pow(y[i + 1] - y[i], 2) + pow(x[i + 1] - x[i], 2))) AS n FROM c),
+m AS (SELECT intent, h, list_avg(h) AS mh, list_transform(range(1, 21), lambda i: list_sum(n[1:i]) - n[i] / 2) AS m FROM h), k AS (SELECT *, list_avg(m) AS mm FROM m),
+s AS (SELECT *, list_sum(list_transform(range(1, 21), lambda i: (m[i] - mm) * (h[i] - mh))) / list_sum(list_transform(m, lambda v: (v - mm) * (v - mm))) AS slope FROM k),
+t AS (SELECT intent, degrees(h[20] - h[1]) AS theta, degrees(list_max(list_transform(range(1, 21), lambda i: abs(h[i] - mh - slope * (m[i] - mm))))) AS residual FROM s)
+SELECT intent, CASE WHEN abs(theta) >= 25 AND (residual >= 5 OR intent <> 'GO_STRAIGHT') THEN CASE WHEN theta > 0 THEN 'left_turn' ELSE 'right_turn' END ELSE 'straight' END AS lat, count(*) AS n, round(avg(theta), 6) AS theta, round(avg(residual), 6) AS residual FROM t GROUP BY 1, 2"""
+)
 def lateral_motion(spark, sf_dir):
-    p = _paths(spark, sf_dir).withColumn("h", geometry.heading(F.col("truth")))
+    bend = (F.col("scene_id") % 7 - 3) / 60.0
+    steps = motion.running_sums(F.transform("future", lambda v: v + 1.6))
+    pts = F.transform(steps, lambda d, i: F.struct((d * 0.25 * F.cos(bend * (i + 1))).alias("x"), (d * 0.25 * F.sin(bend * (i + 1))).alias("y")))
+    p = series(spark, sf_dir).withColumn("h", geometry.heading(pts))
     lat = motion.lat_class(F.col("h.theta"), F.col("h.residual"), F.col("intent"))
-    return p.groupBy("intent", lat.alias("lat")).agg(F.count("*").alias("n"))
+    return p.groupBy("intent", lat.alias("lat")).agg(F.count("*").alias("n"), F.round(F.avg("h.theta"), 6).alias("theta"), F.round(F.avg("h.residual"), 6).alias("residual"))
 
 
 @query()
@@ -597,10 +636,13 @@ def long_metrics(spark, sf_dir):
     return evaluate.long_metrics(wide.withColumnRenamed("value", "v"), "slice", "v").withColumnRenamed("value", "value_of").withColumnRenamed("v", "value")
 
 
-@query()
+@query("WITH " + _PAIRS + ", " + _greedy_sql("d <= gate") + """, t AS (SELECT o.*, k.p, k.d, f.class AS pclass, least(60.0, greatest(15.0, 0.5 * sqrt(o.w * o.w + o.h * o.h))) AS near FROM objects o LEFT JOIN taken k ON k.frame = o.frame AND k.g = o.g LEFT JOIN objects f ON f.frame = k.frame AND f.g = k.p WHERE o.g <= 3)
+SELECT count(*) AS objects, count(p) AS matched, round(avg((p IS NOT NULL)::INT), 9) AS recall, round(avg((p IS NOT NULL)::INT) FILTER (rank = 1), 9) AS recall_rank1, round(avg((class = pclass)::INT), 9) AS type_acc, round(avg(d), 6) AS mean_distance, round(avg((d <= near)::INT), 9) AS loc_hit,
+(SELECT count(*) FROM objects WHERE g > 3) AS predicted, round(count(p) / (SELECT count(*) FROM objects WHERE g > 3)::DOUBLE, 9) AS precision FROM t""")
 def object_scores(spark, sf_dir):
     truth, found = _sides(spark, sf_dir)
-    return evaluate.object_metrics(truth, found, match.assign_objects(truth, found, "frame"), "frame")
+    got = evaluate.object_metrics(truth, found, match.assign_objects(truth, found, "frame"), "frame")
+    return got.withColumns({c: F.round(c, 6 if c == "mean_distance" else 9) for c in ("recall", "recall_rank1", "type_acc", "mean_distance", "loc_hit", "precision")})
 
 
 @query(
@@ -632,7 +674,7 @@ def intervention_prefixes(spark, sf_dir):
     "WITH "
     + FRAMES_SQL
     + """, k(field, origin) AS (VALUES ('reason', 'prose'), ('final_plan', 'prose'), ('traj', 'prose'), ('objects', 'prose')), n AS (SELECT count(*) FILTER (event_id % 2 = 0) AS even, count(*) FILTER (event_id % 2 = 1) AS odd FROM frames)
-SELECT field, origin, odd AS n FROM k, n UNION ALL SELECT field, 'strict', even FROM k, n"""
+SELECT field, origin, odd AS n FROM k, n UNION ALL SELECT field, 'strict', even FROM k, n UNION ALL SELECT unnest(['context', 'events', 'motion']), 'none', even + odd FROM n"""
 )
 def extraction_origins(spark, sf_dir):
     f = frames(spark, sf_dir).select("event_id", "frame_no")

@@ -36,6 +36,21 @@ def _documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFr
     return frame_keys(rows, "_path").drop("_corrupt_record", "_path")
 
 
+def partitions_of(spark: SparkSession, root: str) -> DataFrame:
+    """(partition, path) of the folders ``p<number>--suffix`` below a root, hidden ones left out, in order of number."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").where(visible(F.col("path")))
+    named = files.select(F.regexp_extract("path", r"^(.*/(p\d+)--[^/]+)/", 1).alias("path"), F.regexp_extract("path", r"/(p\d+)--[^/]+/", 1).alias("partition")).where("partition <> ''").distinct()
+    return named.select("partition", "path").orderBy(F.substring("partition", 2, 20).cast("long"), "path")
+
+
+def project_record(raw: DataFrame, payload: str) -> DataFrame:
+    """The frame document of a raw record in JSON: known fields only, empty series left out."""
+    doc = F.from_json(F.col(payload).cast("string"), f"struct<{FRAME}>")
+    full = lambda s: F.struct(*[F.when(F.size(s[c]) > 0, s[c]).alias(c) for c in ("pos_x", "pos_y", "pos_z", "vel_x", "vel_y", "accel_x", "accel_y")])
+    rest = [c for c in ("frame_id", "intent", "intent_corrected", "preference_trajectories", "ego_behavior")]
+    return raw.withColumn("_d", doc).select(*[F.col(f"_d.{c}").alias(c) for c in rest], *[full(F.col(f"_d.{c}")).alias(c) for c in ("past_states", "future_states")])
+
+
 def read_frames(spark: SparkSession, root: str, partitions: list[str] | None = None, name: str = "frame.json") -> DataFrame:
     rows = _documents(spark, root, name, FRAME).where("frame_key <> ''")
     return rows.where(F.col("partition").isin(partitions)) if partitions else rows
@@ -71,12 +86,28 @@ def read_bundle(frames: DataFrame, annotations: DataFrame, masks: DataFrame) ->
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a JSON file: a bare list, or an object with a list ``scenes`` or ``frames``."""
+    """Ids of a JSON file: a bare list, or an object with a list of one of the usual names; items are texts or objects with ``fdir``."""
     text = spark.read.text(path, wholetext=True)
     bare = F.from_json("value", "array<string>")
-    held = F.from_json("value", "struct<scenes:array<string>,frames:array<string>,fdirs:array<string>>")
+    names = ("scenes", "frames", "fdirs", "dev_eval_frames", "online")
+    held = F.from_json("value", "struct<" + ",".join(f"{n}:array<string>" for n in names) + ">")
     is_list = F.ltrim("value").startswith("[")
-    return text.select(F.explode(F.when(is_list, bare).otherwise(F.coalesce(held["scenes"], held["frames"], held["fdirs"]))).alias("id"))
+    items = text.select(F.explode(F.when(is_list, bare).otherwise(F.coalesce(*[held[n] for n in names]))).alias("id"))
+    return items.select(F.coalesce(F.get_json_object("id", "$.fdir"), "id").alias("id"))
+
+
+def frames_below(spark: SparkSession, root: str, names: tuple[str, ...] = ("frame.json", "panorama_geo.json")) -> DataFrame:
+    """Folders below a root that hold every one of some files, hidden ones left out, in order."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root).select("path")
+    rows = found.where(visible(F.col("path"))).select(F.regexp_extract("path", r"^(.*)/([^/]*)$", 1).alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+    return rows.groupBy("id").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(names)).select("id").orderBy("id")
+
+
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """(camera, intrinsic, extrinsic) of an object by camera; an extrinsic is a list or holds one as ``transform``."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("camera", "v"))
+    numbers = lambda p: F.from_json(F.get_json_object("v", p), "array<double>")
+    return entries.select("camera", numbers("$.intrinsic").alias("intrinsic"), F.coalesce(numbers("$.extrinsic.transform"), numbers("$.extrinsic")).alias("extrinsic"))
 
 
 def read_rated_index(spark: SparkSession, path: str) -> DataFrame:

@@ -17,8 +17,10 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def new_rows(df: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key is not done yet, one per key."""
-    return df.dropDuplicates(list(keys)).join(done.select(*keys), list(keys), "left_anti")
+    """Rows whose key is not done yet, one per key: of several the least by its columns, whichever run it is."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(df.columns) if rest else df.distinct()
+    return one.join(done.select(*keys), list(keys), "left_anti")
 
 
 def append_new(df: DataFrame, path: str, *keys: str) -> DataFrame:
@@ -33,6 +35,40 @@ def append_changelog(df: DataFrame, path: str) -> None:
     df.withColumn("run_at", F.current_timestamp()).write.mode("append").option("mergeSchema", True).parquet(path)
 
 
+def append_history(spark: SparkSession, path: str, step: int, tag: str, stage: str, composite: float | None) -> DataFrame:
+    """Append an evaluation (step, tag, stage, composite) and return the history."""
+    schema = "step long, tag string, stage string, composite double"
+    spark.createDataFrame([(step, tag, stage, composite)], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_with_stats(df: DataFrame, stats: DataFrame, path: str, apply: bool = True) -> DataFrame:
+    """A table and its statistics under one path, and the statistics; a dry run (apply false) writes neither."""
+    if apply:
+        df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/rows")
+        stats.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/stats")
+    return stats
+
+
+def write_scores(rows: DataFrame, summary: DataFrame, path: str, scene: str = "scene_id", frame: str = "frame_id", pred: str = "pred_xy") -> None:
+    """Per-sample lines, the summary, and the official form of the results, as JSON lines each."""
+    rows.write.mode("errorifexists").json(f"{path.rstrip('/')}/per_sample")
+    summary.write.mode("errorifexists").json(f"{path.rstrip('/')}/summary")
+    official(rows, scene, frame, pred).write.mode("errorifexists").json(f"{path.rstrip('/')}/results")
+
+
+def official(rows: DataFrame, scene: str = "scene_id", frame: str = "frame_id", pred: str = "pred_xy") -> DataFrame:
+    """(id, pred_xy) with ids as scene-frame."""
+    return rows.select(F.concat_ws("-", scene, frame).alias("id"), F.col(pred).alias("pred_xy"))
+
+
+def compact_answers(rows: DataFrame) -> DataFrame:
+    """One short row per answer: what was said and how long, without what can be derived again. rows: answer, and any of the kept columns."""
+    a = F.col("answer")
+    kept = [c for c in ("scene_id", "frame_id", "frame_key", "task", "pred_xy", "motion_gt", "sample_class", "v0", "ade5", "n_new_tokens", "hit_cap", "prefix", "prompt_len", "text") if c in rows.columns]
+    return rows.select(*kept, a["n_objects"].alias("n_objects"), F.size(a["objects"]).alias("emitted"), *[a[c].alias(c) for c in ("ego_state", "reason", "final_plan", "motion", "traj")])
+
+
 def apply_overlay(df: DataFrame, overlay: DataFrame, key: str, base: str, columns: list[str]) -> DataFrame:
     """Patch columns from an overlay keyed by the full path or, failing that, by its last part."""
     o = overlay.select(F.col("key").alias("_k"), *[F.col(c).alias(f"_o_{c}") for c in columns])
@@ -65,3 +101,9 @@ def predictions_out(df: DataFrame, pred: str, missing: str = "null", n: int = 20
 def rated_index(df: DataFrame, rated: Column) -> DataFrame:
     """Rated frames as (scene_id, frame_id), ordered as texts."""
     return df.where(rated).select(F.col("scene_id").cast("string").alias("scene_id"), F.col("frame_id").cast("string").alias("frame_id")).orderBy("scene_id", "frame_id")
+
+
+def rated_index_document(index: DataFrame) -> DataFrame:
+    """One JSON document {count, frames} of a short index."""
+    one = index.agg(F.count("*").alias("count"), F.sort_array(F.collect_list(F.struct("scene_id", "frame_id"))).alias("frames"))
+    return one.select(F.to_json(F.struct("count", "frames")).alias("value"))

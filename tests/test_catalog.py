@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ridgeline.plans import catalog
+from ridgeline.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,14 +27,14 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", catalog.queries())
+@pytest.mark.parametrize("name", registry.queries())
 def test_query(spark, duck, name):
-    df = catalog.queries()[name](spark, SF_DIR)
+    df = registry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted((repr([plain(v) for v in r]) for r in df.select(*columns).collect()))
-    if name not in catalog.oracle_sql():
+    if name not in registry.oracle_sql():
         return
-    found = duck.execute(catalog.oracle_sql()[name])
+    found = duck.execute(registry.oracle_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
