@@ -100,3 +100,83 @@ NOTES = (
     ("keep_side", KEEP_SIDE),
     ("straight", r"\bstraight\b"),
 )
+
+#: Fixed patterns of the phrase scan: words that join clauses, verbs that begin one, prepositions; where a phrase's object ends.
+_JOINS = r"(?:and|then|while|until|till|before|after|as|so|because|once|when|if|but|or)"
+_SIDE_VERBS = r"(?:turn|turning|turns|change|changing|changes|merge|merging|nudge|nudging|pull|pulling|veer|veering|bear|bearing|keep|keeping|stay|staying|maintain|maintaining|hold|holding)"
+_PREPOSITIONS = r"(?:for|behind|at|before|until|till|to|in\s+front\s+of|near|by|with|through|past|along|into|onto|towards?|across|over|from|around|after|on|under|beyond|up\s+to)"
+_NO_STOP_NOUN = r"(?!\s+(?:sign|signs|line|lines|light|lights|signal|signals|vehicle|vehicles|car|cars|truck|bus|traffic|lead))"
+_OBJECT_END = rf"(?=,|;|\.|:|$|\s+{_JOINS}\b|\s+(?:to\s+)?{_SIDE_VERBS}\b)"
+OBJECTS = {
+    "prep": rf"(?:\s+{_PREPOSITIONS}\b[^,;.:]*?{_OBJECT_END})?",
+    "always": rf"(?:\s+(?!{_JOINS}\b)(?!(?:to\s+)?{_SIDE_VERBS}\b)[^,;.:]*?{_OBJECT_END})?",
+    None: "",
+}
+#: Fixed patterns: phrases in order, each with its class and which object belongs to it; at one place the first one wins. Their groups have no names, as all stand in one alternation.
+PHRASES = (
+    (r"(?:decelerat\w*|slow\w*(?:\s+down)?|brak\w*|com(?:e|es|ing)|came)\s+to\s+a\s+(?:complete\s+|full\s+)?(?:stop|halt|standstill)", "stop", "prep"),
+    (r"(?:remain|remains|remaining|stay|stays|staying|stand|stands|standing|keep|keeps|keeping|continue|continues|continuing)\s+(?:stopped|still|stationary|halted|parked|waiting|at\s+a\s+standstill|to\s+wait)", "stop", "prep"),
+    (r"pull(?:s|ed|ing)?\s+over\s+and\s+stop(?:s|ped)?", "stop", "prep"),
+    (r"stand\s*still", "stop", None),
+    (r"stay\s+put", "stop", None),
+    (r"hold(?:s|ing)?\s+(?:the\s+|its\s+)?position", "stop", None),
+    (r"do\s+not\s+(?:move|proceed|go|enter)", "stop", "prep"),
+    (rf"(?<!the )(?<!a )(?<!an )stop(?:s|ped|ping)?\b{_NO_STOP_NOUN}", "stop", "prep"),
+    (r"wait(?:s|ed|ing)?\b", "stop", "prep"),
+    (r"hold(?:s|ing)?\b(?!\s+(?:the\s+)?lane)", "stop", "prep"),
+    (r"halt(?:s|ed|ing)?\b(?!\s+(?:sign|line))", "stop", "prep"),
+    (r"idl(?:e|es|ing)\b", "stop", None),
+    (r"decelerat\w*", "decelerate", "prep"),
+    (r"slow(?:n|s|ed|ing)?(?:\s+down)?\b(?!\s+(?:traffic|vehicle|vehicles|car|cars|moving|-moving|lane|speed))", "decelerate", "prep"),
+    (r"brak(?:e|es|ed|ing)\b(?!\s+light)", "decelerate", "prep"),
+    (r"yield(?:s|ed|ing)?\b(?!\s+sign)", "decelerate", "prep"),
+    (r"giv(?:e|es|ing)\s+way", "decelerate", "prep"),
+    (r"eas(?:e|es|ed|ing)\s+off", "decelerate", "prep"),
+    (r"reduc(?:e|es|ed|ing)\s+(?:the\s+|its\s+)?speed", "decelerate", "prep"),
+    (r"approach(?:es|ed|ing)?\s+(?:cautiously|slowly|carefully)", "decelerate", "prep"),
+    (r"approach(?:es|ed|ing)?\s+[^,;.:]*?\s+(?:cautiously|slowly|carefully)", "decelerate", None),
+    (r"back(?:s|ed|ing)?\s+off", "decelerate", "prep"),
+    (r"cruis(?:e|es|ed|ing)\b", "keep", "prep"),
+    (r"maintain(?:s|ed|ing)?\b(?!\s+(?:the\s+)?lane)", "keep", "always"),
+    (r"keep(?:s|ing)?\s+(?:the\s+|a\s+|its\s+|current\s+)?(?:pace|speed|moving|going|rolling|cruising|driving|(?:safe\s+)?distance|(?:safe\s+)?gap|following)\b", "keep", "prep"),
+    (r"(?<!the )(?<!a )follow(?:s|ed|ing)?\b", "keep", "always"),
+    (r"continu(?:e|es|ed|ing)\b(?!\s+straight)", "keep", "prep"),
+    (r"go(?:es|ing)?\s+through\b", "keep", "prep"),
+    (r"(?<!the )(?<!a )pass(?:es|ed|ing)?\b(?!enger)", "keep", "always"),
+    (r"coast(?:s|ed|ing)?\b", "keep", "prep"),
+    (r"accelerat\w*", "accelerate", "prep"),
+    (r"speed(?:s|ed|ing)?\s+up\b", "accelerate", "prep"),
+    (r"start(?:s|ed|ing)?\b(?!\s+of\b)", "accelerate", "always"),
+    (r"mov(?:e|es|ed|ing)\s+(?:off|out|on)\b", "accelerate", "prep"),
+    (r"pull(?:s|ed|ing)?\s+away\b", "accelerate", "prep"),
+    (r"resum(?:e|es|ed|ing)\b", "accelerate", "always"),
+    (r"launch(?:es|ed|ing)?\b", "accelerate", "prep"),
+    (r"pull(?:s|ed|ing)?\s+out(?:\s+(?:to\s+the\s+)?(?:left|right))?\b", "accelerate", "prep"),
+    (r"get(?:s|ting)?\s+going\b", "accelerate", None),
+    (r"set(?:s|ting)?\s+off\b", "accelerate", None),
+    (r"depart\w*", "accelerate", "prep"),
+    (r"proceed(?:s|ed|ing)?\b", "v0", "prep"),
+    (r"creep(?:s|ed|ing)?(?:\s+forward)?\b", "v0", "prep"),
+    (r"go(?:es|ing)?\s+straight\b", "v0", "prep"),
+    (r"continu(?:e|es|ed|ing)\s+straight\b", "v0", "prep"),
+    (r"go(?:es|ing)?\b(?!\s+(?:through|around|past|left|right|straight))", "v0", "prep"),
+    (r"mov(?:e|es|ed|ing)\s+(?:forward|ahead)\b", "v0", "prep"),
+    (r"driv(?:e|es|ing)\b", "v0", "prep"),
+    (r"advanc(?:e|es|ed|ing)\b", "v0", "prep"),
+    (r"travel(?:s|led|ling|ed|ing)?\b", "v0", "prep"),
+    (r"roll(?:s|ed|ing)?\s+(?:forward|through|over|on)\b", "v0", "prep"),
+    (r"u-?\s?turn(?:s|ing)?\b", "lat_left", None),
+    (r"turn(?:s|ed|ing)?\s+(?:to\s+the\s+)?(?:left|right)\b", "lat", None),
+    (r"(?:left|right)(?:-|\s+)(?:hand\s+)?turn(?:s|ing)?\b", "lat", None),
+    (r"veer(?:s|ed|ing)?\s+(?:to\s+the\s+)?(?:left|right)\b", "lat", None),
+    (r"bear(?:s|ing)?\s+(?:to\s+the\s+)?(?:left|right)\b", "lat", None),
+    (r"go(?:es|ing)?\s+(?:left|right)\b", "lat", None),
+    (r"lane\s+chang\w*|chang(?:e|es|ing)\s+(?:to\s+the\s+)?(?:left\s+|right\s+)?lanes?\b|chang(?:e|es|ing)\s+lanes?\b", "note:lane_change", None),
+    (r"merg(?:e|es|ing)\b", "note:merge", None),
+    (r"nudg(?:e|es|ing)\b", "note:nudge", None),
+    (r"borrow\w*", "note:borrow", None),
+    (r"pull(?:s|ed|ing)?\s+over\b", "note:pull_over", None),
+    (r"go(?:es|ing)?\s+around\b|bypass\w*|overtak\w*", "note:go_around", None),
+    (r"(?:keep|stay|remain|hold|maintain)\w*\s+(?:in\s+)?(?:the\s+|its\s+|current\s+)?lane\b", "note:lane_keep", None),
+    (r"\bstraight\b", "note:straight", None),
+)

@@ -22,6 +22,8 @@ LON = ("accelerate", "decelerate", "keep", "stop")
 _TABLES = [(name, [(label, re.compile(p)) for label, p in table]) for name, table in (("strong", words.STRONG), ("weak", words.WEAK), ("fallback", words.FALLBACK))]
 _TURN = re.compile(words.TURN)
 _NOTES = [(label, re.compile(p)) for label, p in words.NOTES]
+#: One ordered alternation: the leftmost phrase, and of several at one place the first of the list.
+_PHRASE = re.compile("(?i)" + "|".join(f"(?P<p{i}>{p}{words.OBJECTS[more]})" for i, (p, _, more) in enumerate(words.PHRASES)))
 #: Words that join two actions.
 _JOIN = r"(?:and|to|then|while)"
 
@@ -130,9 +132,14 @@ def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, ends, ""))
 
 
+def scan(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, class) of the phrases of a plan from left to right, each with the object that belongs to it."""
+    return [(m.start(), m.end(), words.PHRASES[int(m.lastgroup[1:])][1]) for m in _PHRASE.finditer(text)]
+
+
 def reworded(text: str, verb: str) -> str | None:
     """The step with the verb in the place of its first longitudinal phrase and without the others, each gone with the word that joins it."""
-    found = spans([pair for _, table in _TABLES[:2] for pair in table], text)
+    found = [x for x in scan(text) if x[2] in (*LON, "v0")]
     if not found:
         return None
     joined = [re.search(rf"[\s,]*(?:\b{_JOIN}\b)?[\s,]*$", text[:start]).start() for start, _, _ in found]
@@ -163,6 +170,44 @@ def repair_plans(df: DataFrame, plan: str, m_lon: str, m_lat: str, v0: str, v_en
     return bad.withColumn("new_plan", new).withColumn("reason_weight", F.when(F.col("new_plan").isNotNull(), 0.5).otherwise(1.0)).drop("_text", "_step", "_verb", "_new", "_again")
 
 
+def judge_plans(df: DataFrame, plan: str, m_lon: str, m_lat: str, v0: str, v_end: str, start_t: str) -> DataFrame:
+    """df with the plan's class against the motion: plan_lon, ``verdict`` and, for contradictions, new_plan and reason_weight.
+
+    verdict: missing, unmatched, unspecified, equal, tolerated, rewritten or failed; only the lateral
+    side differs where ``lateral_conflict``. Judged on the longitudinal side, as rewrites are.
+    """
+    none = F.lit(None).cast("string")
+    rows = classify_plans(df, plan, v0)
+    given = [F.col(v0), F.col(v_end), F.col(start_t)]
+    ok, whole = consistent(F.col("plan_read"), F.col(m_lon), none, *given), consistent(F.col("plan_read"), F.col(m_lon), F.col(m_lat), *given)
+    lon = F.col("plan_read.lon")
+    said = F.coalesce(F.trim(F.col(plan)) != "", F.lit(False))
+    verdict = F.when(~said, "missing").when(~lon.isin(*LON), lon).when(lon == F.col(m_lon), "equal").when(ok, "tolerated")
+    rows = rows.withColumns({"plan_lon": lon, "verdict": verdict, "lateral_conflict": F.coalesce(ok & ~whole, F.lit(False))}).drop("plan_read")
+    good, bad = rows.where("verdict IS NOT NULL"), rows.where("verdict IS NULL").withColumn("_lat", none)
+    fixed = repair_plans(bad, plan, m_lon, "_lat", v0, v_end, start_t).drop("plan_read", "_lat")
+    fixed = fixed.withColumn("verdict", F.when(F.col("new_plan").isNotNull(), "rewritten").otherwise("failed"))
+    blank = {"new_plan": F.lit(None).cast("string"), "reason_weight": F.lit(1.0)}
+    return good.withColumns(blank).unionByName(fixed.select(*good.columns, *blank))
+
+
+def repair_overlay(judged: DataFrame, key: str, plan: str) -> DataFrame:
+    """The overlay of judge_plans()'s rows: key, final_plan, reason_weight, orig_plan, plan_lon of the rewritten ones."""
+    return judged.where("verdict = 'rewritten'").select(key, F.col("new_plan").alias("final_plan"), "reason_weight", F.col(plan).alias("orig_plan"), "plan_lon")
+
+
+def repair_counts(judged: DataFrame, m_lon: str, by: str) -> DataFrame:
+    """(kind, name, n): verdicts in all and by group, classes against motions, and the transitions tolerated and rewritten."""
+    pair = F.concat_ws("->", "plan_lon", m_lon)
+    cell = lambda kind, name, when: F.when(when, F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+    v = F.col("verdict")
+    cells = [
+        cell("verdict", v, F.lit(True)), cell("group", F.concat_ws(":", by, v), F.lit(True)), cell("confusion", pair, v != "missing"), cell("tolerated", pair, v == "tolerated"),
+        cell("rewritten", pair, v == "rewritten"), cell("lateral conflict", F.lit("any"), F.col("lateral_conflict")),
+    ]
+    return judged.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").groupBy("c.kind", "c.name").agg(F.count("*").alias("n"))
+
+
 def repair_report(df: DataFrame, read: str, m_lon: str, m_lat: str, v0: str, v_end: str, start_t: str, by: str) -> DataFrame:
     """Per group: judged, inconsistent strictly and tolerantly, and tolerated plans."""
     args = (F.col(read), F.col(m_lon), F.col(m_lat), F.col(v0), F.col(v_end), F.col(start_t))

@@ -90,11 +90,14 @@ def trajectory_segments(points: Column, weights: Column) -> Column:
 
 
 def build_targets(df: DataFrame, task: str) -> DataFrame:
-    """df with ``segments`` for task s1 or s2.
+    """df with ``segments`` for task s1, s2 or attrqa.
 
-    Needs context, events (array<array<string>>) and objects (ranked structs); s2 also ego_text,
+    attrqa asks for one object: needs ``object`` (a ranked struct), and its attributes are the answer.
+    The others need context, events (array<array<string>>) and objects (ranked structs); s2 also ego_text,
     reason, reason_weight (NULL: as it is), plan, motion_text, points (5) and waypoint_weights.
     """
+    if task == "attrqa":
+        return df.withColumn("segments", object_segments(F.col("object"), False))
     scene = scene_segments(F.col("context"), F.col("events"), F.col("objects"), task == "s2")
     if task == "s1":
         return df.withColumn("segments", scene)
@@ -103,6 +106,11 @@ def build_targets(df: DataFrame, task: str) -> DataFrame:
     return df.withColumn("segments", F.concat(tagged("ego_state", F.col("ego_text"), "ego_state"), scene, *chain))
 
 
+def attribute_question(kind: Column, x: Column, y: Column) -> Column:
+    """The question for one object's attributes, by its type and place."""
+    return F.format_string(ATTRIBUTE_QUESTION, vocab.norm_type(kind), x.cast("long"), y.cast("long"))
+
+
 def segment_columns(df: DataFrame, segments: str = "segments") -> DataFrame:
     """df with target text, weights, field ids and the trajectory mask of its segments."""
     s = F.col(segments)

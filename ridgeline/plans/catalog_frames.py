@@ -900,3 +900,39 @@ def plan_report(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("plan", F.lit("keep lane and cruise")).withColumn("by", F.when(F.col("speed") < 3, "slow").otherwise("fast")).withColumn("m_lon", F.when(F.col("speed") < 3, "decelerate").otherwise("keep"))
     f = f.withColumn("none", F.lit(None).cast("double")).withColumn("lat", F.lit("straight"))
     return plans.repair_report(plans.classify_plans(f, "plan", "speed"), "plan_read", "m_lon", "lat", "speed", "none", "none", "by").select("by", "judged", "strict")
+
+
+@query("WITH " + OBJECTS_SQL + " SELECT frame, g, 'Describe the object of type Car located at <point>' || floor(x)::BIGINT || ',' || floor(y)::BIGINT || '</point> per the required format.' AS question, '<obj type=Car><point>' || floor(x)::BIGINT || ',' || floor(y)::BIGINT || '</point><rank>' || g || '</rank>' || CASE WHEN state = 'F' THEN '<location>ahead</location>' ELSE '' END || '<state>cruising</state></obj>' AS target FROM objects")
+def attribute_targets(spark, sf_dir):
+    """One question and target per object: the attributes that its type owns, without the implication."""
+    none = F.lit(None).cast("string")
+    o = objects(spark, sf_dir)
+    point = F.struct(F.floor("x").alias("x"), F.floor("y").alias("y"))
+    car = F.struct(F.lit("Car").alias("type"), point.alias("point"), F.col("rank").alias("rank"), F.when(F.col("state") == "F", "ahead").alias("location"), none.alias("intention"), F.lit("cruising").alias("state"), F.lit("red").alias("content"), F.lit("slows").alias("implication"), F.lit(1.0).alias("intention_factor"), F.lit(2.0).alias("state_factor"))
+    t = targets.segment_columns(targets.build_targets(o.withColumn("object", car), "attrqa"))
+    return t.select("frame", "g", targets.attribute_question(F.lit("Car"), F.floor("x"), F.floor("y")).alias("question"), "target")
+
+
+_JUDGED_SQL = (
+    "WITH "
+    + FRAMES_SQL
+    + """, p AS (SELECT event_id, event_type, speed, CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'stop' WHEN 2 THEN 'unspecified' END AS lon, CASE WHEN event_id % 3 = 0 THEN 'keep' ELSE 'stop' END AS m FROM frames),
+v AS (SELECT *, CASE WHEN lon IS NULL THEN 'missing' WHEN lon = 'unspecified' THEN lon WHEN lon = m THEN 'equal' ELSE 'rewritten' END AS verdict FROM p)"""
+)
+
+
+def _judged_plans(spark, sf_dir):
+    e = F.col("event_id") % 4
+    plan = F.when(e == 0, "Keep lane and cruise through the junction, then merge.").when(e == 1, "wait for the pedestrian, then turn left").when(e == 2, "keep lane")
+    f = frames(spark, sf_dir).select("event_id", "event_type", "speed", plan.alias("plan"), F.when(F.col("event_id") % 3 == 0, "keep").otherwise("stop").alias("m_lon"), F.lit("straight").alias("m_lat"), F.lit(9.0).alias("v_end"), F.lit(None).cast("double").alias("start_t"))
+    return plans.judge_plans(f, "plan", "m_lon", "m_lat", "speed", "v_end", "start_t")
+
+
+@query(_JUDGED_SQL + " SELECT event_id, CASE WHEN lon = 'keep' THEN 'keep lane and ' || CASE WHEN speed < 0.5 THEN 'remain stopped' ELSE 'stop and wait' END || ', then merge' ELSE 'cruise, then turn left' END AS final_plan, 0.5::DOUBLE AS reason_weight, lon AS plan_lon FROM v WHERE verdict = 'rewritten'")
+def plan_overlay(spark, sf_dir):
+    return plans.repair_overlay(_judged_plans(spark, sf_dir), "event_id", "plan").select("event_id", "final_plan", "reason_weight", "plan_lon")
+
+
+@query(_JUDGED_SQL + " SELECT 'verdict' AS kind, verdict AS name, count(*) AS n FROM v GROUP BY 2 UNION ALL SELECT 'group', event_type || ':' || verdict, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'confusion', lon || '->' || m, count(*) FROM v WHERE lon IS NOT NULL GROUP BY 2 UNION ALL SELECT 'rewritten', lon || '->' || m, count(*) FROM v WHERE verdict = 'rewritten' GROUP BY 2")
+def plan_repair_counts(spark, sf_dir):
+    return plans.repair_counts(_judged_plans(spark, sf_dir), "m_lon", "event_type")
