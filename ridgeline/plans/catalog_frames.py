@@ -936,3 +936,14 @@ def plan_overlay(spark, sf_dir):
 @query(_JUDGED_SQL + " SELECT 'verdict' AS kind, verdict AS name, count(*) AS n FROM v GROUP BY 2 UNION ALL SELECT 'group', event_type || ':' || verdict, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'confusion', lon || '->' || m, count(*) FROM v WHERE lon IS NOT NULL GROUP BY 2 UNION ALL SELECT 'rewritten', lon || '->' || m, count(*) FROM v WHERE verdict = 'rewritten' GROUP BY 2")
 def plan_repair_counts(spark, sf_dir):
     return plans.repair_counts(_judged_plans(spark, sf_dir), "m_lon", "event_type")
+
+
+@query("WITH " + FRAMES_SQL + " SELECT event_id, 'Construction vehicle' AS type, (100 + frame_no)::DOUBLE AS x, 1 AS rank, 'stopping' AS state, 'blocking lane' AS intention, 'slows' AS implication, 2 AS n FROM frames")
+def tagged_prose(spark, sf_dir):
+    """Object blocks near the grammar, which the strict parser finds nothing in."""
+    from ridgeline.operators import prose
+
+    said = F.format_string("<objects><point>%d, 500</point><impact_rank>1</impact_rank><object_type>Excavator</object_type><intention and state>stationary, blocking lane</intention and state><implication>slows</implication></objects><point>300, 600</point>", F.col("frame_no") + 100)
+    done = prose.extract_answers(frames(spark, sf_dir).withColumn("text", said), "text")
+    o = F.col("objects")[0]
+    return done.select("event_id", o["type"].alias("type"), o["point"]["x"].alias("x"), o["rank"].alias("rank"), o["state"].alias("state"), o["intention"].alias("intention"), o["implication"].alias("implication"), F.size("objects").alias("n"))
