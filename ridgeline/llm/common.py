@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +46,23 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return session(df).read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        store, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        store.delete_dir(root)
+
+
 def numbered(df: DataFrame, name: str, what: str) -> DataFrame:
-    """The table with a unique number for each row, in the shared folder: written once, the numbers stay as they are."""
+    """The table with a unique number for each row, the same at every evaluation.
+
+    Rows of a table as it was read from files have the hash of their place; any other table is written to the shared folder.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        except AnalysisException:  # not from files
+            pass
     return staged(df.withColumn(name, F.monotonically_increasing_id()), what)
 
 
@@ -127,10 +145,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.distinct(), "large-star")
+        discard(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         now = staged(small.distinct(), "small-star")
+        discard(large)
         before, seen = seen, mark(now)
         if before == seen:
             break
@@ -148,6 +168,17 @@ def hint(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if few_enough(df, rows) else df
 
 
+def join_skewed(rows: DataFrame, right: DataFrame, on: list[str], copies: str, hot: int = 100_000) -> DataFrame:
+    """Inner join with a table of one row per key that knows, in ``copies``, how many rows have the key.
+
+    Keys of more than ``hot`` rows, of which there are no more than rows / hot, are broadcast, so that
+    no task gets a third of all rows; the others meet by shuffle.
+    """
+    many, few = right.where(F.col(copies) > hot).drop(copies), right.where(F.col(copies) <= hot).drop(copies)
+    rest = rows.join(F.broadcast(many.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(many), on).unionByName(rest.join(few, on))
+
+
 def ascii_lower(col: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(col, upper, upper.lower())
