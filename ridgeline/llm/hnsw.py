@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Forest, components, grouped, runs, small_batches, staged
+from ridgeline.llm.common import Forest, components, grouped, join_skewed, runs, small_batches, staged
 
 
 @dataclass(frozen=True)
@@ -348,8 +348,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = reps.select("id", "k1", "k2", "rep", "copies").join(joined, "id", "left").join(counts, "id", "left")
     nodes = nodes.withColumn("comp", F.coalesce("component", "id")).withColumn("n_links", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long"))
     least = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    nodes = staged(nodes.join(least, "comp").select("k1", "k2", "n_links", "component_id"), "components")
-    out = rows.where("k1 IS NOT NULL").select("id", "k1", "k2").join(nodes, ["k1", "k2"]).select("id", "n_links", "component_id")
+    nodes = staged(nodes.join(least, "comp").select("k1", "k2", "copies", "n_links", "component_id"), "components")
+    out = join_skewed(rows.where("k1 IS NOT NULL").select("id", "k1", "k2"), nodes, ["k1", "k2"], "copies").select("id", "n_links", "component_id")
     alone = rows.where("k1 IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))  # link with nothing, and never meet the join
     out = out.unionByName(alone).withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

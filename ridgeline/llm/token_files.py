@@ -35,7 +35,7 @@ _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bytes of an id, seed, documents,
 NO_KEY = -(1 << 63)  # stands for a null key
 SHARD_IDS = 4 << 20
 ENCODED_TOGETHER = 5000
-ENCODED_PIECES = 1_200_000
+ENCODED_PIECES = 1_600_000
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ascii_lower, columns_free_of, hint
+from ridgeline.llm.common import ascii_lower, columns_free_of, few_enough, hint, join_skewed, staged
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     n = listed.count()
     words = max(64, n // opts.keys_per_word)
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())  # path lengths, not paths
-    distinct = pages.where("host <> ''").select("host", "path").distinct()
+    distinct = pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("copies"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]), lambda x: x.isNotNull())
@@ -82,8 +82,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     exact = hits.drop("key").join(hint(listed.drop("key"), opts.broadcast_rules), same)
     size = F.length("r_host") + F.length("r_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("r_host").alias("hosts"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("best"))
-    b_host, b_path = columns_free_of(pages, "_host", "_path")
-    best = best.select(F.col("host").alias(b_host), F.col("path").alias(b_path), "best.rule", "best.verdict")
-    some = pages.where("host <> ''").join(hint(best, opts.broadcast_rules), (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), "left").drop(b_host, b_path)
-    none = pages.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})  # these meet no rule, and never the join
-    return some.unionByName(none).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = staged(best.select("host", "path", "best.rule", "best.verdict"), "decided")
+    if few_enough(best, opts.broadcast_rules):
+        out = pages.join(F.broadcast(best), ["host", "path"], "left")
+    else:  # a very common URL, with a rule or without, is known by its number of pages
+        (copies,) = columns_free_of(pages, "_copies")
+        known = distinct.withColumnRenamed("copies", copies).join(best, ["host", "path"], "left")
+        out = join_skewed(pages.where("host <> ''"), known, ["host", "path"], copies)
+        out = out.unionByName(pages.where("host = ''").withColumns({c: F.lit(None).cast("string") for c in ("rule", "verdict")}))
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
