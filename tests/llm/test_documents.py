@@ -5,21 +5,28 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import AddedToken, Tokenizer
 
 from ridgeline.llm.bpe import Bpe, digests, encode_decode, pieces
 from ridgeline.llm.decontaminate import FMIndex, Search, contamination, report, without_spans
-from ridgeline.llm.ngram_join import Rule, ngram_jaccard_join
-from ridgeline.llm.shuffle_shards import Shuffle, communication_matrix, permuted, shuffle_into_shards
+from ridgeline.llm.ngram_join import Rule, _mixed, _tile_clusters, ngram_jaccard_join, tiles_of
+from ridgeline.llm.shuffle_shards import Shuffle, _hypergeometric, communication_matrix, permuted, shuffle_into_shards
 from ridgeline.llm.token_files import Encoder, PerfectHash, Shard, read_documents, shard_bytes, write_shards
 
 RANKS, JSON = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+CODERS = Encoder(JSON), Bpe.load(RANKS, public_tokenizers.PATTERN)
+LIBRARY_JSON = Tokenizer.from_file(JSON)
+LIBRARY_RANKS = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODERS[1].ranks, special_tokens={})
 SCHEMA = "doc_id long, text string, shard string, slot int, id int, spans string, entities int"
 
 
@@ -79,6 +86,44 @@ def test_ngram_join(spark, docs, rows, rule):
     assert collections.Counter(map(tuple, ngram_jaccard_join(docs, rule=rule).collect())) == want
 
 
+@pytest.mark.parametrize("rule", [Rule(), Rule(n=5, num=80, den=100), Rule(num=1, den=2), Rule(num=99, den=100)])
+def test_linked_sets_share_a_tile(rule):
+    """Sets right at the threshold, of every size and however they differ."""
+    rng, checked = np.random.default_rng(rule.num), 0
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    for size in [*range(1, 60), 100, 333, 1000, 5000]:
+        for _ in range(12):
+            common = draw(size)
+            most = size * (rule.den - rule.num) // rule.num  # n-grams that only one of the two may hold
+            left = int(rng.integers(0, most + 1))
+            a, b = (np.unique(np.concatenate([common, draw(k)])) for k in (left, most - left))
+            both = len(np.intersect1d(a, b))
+            assert rule.den * both >= rule.num * (len(a) + len(b) - both)
+            tiles = [{*np.concatenate(tiles_of(s, rule)).tolist()} for s in (a, b)]
+            assert tiles[0] & tiles[1]
+            checked += most > 0
+    assert checked
+
+
+def test_tiles_in_which_clusters_meet():
+    """However the rows fall into batches; 0 stands for nodes without a cluster."""
+    rng = random.Random(12)
+    for _ in range(300):
+        rows = [(rng.randint(-4, 4), rng.choice([0, 1, 1, 1, 2])) for _ in range(rng.randint(0, 30))]
+        lists = [[t for t, c in rows if c == k] for k in (0, 1, 2)]
+        batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), pa.array([0, 1, 2], pa.int64())], names=["tiles", "cluster"])
+        pairs = sorted((t, c) for b in _tile_clusters(iter([batch])) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        assert collections.Counter(pairs) == collections.Counter({p: n if p[1] == 0 else 1 for p, n in collections.Counter(rows).items()})
+        cuts = sorted(rng.randint(0, len(pairs)) for _ in range(3))
+        parts = [pairs[a:b] for a, b in zip([0, *cuts], [*cuts, len(pairs)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in p], pa.int64()), pa.array([c for _, c in p], pa.int64())], names=["tile", "cluster"]) for p in parts]
+        found = [t for b in _mixed(iter(batches)) for t in b.column(0).to_pylist()]
+        held = collections.defaultdict(list)
+        for t, c in pairs:
+            held[t].append(c)
+        assert found == sorted(t for t, cs in held.items() if len(cs) > 1 and (0 in cs or len(set(cs)) > 1))
+
+
 def test_ngram_join_empty(empty):
     assert ngram_jaccard_join(empty).count() == 0
 
@@ -186,8 +231,36 @@ def test_byte_bpe_any_ranks():
 
 
 def test_pieces():
-    for text in ("", " ", "a b", "  a  b ", "a \n b\x00c d", " x"):
+    for text in ("", " ", "a b", "  a  b ", "a \n b\x00c d", " x", "a.\nb,", "\n", "a\n\nb"):
         assert "".join(pieces(text)) == text
+    assert pieces("So it is.\nAnd so.") == ["So", " it", " is.", "\n", "And", " so."]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", ",", ".", "'", "!", "a", "the", "B", "é", "1", "中", "\u00a0", "'s", "'ll", "<|endoftext|>", "<|", "_", "ʼ", "\0", "ª", "²", "😀"]), max_size=30))
+def test_pieces_encode_as_whole_texts(parts):
+    """Both coders against their libraries, wherever blanks, line ends, punctuation and special tokens meet."""
+    text = "".join(parts)
+    assert CODERS[0].encode(text).tolist() == LIBRARY_JSON.encode(text, add_special_tokens=False).ids
+    ids = CODERS[1].encode(text)
+    assert ids.tolist() == LIBRARY_RANKS.encode_ordinary(text) and CODERS[1].decode(ids) == text.encode()
+
+
+def test_long_match_alone():
+    """A match whose merges make pairs of smaller ranks takes time in proportion, not in its square."""
+    own = {bytes([b]): 1000 + b for b in range(256)} | {b"ab": 5, b"abab": 1, b"ba": 3, b"abababab": 0}
+    coder = Bpe({t: i for i, t in enumerate(sorted(own, key=own.get))}, r"\S+|\s+")
+    began = time.perf_counter()
+    ids = coder.merge_alone(b"ab" * 100_000)
+    assert time.perf_counter() - began < 20 and len(ids) == 25_000
+
+
+def test_token_files_of_extreme_keys(spark):
+    docs = spark.createDataFrame([(None, "a"), (-(1 << 63), "b c"), (None, ""), (3, "d"), (3, "d"), ((1 << 63) - 1, None)], "doc_id long, text string")
+    folder, manifest = write_shards(docs, JSON, shard_ids=3)
+    found = read_documents(folder, manifest, docs).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in found) == collections.Counter({(None, 2): 1, (None, 1): 1, (-(1 << 63), 3): 1, (3, 2): 2, ((1 << 63) - 1, 1): 1})
+    assert sorted(r.start for r in found) == [0, *np.cumsum([n for _, n in sorted((r.start, r.n_tokens) for r in found)])[:-1].tolist()]
 
 
 def test_token_files(spark, docs, rows, empty):
@@ -267,6 +340,37 @@ def test_shuffle_of_many_files(spark, tmp_path):
     assert [(s, k) for s, k, _ in runs[0]] == [(s, k) for s in range(7) for k in range(sizes[s])]
 
 
+def test_shuffle_is_uniform(spark, tmp_path):
+    """Shards of many rows from several origins: every row is as likely in every shard and slot as any other."""
+    path = f"{tmp_path}/rows"
+    for lo in (0, 300, 900):
+        spark.range(lo, {0: 300, 300: 900, 900: 1200}[lo]).coalesce(1).write.mode("append").parquet(path)
+    table, shard_of, slot_of = spark.read.parquet(path), np.zeros((24, 1200), int), np.zeros((24, 1200), int)
+    for seed in range(24):
+        for r in shuffle_into_shards(table, Shuffle(shards=4, seed=seed, origin_rows=256), scan=True).collect():
+            shard_of[seed, r.id], slot_of[seed, r.id] = r.shard, r.slot
+    assert all((np.bincount(s, minlength=4) == 300).all() for s in shard_of)
+    assert all(sorted(slot_of[k][shard_of[k] == s]) == list(range(300)) for k in range(24) for s in range(4))
+    for part in (slice(0, 300), slice(300, 900), slice(900, 1200)):  # each file's rows, over shards and over the quarters of a shard
+        for seen, cells in ((shard_of[:, part], 4), (slot_of[:, part] // 75, 4)):
+            n = np.bincount(seen.ravel(), minlength=cells)
+            assert ((n - n.mean()) ** 2 / n.mean()).sum() < 25
+    same = (shard_of[:, :-1] == shard_of[:, 1:]).mean()  # neighbours part as strangers do
+    assert abs(same - 299 / 1199) < 0.01
+    near = np.abs(slot_of[:, :-1] - slot_of[:, 1:])[shard_of[:, :-1] == shard_of[:, 1:]]
+    assert abs(near.mean() - 301 / 3) < 4
+
+
+def test_hypergeometric_beyond_the_generator():
+    """Both ways of drawing have the distribution's mean and variance."""
+    rng = np.random.default_rng(8)
+    for good, bad, n in ((3 * 10**9, 10**9, 4000), (2 * 10**9, 6 * 10**9, 10**9)):
+        draws = np.array([_hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+        share, total = good / (good + bad), good + bad
+        spread = np.sqrt(n * share * (1 - share) * (total - n) / (total - 1))
+        assert abs(draws.mean() - n * share) < 5 * spread / np.sqrt(3000) and abs(draws.std() / spread - 1) < 0.06
+
+
 def test_communication_matrix():
     counts = np.array([10, 0, 1000, 3])
     m = communication_matrix(counts, 7, 1)
