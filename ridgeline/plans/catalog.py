@@ -506,8 +506,8 @@ def word_overlap(spark, sf_dir):
     return pairs.select("a", "b", F.round(text.word_overlap(F.col("ta"), F.col("tb")), 9).alias("overlap"))
 
 
-@query(r"""WITH c AS (SELECT role, text, length(text) AS n FROM conversations), p AS (SELECT role, text, n, unnest(range(1, greatest(n, 75) - 73)) AS i FROM c), q AS (SELECT role, text, i, unnest(range(25, least(200, (n - i + 1) // 3) + 1)) AS k FROM p WHERE n - i + 1 >= 75),
-f AS (SELECT DISTINCT role, text FROM q WHERE substr(text, i, k) = substr(text, i + k, k) AND substr(text, i, k) = substr(text, i + 2 * k, k)) SELECT c.role, count(*) FILTER (f.text IS NOT NULL) AS degenerate, count(*) AS n FROM c LEFT JOIN f ON f.role = c.role AND f.text = c.text GROUP BY 1""")
+@query(r"""WITH c AS (SELECT role, text FROM conversations), t AS (SELECT DISTINCT text, length(text) AS n FROM c), p AS (SELECT text, n, unnest(range(1, greatest(n, 75) - 73)) AS i FROM t), q AS (SELECT text, i, unnest(range(25, least(200, (n - i + 1) // 3) + 1)) AS k FROM p WHERE n - i + 1 >= 75),
+f AS (SELECT DISTINCT text FROM q WHERE substr(text, i, k) = substr(text, i + k, k) AND substr(text, i, k) = substr(text, i + 2 * k, k)) SELECT c.role, count(*) FILTER (f.text IS NOT NULL) AS degenerate, count(*) AS n FROM c LEFT JOIN f ON f.text = c.text GROUP BY 1""")
 def degenerate_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(text.degenerate(F.col("text"))).alias("degenerate"), F.count("*").alias("n"))
 

@@ -445,7 +445,7 @@ def encoded_paths(spark, sf_dir):
     + """, p AS (SELECT frame_no, event_id, v0, (scene_id % 7 - 3) / 20.0 AS b, list_transform(range(1, 21), lambda i: list_sum(future[1:i]) * 0.25) AS r, CASE WHEN v0 < 0.5 THEN 'v0<0.5' WHEN v0 < 3 THEN '0.5<=v0<3' WHEN v0 < 8 THEN '3<=v0<8' ELSE 'v0>=8' END AS bucket FROM series),
 e AS (SELECT 'cv' AS kind, bucket, list_transform(range(1, 21), lambda i: sqrt(pow(v0 * i * 0.25 - r[i] * cos(b * i), 2) + pow(r[i] * sin(b * i), 2))) AS err FROM p UNION ALL SELECT 'static', bucket, r FROM p UNION ALL SELECT 'gt', bucket, list_transform(r, lambda x: 0.0) FROM p),
 o AS (SELECT kind, 'all' AS slice, NULL AS value, err FROM e UNION ALL SELECT kind, 'bucket', bucket, err FROM e)
-SELECT kind, slice, value, count(*) AS n, 1.0::DOUBLE AS pred_rate, round(avg(list_avg(err[1:4])), 6) AS ade1, round(avg(list_avg(err[1:12])), 6) AS ade3, round(avg(list_avg(err)), 6) AS ade5, round(avg(err[20]), 6) AS fde, round(avg(exp(-list_avg(err) / 2)), 6) AS traj_score FROM o GROUP BY 1, 2, 3"""
+SELECT kind, slice, value, count(*) AS n, 1.0::DOUBLE AS pred_rate, round(avg(list_avg(err[1:4])), 4) AS ade1, round(avg(list_avg(err[1:12])), 4) AS ade3, round(avg(list_avg(err)), 4) AS ade5, round(avg(err[20]), 4) AS fde, round(avg(exp(-list_avg(err) / 2)), 4) AS traj_score FROM o GROUP BY 1, 2, 3"""
 )
 def reference_summary(spark, sf_dir):
     from ridgeline.plans.catalog import _paths
@@ -454,7 +454,7 @@ def reference_summary(spark, sf_dir):
     rows = evaluate.reference_predictions(p, "frame_key").where("kind <> 'ceiling'").join(p.select("frame_key", "truth", "bucket"), "frame_key")
     parts = [evaluate.trajectory_summary(rows.where(F.col("kind") == k), ["bucket"]).withColumn("kind", F.lit(k)) for k in ("cv", "static", "gt")]
     found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return found.select("kind", "slice", "value", "n", "pred_rate", *[F.round(c, 6).alias(c) for c in ("ade1", "ade3", "ade5", "fde", "traj_score")])
+    return found.select("kind", "slice", "value", "n", "pred_rate", *[F.round(c, 4).alias(c) for c in ("ade1", "ade3", "ade5", "fde", "traj_score")])
 
 
 # ---- metric families
