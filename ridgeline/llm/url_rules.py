@@ -16,17 +16,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ascii_lower, columns_free_of, few_enough, hint, join_skewed, staged
+from ridgeline.llm.common import ascii_lower, columns_free_of, hint, join_skewed, staged
 
 
 @dataclass(frozen=True)
 class Filter:
-    """keys_per_word sets the filter's size with the list's, bits its false hits; words up to broadcast_words are broadcast."""
+    """keys_per_word sets the filter's size with the list's, bits its false hits; words up to broadcast_words are broadcast,
+    and decided URLs up to broadcast_rules of broadcast_bytes together."""
 
     keys_per_word: int = 4
     bits: int = 4
     broadcast_words: int = 2_000_000
     broadcast_rules: int = 100_000
+    broadcast_bytes: int = 32 << 20
 
 
 def canonical(url: Column) -> tuple[Column, Column]:
@@ -83,7 +85,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     size = F.length("r_host") + F.length("r_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("r_host").alias("hosts"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("best"))
     best = staged(best.select("host", "path", "best.rule", "best.verdict"), "decided")
-    if few_enough(best, opts.broadcast_rules):
+    size = best.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
+    if size.rows <= opts.broadcast_rules and size.bytes <= opts.broadcast_bytes:
         out = pages.join(F.broadcast(best), ["host", "path"], "left")
     else:  # a very common URL, with a rule or without, is known by its number of pages
         (copies,) = columns_free_of(pages, "_copies")
