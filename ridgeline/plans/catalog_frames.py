@@ -402,7 +402,7 @@ def prose_objects(spark, sf_dir):
     light = F.format_string("Weather: Fog\nTraffic events: %s\nlon=decelerate | lat=straight\nThe red traffic light at [%d, 580] is on; nothing else. It is far.", "event_type", F.col("frame_no") + 100)
     done = prose.extract_answers(f.withColumn("text", F.when(F.col("event_id") % 2 == 0, bus).otherwise(light)), "text")
     o = F.col("objects")[0]
-    return done.where(F.size("objects") == 1).select("event_id", o["type"].alias("type"), o["point"]["x"].alias("x"), o["state"].alias("state"), o["content"].alias("content"), o["rank"].alias("rank"), F.try_element_at("context", F.lit("weather")).alias("weather"), F.col("motion.lon").alias("lon"), F.col("events")[0].alias("event"))
+    return done.select("event_id", F.when(F.size("objects") == 1, o["type"]).alias("type"), o["point"]["x"].alias("x"), o["state"].alias("state"), o["content"].alias("content"), o["rank"].alias("rank"), F.try_element_at("context", F.lit("weather")).alias("weather"), F.col("motion.lon").alias("lon"), F.col("events")[0].alias("event"))
 
 
 @query("WITH " + FRAMES_SQL + " SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 END AS pairs, CASE WHEN event_id % 2 = 0 THEN frame_no::DOUBLE END AS x FROM frames")
