@@ -43,7 +43,7 @@ def chain_flags(rows: DataFrame) -> DataFrame:
     a, v0 = F.col("answer"), F.col("v0")
     rows = label_path(rows.withColumn("_path", F.col("pred")), "_path", "v0", "intent").withColumnRenamed("label", "_label").drop("_path")
     rows = rows.withColumn("_plan", a["final_plan"])
-    rows = plans.classify_plans(plans.classify_plans(rows, "_plan", "v0", "_read"), "gt_plan", "v0", "_gt_read")
+    rows = plans.classify_plans(plans.classify_plans(rows, "_plan", "v0", "_read", once=False), "gt_plan", "v0", "_gt_read", once=False)
     for side, path in (("_p", "pred"), ("_g", "truth")):
         speeds = motion.future_speeds(F.col(path))
         rows = rows.withColumns({f"{side}_end": motion.end_speed(speeds), f"{side}_start": motion.start_time(speeds)})

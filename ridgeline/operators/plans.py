@@ -69,17 +69,21 @@ def read_step(own: str, rest: str, moving: bool) -> tuple[str, str | None, list[
     return "unmatched", lat, notes, "unmatched" if own else "empty_plan", side
 
 
-def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read") -> DataFrame:
-    """df with ``plan_read``: lon, lat, notes, matched_by and side of the plan's first step. An unknown speed counts as moving."""
+def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read", once: bool = True) -> DataFrame:
+    """df with ``plan_read``: lon, lat, notes, matched_by and side of the plan's first step. An unknown speed counts as moving.
+
+    once: read each distinct step once and join it back, which reads df twice; else row by row, for a
+    df that is dear to compute.
+    """
 
     @F.pandas_udf(_READ)
     def read(own: pd.Series, rest: pd.Series, moving: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_step(a, b, bool(m)) for a, b, m in zip(own, rest, moving, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
 
     rows = df.withColumn("_first", plan_first(F.col(plan))).withColumn("_moving", F.coalesce(F.col(v0) >= STOPPED, F.lit(True)))
-    distinct = rows.select("_first", "_moving").distinct().withColumn("_own", masked(F.col("_first"), words.OBJECT_MASKS))
-    distinct = distinct.withColumn("_rest", masked(F.col("_own"), words.CLAUSE_MASKS)).withColumn(out, read("_own", "_rest", "_moving"))
-    return rows.join(distinct.drop("_own", "_rest"), ["_first", "_moving"]).drop("_first", "_moving")
+    steps = (rows.select("_first", "_moving").distinct() if once else rows).withColumn("_own", masked(F.col("_first"), words.OBJECT_MASKS))
+    steps = steps.withColumn("_rest", masked(F.col("_own"), words.CLAUSE_MASKS)).withColumn(out, read("_own", "_rest", "_moving")).drop("_own", "_rest")
+    return (rows.join(steps, ["_first", "_moving"]) if once else steps).drop("_first", "_moving")
 
 
 def taxonomy(read: Column) -> Column:
