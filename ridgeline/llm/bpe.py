@@ -35,7 +35,7 @@ from ridgeline.llm.common import runs, small_batches
 
 _DOUBLE_BLANK = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 LONG_PIECE = 64
 MERGED_TOGETHER = 60_000
 CHUNK_CHARS = 4 << 20
@@ -168,7 +168,7 @@ class _Pairs(dict):
         self.ranks, self.tokens = ranks, tokens
 
     def __missing__(self, key: int) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         rank = self[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
         return rank
@@ -349,7 +349,7 @@ def _coder(vocabulary: str, pattern: str, schema: pa.Schema, rows: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(vocabulary, pattern)
         emit = rows(bpe)
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, CHUNK_CHARS // 2):
             found = [emit(x) for x in bpe.encode_many(texts)]
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], schema=schema)

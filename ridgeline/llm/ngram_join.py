@@ -202,7 +202,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _tile_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tile, cluster) of rows (tiles, cluster), each pair once for a million: a group of copies is one row then."""
+    """(tile, cluster) of rows (tiles, cluster), each pair once for a quarter of a million: a group of copies is one row then."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -212,7 +212,7 @@ def _tile_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         lists = batch.column("tiles")
         held.append((lists.flatten().to_numpy(), np.repeat(batch.column("cluster").to_numpy(), np.diff(lists.offsets.to_numpy()))))
-        if sum(len(t) for t, _ in held) > 1_000_000:
+        if sum(len(t) for t, _ in held) > 250_000:
             yield flush()
             held = []
     if held:

@@ -190,7 +190,7 @@ def chain_scores(model: Model, spark, text: Column) -> Column:
                 for w in words(text):
                     found = known.get(w)
                     if found is None:
-                        if len(known) > 250_000:
+                        if len(known) > 150_000:
                             known.clear()
                         found = known[w] = tuple(p for f in word_features(w) if (p := place(f)) is not None)
                     own.update(found)
