@@ -96,6 +96,24 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_bounded_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.vantage_trees import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
@@ -158,5 +176,59 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1),
+s AS (SELECT c.*, unnest(range(1, c.k)) AS cut FROM c),
+x AS (SELECT s.lang, s.k, s.phrase, s.a, s.cut, x.f AS l, y.f AS r, n.n, 1000 * s.a * n.n // (x.f * y.f) AS score FROM s
+  JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:s.cut], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[s.cut + 1:], ' ') JOIN n ON n.lang = s.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT c.lang, c.a AS f, unnest(list_transform(range(2, c.k), lambda j: list_transform(range(1, c.k - j + 2), lambda i: array_to_string(c.w[i:i + j - 1], ' ')))) AS parts FROM c WHERE c.k > 2),
+m AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest(parts) AS phrase FROM o) GROUP BY 1, 2),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE m.f IS NULL OR 100 * m.f < 100 * b.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z WHERE rank <= 2000
+"""
+
+
+def _codes_sql(rounds: int) -> str:
+    """Assignment and update by plain comparison with every entry, once for each round, and a last assignment."""
+    nearest = "SELECT x.row, x.p, min({{'d': d, 'e': e}}) AS m FROM (SELECT p.row, p.p, c.e, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{k} c ON c.p = p.p) x GROUP BY 1, 2"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS ({nearest.format(k=k)})")
+        if k < rounds:
+            moved = f"SELECT a.p, a.m.e AS e, i, sum(p.v[i]) AS s, count(*) AS n FROM a{k} a JOIN p ON p.row = a.row AND p.p = a.p, range(1, (SELECT w FROM w) + 1) r(i) GROUP BY 1, 2, 3"
+            means = f"SELECT p, e, list((CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END)::BIGINT ORDER BY i) AS v FROM ({moved}) GROUP BY 1, 2"
+            steps.append(f"c{k + 1} AS (SELECT c.p, c.e, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN ({means}) n ON n.p = c.p AND n.e = c.e)")
+    return ",\n".join(steps)
+
+
+OP12_SQL = f"""
+WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS row FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+w AS (SELECT len(v) // 16 AS w FROM f WHERE row = 1),
+p AS (SELECT row, p, v[p * w + 1:p * w + w] AS v FROM f, w, range(16) r(p)),
+c0 AS (SELECT p, row - 1 AS e, v FROM p WHERE row <= 64),
+{_codes_sql(2)},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM c2),
+o AS (SELECT f.vec_id, f.label, string_agg(lpad(printf('%x', a.m.e), 2, '0'), '' ORDER BY a.p) AS code, sum(a.m.d)::BIGINT AS error FROM f JOIN a2 a ON a.row = f.row GROUP BY f.row, 1, 2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o, h
+"""
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM f q JOIN f c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fingerprint_chat_format": OP2_SQL, "op7_bloom_url_rules": OP7_SQL, "op6_hnsw_near_duplicates": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    return {"op2_fingerprint_chat_format": OP2_SQL, "op7_bloom_url_rules": OP7_SQL, "op6_hnsw_near_duplicates": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op8_benchmark_decontamination": OP8_SQL,
+            "op11_tiled_collocations": OP11_SQL, "op12_bounded_vector_codes": OP12_SQL, "op13_vantage_point_search": OP13_SQL}
