@@ -132,6 +132,11 @@ def lat_class(theta: Column, residual: Column, intent: Column) -> Column:
     return F.when(turn, F.when(theta > 0, "left_turn").otherwise("right_turn")).otherwise("straight")
 
 
+def heading_class(theta: Column) -> Column:
+    """A large heading change is a turn, however smooth and whatever was meant."""
+    return F.when(F.abs(theta) >= TURN_DEG, F.when(theta > 0, "left_turn").otherwise("right_turn")).otherwise("straight")
+
+
 def ego_class(v0: Column, v1: Column) -> Column:
     """Present behaviour: stopped, or by the change within the last second."""
     return F.when(v0 < STOPPED, "stopped").when(v0 - v1 > EGO_CHANGE, "accelerating").when(v0 - v1 < -EGO_CHANGE, "decelerating").otherwise("cruising")

@@ -1,4 +1,4 @@
-"""Metric kernel: rates, confusion, reports, percentiles, slices, comparisons, gates.
+"""Metric kernel: rates, confusion, reports, slices, comparisons, gates.
 
 No support is NULL, never zero. Everything is partial aggregation over rows or over exploded rows.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.select import hint
@@ -79,8 +79,8 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def examples(df: DataFrame, order: str, k: int, *unique: str) -> DataFrame:
     """The first row of each distinct key in order, at most k keys."""
-    first = F.row_number().over(Window.partitionBy(*unique).orderBy(order))
-    return df.withColumn("_n", first).where("_n = 1").drop("_n").orderBy(order).limit(k)
+    first = df.groupBy(*unique).agg(F.min_by(F.struct(*[c for c in df.columns if c not in unique]), order).alias("_r"))
+    return first.select(*unique, "_r.*").select(df.columns).orderBy(order).limit(k)
 
 
 def majority(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -114,11 +114,6 @@ def macro_recall(report: DataFrame, least: int = 10) -> DataFrame:
     )
 
 
-def percentiles(column: str, shares: list[float]) -> Column:
-    """Exact percentiles with linear interpolation."""
-    return F.percentile(column, F.array(*[F.lit(s) for s in shares]))
-
-
 def leaderboard(df: DataFrame, cluster: str, score: str) -> DataFrame:
     """One row: the mean over clusters of their means (without Unknown), the mean over rows, and the clusters."""
     per = df.groupBy(F.coalesce(cluster, F.lit("Unknown")).alias("c")).agg(mean_valid(score).alias("m"), F.count(score).alias("n"), F.sum(score).alias("s"))
@@ -173,26 +168,6 @@ def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return both.select("metric", "value", "op", "threshold", passed.alias("passed"))
 
 
-def all_passed(checked: DataFrame) -> DataFrame:
-    return checked.agg(F.bool_and("passed").alias("all_passed"), F.count("passed").alias("judged"))
-
-
-def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """Mean difference a - b with 2.5 and 97.5 percentiles over resamples, and the share above zero.
-
-    Poisson(1) weights per row and resample stand for the draws with replacement, taken from a digest
-    of seed, resample and key, so that rows never have to be numbered or joined back. Rows with a
-    missing side don't count.
-    """
-    d = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).cast("string").alias("k"), (F.col(a) - F.col(b)).alias("d"))
-    drawn = d.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "r", "k")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = reduce(lambda out, kv: F.when(u < kv[1], kv[0]).otherwise(out), [(6, 0.9999167588), (5, 0.9994058152), (4, 0.9963401532), (3, 0.9810118431), (2, 0.9196986029), (1, 0.7357588823), (0, 0.3678794412)], F.lit(7))
-    per = drawn.withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w").cast("double")).alias("m"))
-    found = per.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg((F.col("m") > 0).cast("double")).alias("share_above"))
-    return d.agg(F.avg("d").alias("mean_diff"), F.count("*").alias("n")).join(found, F.lit(True)).select("mean_diff", "n", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "share_above")
-
-
 def mask_metrics(metrics: DataFrame, capabilities: DataFrame, needs: dict[str, str]) -> DataFrame:
     """Long metrics (model, metric, value) with NULL where the model lacks what a metric needs. capabilities: model, capability, able."""
     need = reduce(lambda out, kv: F.when(F.col("metric") == kv[0], kv[1]).otherwise(out), needs.items(), F.lit(None).cast("string"))
@@ -200,20 +175,6 @@ def mask_metrics(metrics: DataFrame, capabilities: DataFrame, needs: dict[str, s
     return rows.select("model", "metric", F.when(F.col("capability").isNull() | F.coalesce("able", F.lit(False)), F.col("value")).alias("value"))
 
 
-def detect_capabilities(answers: DataFrame, model: str, fields: dict[str, bool], coverage: float = 0.20) -> DataFrame:
-    """(model, capability, coverage, distinct_ratio, able). fields: text column -> whether it is structured.
-
-    Able: enough answers have the field, and enough of those differ (5 %, or 1 % where structured).
-    """
-    parts = []
-    for name, structured in fields.items():
-        value = F.nullif(F.lower(F.trim(name)), F.lit(""))
-        found = answers.groupBy(model).agg(rate(F.count(value), F.count("*")).alias("coverage"), rate(F.countDistinct(value), F.count(value)).alias("distinct_ratio"))
-        able = (F.col("coverage") >= coverage) & (F.coalesce("distinct_ratio", F.lit(0.0)) >= (0.01 if structured else 0.05))
-        parts.append(found.select(F.col(model).alias("model"), F.lit(name).alias("capability"), "coverage", "distinct_ratio", able.alias("able")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def merge_judged(old: DataFrame, new: DataFrame, key: str = "metric") -> DataFrame:
     """Per metric (value, scored, missing_rate) the old block where it scored more and missed no more, else the new one."""
     o, n = (d.select(key, F.struct("value", "scored", "missing_rate").alias(s)) for d, s in ((old, "o"), (new, "n")))

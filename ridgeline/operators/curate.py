@@ -61,15 +61,28 @@ def kmh(speed: Column) -> Column:
     return speed * 3.6
 
 
-def label_path(df: DataFrame, path: str, v0: str, intent: str) -> DataFrame:
-    """df with label (sample, lon, lat) of a predicted path by the rules for frames; without a path it keeps."""
+def label_path(df: DataFrame, path: str, v0: str, intent: str | None = None) -> DataFrame:
+    """df with label (sample, lon, lat) of a path by the rules for frames; without a path it keeps.
+
+    Without an intent the lateral class is that of the heading change alone.
+    """
     speeds = motion.future_speeds(F.col(path))
     v_end, v_max = motion.end_speed(speeds), F.array_max(speeds)
     rows = df.withColumn("_h", geometry.heading(F.col(path)))
-    lat = motion.lat_class(F.col("_h.theta"), F.col("_h.residual"), F.col(intent))
+    lat = motion.lat_class(F.col("_h.theta"), F.col("_h.residual"), F.col(intent)) if intent else motion.heading_class(F.col("_h.theta"))
     return rows.withColumn("label", F.struct(motion.sample_class(F.col(v0), v_end, v_max, "keep").alias("sample"), motion.lon_class(F.col(v0), v_end, v_max).alias("lon"), lat.alias("lat"))).drop("_h")
 
 
+def with_errors(caches: DataFrame, frames: DataFrame, unreadable: DataFrame | None = None, key: str = "frame_key") -> DataFrame:
+    """Cached rows with ``error``: what was wrong with a frame that has defaults only. unreadable: key, error, several per key give one."""
+    known = frames.select(key).distinct().withColumn("_known", F.lit(True))
+    rows = caches.join(known, key, "left")
+    said = F.lit(None).cast("string")
+    if unreadable is not None:
+        rows, said = rows.join(unreadable.groupBy(key).agg(F.min("error").alias("_error")), key, "left"), F.col("_error")
+    return rows.withColumn("error", F.coalesce(said, F.when(F.col("_known").isNull(), "no frame document"))).drop("_known", "_error")
+
+
 def build_caches(index: DataFrame, frames: DataFrame, ann: DataFrame, key: str = "frame_key") -> DataFrame:
     """One keyed row per indexed frame: intent, context, event, objects, motion, flags. Unreadable frames keep defaults.
 
@@ -130,14 +143,6 @@ def chain_pool(caches: DataFrame, partitions: list[str]) -> DataFrame:
     return pool
 
 
-def align(index: DataFrame, cache: DataFrame, key: str = "frame_key") -> DataFrame:
-    """Index rows with their cache; a different number of keys is an error."""
-    a, b = index.count(), cache.select(key).distinct().count()
-    if a != b:
-        raise ValueError(f"{a} indexed rows and {b} cached")
-    return index.join(cache, key)
-
-
 def index_stats(df: DataFrame, kept: Column, negative: Column, by: str) -> DataFrame:
     """Per partition: scenes, frames scanned, kept, kept positives and negatives."""
     rows = df.withColumn("_k", kept).withColumn("_n", negative)
@@ -202,18 +207,6 @@ def behaviour_metrics(matches: DataFrame, field: str = "state", collapse: bool =
     return class_report(confusion(rows, "truth", "found"))
 
 
-def understanding(matches: DataFrame, slices: list[str]) -> DataFrame:
-    """Rates over matched objects: type, direction, lane, intention and state (loose), rank; (type, location, intention, state, rank) and pred_ columns."""
-    t, p = (text.location_slots(F.col(c)) for c in ("location", "pred_location"))
-    judged = lambda c: F.when(motion.present(c).isNotNull(), text.loosely_equal(F.col(f"pred_{c}"), F.col(c)))
-    rows = matches.withColumns({
-        "_type": F.lower("type") == F.lower("pred_type"), "_dir": F.when(t["direction"].isNotNull(), F.coalesce(t["direction"] == p["direction"], F.lit(False))), "_lane": F.when(t["lane"].isNotNull(), F.coalesce(t["lane"] == p["lane"], F.lit(False))),
-        "_intention": judged("intention"), "_state": judged("state"), "_rank": F.when(F.col("rank").isNotNull(), F.coalesce(F.col("rank") == F.col("pred_rank"), F.lit(False))),
-    })
-    names = {"type_acc": "_type", "attr_location_dir_acc": "_dir", "attr_location_lane_acc": "_lane", "attr_intention_acc": "_intention", "attr_state_acc": "_state", "rank_acc": "_rank"}
-    return by_slice(rows, slices, F.count("*").alias("n"), *[accuracy(F.col(c)).alias(k) for k, c in names.items()])
-
-
 def variant_summary(rows: DataFrame, variant: str, key: str, measure: str, base: str) -> DataFrame:
     """Per variant: rows, mean of the measure, and its mean difference from the base variant on common keys."""
     b = rows.where(F.col(variant) == base).select(key, F.col(measure).alias("_b"))

@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import geometry, motion, text
 from ridgeline.operators.aggregate import accuracy, by_slice, mean_valid, rate
 from ridgeline.operators.match import match_multiset
-
-
-def records(answers: DataFrame, frames: DataFrame, annotations: DataFrame, key: str = "frame_key") -> DataFrame:
-    """Answers parsed and joined to their frame and annotation; answers of unknown frames are left out."""
-    parsed = answers.withColumn("answer", text.parse_answer(F.col("text")))
-    return parsed.join(frames, key).join(annotations, key, "left")
+from ridgeline.operators.order_stats import quantiles
 
 
 def trajectory_summary(rows: DataFrame, slices: list[str]) -> DataFrame:
@@ -58,21 +53,6 @@ def duplicate_objects(objects: Column) -> Column:
     return F.size(F.array_distinct(keys)) < F.size(keys)
 
 
-def chain_metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
-    """Rows need answer, text, motion (truth: lon, lat), ego (truth class) and derived (motion class of the predicted path)."""
-    a, m = F.col("answer"), missing_flags(F.col("answer"))
-    progression = motion.is_progression(a["traj"]) & (motion.varies(F.col("truth")) if "truth" in rows.columns else F.lit(True))
-    share = lambda c: accuracy(c)
-    flags = rows.withColumns({f"_m_{f}": m[f] for f in ("reason", "final_plan", "motion", "traj", "implication")})
-    flags = flags.withColumns({
-        "_lon": a["motion"]["lon"] == F.col("motion.lon"), "_lat": a["motion"]["lat"] == F.col("motion.lat"), "_ego": a["ego_state"]["lon_class"] == F.col("ego"),
-        "_agree": a["motion"]["lon"] == F.col("derived"), "_degenerate": text.degenerate(F.col("text")), "_dup": duplicate_objects(a["objects"]), "_flat": progression, "_open": a["n_unclosed_obj"] > 0,
-    })
-    missing = [F.avg(F.col(f"_m_{f}").cast("double")).alias(f"{f}_missing_rate") for f in ("reason", "final_plan", "motion", "traj", "implication")]
-    rates = [("motion_lon_acc", "_lon"), ("motion_lat_acc", "_lat"), ("ego_state_acc", "_ego"), ("motion_traj_consistency", "_agree"), ("degenerate_rate", "_degenerate"), ("duplicate_rate", "_dup"), ("progression_rate", "_flat"), ("unclosed_rate", "_open")]
-    return by_slice(flags, slices, F.count("*").alias("n"), *missing, *[share(F.col(c)).alias(n) for n, c in rates])
-
-
 def object_metrics(truth: DataFrame, found: DataFrame, matches: DataFrame, frame: str) -> DataFrame:
     """One row: recall, precision, type accuracy among matched, mean distance, share within the location gate, rank-1 recall.
 
@@ -103,10 +83,13 @@ def long_metrics(wide: DataFrame, *keys: str) -> DataFrame:
     return wide.select(*keys, *[F.col(c).cast("double") for c in values]).unpivot(list(keys), values, "metric", "value")
 
 
-def length_summary(answers: DataFrame, by: str | None = None) -> DataFrame:
-    """Longest, mean and 99th percentile of new tokens, and how many hit the cap."""
-    groups = answers.groupBy(by) if by else answers.groupBy()
-    return groups.agg(F.max("n_new_tokens").alias("longest"), F.avg("n_new_tokens").alias("mean"), F.percentile("n_new_tokens", 0.99).alias("p99"), F.count_if("hit_cap").alias("hit_cap"), F.count("*").alias("n"))
+def length_summary(answers: DataFrame, by: str | None = None, guards: tuple[str, ...] = ()) -> DataFrame:
+    """Longest, mean and 99th percentile of new tokens, how many hit the cap, and sums of guard counters (columns that a NULL leaves as they are)."""
+    keys = [by] if by else []
+    sums = [F.coalesce(F.sum(F.col(g)), F.lit(0)).cast("long").alias(g.rpartition(".")[2]) for g in guards]
+    found = answers.groupBy(*keys).agg(F.max("n_new_tokens").alias("longest"), F.avg("n_new_tokens").alias("mean"), F.count_if("hit_cap").alias("hit_cap"), *sums, F.count("*").alias("n"))
+    p = quantiles(answers, keys, "n_new_tokens", [0.99]).select(*[F.col(k).alias("_k") for k in keys], F.col("q")[0].alias("p99"))
+    return found.join(p, F.col(by).eqNullSafe(F.col("_k")) if by else F.lit(True), "left").drop("_k")
 
 
 def judge_items(rows: DataFrame, frame: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ridgeline.operators.aggregate import accuracy, by_slice, mean_valid, prf, r
 from ridgeline.operators.curate import label_path
 from ridgeline.operators.evaluate import duplicate_objects
 from ridgeline.operators.match import direction, location_gate
-
+from ridgeline.operators.order_stats import quantiles
 
 
 def sure(ok: Column) -> Column:
@@ -38,10 +38,11 @@ def chain_flags(rows: DataFrame) -> DataFrame:
 
     rows: answer (as parse_answer gives it), text, v0, intent, pred and truth (paths of 20 samples or
     NULL), ego (lon, lat, lon_class), motion (lon, lat; lat NULL where not judged), sample_class,
-    gt_plan, n_tokens, max_tokens, hit_cap.
+    gt_plan, n_tokens, max_tokens, hit_cap, and finish_reason if there is one. The lateral class of a
+    predicted path is its heading change alone: what the curve or the intent says plays no part here.
     """
     a, v0 = F.col("answer"), F.col("v0")
-    rows = label_path(rows.withColumn("_path", F.col("pred")), "_path", "v0", "intent").withColumnRenamed("label", "_label").drop("_path")
+    rows = label_path(rows.withColumn("_path", F.col("pred")), "_path", "v0").withColumnRenamed("label", "_label").drop("_path")
     rows = rows.withColumn("_plan", a["final_plan"])
     rows = plans.classify_plans(plans.classify_plans(rows, "_plan", "v0", "_read", once=False), "gt_plan", "v0", "_gt_read", once=False)
     for side, path in (("_p", "pred"), ("_g", "truth")):
@@ -65,7 +66,7 @@ def chain_flags(rows: DataFrame) -> DataFrame:
 
     with_motion, by_path, by_truth = has_plan & m["lon"].isNotNull(), has_plan & has_path, said(F.col("gt_plan")) & F.col("motion").isNotNull()
     found_class = F.when(has_path & F.col("truth").isNotNull(), label["sample"]).otherwise("none")
-    plan_class = F.col("_read.lon")
+    plan_class, finish = F.col("_read.lon"), F.col("finish_reason") if "finish_reason" in rows.columns else F.lit(None).cast("string")
     repeated, arith, dup = text.degenerate(F.col("text")), motion.is_progression(a["traj"]) & motion.varies(F.col("truth")), sure(duplicate_objects(a["objects"]))
     flags = {
         "ego_state_present_rate": a["ego_state"].isNotNull(), "ego_state_lon_acc": F.col("_lon"), "ego_state_lat_acc": F.col("_lat"), "ego_state_acc": F.col("_lon") & F.col("_lat"),
@@ -80,7 +81,7 @@ def chain_flags(rows: DataFrame) -> DataFrame:
         "reason_missing_rate": ~said(a["reason"]), "plan_missing_rate": ~has_plan, "ego_state_missing_rate": a["ego_state"].isNull(), "motion_missing_rate": m.isNull(), "traj_missing_rate": ~has_path,
         "start_frame_acc": F.when(F.col("sample_class") == "start", found_class == "start"), "start_pred_static_rate": F.when(F.col("sample_class") == "start", found_class == "stay"),
         "start_frame_motion_acc": F.when((F.col("sample_class") == "start") & m["lon"].isNotNull(), m["lon"] == "accelerate"), "stay_frame_acc": F.when(F.col("sample_class") == "stay", found_class == "stay"),
-        "cap_hit_rate": F.when(F.col("hit_cap").isNotNull() | (F.col("n_tokens").isNotNull() & F.col("max_tokens").isNotNull()), sure(F.col("hit_cap")) | sure(F.col("n_tokens") >= F.col("max_tokens"))),
+        "cap_hit_rate": F.when(finish.isNotNull() | F.col("hit_cap").isNotNull() | (F.col("n_tokens").isNotNull() & F.col("max_tokens").isNotNull()), sure(finish == "length") | sure(F.col("hit_cap")) | sure(F.col("n_tokens") >= F.col("max_tokens"))),
         "traj_unclosed_rate": (a["traj_n_points"] > 0) & ~a["traj_closed"], "unclosed_obj_rate": a["n_unclosed_obj"] > 0,
         "text_repeat_rate": repeated, "traj_arith_rate": arith, "traj_flat_rate": motion.is_flat(a["traj"]), "obj_dup_rate": dup, "degenerate_rate": repeated | arith | dup,
     }
@@ -235,13 +236,12 @@ def location_errors(matches: DataFrame) -> DataFrame:
     """One row over matched objects (d, w, h, typed): share inside, share near, median and 90th percentile of the distance, plain and by gate; and of the rightly typed."""
     near, gate = F.col("d") <= location_gate(F.col("w"), F.col("h")), F.greatest(F.hypot("w", "h") * 0.5, F.lit(1e-6))
     typed = lambda c: F.when(F.col("typed"), c)
-    quantile = lambda c, q: F.percentile(c, q)
-    return matches.agg(
-        accuracy(F.col("d") == 0).alias("in_mask_rate"), accuracy(near).alias("near_rate"), quantile(F.col("d"), 0.5).alias("px_median"), quantile(F.col("d"), 0.9).alias("px_p90"), quantile(F.col("d") / gate, 0.5).alias("norm_median"),
-        accuracy(typed(F.col("d") == 0)).alias("in_mask_rate_typed"), accuracy(typed(near)).alias("near_rate_typed"), quantile(typed(F.col("d")), 0.5).alias("px_median_typed"), mean_valid(F.col("d")).alias("px_mean"),
+    rates = matches.agg(
+        accuracy(F.col("d") == 0).alias("in_mask_rate"), accuracy(near).alias("near_rate"), mean_valid(F.col("d")).alias("px_mean"), accuracy(typed(F.col("d") == 0)).alias("in_mask_rate_typed"), accuracy(typed(near)).alias("near_rate_typed"),
     )
-
-
-def wide_to_one(parts: list[DataFrame]) -> DataFrame:
-    """One-row tables side by side."""
-    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), parts)
+    kinds = {"px": F.col("d"), "norm": F.col("d") / gate, "px_typed": typed(F.col("d"))}
+    long = matches.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("double").alias("v")) for k, c in kinds.items()])).alias("x")).select("x.*")
+    q = quantiles(long, ["kind"], "v", [0.5, 0.9])
+    at = lambda kind, i: F.max(F.when(F.col("kind") == kind, F.col("q")[i]))
+    wide = q.agg(at("px", 0).alias("px_median"), at("px", 1).alias("px_p90"), at("norm", 0).alias("norm_median"), at("norm", 1).alias("norm_p90"), at("px_typed", 0).alias("px_median_typed"))
+    return rates.join(F.broadcast(wide), F.lit(True))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators import order_stats
 from ridgeline.operators.select import hint
 
 
@@ -76,7 +77,7 @@ def weighted_marginals(df: DataFrame, weight: str, *columns: str) -> DataFrame:
 
 def balance_factor(df: DataFrame, value: str, n: str, out: str) -> DataFrame:
     """sqrt(median count / count) within 0.5 and 3, per value of a frequency table."""
-    median = df.agg(F.percentile(n, 0.5).alias("_m"))
+    median = order_stats.median(df, n).withColumnRenamed("median", "_m")
     return df.join(F.broadcast(median), F.lit(True)).withColumn(out, F.least(F.lit(3.0), F.greatest(F.lit(0.5), F.sqrt(F.col("_m") / F.col(n))))).drop("_m")
 
 
@@ -90,15 +91,15 @@ def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int, digit
     rows = df.where(F.col(weight) > 0).withColumn("_b", F.substring(F.md5(F.col(key).cast("string")), 1, digits))
     sums = rows.groupBy("_b").agg(F.sum(weight).alias("_s"))  # no more rows than buckets
     over = Window.orderBy("_b")
-    starts = sums.withColumn("_end", F.sum("_s").over(over)).withColumn("_start", F.col("_end") - F.col("_s"))
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     total = sums.agg(F.sum("_s").alias("_total"))
     within = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.select("_b", F.coalesce(F.sum(weight).over(within), F.lit(0.0)).alias("_at"), F.lit(0).alias("_side"), F.col(key), F.lit(None).cast("long").alias("draw"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total), F.lit(True)).withColumn("_u", u * F.col("_total"))
-    bounds = starts.select(F.struct("_start", "_end", "_b").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("_all"))
-    # the buckets are few, so the one of a draw is found in their sorted list
-    mine = draws.join(F.broadcast(bounds), F.lit(True)).withColumn("x", F.get(F.filter("_all", lambda x: (x["_start"] <= F.col("_u")) & (F.col("_u") < x["_end"])), F.lit(0)))
+    bounds = starts.select(F.struct("_start", "_b").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("_all"))
+    # the buckets are few, so the one of a draw is found in their sorted list: the last that starts at or before it, whatever rounding did to its end
+    mine = draws.join(F.broadcast(bounds), F.lit(True)).withColumn("x", F.try_element_at(F.filter("_all", lambda x: x["_start"] <= F.col("_u")), F.lit(-1)))
     placed = mine.select(F.col("x._b").alias("_b"), (F.col("_u") - F.col("x._start")).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(dict(df.dtypes)[key]).alias(key), "draw")
     last = F.last(key, ignorenulls=True).over(Window.partitionBy("_b").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
     return spans.unionByName(placed).withColumn(key, last).where("_side = 1").select("draw", key)

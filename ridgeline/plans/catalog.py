@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text
-from ridgeline.operators import aggregate, clean, curate, evaluate, match, plans, select, targets, weights
+from ridgeline.operators import aggregate, clean, curate, evaluate, match, order_stats, plans, replicates, select, targets, weights
 from ridgeline.operators import prose as prose_module
 from ridgeline.plans.views import FRAMES_SQL, OBJECTS_SQL, SERIES_SQL, frames, objects, series, table
 from ridgeline.sources import sinks
@@ -287,9 +287,15 @@ def macro_recall(spark, sf_dir):
 
 @query("SELECT o_orderpriority, round(p[1], 4) AS p10, round(p[2], 4) AS p50, round(p[3], 4) AS p99 FROM (SELECT o_orderpriority, quantile_cont(o_totalprice, [0.1, 0.5, 0.99]) AS p FROM orders GROUP BY 1)")
 def percentiles(spark, sf_dir):
-    p = aggregate.percentiles("o_totalprice", [0.1, 0.5, 0.99])
-    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(p.alias("p"))
-    return rows.select("o_orderpriority", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
+    rows = order_stats.quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", [0.1, 0.5, 0.99])
+    return rows.select("o_orderpriority", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(p[1], 4) AS p01, round(p[2], 4) AS p50, round(p[3], 4) AS p999 FROM (SELECT l_returnflag, l_extendedprice, quantile_cont(l_extendedprice, [0.01, 0.5, 0.999]) OVER (PARTITION BY l_returnflag) AS p FROM lineitem) GROUP BY ALL")
+def narrowed_percentiles(spark, sf_dir):
+    """Every group is larger than what may meet in a task, so each rank is narrowed down."""
+    rows = order_stats.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.999], few=100)
+    return rows.select("l_returnflag", "n", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p01", "p50", "p999"))])
 
 
 @query("WITH c AS (SELECT o_orderpriority AS c, avg(o_totalprice) AS m, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) SELECT round(avg(m), 4) AS cluster_mean, round(sum(s) / sum(n), 4) AS row_mean, count(*) AS clusters FROM c")
@@ -308,15 +314,17 @@ def acceptance_gates(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT o_custkey AS k, avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus <> 'F') AS d FROM orders GROUP BY 1), v AS (SELECT * FROM p WHERE d IS NOT NULL),
-w AS (SELECT r, d, ('0x' || substr(md5('3|' || r || '|' || k), 1, 8))::UBIGINT / 4294967296.0 AS u FROM v, range(2000) t(r)),
-x AS (SELECT r, d, CASE WHEN u < 0.3678794412 THEN 0 WHEN u < 0.7357588823 THEN 1 WHEN u < 0.9196986029 THEN 2 WHEN u < 0.9810118431 THEN 3 WHEN u < 0.9963401532 THEN 4 WHEN u < 0.9994058152 THEN 5 WHEN u < 0.9999167588 THEN 6 ELSE 7 END AS n FROM w), m AS (SELECT r, sum(n * d) / sum(n) AS m FROM x GROUP BY 1)
+    """WITH p AS (SELECT o_custkey AS k, avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus <> 'F') AS d FROM orders GROUP BY 1), v AS (SELECT *, ('0x' || substr(md5('3|' || k), 1, 15))::UBIGINT AS h FROM p WHERE d IS NOT NULL),
+a AS (SELECT r, d, ((h::UHUGEINT + (r + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM v, range(2000) t(r)),
+b AS (SELECT r, d, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM a),
+c AS (SELECT r, d, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM b), w AS (SELECT r, d, xor(z, z >> 31) >> 32 AS u FROM c),
+x AS (SELECT r, d, (u >= 1580030169)::INT + (u >= 3160060337)::INT + (u >= 3950075422)::INT + (u >= 4213413783)::INT + (u >= 4279248374)::INT + (u >= 4292415292)::INT + (u >= 4294609778)::INT AS n FROM w), m AS (SELECT r, sum(n * d) / sum(n) AS m FROM x GROUP BY 1)
 SELECT (SELECT round(avg(d), 4) FROM v) AS mean_diff, (SELECT count(*) FROM v) AS n, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round(avg((m > 0)::INT), 9) AS share_above FROM m"""
 )
 def paired_bootstrap(spark, sf_dir):
     o, side = table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F"
     pairs = o.groupBy("o_custkey").agg(F.avg(F.when(side, F.col("o_totalprice"))).alias("a"), F.avg(F.when(~side, F.col("o_totalprice"))).alias("b"))
-    found = aggregate.paired_bootstrap(pairs, "o_custkey", "a", "b", 2000, 3)
+    found = replicates.paired_bootstrap(pairs, "o_custkey", "a", "b", 2000, 3)
     return found.select(F.round("mean_diff", 4).alias("mean_diff"), "n", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("share_above", 9).alias("share_above"))
 
 
@@ -338,11 +346,6 @@ def set_f1(spark, sf_dir):
     return aggregate.set_f1(sides, "t", "f").withColumn("f1", F.round("f1", 9))
 
 
-@query("SELECT source AS model, 'text' AS capability, count(nullif(lower(trim(text)), '')) / count(*)::DOUBLE AS coverage, count(DISTINCT nullif(lower(trim(text)), '')) / count(nullif(lower(trim(text)), ''))::DOUBLE AS distinct_ratio, true AS able FROM documents GROUP BY 1")
-def capabilities(spark, sf_dir):
-    return aggregate.detect_capabilities(table(spark, sf_dir, "documents"), "source", {"text": False})
-
-
 @query("SELECT p_partkey, round(1.0 / n, 12) AS weight FROM part JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) USING (p_brand)")
 def inverse_frequency(spark, sf_dir):
     return weights.inverse_frequency(table(spark, sf_dir, "part"), "p_brand", "weight").select("p_partkey", F.round("weight", 12).alias("weight"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text, vocab
-from ridgeline.operators import aggregate, clean, curate, evaluate, match, metrics, plans, select, targets, weights
+from ridgeline.operators import aggregate, clean, curate, evaluate, match, metrics, order_stats, plans, select, targets, weights
 from ridgeline.plans.catalog import _PAIRS, _greedy_sql, query
 from ridgeline.plans.views import FRAMES_SQL, OBJECTS_SQL, SERIES_SQL, frames, objects, series, table
 from ridgeline.sources import frames as sources
-from ridgeline.sources import sinks
+from ridgeline.sources import caches, sinks
+from ridgeline.sources.checksums import crc32c, masked
+from ridgeline.sources.tables import shared_folder
 
 def _key():
     return F.concat_ws("-", "scene_id", "frame_no")
@@ -156,10 +158,8 @@ def windowed_frames(spark, sf_dir):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
 def natural_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("run "), F.col("c_custkey").cast("string"), F.lit("/a")).alias("name"))
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(select.natural_key(F.col("name")))).cast("long").alias("place"))
+    return order_stats.ordinal(c, "place", select.natural_key(F.col("name"))).select("c_custkey", "place")
 
 
 @query("WITH " + FRAMES_SQL + " SELECT f.scene_id, f.frame_no FROM frames f WHERE event_id % 2 = 0 AND event_id % 3 = 0")
@@ -170,10 +170,8 @@ def complete_scans(spark, sf_dir):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY md5(concat('9|', p_partkey)), p_partkey) AS place FROM part")
 def shuffled(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = select.shuffle(table(spark, sf_dir, "part").select("p_partkey"), 9, "p_partkey")
-    return rows.select("p_partkey", F.row_number().over(Window.orderBy(select.seeded(9, "p_partkey"), "p_partkey")).cast("long").alias("place"))
+    rows = table(spark, sf_dir, "part").select("p_partkey")
+    return order_stats.ordinal(rows, "place", select.seeded(9, "p_partkey"), "p_partkey")
 
 
 # ---- context, attributes, caches
@@ -251,15 +249,21 @@ def chain_pool(spark, sf_dir):
 @query("WITH c AS (" + _CACHE_SQL + ") SELECT count(*) AS pool, count(*) FILTER (chain_complete) AS patched, round(count(*) FILTER (chain_complete) / count(*)::DOUBLE, 9) AS share, (SELECT count(*) FROM c WHERE sample_class = 'keep') AS keeps FROM c")
 def pool_statistics(spark, sf_dir):
     index, f, ann = _cache_inputs(spark, sf_dir)
-    caches = curate.build_caches(index, f, ann)
-    found = curate.pool_stats(caches, caches.where("chain_complete"))
+    rows = curate.build_caches(index, f, ann)
+    found = curate.pool_stats(rows, rows.where("chain_complete"))
     return found.select("pool", "patched", F.round("share", 9).alias("share"), F.coalesce(F.try_element_at("mix", F.lit("keep")), F.lit(0)).alias("keeps"))
 
 
 @query("WITH s AS (" + _CACHE_SQL + ") SELECT frame_key, intent FROM s")
 def aligned_caches(spark, sf_dir):
+    """Index and cache as bucketed tables of one key, joined where they lie."""
     index, f, ann = _cache_inputs(spark, sf_dir)
-    return curate.align(index.select("frame_key"), curate.build_caches(index, f, ann)).select("frame_key", "intent")
+    tables = {}
+    for name, rows in (("index", index.select("frame_key")), ("caches", curate.build_caches(index, f, ann))):
+        path = shared_folder(spark, name)
+        tables[name] = "ridgeline_" + path.rpartition("/")[2].replace("-", "_")
+        caches.write_cache(rows, tables[name], buckets=8, path=path)
+    return caches.align(spark, tables["index"], tables["caches"]).select("frame_key", "intent")
 
 
 @query("SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'flat/' || o_custkey WHEN o_custkey % 3 = 0 THEN 'part/' || o_custkey END AS path, CASE WHEN o_custkey % 2 = 0 THEN 0 WHEN o_custkey % 3 = 0 THEN 1 END AS tree FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -583,10 +587,10 @@ def collapsed_states(spark, sf_dir):
     return metrics.collapsed_to_moving(o.select(said.alias("state"), F.when(F.col("g") > 2, "driving").otherwise("stopped").alias("pred_state")))
 
 
-@query("WITH " + OBJECTS_SQL + ", m AS (SELECT y AS d, sqrt(w * w + h * h) AS diag, class = 'A' AS typed FROM objects) SELECT round(avg((d = 0)::INT), 9) AS in_mask_rate, round(avg((d <= least(60.0, greatest(15.0, 0.5 * diag)))::INT), 9) AS near_rate, round(quantile_cont(d, 0.5), 6) AS px_median, round(quantile_cont(d, 0.9), 6) AS px_p90, round(quantile_cont(d / greatest(0.5 * diag, 0.000001), 0.5), 6) AS norm_median, round(avg((d = 0)::INT) FILTER (typed), 9) AS in_mask_rate_typed, round(quantile_cont(d, 0.5) FILTER (typed), 6) AS px_median_typed FROM m")
+@query("WITH " + OBJECTS_SQL + ", m AS (SELECT y AS d, sqrt(w * w + h * h) AS diag, class = 'A' AS typed FROM objects) SELECT round(avg((d = 0)::INT), 9) AS in_mask_rate, round(avg((d <= least(60.0, greatest(15.0, 0.5 * diag)))::INT), 9) AS near_rate, round(quantile_cont(d, 0.5), 6) AS px_median, round(quantile_cont(d, 0.9), 6) AS px_p90, round(quantile_cont(d / greatest(0.5 * diag, 0.000001), 0.5), 6) AS norm_median, round(quantile_cont(d / greatest(0.5 * diag, 0.000001), 0.9), 6) AS norm_p90, round(avg((d = 0)::INT) FILTER (typed), 9) AS in_mask_rate_typed, round(quantile_cont(d, 0.5) FILTER (typed), 6) AS px_median_typed FROM m")
 def location_errors(spark, sf_dir):
     found = metrics.location_errors(objects(spark, sf_dir).select(F.col("y").alias("d"), "w", "h", (F.col("class") == "A").alias("typed")))
-    return found.select(*[F.round(c, n).alias(c) for c, n in (("in_mask_rate", 9), ("near_rate", 9), ("px_median", 6), ("px_p90", 6), ("norm_median", 6), ("in_mask_rate_typed", 9), ("px_median_typed", 6))])
+    return found.select(*[F.round(c, n).alias(c) for c, n in (("in_mask_rate", 9), ("near_rate", 9), ("px_median", 6), ("px_p90", 6), ("norm_median", 6), ("norm_p90", 6), ("in_mask_rate_typed", 9), ("px_median_typed", 6))])
 
 
 @query("WITH " + OBJECTS_SQL + " SELECT frame, g, CASE WHEN x < 22.5 THEN 'front left' WHEN x > 27.5 THEN 'front right' ELSE 'front' END AS direction, CASE WHEN g % 2 = 0 THEN x < 22.5 END AS agrees, round(least(1000, greatest(0, round_even(x / 50.0 * 1000, 0)))::DOUBLE * 0.05, 6) AS decoded, CASE WHEN x / 40 <= 1 THEN x / 40 * 50 ELSE x / 40 END AS coerced FROM objects")
@@ -744,21 +748,9 @@ def distinct_targets(spark, sf_dir):
 # ---- sources and sinks, over tables written to the session's shared folder
 
 
-def _folder(spark, name):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT n_name AS scene_id, n_regionkey::VARCHAR AS cluster FROM nation")
 def cluster_file(spark, sf_dir):
-    path = _folder(spark, "clusters")
+    path = shared_folder(spark, "clusters")
     n = table(spark, sf_dir, "nation")
     value = F.when(F.col("n_nationkey") % 2 == 0, F.to_json(F.struct(F.col("n_regionkey").cast("string").alias("scenario_cluster")))).otherwise(F.concat(F.lit('"'), F.col("n_regionkey").cast("string"), F.lit('"')))
     pairs = n.select(F.concat(F.lit('"'), "n_name", F.lit('": '), value).alias("p")).groupBy(F.lit(1)).agg(F.array_join(F.collect_list("p"), ", ").alias("v"))
@@ -769,19 +761,17 @@ def cluster_file(spark, sf_dir):
 @query("SELECT o_custkey::VARCHAR AS scene_id, o_orderkey::VARCHAR AS frame_id, o_totalprice AS x FROM orders")
 def official_results(spark, sf_dir):
     """Results written in the official form, one document per part, and read back."""
-    path = _folder(spark, "results")
+    path = shared_folder(spark, "results")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scene_id"), F.col("o_orderkey").alias("frame_id"), F.array(F.array(F.col("o_totalprice"), F.lit(0.0))).alias("pred_xy"))
-    one = sinks.official(o).groupBy(F.pmod(F.xxhash64("id"), F.lit(16))).agg(F.collect_list(F.struct("id", "pred_xy")).alias("results"))
-    one.select(F.to_json(F.struct("results")).alias("value")).repartition(16).write.text(path)
-    # one document per line here: each line is read as a file of its own would be
-    lines = spark.read.text(path)
-    found = lines.select(F.inline(F.from_json("value", "struct<results:array<struct<id:string,pred_xy:array<array<double>>>>>")["results"]))
-    return found.select(F.regexp_extract("id", r"^(.*)-[^-]*$", 1).alias("scene_id"), F.regexp_extract("id", r"([^-]*)$", 1).alias("frame_id"), F.col("pred_xy")[0][0].alias("x"))
+    one = sinks.official(o).groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("id", "pred_xy")).alias("results"))
+    # one document per file
+    one.select(F.to_json(F.struct("results")).alias("value"), "part").repartition("part").write.partitionBy("part").text(path)
+    return sources.read_predictions(spark, path).select("scene_id", "frame_id", F.col("pred_xy")[0][0].alias("x"))
 
 
 @query("SELECT o_custkey::VARCHAR AS scene_id, o_orderkey::VARCHAR AS frame_id, 'p' || (o_orderkey % 3) AS partition FROM orders")
 def rated_index_file(spark, sf_dir):
-    path = _folder(spark, "rated")
+    path = shared_folder(spark, "rated")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("scene_id"), F.col("o_orderkey").cast("string").alias("frame_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string")).alias("partition"))
     o.write.json(path)
     return sources.read_rated_index(spark, path)
@@ -789,7 +779,7 @@ def rated_index_file(spark, sf_dir):
 
 @query("SELECT n_name AS id FROM nation")
 def id_list_file(spark, sf_dir):
-    path = _folder(spark, "ids")
+    path = shared_folder(spark, "ids")
     names = table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("n_name").alias("fdir"))).alias("frames"))).alias("value"))
     names.coalesce(1).write.text(path)
     return sources.read_id_list(spark, path)
@@ -797,7 +787,7 @@ def id_list_file(spark, sf_dir):
 
 @query("SELECT n_name AS camera, n_nationkey::DOUBLE AS focal, n_regionkey::DOUBLE AS shift FROM nation")
 def calibration_file(spark, sf_dir):
-    path = _folder(spark, "calibration")
+    path = shared_folder(spark, "calibration")
     n = table(spark, sf_dir, "nation")
     listed = F.format_string('"extrinsic": [%d, 1.0]', "n_regionkey")
     held = F.format_string('"extrinsic": {"transform": [%d, 1.0]}', "n_regionkey")
@@ -848,7 +838,7 @@ def answers_dump(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders")
 def appended_table(spark, sf_dir):
     """Two runs of a resumable sink, the second over all rows: each key stands once."""
-    path = _folder(spark, "appended")
+    path = shared_folder(spark, "appended")
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     sinks.append_new(o.where("o_orderkey % 2 = 0"), path, "o_orderkey")
     return sinks.append_new(o, path, "o_orderkey")
@@ -856,7 +846,7 @@ def appended_table(spark, sf_dir):
 
 @query("SELECT c_mktsegment AS stage, count(*) AS n FROM customer GROUP BY 1")
 def index_with_statistics(spark, sf_dir):
-    path = _folder(spark, "index")
+    path = shared_folder(spark, "index")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("stage"))
     sinks.write_with_stats(c, c.groupBy("stage").agg(F.count("*").alias("n")), path)
     return spark.read.parquet(f"{path}/stats")
@@ -870,7 +860,7 @@ def record_shards(spark, sf_dir):
 
     import pyarrow as pa
 
-    path = _folder(spark, "shards")
+    path = shared_folder(spark, "shards")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -883,7 +873,8 @@ def record_shards(spark, sf_dir):
             for b in batches:
                 for line in b.column(0).to_pylist():
                     data = line.encode()
-                    out.write(struct.pack("<Q", len(data)) + b"\0" * 4 + data + b"\0" * 4)
+                    head = struct.pack("<Q", len(data))
+                    out.write(head + struct.pack("<I", masked(crc32c(head))) + data + struct.pack("<I", masked(crc32c(data))))
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+
+from ridgeline.sources.checksums import crc32c, masked
 
 SERIES = "struct<pos_x:array<double>,pos_y:array<double>,pos_z:array<double>,vel_x:array<double>,vel_y:array<double>,accel_x:array<double>,accel_y:array<double>>"
 FRAME = f"""frame_id string, intent string, intent_corrected string, past_states {SERIES}, future_states {SERIES},
@@ -31,16 +35,25 @@ def visible(path: Column) -> Column:
 
 def _documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """Documents of one file name below a folder; unreadable ones are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
-    rows = rows.withColumn("_path", F.col("_metadata.file_path")).where(F.col("_corrupt_record").isNull() & visible(F.col("_path")))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
+    doc = F.from_json("value", F.lit(f"{schema}, _corrupt_record string"), {"mode": "PERMISSIVE"})
+    rows = files.where(visible(F.col("_path"))).select(doc.alias("_d"), "_path").where(F.col("_d._corrupt_record").isNull() & F.col("_d").isNotNull()).select("_d.*", "_path")
     return frame_keys(rows, "_path").drop("_corrupt_record", "_path")
 
 
-def partitions_of(spark: SparkSession, root: str) -> DataFrame:
-    """(partition, path) of the folders ``p<number>--suffix`` below a root, hidden ones left out, in order of number."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").where(visible(F.col("path")))
-    named = files.select(F.regexp_extract("path", r"^(.*/(p\d+)--[^/]+)/", 1).alias("path"), F.regexp_extract("path", r"/(p\d+)--[^/]+/", 1).alias("partition")).where("partition <> ''").distinct()
-    return named.select("partition", "path").orderBy(F.substring("partition", 2, 20).cast("long"), "path")
+def partitions_of(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
+    """(partition, path) of the folders ``p<number>--suffix`` below a root, hidden ones left out, in order of number; names: only these, as ``p<number>``."""
+    register(spark)
+    found = spark.read.format("framefolders").option("depth", "partition").load(root).select("partition", "path")
+    found = found.where(F.col("partition").isin(names)) if names else found
+    return found.orderBy(F.substring("partition", 2, 20).cast("long"), "path")
+
+
+def unreadable(spark: SparkSession, root: str, name: str = "frame.json") -> DataFrame:
+    """(frame_key, error) of documents below a folder that can't be read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
+    bad = files.where(visible(F.col("_path")) & F.try_parse_json("value").isNull())
+    return frame_keys(bad, "_path").select("frame_key", F.concat(F.lit("not readable: "), F.substring(F.regexp_replace("value", r"\s+", " "), 1, 80)).alias("error"))
 
 
 def project_record(raw: DataFrame, payload: str) -> DataFrame:
@@ -85,22 +98,35 @@ def read_bundle(frames: DataFrame, annotations: DataFrame, masks: DataFrame) ->
     return frames.join(ann, "frame_key").join(gathered, "frame_key", "left").withColumn("masks", F.coalesce("masks", F.array().cast(dict(gathered.dtypes)["masks"])))
 
 
+#: The names under which an object may hold its list of ids.
+LISTS = ("scenes", "frames", "fdirs", "dev_eval_frames", "online")
+
+
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a JSON file: a bare list, or an object with a list of one of the usual names; items are texts or objects with ``fdir``."""
-    text = spark.read.text(path, wholetext=True)
-    bare = F.from_json("value", "array<string>")
-    names = ("scenes", "frames", "fdirs", "dev_eval_frames", "online")
-    held = F.from_json("value", "struct<" + ",".join(f"{n}:array<string>" for n in names) + ">")
-    is_list = F.ltrim("value").startswith("[")
-    items = text.select(F.explode(F.when(is_list, bare).otherwise(F.coalesce(*[held[n] for n in names]))).alias("id"))
-    return items.select(F.coalesce(F.get_json_object("id", "$.fdir"), "id").alias("id"))
+    """Ids of a JSON file, in no order: a bare list, or an object with a list of one of the usual names; items are texts or objects with ``fdir``.
+
+    The file is read as VARIANT, so that items of both kinds may stand in one list. A file without
+    such a list, or that is no JSON, has no ids.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *[F.try_variant_get("v", f"$.{n}", "array<variant>") for n in LISTS])
+    items = text.select(F.explode(listed).alias("item"))
+    kind = F.schema_of_variant("item")
+    plain = F.when(kind == "STRING", F.try_variant_get("item", "$", "string"))
+    return items.select(F.coalesce(plain, F.when(kind.startswith("OBJECT"), F.try_variant_get("item", "$.fdir", "string"))).alias("id")).where("id IS NOT NULL")
 
 
 def frames_below(spark: SparkSession, root: str, names: tuple[str, ...] = ("frame.json", "panorama_geo.json")) -> DataFrame:
     """Folders below a root that hold every one of some files, hidden ones left out, in order."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root).select("path")
-    rows = found.where(visible(F.col("path"))).select(F.regexp_extract("path", r"^(.*)/([^/]*)$", 1).alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-    return rows.groupBy("id").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(names)).select("id").orderBy("id")
+    register(spark)
+    found = spark.read.format("framefolders").load(root)
+    return found.where(F.size(F.array_except(F.array(*[F.lit(n) for n in names]), "files")) == 0).select(F.col("path").alias("id")).orderBy("id")
+
+
+def read_frame_list(spark: SparkSession, spec: str, named: dict[str, str] | None = None, names: tuple[str, ...] = ("frame.json", "panorama_geo.json")) -> DataFrame:
+    """Ids of a frame list: the name of a known one, a folder of frames, or a file with a list, an object of lists, or a list of objects."""
+    spec = (named or {}).get(spec, spec)
+    return read_id_list(spark, spec) if spec.lower().endswith(".json") else frames_below(spark, spec, names)
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
@@ -139,6 +165,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else re.sub("^file:/*", "file:///", uri if uri.startswith("file:") else f"file://{uri}"))
+
+
 class _Shard(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -146,49 +178,156 @@ class _Shard(InputPartition):
 
 class RecordFileReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
+        self.options = {k.lower(): v for k, v in options.items()}
+        self.shards: set[str] | None = None
+
+    def _number(self, name: str) -> int:
+        return int(self.options.get(name.lower(), "0") or 0)
 
     def partitions(self) -> list[_Shard]:
         """One partition per shard, in order of name; ``maxShards`` keeps the first ones."""
         from pyarrow import fs
 
-        path = self.options["path"]
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = _store(self.options["path"])
         info = store.get_file_info(root)
         found = [root] if info.type == fs.FileType.File else sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.File)
-        most = int(self.options.get("maxShards", "0") or 0)
-        return [_Shard(p) for p in (found[:most] if most else found)]
+        found = [p for p in found if not p.rpartition("/")[2].startswith((".", "_"))]
+        found = found[: self._number("maxShards")] if self._number("maxShards") else found
+        return [_Shard(p) for p in found if self.shards is None or p.rpartition("/")[2] in self.shards]
 
     def read(self, partition: _Shard) -> Iterator[tuple]:
         """Records of a shard: 8 bytes length, 4 checksum, payload, 4 checksum; a cut-off end is left out."""
-        from pyarrow import fs
-
-        path = self.options["path"]
-        store, _ = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        on_bad, field = self.options.get("checksum", "raise").lower(), self.options.get("scenefield")
+        if on_bad not in ("raise", "flag", "ignore"):
+            raise ValueError("checksum must be raise, flag or ignore")
+        most_rows, most_scenes, scenes = self._number("maxRecords"), self._number("maxScenes"), set()
+        if most_scenes and not field:
+            raise ValueError("maxScenes needs sceneField, the name of the payload's JSON field that tells the scene")
+        name = partition.path.rpartition("/")[2]
+        store, _ = _store(self.options["path"])
         with store.open_input_stream(partition.path) as source:
             n = 0
-            while len(head := source.read(12)) == 12:
-                size = struct.unpack("<Q", head[:8])[0]
-                data = source.read(size)
-                if len(data) < size or len(source.read(4)) < 4:
+            while len(head := source.read(12)) == 12 and not (most_rows and n >= most_rows):
+                size, crc = struct.unpack("<QI", head)
+                if on_bad != "ignore" and masked(crc32c(head[:8])) != crc:
+                    # the length can't be trusted, so nothing after it can be found
+                    if on_bad == "raise":
+                        raise ValueError(f"length of record {n} of {name} fails its checksum")
+                    yield name, n, None, False
                     return
-                yield partition.path.rpartition("/")[2], n, data
+                data, tail = source.read(size), source.read(4)
+                if len(data) < size or len(tail) < 4:
+                    return
+                good = on_bad == "ignore" or masked(crc32c(data)) == struct.unpack("<I", tail)[0]
+                if not good and on_bad == "raise":
+                    raise ValueError(f"record {n} of {name} fails its checksum")
+                if most_scenes and good:
+                    scenes.add(json.loads(data).get(field))
+                    if len(scenes) > most_scenes:
+                        return
+                yield name, n, data, good
                 n += 1
 
 
+class _PushingReader(RecordFileReader):
+    def pushFilters(self, filters):
+        """Equality of the shard's name chooses files before any is opened; other filters stay with Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("shard",):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.shards = names if self.shards is None else self.shards & names
+            else:
+                yield f
+
+
 class RecordFile(DataSource):
-    """``spark.read.format("recordfile")``: length-framed record shards as (shard, record_no, payload)."""
+    """``spark.read.format("recordfile")``: length-framed record shards as (shard, record_no, payload, valid).
+
+    Options: ``checksum`` – raise (default), flag (valid is false; after a bad length the shard ends) or
+    ignore; ``maxShards`` – the first shards by name; ``maxRecords`` – the first records of each shard;
+    ``maxScenes`` with ``sceneField`` – a shard's scan ends where scenes beyond that number begin;
+    ``pushFilters`` – filters on ``shard`` open those files alone, for which Spark asks that
+    spark.sql.python.filterPushdown.enabled is set.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "recordfile"
 
     def schema(self) -> str:
-        return "shard string, record_no long, payload binary"
+        return "shard string, record_no long, payload binary, valid boolean"
 
     def reader(self, schema) -> RecordFileReader:
-        return RecordFileReader(dict(self.options))
+        pushes = self.options.get("pushFilters", "false").lower() == "true"
+        return (_PushingReader if pushes else RecordFileReader)(dict(self.options))
+
+
+def first_scenes(records: DataFrame, scene: Column, n: int) -> DataFrame:
+    """Records of the first n scenes by the place of their first record (shard, record_no); n rows at most reach the driver."""
+    rows = records.withColumn("_scene", scene)
+    first = rows.groupBy("_scene").agg(F.min(F.struct("shard", "record_no")).alias("_at")).orderBy("_at").limit(n)
+    return rows.join(F.broadcast(first.select("_scene")), "_scene", "left_semi").drop("_scene") if n <= 100_000 else rows.join(first.select("_scene"), "_scene", "left_semi").drop("_scene")
+
+
+class _Folder(InputPartition):
+    def __init__(self, path: str, partition: str | None):
+        self.path, self.partition = path, partition
+
+
+class FrameFoldersReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def _list(self, store, path: str) -> tuple[list[str], list[str]]:
+        """(folders, names of files) right below a folder, hidden and finished ones left out, in order."""
+        from pyarrow import fs
+
+        found = sorted(store.get_file_info(fs.FileSelector(path)), key=lambda x: x.path)
+        dirs = [x.path for x in found if x.type == fs.FileType.Directory and not x.base_name.startswith((".", "DONE"))]
+        return dirs, [x.base_name for x in found if x.type == fs.FileType.File]
+
+    def partitions(self) -> list[_Folder]:
+        """One partition per ``p<number>--suffix`` folder; where there are none, one per folder below the root."""
+        store, root = _store(self.options["path"])
+        dirs, _ = self._list(store, root.rstrip("/"))
+        named = [(d, re.fullmatch(r"(p\d+)--.+", d.rpartition("/")[2])) for d in dirs]
+        some = [_Folder(d, m[1]) for d, m in named if m]
+        return some or [_Folder(d, None) for d in dirs] or [_Folder(root, None)]
+
+    def read(self, partition: _Folder) -> Iterator[tuple]:
+        store, _ = _store(self.options["path"])
+        if self.options.get("depth") == "partition":
+            if partition.partition:
+                yield partition.partition, None, None, partition.path, []
+            return
+        todo = [partition.path]
+        while todo:
+            path = todo.pop()
+            dirs, files = self._list(store, path)
+            todo += reversed(dirs)
+            name = path.rpartition("/")[2]
+            key = re.fullmatch(r"(.+)-\d+", name)
+            if files:
+                yield partition.partition, key and key[1], key and name, path, files
+
+
+class FrameFolders(DataSource):
+    """``spark.read.format("framefolders")``: folders that hold files as (partition, scene_id, frame_key, path, files).
+
+    The driver lists one level; each partition folder is walked by a task of its own.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "framefolders"
+
+    def schema(self) -> str:
+        return "partition string, scene_id string, frame_key string, path string, files array<string>"
+
+    def reader(self, schema) -> FrameFoldersReader:
+        return FrameFoldersReader(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordFile)
+    spark.dataSource.register(FrameFolders)

@@ -1,4 +1,4 @@
-"""Sinks: keyed tables, resumable appends, overlays, changelogs. A former version is never written over."""
+"""Sinks: keyed tables, resumable appends, overlays, run logs. A former version is never written over."""
 
 from __future__ import annotations
 
@@ -30,16 +30,84 @@ def append_new(df: DataFrame, path: str, *keys: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_changelog(df: DataFrame, path: str) -> None:
-    """Append a run's record with the time of the run."""
-    df.withColumn("run_at", F.current_timestamp()).write.mode("append").option("mergeSchema", True).parquet(path)
+def done_keys(spark: SparkSession, path: str, schema, prefixes: list[int]) -> DataFrame:
+    """Rows of a table written by append_pruned in some of its folders; no other folder is even listed."""
+    if not prefixes:
+        return spark.createDataFrame([], schema)
+    folders = f"{path.rstrip('/')}/_prefix={{{','.join(map(str, prefixes))}}}"
+    try:
+        return spark.read.schema(schema).parquet(folders)
+    except Exception as error:  # noqa: BLE001 - only where none of them is there yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_pruned(df: DataFrame, path: str, *keys: str, prefixes: int = 256) -> DataFrame:
+    """Append what is new by key to a table in folders by a hash of the key, and return the new rows as they were found.
+
+    Only the folders that the rows fall into are read, so a small batch costs what its own folders hold.
+    A table keeps the number of folders that it began with. A run that stops can be repeated.
+    """
+    prefix = F.pmod(F.xxhash64(*keys), F.lit(prefixes)).cast("int")
+    rows = df.withColumn("_prefix", prefix)
+    mine = sorted(r[0] for r in rows.select("_prefix").distinct().collect())  # no more than prefixes
+    done = done_keys(df.sparkSession, path, df.schema, mine)
+    new = new_rows(df, done, *keys).withColumn("_prefix", prefix)
+    new.repartition("_prefix").write.mode("append").partitionBy("_prefix").parquet(path)
+    return new.drop("_prefix")
+
+
+def sorted_copy(spark: SparkSession, path: str, out: str, *order: str) -> DataFrame:
+    """The finished table in key order, range-partitioned, as a table of its own."""
+    rows = spark.read.parquet(path)
+    rows.drop("_prefix").orderBy(*order).write.mode("errorifexists").parquet(out)
+    return spark.read.parquet(out)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Append entries to a run log, as JSON lines with the time of the run; fields may differ from those of earlier runs."""
+    df.withColumn("run_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, entry, error) of all files of a run log: entries as VARIANT, whatever their fields.
+
+    A legacy file is one document: a list of entries, or an object that holds one as ``runs`` or
+    ``entries``. What can't be read is a row with its first characters as error, and stops nothing.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = files.select("file", "value", F.try_parse_json("value").alias("v"))
+    held = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *[F.try_variant_get("v", f"$.{n}", "array<variant>") for n in ("runs", "entries")])
+    legacy = whole.where(held.isNotNull()).select("file", F.explode(held).alias("entry"), F.lit(None).cast("string").alias("error"))
+    lines = whole.where(held.isNull()).select("file", F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.trim("line") != "")
+    lines = lines.select("file", F.try_parse_json("line").alias("entry"), "line")
+    good = F.schema_of_variant("entry").startswith("OBJECT")
+    good = F.coalesce(good, F.lit(False))
+    lines = lines.select("file", F.when(good, F.col("entry")).alias("entry"), F.when(~good, F.substring("line", 1, 80)).alias("error"))
+    return legacy.unionByName(lines)
+
+
+def log_fields(log: DataFrame, **fields: str) -> DataFrame:
+    """Entries as columns: name=type, NULL where an entry lacks it or holds another type."""
+    return log.where("error IS NULL").select("file", *[F.try_variant_get("entry", f"$.{n}", t).alias(n) for n, t in fields.items()])
+
+
+def latest_entries(entries: DataFrame, *keys: str, at: str = "run_at") -> DataFrame:
+    """Per key the entry of the last run; one without a time is older than all others."""
+    rest = [c for c in entries.columns if c not in keys]
+    last = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(at).isNotNull(), F.col(at), F.struct(*rest))).alias("_r"))
+    return last.select(*keys, "_r.*").select(entries.columns)
+
+
+#: An evaluation's entry in its history.
+HISTORY = {"step": "long", "tag": "string", "stage": "string", "composite": "double"}
 
 
 def append_history(spark: SparkSession, path: str, step: int, tag: str, stage: str, composite: float | None) -> DataFrame:
-    """Append an evaluation (step, tag, stage, composite) and return the history."""
-    schema = "step long, tag string, stage string, composite double"
-    spark.createDataFrame([(step, tag, stage, composite)], schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """Append an evaluation (step, tag, stage, composite) and return the history, to which best_runs() may be applied."""
+    append_log(spark.createDataFrame([(step, tag, stage, composite)], ", ".join(f"{k} {v}" for k, v in HISTORY.items())), path)
+    return log_fields(read_log(spark, path), **HISTORY, run_at="string").drop("file")
 
 
 def write_with_stats(df: DataFrame, stats: DataFrame, path: str, apply: bool = True) -> DataFrame:

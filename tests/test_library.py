@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text, vocab
-from ridgeline.operators import aggregate, clean, evaluate, match, plans, prose, select, weights
+from ridgeline.operators import aggregate, clean, evaluate, match, plans, prose, replicates, select, weights
 from ridgeline.sources import frames as sources
 from ridgeline.sources import sinks
+from ridgeline.sources.checksums import crc32c, masked
 from ridgeline.streaming.append import append_stream
 
 
@@ -191,7 +192,7 @@ def test_composite_skips_missing(spark):
 
 def test_bootstrap_and_draw(spark):
     pairs = spark.createDataFrame([(i, 1.0 + (i % 5) * 0.1, 0.5) for i in range(200)], "k long, a double, b double")
-    r = aggregate.paired_bootstrap(pairs, "k", "a", "b", 300, 1).first()
+    r = replicates.paired_bootstrap(pairs, "k", "a", "b", 300, 1).first()
     assert abs(r.mean_diff - 0.7) < 1e-9 and r.low < 0.7 < r.high and r.high - r.low < 0.1 and r.share_above == 1.0
     w = spark.createDataFrame([(i, float(i)) for i in range(5)], "k long, w double")
     n = {r.k: r["count"] for r in weights.weighted_draw(w, "k", "w", 4000, 2).groupBy("k").count().collect()}
@@ -205,6 +206,11 @@ def test_enum_and_context(spark):
     assert one(spark, vocab.dataset_class(F.lit("traffic lights"))) == "traffic control" and one(spark, vocab.dataset_class(F.lit("other"))) == "unknown"
 
 
+def framed(b):
+    head = struct.pack("<Q", len(b))
+    return head + struct.pack("<I", masked(crc32c(head))) + b + struct.pack("<I", masked(crc32c(b)))
+
+
 def test_sources(spark, tmp_path):
     for part, scene, n, frame in (("p1--a", "s-x", 3, {"intent": "GO_LEFT", "past_states": {"pos_x": [1.0]}}), ("p2--b", "t", 10, {"intent": ""})):
         d = tmp_path / part / scene / f"{scene}-{n:03d}"
@@ -227,7 +233,7 @@ def test_sources(spark, tmp_path):
     assert sources.read_rated_index(spark, str(tmp_path / "none.json")).count() == 0
     shards = tmp_path / "shards"
     shards.mkdir()
-    frame = lambda b: struct.pack("<Q", len(b)) + b"\0" * 4 + b + b"\0" * 4
+    frame = framed
     (shards / "a").write_bytes(frame(b"one") + frame(b"") + b"cut")
     (shards / "b").write_bytes(frame(b"two"))
     sources.register(spark)
@@ -241,6 +247,8 @@ def test_sinks_and_stream(spark, tmp_path):
     assert sinks.append_new(df, path, "k").count() == 2
     assert sinks.append_new(df.unionByName(spark.createDataFrame([(3, "c")], df.schema)), path, "k").count() == 3
     df.write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "streamed")
+    sinks.append_pruned(spark.createDataFrame([(1, "z"), (3, "c")], df.schema), path, "k")
     for _ in range(2):
         append_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "cp"), "k").awaitTermination(60)
     assert spark.read.parquet(path).count() == 3
