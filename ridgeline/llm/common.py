@@ -56,16 +56,31 @@ def discard(*tables: DataFrame) -> None:
 def numbered(df: DataFrame, name: str, what: str) -> DataFrame:
     """The table with a unique number for each row, the same at every evaluation.
 
-    Rows of a table as it was read from files have the hash of their place; any other table is written to the shared folder.
+    Rows of a table as it was read from files have their place: the file's number in the upper 23 bits,
+    the row's in the lower 40. Any other table is written to the shared folder.
     """
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
-            return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+            return _placed(df, name)
         except AnalysisException:  # not from files
             pass
     return staged(df.withColumn(name, F.monotonically_increasing_id()), what)
 
 
+def _placed(df: DataFrame, name: str) -> DataFrame:
+    (key,) = columns_free_of(df, "_file")
+    place = df.select("*", F.xxhash64("_metadata.file_path").alias(key), F.col("_metadata.row_index").alias(name))
+    files = df.select(F.xxhash64("_metadata.file_path").alias(key), F.col("_metadata.file_path").alias("path")).distinct()
+    files = files.groupBy(key).agg(F.count("*").alias("n")).orderBy(key).toArrow()  # 16 bytes for each file
+    if len(files) >= 1 << 23 or any(n > 1 for n in files.column("n").to_pylist()):
+        raise ValueError("too many files, or two whose paths have one hash: write the table anew")
+    numbers = session(df).createDataFrame(pa.table({key: files.column(key), "_number": pa.array(range(len(files)), pa.int64())}))
+    if len(files) <= 1_000_000:
+        numbers = F.broadcast(numbers)
+    packed = F.shiftleft("_number", 40).bitwiseOR(F.col(name))
+    return place.join(numbers, key).withColumn(name, packed).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def columns_free_of(df: DataFrame, *names: str) -> list[str]:
     """Fresh column names that clash with none of the table's, in the order asked."""
     taken, out = {c.lower() for c in df.columns}, []
