@@ -45,7 +45,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 @dataclass(frozen=True)
 class Rule:
-    """n-gram length and the threshold as the fraction num / den; quick: parts looked at first, which spares most tiles of the others."""
+    """n-gram length and the threshold as the fraction num / den; quick: parts looked at first, which spares most tiles of the others.
+
+    node_bits: of a set's digest, its number; sets of one number get others.
+    """
 
     n: int = 4
     num: int = 85
@@ -54,6 +57,7 @@ class Rule:
     quick: int = 4
     tile_bytes: int = 32 << 20
     broadcast_rows: int = 1_000_000
+    node_bits: int = 64
 
 
 class _WordHashes(dict):
@@ -179,13 +183,13 @@ def _features(rule: Rule):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("bits", pa.binary()), ("quick", longs), ("others", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, mask = _WordHashes(), (1 << rule.node_bits) - 1 if rule.node_bits < 64 else -1
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, rule.n, hashes)
                 key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                row = (len(s), key, int.from_bytes(key[:8], "little", signed=True), bitmap(s), *tiles_of(s, rule)) if key else (0, None, None, None, None, None)
+                row = (len(s), key, int.from_bytes(key[:8], "little", signed=True) & mask, bitmap(s), *tiles_of(s, rule)) if key else (0, None, None, None, None, None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(out, schema.types[1:], strict=True)]], schema=schema)
@@ -325,6 +329,23 @@ def _candidates(found: DataFrame, nodes: DataFrame, rule: Rule, parts: int) -> D
     return edges.unionByName(staged(_compared(others, nodes, rule, parts), "others"))
 
 
+def _numbered_apart(usable: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different sets that share a number, a handful of all, get numbers of their own."""
+    twice = nodes.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    if few_enough(twice, 0):
+        return usable, nodes
+    for k in range(100):
+        own = staged(nodes.join(hint(twice, 1_000_000), "id").select("key", F.xxhash64("key", F.lit(k)).alias("own")), "apart")
+        other = own.groupBy("own").agg(F.count("*").alias("k")).where("k > 1").select("own").unionByName(nodes.join(own, F.col("id") == F.col("own"), "left_semi").select(F.col("id").alias("own")))
+        if few_enough(other, 0):
+            break
+    else:
+        raise ValueError("no numbers of their own for sets that share one")
+    own = hint(own, 1_000_000)
+    nodes = staged(nodes.join(own, "key", "left").withColumn("id", F.coalesce("own", "id")).drop("own"), "nodes")
+    return usable.join(own, "key", "left").withColumn("node", F.coalesce("own", "node")).drop("own"), nodes
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """Per row of docs: its id, n_shingles (set size) and component_id (smallest id reachable by links, itself included).
 
@@ -342,6 +363,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # an id may have several texts: the nodes are the sets, until the end
     nodes = usable.groupBy(F.col("node").alias("id"), "key", "n").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.count("*").alias("c"))
     nodes = staged(nodes, "nodes")
+    usable, nodes = _numbered_apart(usable, nodes)
     edges = staged(_candidates(usable, nodes, rule, parts), "candidates")
     clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     clustered = staged(nodes.select("id", "rep", "n", "key").join(clusters, "id"), "clusters")
