@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession) -> bytes:
-    """The session's secret, from spark.ridgeline.surrogateKey; without one, a key for test tables only."""
-    return spark.conf.get("spark.ridgeline.surrogateKey", "a key for test tables").encode()
+    """The session's secret, from spark.ridgeline.surrogateKey; where it is unset, a random one that the session keeps.
+
+    With a secret of one's own, surrogates are the same from session to session.
+    """
+    name = "spark.ridgeline.surrogateKey"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name).encode()
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

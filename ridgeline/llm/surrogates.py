@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import columns_free_of, few_enough, small_batches, staged
+from ridgeline.llm.common import columns_free_of, few_enough, numbered, small_batches, staged
 
 #: Common given names by script and gender; fixed values.
 FIRST = {
@@ -52,6 +52,19 @@ _BEFORE_NAME = re.compile(
     rf"|\b(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<given2>{_NAME})(?:\ (?P<surname2>{_NAME}))?"
     rf"|\b(?P<given3>{'|'.join(_GENDER)})\ (?P<surname3>{_NAME})"
 )
+#: Capitalised words after a cue or a given name that are no person's.
+NO_NAMES = frozenset(
+    "The A An This That These Those My Your Our Their All Everyone Everybody Anyone Sir Madam Sirs Customer Customers Client Clients User Users Team Teams Friend Friends Colleague Colleagues Reader Readers Member Members Guest Guests Parent Parents "
+    "Student Students Editor Editors Manager Support Staff Department Office Service Services Sales Company Group Committee Board Admin Administrator Owner Id Ids Name Names File Files Readme Index Table Column Key Value Null None Unknown Test Example "
+    "Entity Entities Recognition Pipe Parameter Parameters Argument Arguments Variable Variables Function Query Server Host Domain Project Module Package Class Type Version "
+    "Street Road Avenue Lane Square Bridge River Lake Mountain Valley County City Town Island Park Garden Gardens Hill Bay Beach Cathedral Church Chapel Temple Abbey Castle Palace Tower Hall House Hotel Hospital School College University Institute Academy Library Museum Theatre "
+    "Theater Stadium Airport Station Center Centre Bank Foundation Society Association Corporation Inc Ltd Press Times Journal Award Prize Cup Day Week Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December".split()
+)
+#: Endings of surnames, and lower-case words beside a person's name; two signs of them or of neighbours make a capitalised pair a name.
+_SURNAME_END = re.compile("(?:sk[iay]|cki|wicz|czyk|sen|sson|son|ez|ovic|ović|ova|eva|ov|ev|mann|berg|stein|feld|bauer|meier|escu|idis|opoulos|yan|ian|enko|chuk|ini|elli|etti)$")
+_PERSONAL_AFTER = frozenset("said says met meets wrote writes lives lived works worked called calls told asked born joined and has is was phoned emailed signed thinks knows".split())
+_PERSONAL_BEFORE = frozenset("met with by and from called told asked named to said contact colleague friend wife husband daughter son brother sister neighbour neighbor patient".split())
+_PAIR = re.compile(r"(?<![\w'’-])([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{2,}) ([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{2,})(?![\w'’-])")
 _KNOWN, _WORD = frozenset([*TITLES, *_GENDER]), re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]+")
 #: A word of every cue.
 _CUE_SIGNS = ("name", "signed", "regards", "contact", "dear", "attn", "heiße", "appelle", "llamo", "nombre", "зовут")
@@ -69,12 +82,25 @@ def _surname_form(mention: str) -> str:
 
 
 def names(text: str, low: str) -> list[tuple[int, int, str, str]]:
-    """Given names and surnames after a title, a cue or a known given name, and their further mentions in the text."""
-    if _KNOWN.isdisjoint(_WORD.findall(text)) and not any(x in low for x in _CUE_SIGNS):
-        return []
+    """Given names and surnames after a title, a cue or a known given name, pairs that two signs tell, and further mentions of the surnames in the text."""
     found: dict[tuple[int, int], str] = {}
+    for m in _PAIR.finditer(text):
+        given, surname = m.groups()
+        start, end = m.span()
+        before = text[max(start - 16, 0) : start].rpartition(" ")[0].rpartition(" ")[2] if text[start - 1 : start] == " " else ""
+        after = text[end + 1 : end + 16].partition(" ")[0].rstrip(".,;:!?") if text[end : end + 1] == " " else ""
+        if given in NO_NAMES or surname in NO_NAMES or given in TITLES or before in ("the", "a", "an"):
+            continue
+        signs = (given in _GENDER) + (_SURNAME_END.search(surname) is not None) + (after in _PERSONAL_AFTER) + (before in _PERSONAL_BEFORE)
+        if signs >= 2:
+            found[m.span(1)], found[m.span(2)] = "given", "surname"
+    if not found and _KNOWN.isdisjoint(_WORD.findall(text)) and not any(x in low for x in _CUE_SIGNS):
+        return []
     for m in _BEFORE_NAME.finditer(text):
         title = m["title"] and m["surname"] in TITLES
+        some = [m[g] for g in ("given", "surname", "given2", "surname2", "given3", "surname3") if m[g]]
+        if not NO_NAMES.isdisjoint(some) or m["given3"] and text[max(m.start() - 4, 0) : m.start()].lower().endswith("the "):
+            continue
         for group in () if title else ("given", "surname", "given2", "surname2", "given3", "surname3"):
             if m[group] and m[group] not in TITLES:
                 found[m.span(group)] = group.rstrip("23")
@@ -158,7 +184,8 @@ def _dialled(s: Stream, entity: str) -> str:
 
 
 def _card(s: Stream, entity: str) -> str:
-    body = entity[0] + "".join(s.pick("0123456789") for _ in entity[1:-1]) + _more(s)
+    """The issuer's first two digits stay, and with them the length that goes with them."""
+    body = entity[:2] + "".join(s.pick("0123456789") for _ in entity[2:-1]) + _more(s)
     return body + (next(d for d in "0123456789" if luhn(body + d)) if luhn(entity) else s.pick("0123456789"))
 
 
@@ -261,13 +288,18 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
+def pooled(entity: str) -> str:
+    """A normal form as surrogates are written: a dialled number without its sign."""
+    return entity.removeprefix("+")
+
+
 def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     """Surrogate normal form of an entity's normal form; never the entity itself."""
     for again in range(100):
         s = Stream(key, kind, entity, draw + again * 1_000_000)  # of a sequence that no collision reaches
         s.draw = draw + again
         found = _BY_NAME[kind].surrogate(s, entity)
-        if found != entity:
+        if found != pooled(entity):
             return found
     raise ValueError(f"no surrogate for an entity of kind {kind}")
 
@@ -275,7 +307,7 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
 def in_format(kind: str, mention: str, found: str) -> str:
     """A surrogate's normal form written as the mention is."""
     if _BY_NAME[kind].digits_only:
-        digits = iter(found)
+        digits = iter(found.removeprefix("+"))
         return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "surname" and _FEMININE.search(mention.lower()):
         found += "а"
@@ -306,7 +338,8 @@ def _draws(key: bytes) -> Callable:
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, draw, surrogate) for distinct (kind, entity): no two surrogates of a kind equal, none a real entity."""
     draw = _draws(key)
-    real = entities.select("kind", F.col("entity").alias("surrogate"))
+    bare = F.when(F.col("kind") == "phone", F.regexp_replace("entity", r"^\+", "")).otherwise(F.col("entity"))
+    real = entities.select("kind", bare.alias("surrogate")).distinct()
     settled: DataFrame | None = None
     todo = entities.withColumn("draw", F.lit(0))
     while True:
@@ -360,14 +393,17 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     assigned = assign(found.select("kind", "entity").distinct(), key)
     redrawn = assigned.where("draw > 0").select("kind", "entity", "draw")
     kept = [c for c in docs.columns if c.lower() != "entities"]
-    own, done, key_id = columns_free_of(docs, "_redrawn", "_done", "_id")
+    own, done, key_id, row_id = columns_free_of(docs, "_redrawn", "_done", "_id", "_row")
     if few_enough(redrawn, few_redrawn):
         few = {(r.kind, r.entity): r.draw for r in redrawn.collect()}
         rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<struct<kind:string,entity:string,draw:int>>").alias(own))
     else:
         few = None
-        per = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias(key_id)).agg(F.collect_set(F.struct("kind", "entity", "draw")).alias(own))
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(per, F.col(id_col).cast("long").eqNullSafe(F.col(key_id)), "left").drop(key_id)
+        # by row, whatever its id: no list holds more than one text's entities
+        texts = numbered(docs.select(*[F.col(f"`{c}`") for c in kept]), key_id, "rows")
+        mentions = texts.select(F.col(key_id).alias("id"), F.col(text_col).alias("text")).mapInArrow(_entities, "id long, kind string, entity string")
+        per = mentions.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias(row_id)).agg(F.collect_set(F.struct("kind", "entity", "draw")).alias(own))
+        rows = texts.join(per, F.col(key_id) == F.col(row_id), "left").drop(key_id, row_id)
     rows = rows.withColumn(done, _rewrite(key, F.col(text_col), F.col(own), few, spark))
     columns = [F.col(f"{done}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept]
     return rows.select(*columns, F.col(f"{done}.entities").alias("entities"))
