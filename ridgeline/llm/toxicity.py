@@ -105,7 +105,7 @@ def _sample(docs: DataFrame, labels: DataFrame, opts: Chain, id_col: str, text_c
     some = [known.where(F.col(last) == side).orderBy(order, "id").limit(opts.per_class) for side in (0, 1)]
     some = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(some, F.col("_id") == F.col("id")).drop("_id").dropDuplicates(["id"])
+    return texts.join(some, F.col("_id") == F.col("id")).drop("_id").groupBy("id", *flags).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_chain(docs: DataFrame, labels: DataFrame, opts: Chain = Chain(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled documents; labels of documents that don't exist, and null labels, count for nothing.
 
-    Several labels of one document count as positive if one is. Without labelled documents of both
+    Several labels of one document count as positive if one is; of several texts under one id the one
+    of the least hash is taken, at every evaluation the same. Without labelled documents of both
     kinds the model knows only the share of positives (none: it calls nothing toxic).
     """
     small_batches(docs.sparkSession)
