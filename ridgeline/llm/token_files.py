@@ -257,7 +257,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
 
     Manifest: path (name in the folder), part (range of keys), first_key, last_key, n_docs, n_null (of
     them without an id, which come first), n_ids, first_id (ids of all shards before). A null text counts as empty, so that its document is the end id alone. A null id
-    is kept under a key of its own, before all others. Documents of equal ids follow each other.
+    is kept under a key of its own, before all others. Documents of equal ids follow each other, over as many parts as they fill.
     A special token's name in a text gives its id, unless encode_special says that it is text like other.
     An empty table writes no shard. The running sums go over the parts first, then within each.
     """
@@ -266,7 +266,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
     folder = folder or work_dir(spark, "token-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartitionByRange(parts, "key").sortWithinPartitions(F.col("key").asc_nulls_first())
+    # equal and null ids, which may be very many, are dealt by their texts
+    texts = texts.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, "key", "_tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "_tie").drop("_tie")
     schema = "path string, part long, seq long, first_key long, last_key long, n_docs long, n_null long, n_ids long"
     rows = staged(texts.mapInArrow(_writer(folder, vocabulary, end_id, shard_ids, encode_special), schema), "manifest")
     earlier = (Window.unboundedPreceding, -1)
