@@ -53,7 +53,7 @@ class Mining:
     top: int = 2000
     head_words: int = 500_000
     head_phrases: int = 2_000_000
-    chunk: int = 2_000_000
+    chunk: int = 1_000_000
     full: int = 1 << 17
 
 
