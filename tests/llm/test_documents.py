@@ -61,7 +61,7 @@ def shingle_set(text, n):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("rule", [Rule(), Rule(n=5, num=80, den=100), Rule(tile_rows=2, tile_bytes=2000)])
+@pytest.mark.parametrize("rule", [Rule(), Rule(n=5, num=80, den=100), Rule(tile_rows=2, tile_bytes=2000), Rule(node_bits=2)])
 def test_ngram_join(spark, docs, rows, rule):
     sets = [(i, shingle_set(t, rule.n)) for i, t in rows]
     comp = {i: i for i, _ in sets if i is not None}
@@ -263,6 +263,17 @@ def test_token_files_of_extreme_keys(spark):
     assert sorted(r.start for r in found) == [0, *np.cumsum([n for _, n in sorted((r.start, r.n_tokens) for r in found)])[:-1].tolist()]
 
 
+def test_token_files_of_one_id(spark):
+    """A third of the rows without an id and a third under one id lie in several parts, and all are found."""
+    docs = spark.createDataFrame([((None, 5, i)[i % 3], f"text {i}") for i in range(600)], "doc_id long, text string")
+    folder, manifest = write_shards(docs, JSON, shard_ids=100)
+    assert manifest.where("n_null > 0").select("part").distinct().count() > 1 or manifest.where("first_key <= 5 AND last_key >= 5").select("part").distinct().count() > 1
+    found = read_documents(folder, manifest, docs).collect()
+    assert collections.Counter(r.doc_id for r in found) == collections.Counter({None: 200, 5: 200} | {i: 1 for i in range(2, 600, 3) if i != 5} | {5: 201})
+    n = sorted((r.start, r.n_tokens) for r in found)
+    assert [s for s, _ in n] == [0, *np.cumsum([k for _, k in n])[:-1].tolist()]
+
+
 def test_token_files(spark, docs, rows, empty):
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import chat_format as chat
 from ridgeline.llm import common, surrogates, url_rules
@@ -336,3 +337,93 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: find(x) for x in list(parent)}
+
+
+def test_phones_never_become_real_phones(spark):
+    """Numbers of one prefix, dialled with and without a plus: no surrogate is a number that someone has."""
+    rng = random.Random(8)
+    numbers = {f"+49 {rng.randint(150, 179)} {rng.randint(1000000, 9999999)}" for _ in range(5000)} | {f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}" for _ in range(2000)}
+    real = {re.sub(r"\D", "", x) for x in numbers}
+    docs = spark.createDataFrame([(i, f"call {x} now") for i, x in enumerate(sorted(numbers))], "doc_id long, text string")
+    out = surrogates.replace_pii(docs, b"k").collect()
+    new = [re.sub(r"\D", "", r.text) for r in out]
+    assert all(len(r.entities) == 1 for r in out) and len(set(new)) == len(new) and not real & set(new)
+    assert all(n[:2] == "49" for r, n in zip(out, new, strict=True) if "+" in r.text)
+
+
+def test_cards_keep_their_issuer():
+    rng = random.Random(9)
+    for prefix, size in (("34", 15), ("37", 15), ("4", 16), ("51", 16), ("55", 16), ("60", 16)):
+        for _ in range(100):
+            body = prefix + "".join(rng.choice("0123456789") for _ in range(size - 1 - len(prefix)))
+            card = next(body + d for d in "0123456789" if surrogates.luhn(body + d))
+            new = surrogates.surrogate(b"k", "card", card)
+            assert new != card and len(new) == size and new[: len(prefix)] == prefix and surrogates.luhn(new) and surrogates.detect(f"pay {new} ok")[0][2] == "card"
+
+
+@pytest.mark.parametrize("text", ["Named Entity Recognition is hard", "Dear Customer, hello", "file name: Readme", "The column name is Id", "regards, The Team", "we saw the Grace Cathedral", "Dear Sir or Madam", "the Peter Pipe", "New York has rain", "Machine Learning is fun", "He lives in Park Avenue and works"])
+def test_words_are_no_names(text):
+    assert surrogates.detect(text) == []
+
+
+@pytest.mark.parametrize("text, found", [("Zofia Kowalska met Piotr Nowak", {"zofia", "kowalska"}), ("a letter by Ingmar Larsson came", {"ingmar", "larsson"}), ("my name is Ruth", {"ruth"}), ("Mr Weber and Anna Weber", {"weber", "anna"}), ("then Darko Petrovic said so", {"darko", "petrovic"})])
+def test_names_by_context(text, found):
+    assert found <= {e for _, _, kind, e in surrogates.detect(text) if kind in ("given", "surname")}
+
+
+def plain_assignment(entities, key):
+    """What assign() settles, one round after the other over sets."""
+    todo, settled = {(k, e): 0 for k, e in entities}, {}
+    taken = {(k, surrogates.pooled(e) if k == "phone" else e) for k, e in entities}
+    while todo:
+        drawn = collections.defaultdict(list)
+        for (k, e), n in todo.items():
+            drawn[k, surrogates.surrogate(key, k, e, n)].append(e)
+        used = set(taken) | {(k, s) for (k, _), (_, s) in settled.items()}
+        for (k, s), own in drawn.items():
+            if (k, s) not in used:
+                settled[k, min(own)] = (todo.pop((k, min(own))), s)
+        todo = {x: n + 1 for x, n in todo.items()}
+    return settled
+
+
+def test_assign_equals_plain_rounds(spark):
+    rng = random.Random(3)
+    entities = {("email", f"{c}@{d}.io") for c in "abcdefghijkl" for d in "xyz"} | {("ssn", str(rng.randint(100000000, 999999999))) for _ in range(300)} | {("ip", f"10.0.{rng.randint(0, 3)}.{rng.randint(1, 254)}") for _ in range(400)}
+    entities |= {("phone", f"+4{rng.randint(1000000, 9999999)}") for _ in range(100)} | {("phone", f"{rng.randint(2000000000, 2000000300)}") for _ in range(100)}
+    found = surrogates.assign(spark.createDataFrame(sorted(entities), "kind string, entity string"), b"key")
+    assert {(r.kind, r.entity): (r.draw, r.surrogate) for r in found.collect()} == plain_assignment(entities, b"key")
+
+
+def test_many_redrawn_by_row(spark):
+    """The join that tells redrawn entities goes by row: equal and null ids get each their own text's."""
+    texts = [f"write to {c}@{d}.io or {c}@{d}.io" for c in "abcdefghijklmnop" for d in "xyz"]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _row long")
+    few = sorted(r.text for r in surrogates.replace_pii(docs, b"k").collect())
+    many = sorted(r.text for r in surrogates.replace_pii(docs, b"k", few_redrawn=0).collect())
+    assert few == many and len({t.split()[2] for t in few}) == len(texts)
+
+
+def test_a_key_of_ones_own_is_kept_in_the_session(spark):
+    from ridgeline.llm.queries import surrogate_key
+
+    first = surrogate_key(spark)
+    assert len(first) >= 32 and surrogate_key(spark) == first
+
+
+def test_rows_have_numbers_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("_file")).repartition(7).write.parquet(path)
+    rows = common.numbered(spark.read.parquet(path), "_n", "rows")
+    assert rows.columns == ["k", "_file", "_n"] and rows.select("_n").distinct().count() == 1000
+    again = common.numbered(spark.read.parquet(path), "_n", "rows")
+    assert rows.join(again, ["k", "_file", "_n"]).count() == 1000
+
+
+def test_sample_of_repeated_ids_is_the_same_each_time(spark):
+    from ridgeline.llm.toxicity import _sample
+
+    docs = [(1, f"text {i}") for i in range(50)] + [(2, "a"), (2, None)]
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    found = {tuple(sorted((r.id, r.text) for r in _sample(spark.createDataFrame(random.Random(k).sample(docs, len(docs)), "doc_id long, text string").repartition(k + 1), labels, Chain(), "doc_id", "text").collect())) for k in range(4)}
+    assert len(found) == 1
