@@ -12,41 +12,64 @@ LEAST_STEP, REVERSAL = 0.3, 120.0
 _PATH = "array<struct<x:double,y:double>>"
 
 
-def path_heading(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(heading change, largest residual of a straight-line fit of heading over length) in degrees, path cut at a reversal."""
-    keep = [0]
-    for i in range(1, len(x)):
-        if np.hypot(x[i] - x[keep[-1]], y[i] - y[keep[-1]]) >= LEAST_STEP:
-            keep.append(i)
-    dx, dy = np.diff(x[keep]), np.diff(y[keep])
-    heading = np.arctan2(dy, dx)
-    turn = (np.diff(heading) + np.pi) % (2 * np.pi) - np.pi
-    back = np.flatnonzero(np.abs(turn) > np.radians(REVERSAL))
-    n = back[0] + 1 if len(back) else len(heading)
-    if n < 2:
-        return 0.0, 0.0
-    heading = heading[0] + np.concatenate([[0.0], np.cumsum(turn[: n - 1])])
-    length = np.hypot(dx, dy)[:n]
-    middle = np.cumsum(length) - length / 2
-    spread = middle - middle.mean()
-    slope = (spread @ (heading - heading.mean())) / (spread @ spread) if spread @ spread > 0 else 0.0
-    residual = np.abs(heading - heading.mean() - slope * spread).max()
-    change = (heading[-1] - heading[0] + np.pi) % (2 * np.pi) - np.pi
-    return float(np.degrees(change)), float(np.degrees(residual))
+def _wrapped(angle: np.ndarray) -> np.ndarray:
+    return (angle + np.pi) % (2 * np.pi) - np.pi
+
+
+def path_headings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heading change, largest residual of a straight-line fit of heading over length) in degrees of paths as rows, each cut at a reversal; NaN after its end."""
+    n, m = x.shape
+    rows = np.arange(n)
+    heading, length = np.zeros((n, max(m, 1))), np.zeros((n, max(m, 1)))
+    count, back = np.zeros(n, np.int64), np.zeros(n, bool)
+    last = [x[:, 0].copy(), y[:, 0].copy()] if m else [np.empty(n)] * 2
+    before = np.zeros(n)  # the last step's own heading
+    for i in range(1, m):
+        dx, dy = x[:, i] - last[0], y[:, i] - last[1]
+        step = np.hypot(dx, dy)
+        moves = step >= LEAST_STEP
+        own = np.arctan2(dy, dx)
+        turn = _wrapped(own - before)
+        back |= moves & (count > 0) & (np.abs(turn) > np.radians(REVERSAL))
+        r = rows[moves & ~back]
+        at = count[r]
+        heading[r, at] = np.where(at > 0, heading[r, at - 1] + turn[r], own[r])
+        length[r, at] = step[r]
+        count[r] += 1
+        before[r], last[0][r], last[1][r] = own[r], x[r, i], y[r, i]
+    some = np.arange(heading.shape[1]) < count[:, None]
+    k = np.maximum(count, 1)[:, None]
+    middle = np.where(some, np.cumsum(length, axis=1) - length / 2, 0)
+    spread = np.where(some, middle - middle.sum(axis=1, keepdims=True) / k, 0)
+    off = np.where(some, heading - np.where(some, heading, 0).sum(axis=1, keepdims=True) / k, 0)
+    square = (spread * spread).sum(axis=1)
+    slope = np.divide((spread * off).sum(axis=1), square, out=np.zeros(n), where=square > 0)
+    residual = np.abs(off - slope[:, None] * spread).max(axis=1, initial=0)
+    change = _wrapped(heading[rows, np.maximum(count - 1, 0)] - heading[:, 0])
+    turns = count >= 2
+    return np.where(turns, np.degrees(change), 0.0), np.where(turns, np.degrees(residual), 0.0)
 
 
 def heading(path: Column) -> Column:
     """struct(theta, residual) of a path that starts at the origin; NULL path gives NULL."""
 
     @F.pandas_udf("theta double, residual double")
-    def run(paths: pd.Series) -> pd.DataFrame:
-        out = []
-        for p in paths:
-            xy = np.array([(0.0, 0.0), *[(q["x"], q["y"]) for q in (p if p is not None else [])]])
-            out.append(path_heading(xy[:, 0], xy[:, 1]) if p is not None else (None, None))
-        return pd.DataFrame(out, columns=["theta", "residual"])
-
-    return run(path)
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        known = xs.notna().to_numpy()
+        size = np.array([len(v) for v in xs[known]], np.int64)
+        m = int(size.max(initial=0)) + 1
+        inside = np.arange(1, m) <= size[:, None]
+        grids = []
+        for series in (xs, ys):
+            grid = np.zeros((len(size), m))
+            grid[:, 1:] = np.nan
+            grid[:, 1:][inside] = np.concatenate([np.asarray(v, float) for v in series[known]]) if len(size) else []
+            grids.append(grid)
+        out = np.full((len(xs), 2), np.nan)
+        out[known] = np.column_stack(path_headings(*grids))
+        return pd.DataFrame({c: pd.Series(out[:, i], dtype=float).where(known) for i, c in enumerate(("theta", "residual"))})
+
+    return run(F.transform(path, lambda p: p["x"]), F.transform(path, lambda p: p["y"]))
 
 
 def pchip(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions import text
+
 #: Gates in pixels, as a share of the box diagonal within bounds.
 ASSIGN_SHARE, ASSIGN_LOW, ASSIGN_HIGH = 1.5, 60.0, 300.0
 LOC_SHARE, LOC_LOW, LOC_HIGH = 0.5, 15.0, 60.0
@@ -80,9 +82,10 @@ def assign_objects(truth: DataFrame, found: DataFrame, frame: str, scale: float
 def assign_typed(truth: DataFrame, found: DataFrame, frame: str, same: Column | None = None) -> DataFrame:
     """(frame, g, p, d): objects in file order take the nearest free prediction of an equal class; points missing count last, no gate.
 
-    truth: g, class, x, y, w, h. found: p, pclass, px, py. same: the match predicate, equal classes by default.
+    truth: g, class, x, y, w, h. found: p, pclass, px, py. same: the match predicate, by default loose
+    equality of types: equal, or one held in the other.
     """
-    ok = same if same is not None else F.col("class") == F.col("pclass")
+    ok = same if same is not None else F.coalesce(text.loosely_equal(F.col("pclass"), F.col("class")), F.lit(False))
     d = F.coalesce(box_distance(*[F.col(c) for c in ("px", "py", "x", "y", "w", "h")]), F.lit(1e12))
     return _greedy(truth.join(found, frame).where(ok).select(frame, "g", F.lit(0).alias("rank"), "p", d.alias("d")), frame)
 
@@ -152,8 +155,13 @@ def decode_point(p: Column, width: float, height: float) -> Column:
     return F.struct((p["x"] / 1000.0 * width).alias("x"), (p["y"] / 1000.0 * height).alias("y"))
 
 
-def coerce_point(x: Column, y: Column, width: float, height: float) -> Column:
-    """A point in fractions, thousandths or pixels, as pixels; NULL outside every convention."""
-    fraction = (x >= 0) & (x <= 1) & (y >= 0) & (y <= 1)
-    inside = (x >= 0) & (y >= 0) & (x <= width) & (y <= height)
-    return F.when(fraction, F.struct((x * width).alias("x"), (y * height).alias("y"))).when(inside, F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+def coerce_point(x: Column, y: Column, width: float, height: float, mode: str = "abs_pixel") -> Column:
+    """A point in the convention of a mode, pixels or thousandths of the image (norm1000): fractions are scaled, and for thousandths pixels too; NULL outside every convention."""
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    positive, inside = (x >= 0) & (y >= 0), (x >= 0) & (y >= 0) & (x <= width) & (y <= height)
+    fraction = positive & (x <= 1) & (y <= 1)
+    if mode == "abs_pixel":
+        return F.when(fraction, at(x * width, y * height)).when(inside, at(x, y))
+    if mode != "norm1000":
+        raise ValueError(f"no mode {mode!r}")
+    return F.when(fraction, at(x * 1000, y * 1000)).when(positive & (x <= 1000) & (y <= 1000), at(x, y)).when(inside, at(x / width * 1000, y / height * 1000))

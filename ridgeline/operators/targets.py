@@ -124,10 +124,14 @@ def segment_columns(df: DataFrame, segments: str = "segments") -> DataFrame:
     })
 
 
-def prefix_up_to(segments: Column, marker: str) -> Column:
-    """Text of the segments before the one that opens a marker; all of them without it."""
-    at = F.array_position(F.transform(segments, lambda s: s["text"]), marker)
-    return F.array_join(F.transform(F.when(at > 0, F.slice(segments, F.lit(1), (at - 1).cast("int"))).otherwise(segments), lambda s: s["text"]), "")
+def truth_prefix(segments: Column, level: str) -> Column:
+    """The truth's own text up to where a model goes on: level "understanding" ends before the reason (or, without one, before plan or motion), "chain" with the opened trajectory. NULL where there is no such place."""
+    if level not in ("understanding", "chain"):
+        raise ValueError(f"no level {level!r}")
+    texts = F.transform(segments, lambda s: s["text"])
+    place = lambda tag: F.nullif(F.array_position(texts, tag), F.lit(0))
+    end = place("<traj>") if level == "chain" else F.coalesce(place("<reason>"), F.least(place("<final_plan>"), place("<motion>"))) - 1
+    return F.array_join(F.slice(texts, F.lit(1), end.cast("int")), "")
 
 
 def user_text(history: Column, corrected: Column, raw: Column, instruction: Column) -> Column:

@@ -82,7 +82,7 @@ def test_geometry(spark):
     got = geometry.pchip(t, v, at)
     assert np.allclose(geometry.pchip(t, v, t), v) and (np.diff(got) >= -1e-12).all() and np.allclose(geometry.pchip(t, 2 * t, at), 2 * at)
     s = np.arange(1, 21) / 4
-    theta, residual = geometry.path_heading(np.concatenate([[0], np.sin(s / 3) * 30]), np.concatenate([[0], (1 - np.cos(s / 3)) * 30]))
+    theta, residual = (v[0] for v in geometry.path_headings(np.concatenate([[0], np.sin(s / 3) * 30])[None], np.concatenate([[0], (1 - np.cos(s / 3)) * 30])[None]))
     assert 80 < theta < 100 and residual < 1
     rng = np.random.default_rng(3)
     for _ in range(30):
