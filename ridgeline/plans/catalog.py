@@ -333,10 +333,10 @@ def value_distribution(spark, sf_dir):
     return aggregate.distribution(table(spark, sf_dir, "documents"), "lang").withColumn("percent", F.round("percent", 6))
 
 
-@query("WITH a AS (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), b AS (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) SELECT a.l_returnflag, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (l_returnflag) WHERE a.n > coalesce(b.n, 0)")
+@query("WITH a AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), b AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2) SELECT a.l_suppkey, a.l_returnflag, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (l_suppkey, l_returnflag) WHERE a.n > coalesce(b.n, 0)")
 def bag_difference(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return aggregate.bag_except(li.where("l_linenumber <= 3"), li.where("l_linenumber > 3"), "l_returnflag")
+    return aggregate.bag_except(li.where("l_linenumber <= 3"), li.where("l_linenumber > 2"), "l_suppkey", "l_returnflag")
 
 
 @query("WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) FILTER (l_linenumber <= 3) AS t, list(DISTINCT l_returnflag) FILTER (l_linenumber > 3) AS f FROM lineitem GROUP BY 1), c AS (SELECT len(list_intersect(coalesce(t, []), coalesce(f, []))) AS tp, len(coalesce(f, [])) AS nf, len(coalesce(t, [])) AS nt FROM s), u AS (SELECT sum(tp)::BIGINT AS tp, sum(nf - tp)::BIGINT AS fp, sum(nt - tp)::BIGINT AS fn FROM c) SELECT tp, fp, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, round(2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE), 9) AS f1 FROM u")
@@ -529,13 +529,14 @@ def overlay_patch(spark, sf_dir):
     return sinks.apply_overlay(o, full.unionByName(short), "path", "base", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'moving' WHEN 'click' THEN 'slowing/stopped' WHEN 'purchase' THEN 'turning/merging' WHEN 'signup' THEN 'parked' ELSE 'other' END AS behaviour, CASE event_type WHEN 'view' THEN 'stop' WHEN 'click' THEN 'green' ELSE 'other' END AS content, CASE event_type WHEN 'view' THEN 'front left' ELSE 'front' END AS direction FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'moving' WHEN 'click' THEN 'slowing/stopped' WHEN 'purchase' THEN 'turning/merging' WHEN 'signup' THEN 'parked' ELSE 'other' END AS behaviour, CASE event_type WHEN 'view' THEN 'stop' WHEN 'click' THEN 'green' ELSE 'other' END AS content, CASE event_type WHEN 'view' THEN 'front left' ELSE 'front' END AS direction, CASE WHEN event_id % 3 = 0 THEN 'ego-lane' WHEN event_id % 3 = 1 THEN 'roadside' END AS lane FROM events")
 def canonical_attributes(spark, sf_dir):
     e, t = table(spark, sf_dir, "events"), F.col("event_type")
     state = F.when(t == "view", "Driving  slowly").when(t == "click", "give way").when(t == "purchase", "U turn").when(t == "signup", "pull over and park").otherwise("??")
     sign = F.when(t == "view", "stop here on red").when(t == "click", "GREEN arrow").otherwise("none")
-    where = F.when(t == "view", "adjacent lane, left").otherwise("ahead in the lane")
-    return e.select("event_id", text.coarse_behaviour(text.behaviour(state)).alias("behaviour"), text.content(sign).alias("content"), text.location_slots(where)["direction"].alias("direction"))
+    third = F.col("event_id") % 3
+    where = F.concat(F.when(t == "view", "on the left").otherwise("ahead"), F.when(third == 0, ", same lane").when(third == 1, ", at the curb").otherwise(""))
+    return e.select("event_id", text.coarse_behaviour(text.behaviour(state)).alias("behaviour"), text.content(sign).alias("content"), text.location_slots(where)["direction"].alias("direction"), text.location_slots(where)["lane"].alias("lane"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'Urban Highway' WHEN 'click' THEN 'Unknown' WHEN 'purchase' THEN NULL ELSE 'Rural' END AS scenario, CASE WHEN event_type = 'click' THEN 'Fog' ELSE 'Fair' END AS weather, CASE event_type WHEN 'view' THEN ['Traffic jam'] WHEN 'click' THEN ['Roadside parking'] ELSE [] END AS types FROM events")
@@ -633,6 +634,15 @@ def reference_rows(spark, sf_dir):
     return evaluate.trajectory_summary(rows, ["kind", "bucket"])
 
 
+@query("WITH " + SERIES_SQL + ", p AS (SELECT scene_id || '-' || frame_no AS frame_key, (scene_id % 7 - 3) / 20.0 AS b, list_transform(range(1, 21), lambda i: list_sum(future[1:i]) * 0.25) AS r FROM series) SELECT frame_key, unnest([4, 8, 12, 16, 20]) AS step, round(unnest(list_transform([4, 8, 12, 16, 20], lambda i: r[i] * cos(b * i))), 6) AS x, round(unnest(list_transform([4, 8, 12, 16, 20], lambda i: r[i] * sin(b * i))), 6) AS y FROM p")
+def ceiling_knots(spark, sf_dir):
+    """The monotone cubic through whole seconds goes through them."""
+    p = _paths(spark, sf_dir).select(F.concat_ws("-", "scene_id", "frame_no").alias("frame_key"), "truth", F.col("v0").alias("vx"), F.lit(0.0).alias("vy"))
+    rows = evaluate.reference_predictions(p, "frame_key").where("kind = 'ceiling'")
+    knots = rows.select("frame_key", F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col("pred")[i - 1].alias("p")) for i in (4, 8, 12, 16, 20)])).alias("k"))
+    return knots.select("frame_key", "k.step", F.round("k.p.x", 6).alias("x"), F.round("k.p.y", 6).alias("y"))
+
+
 @query("SELECT 'all' AS slice, NULL AS value, 'n' AS metric, count(*)::DOUBLE AS value_of FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, 'n', count(*)::DOUBLE FROM orders GROUP BY 2")
 def long_metrics(spark, sf_dir):
     wide = aggregate.by_slice(table(spark, sf_dir, "orders"), ["o_orderstatus"], F.count("*").alias("n"))
@@ -737,9 +747,9 @@ def variant_summary(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) for c in ("mean", "diff")})
 
 
-@query("WITH " + OBJECTS_SQL + " SELECT CASE class WHEN 'A' THEN 'cruising' WHEN 'N' THEN 'parking' ELSE 'other' END AS label, count(*) AS support FROM objects GROUP BY 1")
+@query("WITH " + OBJECTS_SQL + ", m AS (SELECT CASE class WHEN 'A' THEN 'cruising' WHEN 'N' THEN 'parking' ELSE 'other' END AS t, g > 3 AS late FROM objects), p AS (SELECT t, CASE WHEN late THEN 'cruising' ELSE t END AS f FROM m) SELECT t AS label, count(*) AS support, round(avg((t = f)::INT), 9) AS recall, round(count(*) FILTER (t = f) / nullif((SELECT count(*) FROM p q WHERE q.f = p.t), 0)::DOUBLE, 9) AS precision FROM p GROUP BY 1")
 def behaviour_report(spark, sf_dir):
     o = objects(spark, sf_dir)
     said = F.when(F.col("class") == "A", "driving").when(F.col("class") == "N", "park").otherwise("??")
     rows = o.select(said.alias("state"), F.when(F.col("g") > 3, "cruise").otherwise(said).alias("pred_state"))
-    return curate.behaviour_metrics(rows).where("support > 0").select("label", "support")
+    return curate.behaviour_metrics(rows).where("support > 0").select("label", "support", *[F.round(c, 9).alias(c) for c in ("recall", "precision")])

@@ -86,16 +86,44 @@ l AS (SELECT *, CASE WHEN v0 < 0.5 AND v_max < 0.5 THEN 'stay' WHEN v0 < 0.5 AND
 CASE WHEN v_end < 0.5 THEN 'stop' WHEN (v0 < 0.5 AND v_max >= 1.0) OR v_end - v0 > b THEN 'accelerate' WHEN v0 - v_end > b THEN 'decelerate' ELSE 'keep' END AS lon FROM m)"""
 
 
-@query("WITH " + _LABELS + " SELECT event_id, sample, lon, 'straight' AS lat FROM l")
+_BENT = (
+    SERIES_SQL
+    + """, p0 AS (SELECT event_id, intent, v0, past, (scene_id % 7 - 3) / 60.0 AS b, list_transform(range(0, 21), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE list_sum(list_transform(future[1:i], lambda v: v + 1.6)) * 0.25 END) AS r FROM series),
+c0 AS (SELECT *, list_transform(range(0, 21), lambda i: r[i + 1] * cos(b * i)) AS x, list_transform(range(0, 21), lambda i: r[i + 1] * sin(b * i)) AS y FROM p0)"""
+)
+
+
+def _bent(spark, sf_dir):
+    """Frames with a path that bends by the scene's number, in steps that count."""
+    bend = (F.col("scene_id") % 7 - 3) / 60.0
+    steps = motion.running_sums(F.transform("future", lambda v: v + 1.6))
+    return series(spark, sf_dir).withColumn("path", F.transform(steps, lambda d, i: _xy(d * 0.25 * F.cos(bend * (i + 1)), d * 0.25 * F.sin(bend * (i + 1)))))
+
+
+@query(
+    "WITH "
+    + _BENT
+    + """, h0 AS (SELECT *, list_transform(range(1, 21), lambda i: atan2(y[i + 1] - y[i], x[i + 1] - x[i])) AS h, list_transform(range(1, 21), lambda i: sqrt(pow(y[i + 1] - y[i], 2) + pow(x[i + 1] - x[i], 2))) AS n FROM c0),
+m0 AS (SELECT *, list_avg(h) AS mh, list_transform(range(1, 21), lambda i: list_sum(n[1:i]) - n[i] / 2) AS m FROM h0), k0 AS (SELECT *, list_avg(m) AS mm FROM m0),
+s0 AS (SELECT *, list_sum(list_transform(range(1, 21), lambda i: (m[i] - mm) * (h[i] - mh))) / list_sum(list_transform(m, lambda v: (v - mm) * (v - mm))) AS slope FROM k0),
+t0 AS (SELECT event_id, intent, v0, degrees(h[20] - h[1]) AS theta, degrees(list_max(list_transform(range(1, 21), lambda i: abs(h[i] - mh - slope * (m[i] - mm))))) AS residual, (n[17] + n[18] + n[19] + n[20]) AS v_end, list_max(n) * 4 AS v_max, greatest(1.0, 0.2 * v0) AS b FROM s0)
+SELECT event_id, CASE WHEN v0 < 0.5 AND v_max < 0.5 THEN 'stay' WHEN v0 < 0.5 AND v_max >= 1.0 THEN 'start' WHEN v0 >= 0.5 AND v_end < 0.5 THEN 'stop' WHEN v_end < v0 - b THEN 'decel' WHEN v_end > v0 + b THEN 'accel' ELSE 'keep' END AS sample,
+CASE WHEN v_end < 0.5 THEN 'stop' WHEN (v0 < 0.5 AND v_max >= 1.0) OR v_end - v0 > b THEN 'accelerate' WHEN v0 - v_end > b THEN 'decelerate' ELSE 'keep' END AS lon,
+CASE WHEN abs(theta) >= 25 AND (residual >= 5 OR intent <> 'GO_STRAIGHT') THEN CASE WHEN theta > 0 THEN 'left_turn' ELSE 'right_turn' END ELSE 'straight' END AS lat FROM t0"""
+)
 def path_labels(spark, sf_dir):
-    s = series(spark, sf_dir).withColumn("path", F.transform(_path(), lambda p: _xy(F.round(p["x"], 9), p["y"])))
-    return curate.label_path(s, "path", "v0", "intent").select("event_id", "label.sample", "label.lon", "label.lat")
+    return curate.label_path(_bent(spark, sf_dir), "path", "v0", "intent").select("event_id", "label.sample", "label.lon", "label.lat")
 
 
-@query("WITH " + SERIES_SQL + " SELECT round(avg(list_sum(future) * 0.25), 6) AS ahead, 0.0::DOUBLE AS aside, 0.0::DOUBLE AS aside_max, round(avg(list_avg(past)), 6) AS speed, round(stddev_pop(list_avg(past)), 6) AS speed_sd, round(avg(CASE WHEN len(past) > 1 THEN past[len(past)] - past[1] END), 6) AS speed_change, 0.0::DOUBLE AS curvature, 0::BIGINT AS left, 0::BIGINT AS right, count(*) AS neither FROM series")
+@query(
+    "WITH "
+    + _BENT
+    + """, q AS (SELECT *, list_max(x[2:]) AS ahead, list_max(list_transform(y[2:], lambda v: abs(v))) AS aside, y[21] AS e FROM c0)
+SELECT round(avg(ahead), 6) AS ahead, round(avg(aside), 6) AS aside, round(max(aside), 6) AS aside_max, round(avg(list_avg(past)), 6) AS speed, round(stddev_pop(list_avg(past)), 6) AS speed_sd, round(avg(CASE WHEN len(past) > 1 THEN past[len(past)] - past[1] END), 6) AS speed_change, round(avg(CASE WHEN ahead > 0.1 THEN abs(e) / ahead END), 6) AS curvature, count(*) FILTER (e > 0.5) AS left, count(*) FILTER (e < -0.5) AS right, count(*) FILTER (abs(e) <= 0.5) AS neither FROM q"""
+)
 def path_profile(spark, sf_dir):
-    found = evaluate.trajectory_profile(series(spark, sf_dir).withColumn("path", _path()), "path", "past")
-    return found.withColumns({c: F.round(c, 6) for c in ("ahead", "speed", "speed_sd", "speed_change")})
+    found = evaluate.trajectory_profile(_bent(spark, sf_dir), "path", "past")
+    return found.withColumns({c: F.round(c, 6) for c in ("ahead", "aside", "aside_max", "speed", "speed_sd", "speed_change", "curvature")})
 
 
 @query("WITH " + SERIES_SQL + ", p AS (SELECT scene_id || '-' || frame_no AS frame_key, event_id, v0, list_transform(range(1, 21), lambda i: list_sum(future[1:i]) * 0.25) AS ats FROM series) SELECT frame_key, 'ready' AS state, round(list_avg(list_transform(range(1, 21), lambda i: abs(v0 * i * 0.25 - ats[i]))), 9) AS ade5 FROM p WHERE event_id % 3 <> 0 UNION ALL SELECT frame_key, 'no prediction', NULL FROM p WHERE event_id % 3 = 0")
