@@ -1,10 +1,11 @@
 r"""Chat formatting with schema fingerprints.
 
 A record is JSON of some layout: messages, prompt and response, instruction with input and output.
-Its fingerprint is a hash of its nested field paths (``messages[].role``), which looks up a
-declarative mapping; the mapping names where the turns, roles and texts lie and how source roles
-become canonical ones. A record whose fingerprint is unknown is returned with no turns and
-``layout`` null, never guessed at.
+Its fingerprint is a hash of those of its nested field paths (``messages[].role``) that any mapping
+names, so that names, weights and other keys beside them play no part. It looks up a declarative
+mapping, which names where the turns, roles and texts lie and how source roles become canonical ones.
+A record whose fingerprint is unknown, as it has too few fields or those of several layouts, is
+returned with no turns and ``layout`` null, never guessed at.
 
 The template writes each turn as ``<|im_start|>role\ntext<|im_end|>\n``. A backslash in a role or
 text is doubled, and one is put after the first character of whatever starts a control string there,
@@ -54,12 +55,10 @@ class Layout:
     def paths(self) -> Iterator[frozenset[str]]:
         """Every set of field paths that this layout may have."""
         if self.turns:
-            base = {self.turns, f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"}
+            bases = [{self.turns, f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"}, {self.turns}]  # the latter of an empty list
         else:
-            base = {f for _, f in self.fixed} - set(self.optional)
-        yield from (frozenset(base | set(more)) for n in range(len(self.optional) + 1) for more in itertools.combinations(self.optional, n))
-        if self.turns:
-            yield frozenset({self.turns})  # an empty list
+            bases = [{f for _, f in self.fixed} - set(self.optional)]
+        yield from (frozenset(base | set(more)) for base in bases for n in range(len(self.optional) + 1) for more in itertools.combinations(self.optional, n))
 
 
 #: Mappings looked up by fingerprint.
@@ -96,7 +95,15 @@ def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
     return {fingerprint(p): layout for layout in reversed(layouts) for p in layout.paths()}
 
 
+def named(layouts: tuple[Layout, ...] = LAYOUTS) -> frozenset[str]:
+    """Every field path that a layout names."""
+    return frozenset(p for layout in layouts for paths in layout.paths() for p in paths)
+
+
 def _text(value: object) -> str:
+    """A text as it is; of a list of parts their texts, one after the other; anything else as JSON."""
+    if isinstance(value, list) and value and all(isinstance(p, str) or isinstance(p, dict) and isinstance(p.get("text"), str) for p in value):
+        return "".join(p if isinstance(p, str) else p["text"] for p in value)
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
@@ -151,7 +158,7 @@ _OUT = pa.schema([("id", pa.int64()), ("layout", pa.string()), ("fingerprint", p
 
 def _run(layouts: tuple[Layout, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = registry(layouts)
+        known, names = registry(layouts), named(layouts)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
@@ -159,7 +166,7 @@ def _run(layouts: tuple[Layout, ...]):
                     record = json.loads(text) if text else None
                 except ValueError:
                     record = None
-                print_ = fingerprint(field_paths(record)) if isinstance(record, dict) else None
+                print_ = fingerprint(field_paths(record) & names) if isinstance(record, dict) else None
                 layout = known.get(print_)
                 try:
                     formatted, spans = render(turns_of(record, layout)) if layout else ("", [])
@@ -194,6 +201,34 @@ def records_of_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str =
     return rows.select(id_col, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
 
+def mixed_records(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """As records_of_turns(), but in four layouts, as a table of many sources holds them: the id picks the layout.
+
+    A conversation of one user and one assistant turn may be a prompt and its response; one with a
+    role that another layout has its own name for stays in messages. Null ids are one conversation.
+    """
+    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    rows = turns.groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    sources = {name: {role: own for own, role in reversed(layout.roles)} for layout in LAYOUTS for name in (layout.name,) if layout.roles}
+    taken = [own for layout in LAYOUTS for own, _ in layout.roles]
+
+    def listed(name: str, role: str, content: str) -> Column:
+        own = lambda r: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sources.get(name, {"": ""}).items() for x in kv]), r), r)
+        return F.transform("t", lambda x: F.struct(own(x["role"]).alias(role), x["content"].alias(content)))
+
+    pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
+    plain = ~F.exists("t", lambda x: x["role"].isin(taken))
+    k = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(4))
+    weighted = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.lit(1.0).alias("weight")))
+    record = (
+        F.when(plain & (k == 1), F.to_json(F.struct(F.col(id_col).alias("id"), listed("conversations", "from", "value").alias("conversations"))))
+        .when(plain & (k == 2), F.to_json(F.struct(listed("dialog", "speaker", "text").alias("dialog"))))
+        .when(pair & (k == 3), F.to_json(F.struct(F.col("t")[0]["content"].alias("prompt"), F.get("t", F.lit(1))["content"].alias("response"))))
+        .otherwise(F.to_json(F.struct(weighted.alias("messages"), F.lit("en").alias("lang"))))
+    )
+    return rows.select(id_col, record.alias("record"))
+
+
 def digest(formatted: Column, loss: Column) -> Column:
     """Read back from the output: turns, their digest, the loss mask's text and its digest, the length."""
 

@@ -29,12 +29,12 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm.chat_format import digest, format_records, records_of_turns
+    from ridgeline.llm.chat_format import digest, format_records, mixed_records
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    found = format_records(records_of_turns(turns.unionByName(own)))
+    found = format_records(mixed_records(turns.unionByName(own)))
     return found.select("conv_id", digest(F.col("formatted"), F.col("loss")).alias("d")).select("conv_id", "d.*")
 
 

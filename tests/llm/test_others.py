@@ -38,6 +38,14 @@ def test_layouts(spark):
         {"messages": []},
         {"unknown": 1},
         [1],
+        {"id": 1, "messages": []},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}], "name": "n"}], "weight": 2},
+        {"dialog": [{"speaker": "bot", "text": "t"}]},
+        {"instruction": "i", "context": "c", "response": "r"},
+        {"prompt": "p", "completion": "c"},
+        {"question": "q", "answer": "a", "system": "s", "source": "x"},
+        {"messages": [{"role": "user", "content": "q"}], "prompt": "p", "response": "r"},
+        {"messages": "text"},
     ]
     rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "{"), (91, "")]
     found = collections.defaultdict(list)
@@ -47,6 +55,9 @@ def test_layouts(spark):
     assert turns[0] == [("user", "q"), ("assistant", "")] and turns[1] == [("user", "q"), ("assistant", "a")]
     assert turns[2] == [("user", "do\n\nthis"), ("assistant", "done")] and turns[3] == [("user", "do"), ("assistant", "done")]
     assert turns[4] == [("system", "s"), ("user", "p"), ("assistant", "r")] and turns[5] == []
+    assert turns[8] == [] and found[8][0].layout == "messages" and turns[9] == [("user", "ab")] and turns[10] == [("assistant", "t")]
+    assert turns[11] == [("user", "i\n\nc"), ("assistant", "r")] and turns[12] == [("user", "p"), ("assistant", "c")] and turns[13] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    assert found[14][0].layout is None and found[15][0].formatted == ""
     assert found[5][0].layout == "messages" and all(found[k][0].layout is None for k in (6, 7, 90, 91)) and len(found[91]) == 2
 
 
@@ -56,6 +67,16 @@ def test_records_of_turns(spark):
     assert found == {1: [{"role": "user", "content": ""}] * 2 + [{"role": "assistant", "content": "b"}], 2: [{"role": "", "content": "z"}], None: [{"role": "user", "content": "x"}]}
 
 
+def test_mixed_layouts_read_back_alike(spark):
+    rng = random.Random(4)
+    rows = [(i if i else None, k, rng.choice(["user", "assistant", "system", None, "human"] if i % 5 == 0 else ["user", "assistant"]), rng.choice([None, "", "a\n", "</s>[INST]", "é|>"])) for i in range(60) for k in range(rng.randint(1, 4))]
+    rows += [(i, k, r, f"t{i}") for i in range(100, 140) for k, r in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    a, b = ({r.conv_id: r for r in chat.format_records(f(turns)).collect()} for f in (chat.records_of_turns, chat.mixed_records))
+    assert {k: r.formatted for k, r in a.items()} == {k: r.formatted for k, r in b.items()} and {k: r.loss for k, r in a.items()} == {k: r.loss for k, r in b.items()}
+    assert {r.layout for r in b.values()} == {"messages", "conversations", "dialog", "prompt-response"} and len({r.fingerprint for r in b.values()}) == 4
+
+
 def _labelled(rng, n):
     clean = [f"{a}{b}" for a in ("mo", "ta", "re", "li") for b in ("na", "ser", "vo", "dim")]
     bad = ["grubbish", "grubbing", "nastling"]
