@@ -333,10 +333,10 @@ def value_distribution(spark, sf_dir):
     return aggregate.distribution(table(spark, sf_dir, "documents"), "lang").withColumn("percent", F.round("percent", 6))
 
 
-@query("WITH a AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), b AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2) SELECT a.l_suppkey, a.l_returnflag, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (l_suppkey, l_returnflag) WHERE a.n > coalesce(b.n, 0)")
+@query("WITH a AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1, 2), b AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT a.l_suppkey, a.l_returnflag, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (l_suppkey, l_returnflag) WHERE a.n > coalesce(b.n, 0)")
 def bag_difference(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return aggregate.bag_except(li.where("l_linenumber <= 3"), li.where("l_linenumber > 2"), "l_suppkey", "l_returnflag")
+    return aggregate.bag_except(li.where("l_linenumber > 3"), li.where("l_linenumber <= 3"), "l_suppkey", "l_returnflag")
 
 
 @query("WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) FILTER (l_linenumber <= 3) AS t, list(DISTINCT l_returnflag) FILTER (l_linenumber > 3) AS f FROM lineitem GROUP BY 1), c AS (SELECT len(list_intersect(coalesce(t, []), coalesce(f, []))) AS tp, len(coalesce(f, [])) AS nf, len(coalesce(t, [])) AS nt FROM s), u AS (SELECT sum(tp)::BIGINT AS tp, sum(nf - tp)::BIGINT AS fp, sum(nt - tp)::BIGINT AS fn FROM c) SELECT tp, fp, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, round(2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE), 9) AS f1 FROM u")
