@@ -35,7 +35,9 @@ from ridgeline.llm.common import runs, small_batches
 
 _DOUBLE_BLANK = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
-KEPT_PIECES = 300_000
+KEPT_PIECES = 250_000
+#: Pieces that a worker keeps between its tasks.
+RESTING_PIECES = 30_000
 LONG_PIECE = 64
 MERGED_TOGETHER = 60_000
 CHUNK_CHARS = 4 << 20
@@ -92,6 +94,11 @@ class PieceCoder:
         if len(self.table) > self.kept:  # those met first are mostly the frequent ones
             self.table = dict(itertools.islice(self.table.items(), self.kept // 2))
 
+    def rest(self) -> None:
+        """After a task: a worker, which may go on to other work, keeps the pieces met first alone."""
+        self.forget()
+        self.table = dict(itertools.islice(self.table.items(), RESTING_PIECES))
+
     def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text; all of the texts' pieces are held at a time."""
         self.forget()
@@ -188,14 +195,19 @@ class Bpe(PieceCoder):
             self.tokens[rank] = token
         self.byte = np.array([ranks[bytes([b])] for b in range(256)])
         self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
-        self.pair = _Pairs(ranks, self.tokens).__getitem__
+        self.pairs = _Pairs(ranks, self.tokens)
+        self.pair = self.pairs.__getitem__
         self.queue = RankQueue(size)
         self.decoding = _Gather(self.tokens)
 
+    def rest(self) -> None:
+        super().rest()
+        self.pairs.clear()
+
     @classmethod
-    @functools.lru_cache(maxsize=2)
+    @functools.lru_cache(maxsize=1)
     def load(cls, path: str, pattern: str) -> Bpe:
-        """Kept with its table for the next tasks of the same worker."""
+        """Kept with some of its table for the next tasks of the same worker."""
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}, pattern)
 
@@ -353,6 +365,7 @@ def _coder(vocabulary: str, pattern: str, schema: pa.Schema, rows: Callable):
             found = [emit(x) for x in bpe.encode_many(texts)]
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], schema=schema)
+        bpe.rest()
 
     return run
 
