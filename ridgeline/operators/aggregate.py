@@ -197,7 +197,7 @@ def bag_except(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Counts and percentages of values."""
+    """Counts and percentages of values, the most frequent first, ties by value."""
     n = df.groupBy(column).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("_t"))
-    return n.join(F.broadcast(total), F.lit(True)).select(column, "n", (F.col("n") * 100.0 / F.col("_t")).alias("percent"))
+    return n.join(F.broadcast(total), F.lit(True)).select(column, "n", (F.col("n") * 100.0 / F.col("_t")).alias("percent")).orderBy(F.desc("n"), column)

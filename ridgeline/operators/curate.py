@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text, vocab
 from ridgeline.operators.aggregate import accuracy, by_slice, class_report, confusion, rate
-from ridgeline.operators.select import hint, seeded
+from ridgeline.operators.select import few_enough, hint, seeded
 
 
 def complete_frames(*scans: DataFrame, key: str = "frame_key") -> DataFrame:
@@ -231,7 +231,9 @@ def project_points(points: DataFrame, cameras: DataFrame, key: str) -> DataFrame
 
     cameras (a short table): camera, m (12 values, ego to camera by rows), fx, fy, cx, cy, offset, width.
     """
-    c = hint(cameras, 1000)
+    if not few_enough(cameras, 1000):
+        raise ValueError("more than 1000 cameras: every point would meet each of them")
+    c = F.broadcast(cameras)
     rows = points.join(c, F.lit(True))
     row = lambda i: F.col("m")[4 * i] * F.col("x") + F.col("m")[4 * i + 1] * F.col("y") + F.col("m")[4 * i + 2] * F.col("z") + F.col("m")[4 * i + 3]
     rows = rows.select(key, "camera", "offset", "width", "fx", "fy", "cx", "cy", row(0).alias("_x"), row(1).alias("_y"), row(2).alias("_z")).where("_z > 0.1")

@@ -6,6 +6,7 @@ vectorised function, after the masks (column expressions), and is joined back; s
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 from functools import reduce
@@ -55,15 +56,20 @@ def phrase_of(text: str) -> tuple[str, str, str] | None:
 _READ = "struct<lon:string,lat:string,notes:array<string>,matched_by:string,side:string>"
 
 
-def read_step(own: str, rest: str, moving: bool) -> tuple[str, str | None, list[str], str, str | None]:
-    """(lon, lat, notes, matched_by, side) of a step without object nouns (own), and without clauses, too (rest)."""
+#: How a speed is named where it decided a word's class.
+UNKNOWN, MOVING, STILL = "v0=?", "v0>=0.5", "v0<0.5"
+
+
+@functools.lru_cache(maxsize=20_000)
+def read_step(own: str, rest: str, speed: str) -> tuple[str, str | None, list[str], str, str | None]:
+    """(lon, lat, notes, matched_by, side) of a step without object nouns (own), and without clauses, too (rest). Equal steps are read once by a worker."""
     turn, sides = _TURN.search(own), re.findall(r"\b(left|right)\b", own)
     lat = None if not turn else "right_turn" if "right" in (turn["a"], turn["b"], turn["c"]) else "left_turn"
     notes, side = [label for label, p in _NOTES if p.search(own)], next(iter(sides), None)
     if (found := phrase_of(rest)) is not None:
         name, label, phrase = found
-        lon = label if label != "split" else "keep" if moving else "accelerate"
-        return lon, lat, notes, f"{'fallback' if name == 'fallback' else 'table'}:{phrase}", side
+        lon = label if label != "split" else "accelerate" if speed == STILL else "keep"
+        return lon, lat, notes, f"{'fallback' if name == 'fallback' else 'table'}:{phrase}{f'@{speed}' if label == 'split' else ''}", side
     if lat or notes:
         return "unspecified", lat, notes, "unspecified:lateral_only", side
     return "unmatched", lat, notes, "unmatched" if own else "empty_plan", side
@@ -77,10 +83,11 @@ def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read", on
     """
 
     @F.pandas_udf(_READ)
-    def read(own: pd.Series, rest: pd.Series, moving: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_step(a, b, bool(m)) for a, b, m in zip(own, rest, moving, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
+    def read(own: pd.Series, rest: pd.Series, speed: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_step(a, b, s) for a, b, s in zip(own, rest, speed, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
 
-    rows = df.withColumn("_first", plan_first(F.col(plan))).withColumn("_moving", F.coalesce(F.col(v0) >= STOPPED, F.lit(True)))
+    speed = F.when(F.col(v0) >= STOPPED, MOVING).when(F.col(v0) < STOPPED, STILL).otherwise(UNKNOWN)
+    rows = df.withColumn("_first", plan_first(F.col(plan))).withColumn("_moving", speed)
     steps = (rows.select("_first", "_moving").distinct() if once else rows).withColumn("_own", masked(F.col("_first"), words.OBJECT_MASKS))
     steps = steps.withColumn("_rest", masked(F.col("_own"), words.CLAUSE_MASKS)).withColumn(out, read("_own", "_rest", "_moving")).drop("_own", "_rest")
     return (rows.join(steps, ["_first", "_moving"]) if once else steps).drop("_first", "_moving")
