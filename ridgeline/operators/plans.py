@@ -1,14 +1,13 @@
 """Plan sentences: classification, taxonomy, consistency with motion, rewriting.
 
-Few sentences are distinct, so the pattern work runs once per distinct (sentence, moving) pair in a
-vectorised function, after the masks (column expressions), and is joined back; so is all after it.
+Few sentences are distinct, so a worker keeps what it read and looks equal plans up; nothing is
+shuffled for it.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -17,11 +16,13 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import plan_words as words
 from ridgeline.functions.motion import STOPPED
-from ridgeline.functions.text import norm_plan, plan_first
+from ridgeline.functions.text import STEP_BREAK, norm_plan, plan_first
 
 LON = ("accelerate", "decelerate", "keep", "stop")
 _TABLES = [(name, [(label, re.compile(p)) for label, p in table]) for name, table in (("strong", words.STRONG), ("weak", words.WEAK), ("fallback", words.FALLBACK))]
 _TURN = re.compile(words.TURN)
+_BLANKS, _STEP = re.compile(r"\s+", re.ASCII), re.compile(STEP_BREAK, re.ASCII)
+_OBJECT_MASKS, _CLAUSE_MASKS = ([re.compile(p, re.ASCII) for p in patterns] for patterns in (words.OBJECT_MASKS, words.CLAUSE_MASKS))
 _NOTES = [(label, re.compile(p)) for label, p in words.NOTES]
 #: One ordered alternation: the leftmost phrase, and of several at one place the first of the list.
 _PHRASE = re.compile("(?i)" + "|".join(f"(?P<p{i}>{p}{words.OBJECTS[more]})" for i, (p, _, more) in enumerate(words.PHRASES)))
@@ -29,11 +30,6 @@ _PHRASE = re.compile("(?i)" + "|".join(f"(?P<p{i}>{p}{words.OBJECTS[more]})" for
 _JOIN = r"(?:and|to|then|while)"
 
 
-def masked(text: Column, masks: Iterable[str]) -> Column:
-    """The text with a blank for whatever a mask matches, mask after mask, blanks collapsed."""
-    return F.trim(F.regexp_replace(reduce(lambda c, p: F.regexp_replace(c, p, " "), masks, text), r"\s+", " "))
-
-
 def spans(table: list[tuple[str, re.Pattern]], text: str) -> list[tuple[int, int, str]]:
     """(start, end, label) from left to right: at each place the longest match, each one after the end of that before."""
     longest: dict[int, tuple[int, str]] = {}
@@ -60,9 +56,8 @@ _READ = "struct<lon:string,lat:string,notes:array<string>,matched_by:string,side
 UNKNOWN, MOVING, STILL = "v0=?", "v0>=0.5", "v0<0.5"
 
 
-@functools.lru_cache(maxsize=20_000)
 def read_step(own: str, rest: str, speed: str) -> tuple[str, str | None, list[str], str, str | None]:
-    """(lon, lat, notes, matched_by, side) of a step without object nouns (own), and without clauses, too (rest). Equal steps are read once by a worker."""
+    """(lon, lat, notes, matched_by, side) of a step without object nouns (own), and without clauses, too (rest)."""
     turn, sides = _TURN.search(own), re.findall(r"\b(left|right)\b", own)
     lat = None if not turn else "right_turn" if "right" in (turn["a"], turn["b"], turn["c"]) else "left_turn"
     notes, side = [label for label, p in _NOTES if p.search(own)], next(iter(sides), None)
@@ -75,22 +70,32 @@ def read_step(own: str, rest: str, speed: str) -> tuple[str, str | None, list[st
     return "unmatched", lat, notes, "unmatched" if own else "empty_plan", side
 
 
-def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read", once: bool = True) -> DataFrame:
+def first_step(plan: str | None) -> str:
+    """The first step of a plan that is not empty, in normal form; the whole plan if none is. The column function plan_first() is its equal."""
+    text = _BLANKS.sub(" ", (plan or "").lower().replace("_", " ").replace("\n", " ")).strip(" .")
+    return next((p for p in (x.strip(" ,;") for x in _STEP.split(text)) if p), text)
+
+
+@functools.lru_cache(maxsize=20_000)
+def read_plan(plan: str | None, speed: str) -> tuple[str, str | None, list[str], str, str | None]:
+    """read_step() of a plan's first step, masked. Equal plans are read once by a worker."""
+    mask = lambda text, patterns: _BLANKS.sub(" ", reduce(lambda t, p: p.sub(" ", t), patterns, text)).strip(" ")
+    own = mask(first_step(plan), _OBJECT_MASKS)
+    return read_step(own, mask(own, _CLAUSE_MASKS), speed)
+
+
+def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read") -> DataFrame:
     """df with ``plan_read``: lon, lat, notes, matched_by and side of the plan's first step. An unknown speed counts as moving.
 
-    once: read each distinct step once and join it back, which reads df twice; else row by row, for a
-    df that is dear to compute.
+    Row by row, as a worker knows the plans that it read: df is read once, and nothing is joined.
     """
 
     @F.pandas_udf(_READ)
-    def read(own: pd.Series, rest: pd.Series, speed: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_step(a, b, s) for a, b, s in zip(own, rest, speed, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
+    def read(plan: pd.Series, speed: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_plan(p, s) for p, s in zip(plan, speed, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
 
     speed = F.when(F.col(v0) >= STOPPED, MOVING).when(F.col(v0) < STOPPED, STILL).otherwise(UNKNOWN)
-    rows = df.withColumn("_first", plan_first(F.col(plan))).withColumn("_moving", speed)
-    steps = (rows.select("_first", "_moving").distinct() if once else rows).withColumn("_own", masked(F.col("_first"), words.OBJECT_MASKS))
-    steps = steps.withColumn("_rest", masked(F.col("_own"), words.CLAUSE_MASKS)).withColumn(out, read("_own", "_rest", "_moving")).drop("_own", "_rest")
-    return (rows.join(steps, ["_first", "_moving"]) if once else steps).drop("_first", "_moving")
+    return df.withColumn(out, read(F.col(plan).cast("string"), speed))
 
 
 def taxonomy(read: Column) -> Column:
