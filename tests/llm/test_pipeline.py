@@ -77,3 +77,35 @@ def test_rows_of_repeated_and_null_ids(spark, tmp_path):
     want = [("1", f"{a} {b}"), ("1", c), ("1", docs[3][1]), ("None", b), ("None", c)]
     assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in out) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in out)
+
+
+def test_stages_on_empty_clashing_and_long(spark, tmp_path):
+    """Every stage takes an empty table, columns named as its own ones, and a text of megabytes, and keeps rows and columns."""
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nd", "rt", "st", "m")]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item = prose(25)
+    long = prose(150_000) + f" {item} " + prose(150_000) + " bo.be@mail1.example.com"
+    more = ["_row", "_id", "_spans", "_text", "_n_words", "entities", "_done", "_redrawn", "_file", "id", "key", "kind", "rejected"]
+    schema = SCHEMA + "".join(f", {c} string" for c in more)
+    rows = [(i, t, None, None, len(t or ""), *[f"{c}{i}" for c in more]) for i, t in enumerate([long, None, "", prose(60), "a" * 300_000])]
+    spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int").where("doc_id < 0").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.createDataFrame(rows, schema)
+    empty = table.where("false")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for j, docs in enumerate((empty, table)):
+            docs.write.parquet(f"{tmp_path}/{k}-{j}-in")
+            out = stage(spark, spark.read.parquet(f"{tmp_path}/{k}-{j}-in"), str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{k}-{j}-out")
+            found = spark.read.schema(out.schema).parquet(f"{tmp_path}/{k}-{j}-out")
+            assert k == 4 or found.columns == docs.columns, name
+            assert j or found.count() == 0, name
+        # a null and an empty text are no copies of each other, and nothing here is toxic
+        got = {r.doc_id: r for r in found.collect()}
+        assert set(got) == set(range(5)), name
+        if k < 4:
+            assert all(got[i][c] == f"{c}{i}" for i in range(5) for c in more), name
+            assert all(got[i].text == rows[i][1] for i in range(1, 5)) and (got[0].text == long) == (k in (0, 1)), name
+    assert item not in spark.read.parquet(f"{tmp_path}/2-1-out").where("doc_id = 0").first().text
+    assert "bo.be@" not in spark.read.parquet(f"{tmp_path}/3-1-out").where("doc_id = 0").first().text
