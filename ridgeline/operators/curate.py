@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry, motion, text, vocab
-from ridgeline.operators.aggregate import accuracy, by_slice, class_report, confusion, rate
+from ridgeline.operators.aggregate import accuracy, class_report, confusion, rate
 from ridgeline.operators.select import few_enough, hint, seeded
 
 

@@ -6,8 +6,6 @@ one aggregation over all rows and by slice. Confusion tables stay long: (kind, t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
