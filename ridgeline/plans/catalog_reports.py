@@ -237,3 +237,34 @@ def truth_prefixes(spark, sf_dir):
     t = targets.build_targets(rows, "s2")
     kept, _ = reports.with_prefix(t, lambda _: targets.truth_prefix(F.col("segments"), "chain"), "chain")
     return kept.select("event_id", targets.truth_prefix(F.col("segments"), "understanding").alias("understanding"), "chain")
+
+
+#: Words of objects with their types, and of what they do with its canonical behaviour.
+_WORDS = (("bus", "Bus"), ("ambulance", "Emergency vehicle"), ("pickup", "Truck"), ("cyclist", "Cyclist"), ("dog", "Animal"), ("traffic cone", "Object"), ("white sedan", "Car"))
+_ACTS = (("waiting", "stopping"), ("moving", "cruising"), ("reversing", "backing"), ("slowing down", "decelerating"), ("painted", None))
+
+
+@query(
+    "WITH "
+    + FRAMES_SQL
+    + ", w(k, word, type) AS (VALUES "
+    + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_WORDS))
+    + "), d(k, act, state) AS (VALUES "
+    + ", ".join(f"({i}, '{a}', {_sql(b)})" for i, (a, b) in enumerate(_ACTS))
+    + """), t AS (SELECT event_id, a.word AS word, b.word AS other, act, 'A ' || a.word || ' at (' || (100 + frame_no % 900) || ', ' || (400 + scene_id % 90) || ') is ' || act || ', rank: ' || (1 + event_id % 3) || '.' AS seen FROM frames JOIN w a ON a.k = event_id % 7 JOIN w b ON b.k = (event_id + 3) % 7 JOIN d ON d.k = event_id % 5),
+s AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'There is no ' || word || ' here.' WHEN event_id % 4 = 1 THEN seen || ' No ' || other || ' is near.' WHEN event_id % 4 = 2 THEN 'No ' || other || ' is near. ' || seen ELSE seen || chr(10) || 'Plan: follow the ' || other || '.' END AS said FROM t),
+p AS (SELECT event_id, regexp_extract(said, 'A ([a-z ]+) at \\((\\d+), (\\d+)\\) is ([a-z ]+), rank: (\\d)', ['word', 'x', 'y', 'act', 'rank']) AS m FROM s)
+SELECT event_id, w.type, try_cast(m.x AS DOUBLE) AS x, try_cast(m.y AS DOUBLE) AS y, d.state, try_cast(m.rank AS INTEGER) AS rank, (m.word <> '')::INT AS n FROM p LEFT JOIN w ON w.word = m.word LEFT JOIN d ON d.act = m.act"""
+)
+def varied_prose(spark, sf_dir):
+    """Sentences of many words, places and denials; the SQL reads the same texts by a pattern."""
+    from ridgeline.operators import prose
+
+    f, e = frames(spark, sf_dir), F.col("event_id")
+    pick = lambda table, k: F.element_at(F.array(*[F.lit(x[0]) for x in table]), (k % len(table) + 1).cast("int"))
+    word, other = pick(_WORDS, e), pick(_WORDS, e + 3)
+    seen = F.concat(F.lit("A "), word, F.lit(" at ("), (100 + F.col("frame_no") % 900).cast("string"), F.lit(", "), (400 + F.col("scene_id") % 90).cast("string"), F.lit(") is "), pick(_ACTS, e), F.lit(", rank: "), (1 + e % 3).cast("string"), F.lit("."))
+    said = F.when(e % 4 == 0, F.concat(F.lit("There is no "), word, F.lit(" here."))).when(e % 4 == 1, F.concat(seen, F.lit(" No "), other, F.lit(" is near."))).when(e % 4 == 2, F.concat(F.lit("No "), other, F.lit(" is near. "), seen)).otherwise(F.concat(seen, F.lit("\nPlan: follow the "), other, F.lit(".")))
+    o = F.col("objects")
+    one = prose.extract_answers(f.select("event_id", said.alias("text")), "text").select("event_id", "objects", F.get(o, F.lit(0)).alias("o"))
+    return one.select("event_id", F.col("o.type").alias("type"), F.col("o.point.x").alias("x"), F.col("o.point.y").alias("y"), F.col("o.state").alias("state"), F.col("o.rank").alias("rank"), F.size("objects").alias("n"))
