@@ -66,9 +66,7 @@ def quantiles(df: DataFrame, groups: list[str], value: Column | str, shares: lis
     keys = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    if not keys:
-        sizes = sizes.where("n > 0")
-    sizes = staged(sizes, "sizes")
+    sizes = staged(sizes.where("n > 0"), "sizes")
     large = sizes.where(F.col("n") > few)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys], F.lit(True))
 
@@ -76,13 +74,11 @@ def quantiles(df: DataFrame, groups: list[str], value: Column | str, shares: lis
         return hint(table.select(*[F.col(k).alias(f"s_{k}") for k in keys], *columns))
 
     names = [f"s_{k}" for k in keys]
-    if few_enough(large, 0):
-        small = rows
-    else:
-        small = rows.join(of(large), same, "left_anti") if keys else rows.where("false")
+    whole = few_enough(large, 0)
+    small = rows if whole else rows.join(of(large), same, "left_anti") if keys else rows.where("false")
     percentile = F.percentile("v", F.array(*[F.lit(p) for p in shares]))
     done = small.groupBy(*keys).agg(F.count("*").alias("n"), percentile.alias("q")).where("n > 0")
-    if not few_enough(large, 0):
+    if not whole:
         done = done.unionByName(_selected(rows, large, keys, names, same, shares, few))
     return done.select(*[F.col(k).alias(g) for g, k in zip(groups, keys, strict=True)], "n", "q")
 
