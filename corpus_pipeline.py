@@ -64,9 +64,11 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates; every document stays."""
-    done = replace_pii(docs, surrogate_key(spark))
+    (own,) = columns_free_of(docs, "_own")  # documents may have a column of the operator's name
+    clash = [c for c in docs.columns if c.lower() == "entities"]
+    done = replace_pii(docs.withColumnsRenamed({c: own for c in clash}), surrogate_key(spark))
     n_chars = F.when(F.size("entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", n_chars).select(*docs.columns)
+    return done.withColumn("n_chars", n_chars).select(*[F.col(own).alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
