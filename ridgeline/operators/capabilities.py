@@ -2,9 +2,9 @@
 
 A field is scored for a model only if enough of its answers carry it and these differ. Every answer
 gives one narrow row per field (model, field, digest of the field's normal form); one partial
-aggregation counts answers, answers with content and explicit answers of "none", and keeps a mergeable
-sketch of the digests. The number of distinct texts is exact where it may decide: for few answers, or
-where the sketch lies near the bound. Texts never meet in a shuffle, only their digests.
+aggregation counts answers, answers with content and explicit answers of "none". The number of distinct
+texts is a count at any size; a caller may ask for a mergeable sketch's estimate beyond some size, which
+is counted all the same where it lies near the bound. Texts never meet in a shuffle, only their digests.
 """
 
 from __future__ import annotations
@@ -59,28 +59,30 @@ def _normal(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), F.lit(""))
 
 
-def detect_capabilities(answers: DataFrame, model: str, fields: list[Field], none: Column | None = None, bounds: Bounds = Bounds(), exact: int = 1_000_000) -> DataFrame:
+def detect_capabilities(answers: DataFrame, model: str, fields: list[Field], none: Column | None = None, bounds: Bounds = Bounds(), exact: int | None = None) -> DataFrame:
     """(model, capability, n, n_frames, n_explicit_none, coverage, n_distinct, distinct_ratio, able, rule) of every model and field.
 
     none: whether an answer says outright that there are no objects, which answers all fields of
     objects that it does not carry. rule names what decided: absent, coverage, objects, degenerate,
-    ``needs <field>``, or able. Up to ``exact`` answers with content, or near the bound, n_distinct is
-    a count; beyond it is a sketch's estimate, within some two per cent.
+    ``needs <field>``, or able. n_distinct is a count. With ``exact`` it is one only up to so many answers
+    with content, or near the bound; beyond that a sketch's estimate, within some two per cent.
     """
     says_none = F.coalesce(none, F.lit(False)) if none is not None else F.lit(False)
     cells = [F.struct(F.lit(f.name).alias("capability"), F.lit(f.of_objects).alias("of_objects"), F.xxhash64(_normal(f.text)).alias("h"), _normal(f.text).isNotNull().alias("has")) for f in fields]
     rows = answers.select(F.col(model).alias("model"), says_none.alias("none"), F.explode(F.array(*cells)).alias("c")).select("model", "none", "c.*").withColumn("h", F.when(F.col("has"), F.col("h")))
     found = rows.groupBy("model", "capability").agg(
-        F.count("*").alias("n"), F.count("h").alias("n_frames"), F.count_if(F.col("none") & F.col("of_objects") & ~F.col("has")).alias("n_explicit_none"), F.hll_sketch_estimate(F.hll_sketch_agg("h", F.lit(14))).alias("_about"),
+        F.count("*").alias("n"), F.count("h").alias("n_frames"), F.count_if(F.col("none") & F.col("of_objects") & ~F.col("has")).alias("n_explicit_none"),
+        (F.lit(None).cast("long") if exact is None else F.hll_sketch_estimate(F.hll_sketch_agg("h", F.lit(14)))).alias("_about"),
     )
     least = F.lit(bounds.distinct)
     for f in fields:
         least = F.when((F.col("capability") == f.name) & F.lit(f.structured), bounds.distinct_structured).otherwise(least)
     found = found.withColumn("_least", least)
-    # where a count decides, it is made: by (model, capability), the digests alone
-    near = F.abs(F.coalesce(rate(F.col("_about"), F.col("n_frames")), F.lit(0.0)) / F.col("_least") - 1) < 0.1
-    wanted = found.where((F.col("n_frames") <= exact) | near).select(F.col("model").alias("_m"), F.col("capability").alias("_c"))
-    counted = rows.where("has").join(hint(wanted), F.col("model").eqNullSafe(F.col("_m")) & (F.col("capability") == F.col("_c")), "left_semi")
+    counted = rows.where("has")
+    if exact is not None:  # where a count decides, it is made: by (model, capability), the digests alone
+        near = F.abs(F.coalesce(rate(F.col("_about"), F.col("n_frames")), F.lit(0.0)) / F.col("_least") - 1) < 0.1
+        wanted = found.where((F.col("n_frames") <= exact) | near).select(F.col("model").alias("_m"), F.col("capability").alias("_c"))
+        counted = counted.join(hint(wanted), F.col("model").eqNullSafe(F.col("_m")) & (F.col("capability") == F.col("_c")), "left_semi")
     counted = counted.groupBy("model", "capability", "h").agg(F.lit(1).alias("one")).groupBy("model", "capability").agg(F.count("*").alias("_exact"))
     counted = counted.select(F.col("model").alias("_m"), F.col("capability").alias("_c"), "_exact")
     both = found.join(counted, F.col("model").eqNullSafe(F.col("_m")) & (F.col("capability") == F.col("_c")), "left").drop("_m", "_c")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ridgeline.operators import match
+from ridgeline.operators import capabilities, match
 
 
 def test_points_at_nearly_equal_distance(spark):
@@ -11,3 +11,9 @@ def test_points_at_nearly_equal_distance(spark):
     found = spark.createDataFrame([(1, 4, "A", 27.0, 2.0), (1, 6, "A", 42.0, 6.0)], "frame long, p long, pclass string, px double, py double")
     for got in (match.assign_objects(truth, found, "frame"), match.assign_typed(truth, found, "frame"), match.assign_typed(truth, found, "frame", F.lit(True))):
         assert [r.p for r in got.collect()] == [6]
+
+
+def test_many_distinct_answers_are_counted(spark):
+    df = spark.range(1_050_000).select(F.lit("m").alias("model"), F.concat(F.lit("t "), F.col("id") % 600_000).alias("a"))
+    found = capabilities.detect_capabilities(df, "model", [capabilities.Field("a", F.col("a"))]).first()
+    assert (found.n_frames, found.n_distinct, found.rule) == (1_050_000, 600_000, "able")
