@@ -61,12 +61,20 @@ def kmh(speed: Column) -> Column:
     return speed * 3.6
 
 
-def label_path(df: DataFrame, path: str, v0: str, intent: str | None = None) -> DataFrame:
+def path_speeds(path: str, measured: str | None = None) -> Column:
+    """Speeds of a path: measured ones where there are any, else its steps'."""
+    steps = motion.future_speeds(F.col(path))
+    return F.coalesce(F.col(measured), steps) if measured else steps
+
+
+def label_path(df: DataFrame, path: str, v0: str, intent: str | None = None, speeds: str | None = None) -> DataFrame:
     """df with label (sample, lon, lat) of a path by the rules for frames; without a path it keeps.
 
-    Without an intent the lateral class is that of the heading change alone.
+    Without an intent the lateral class is that of the heading change alone. speeds: the path's measured
+    speeds, which decide where there are any; steps of rounded positions are off by some 1e-9, which
+    tells wrong classes for a change that equals its bound.
     """
-    speeds = motion.future_speeds(F.col(path))
+    speeds = path_speeds(path, speeds)
     v_end, v_max = motion.end_speed(speeds), F.array_max(speeds)
     rows = df.withColumn("_h", geometry.heading(F.col(path)))
     lat = motion.lat_class(F.col("_h.theta"), F.col("_h.residual"), F.col(intent)) if intent else motion.heading_class(F.col("_h.theta"))
@@ -86,13 +94,13 @@ def with_errors(caches: DataFrame, frames: DataFrame, unreadable: DataFrame | No
 def build_caches(index: DataFrame, frames: DataFrame, ann: DataFrame, key: str = "frame_key") -> DataFrame:
     """One keyed row per indexed frame: intent, context, event, objects, motion, flags. Unreadable frames keep defaults.
 
-    frames: key, intent, intent_corrected, v0, future (path). ann: key, context, events, objects (type, intention, state, implication), reason, final_plan.
+    frames: key, intent, intent_corrected, v0, future (path), and speeds (the future's, as measured) if there are any. ann: key, context, events, objects (type, intention, state, implication), reason, final_plan.
     """
     rows = index.select(key).join(frames, key, "left").join(ann, key, "left")
     c = vocab.norm_context(F.col("context"))
     none = F.coalesce(F.size("objects"), F.lit(0))
     rows = rows.withColumn("intent", motion.effective_intent("intent_corrected", "intent"))
-    rows = label_path(rows.withColumn("v0", F.coalesce("v0", F.lit(0.0))), "future", "v0", "intent")
+    rows = label_path(rows.withColumn("v0", F.coalesce("v0", F.lit(0.0))), "future", "v0", "intent", "speeds" if "speeds" in frames.columns else None)
     said = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
     complete = said(F.col("reason")) & said(F.col("final_plan")) & F.coalesce(F.forall("objects", lambda o: said(o["implication"])), F.lit(True))
     return rows.select(

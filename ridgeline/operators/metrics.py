@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import motion, text, vocab
 from ridgeline.operators import plans
 from ridgeline.operators.aggregate import accuracy, by_slice, mean_valid, prf, rate, weighted_mean
-from ridgeline.operators.curate import label_path
+from ridgeline.operators.curate import label_path, path_speeds
 from ridgeline.operators.evaluate import duplicate_objects
 from ridgeline.operators.match import direction, location_gate
 from ridgeline.operators.order_stats import quantiles
@@ -36,15 +36,17 @@ def chain_flags(rows: DataFrame) -> DataFrame:
 
     rows: answer (as parse_answer gives it), text, v0, intent, pred and truth (paths of 20 samples or
     NULL), ego (lon, lat, lon_class), motion (lon, lat; lat NULL where not judged), sample_class,
-    gt_plan, n_tokens, max_tokens, hit_cap, and finish_reason if there is one. The lateral class of a
+    gt_plan, n_tokens, max_tokens, hit_cap, and finish_reason if there is one. pred_speeds and
+    truth_speeds, if there are such columns, are the paths' speeds; else their steps are. The lateral class of a
     predicted path is its heading change alone: what the curve or the intent says plays no part here.
     """
     a, v0 = F.col("answer"), F.col("v0")
-    rows = label_path(rows.withColumn("_path", F.col("pred")), "_path", "v0").withColumnRenamed("label", "_label").drop("_path")
+    measured = {path: f"{path}_speeds" if f"{path}_speeds" in rows.columns else None for path in ("pred", "truth")}
+    rows = label_path(rows.withColumn("_path", F.col("pred")), "_path", "v0", speeds=measured["pred"]).withColumnRenamed("label", "_label").drop("_path")
     rows = rows.withColumn("_plan", a["final_plan"])
     rows = plans.classify_plans(plans.classify_plans(rows, "_plan", "v0", "_read"), "gt_plan", "v0", "_gt_read")
     for side, path in (("_p", "pred"), ("_g", "truth")):
-        speeds = motion.future_speeds(F.col(path))
+        speeds = path_speeds(path, measured[path])
         rows = rows.withColumns({f"{side}_end": motion.end_speed(speeds), f"{side}_start": motion.start_time(speeds)})
     ego, number, truth = F.col("ego"), text.ego_numbers(a["ego_state"]["lon"]), text.ego_numbers(F.col("ego.lon"))
     rows = rows.withColumn("_n", number).withColumn("_t", truth)
