@@ -53,15 +53,15 @@ def marginals(df: DataFrame, *columns: str) -> DataFrame:
     return sets.withColumn("field", field).select("field", value.alias("value"), "n")
 
 
-def by_slice(df: DataFrame, slices: list[str], *measures: Column) -> DataFrame:
-    """(slice, value, measures…) over all rows (slice ``all``) and by each slice column, in one pass."""
+def by_slice(df: DataFrame, slices: list[str], *measures: Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """(slice, value, measures…) over all rows (slice ``all``) and by each slice column, in one pass; within: columns that part the rows first."""
     rows = df.withColumns({f"_s_{c}": F.col(c).cast("string") for c in slices})
     keys = [f"_s_{c}" for c in slices]
-    found = rows.groupingSets([[], *[[F.col(k)] for k in keys]], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_g"), *measures)
+    found = rows.groupingSets([[*within], *[[*within, k] for k in keys]], *within, *keys).agg(F.grouping_id().alias("_g"), *measures)
     n = len(slices)
     name = reduce(lambda out, i: F.when(F.col("_g") == (1 << n) - 1 - (1 << (n - 1 - i)), slices[i]).otherwise(out), range(n), F.lit("all"))
-    names = [c for c in found.columns if c not in (*keys, "_g")]
-    return found.select(name.alias("slice"), F.coalesce(*keys).alias("value"), *names)
+    names = [c for c in found.columns if c not in (*within, *keys, "_g")]
+    return found.select(*within, name.alias("slice"), F.coalesce(*keys).alias("value"), *names)
 
 
 def capped_histogram(df: DataFrame, column: str, cap: int = 8) -> DataFrame:

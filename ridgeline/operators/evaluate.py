@@ -18,14 +18,14 @@ from ridgeline.operators.match import match_multiset
 from ridgeline.operators.order_stats import quantiles
 
 
-def trajectory_summary(rows: DataFrame, slices: list[str]) -> DataFrame:
-    """Rows need pred and truth (paths). Errors are means over rows with a prediction, the score over all rows."""
+def trajectory_summary(rows: DataFrame, slices: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows need pred and truth (paths); within: columns that part the rows before the slices. Errors are means over rows with a prediction, the score over all rows."""
     e = rows.withColumn("_e", motion.displacement(F.col("pred"), F.col("truth")))
     one, three, five = (motion.average_error(F.col("_e"), n) for n in (4, 12, 20))
     scored = e.withColumns({"_1": one, "_3": three, "_5": five, "_f": motion.final_error(F.col("_e"))})
     return by_slice(
         scored, slices, F.count("*").alias("n"), rate(F.count("_e"), F.count("*")).alias("pred_rate"), mean_valid("_1").alias("ade1"), mean_valid("_3").alias("ade3"),
-        mean_valid("_5").alias("ade5"), mean_valid("_f").alias("fde"), F.avg(motion.trajectory_score(F.col("_5"))).alias("traj_score"),
+        mean_valid("_5").alias("ade5"), mean_valid("_f").alias("fde"), F.avg(motion.trajectory_score(F.col("_5"))).alias("traj_score"), within=within,
     )
 
 
@@ -205,16 +205,15 @@ def nearest_rater_score(key: str) -> tuple[Callable, str]:
     return run, f"{key} string, score double"
 
 
-def reference_predictions(frames: DataFrame, key: str) -> DataFrame:
-    """(key, kind, pred): the truth, constant velocity, standing still, and the truth through the answer format."""
-    f = frames.select(key, "truth", "vx", "vy")
+def reference_predictions(frames: DataFrame, key: str, keep: tuple[str, ...] = (), kinds: tuple[str, ...] = ("gt", "cv", "static", "ceiling")) -> DataFrame:
+    """(key, kept columns, kind, pred): the truth, constant velocity, standing still, and the truth through the answer format.
+
+    One pass over the frames, which give a row for each kind; keep: what the caller needs beside it.
+    """
     zero = F.array_repeat(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), 20)
-    kinds = {"gt": F.col("truth"), "cv": motion.constant_velocity(F.col("vx"), F.col("vy")), "static": zero, "ceiling": geometry.upsample(motion.points_1hz(F.col("truth")))}
-    out = None
-    for name, pred in kinds.items():
-        one = f.select(key, F.lit(name).alias("kind"), pred.alias("pred"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    preds = {"gt": lambda: F.col("truth"), "cv": lambda: motion.constant_velocity(F.col("vx"), F.col("vy")), "static": lambda: zero, "ceiling": lambda: geometry.upsample(motion.points_1hz(F.col("truth")))}
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), preds[k]().alias("pred")) for k in kinds])
+    return frames.select(key, *keep, F.explode(each).alias("_each")).select(key, *keep, "_each.kind", "_each.pred")
 
 
 def trajectory_profile(paths: DataFrame, path: str, speeds: str | None = None) -> DataFrame:

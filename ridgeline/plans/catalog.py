@@ -630,7 +630,7 @@ def lateral_motion(spark, sf_dir):
 @query()
 def reference_rows(spark, sf_dir):
     p = _paths(spark, sf_dir).select(F.concat_ws("-", "scene_id", "frame_no").alias("frame_key"), "truth", F.col("v0").alias("vx"), F.lit(0.0).alias("vy"), motion.speed_bucket(F.col("v0")).alias("bucket"))
-    rows = evaluate.reference_predictions(p, "frame_key").join(p.select("frame_key", "truth", "bucket"), "frame_key")
+    rows = evaluate.reference_predictions(p, "frame_key", ("truth", "bucket"))
     return evaluate.trajectory_summary(rows, ["kind", "bucket"])
 
 
@@ -638,7 +638,7 @@ def reference_rows(spark, sf_dir):
 def ceiling_knots(spark, sf_dir):
     """The monotone cubic through whole seconds goes through them."""
     p = _paths(spark, sf_dir).select(F.concat_ws("-", "scene_id", "frame_no").alias("frame_key"), "truth", F.col("v0").alias("vx"), F.lit(0.0).alias("vy"))
-    rows = evaluate.reference_predictions(p, "frame_key").where("kind = 'ceiling'")
+    rows = evaluate.reference_predictions(p, "frame_key", kinds=("ceiling",))
     knots = rows.select("frame_key", F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col("pred")[i - 1].alias("p")) for i in (4, 8, 12, 16, 20)])).alias("k"))
     return knots.select("frame_key", "k.step", F.round("k.p.x", 6).alias("x"), F.round("k.p.y", 6).alias("y"))
 
