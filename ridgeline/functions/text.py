@@ -255,10 +255,9 @@ def behaviour(value: Column) -> Column:
 
 
 def coarse_behaviour(fine: Column) -> Column:
-    out = F.lit("other")
-    for source, target in COARSE_BEHAVIOUR.items():
-        out = F.when(fine == source, target).otherwise(out)
-    return out
+    """The coarse class, looked up: a rule per class would read the text again for each."""
+    coarse = F.create_map(*[F.lit(name) for pair in COARSE_BEHAVIOUR.items() for name in pair])
+    return F.coalesce(F.try_element_at(coarse, fine), F.lit("other"))
 
 
 def content(value: Column) -> Column:

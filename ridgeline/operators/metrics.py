@@ -222,8 +222,11 @@ def signals_swapped(matches: DataFrame) -> DataFrame:
 def collapsed_to_moving(matches: DataFrame) -> DataFrame:
     """(label, n): coarse behaviours other than moving that were read as moving; columns state, pred_state."""
     coarse = lambda c: text.coarse_behaviour(text.behaviour(F.col(c)))
-    rows = matches.where(motion.present("state").isNotNull()).select(coarse("state").alias("label"), coarse("pred_state").alias("found"))
-    return rows.where("found = 'moving' AND label <> 'moving'").groupBy("label").agg(F.count("*").alias("n"))
+    # texts are read once for each pair of them, not for each match; a filter on the classes would move below the first count
+    pairs = matches.where(motion.present("state").isNotNull()).groupBy("state", "pred_state").agg(F.count("*").alias("n"))
+    rows = pairs.select(coarse("state").alias("label"), coarse("pred_state").alias("found"), "n")
+    wrong = (F.col("found") == "moving") & (F.col("label") != "moving")
+    return rows.groupBy("label").agg(F.sum(F.when(wrong, F.col("n"))).alias("n")).where("n IS NOT NULL")
 
 
 def side_agrees(location: Column, x: Column, width: float) -> Column:
