@@ -73,77 +73,128 @@ def heading(path: Column) -> Column:
 
 
 def pchip(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Monotone cubic interpolation (Fritsch-Carlson with the weighted harmonic mean), ends held."""
+    """Monotone cubic interpolation (Fritsch-Carlson with the weighted harmonic mean), ends held. v: values, or rows of them."""
     h, d = np.diff(t), np.diff(v) / np.diff(t)
-    m = np.zeros(len(t))
+    m = np.zeros(np.shape(v))
     if len(t) == 2:
-        m[:] = d[0]
+        m[...] = d
     else:
-        for i in range(1, len(t) - 1):
-            if d[i - 1] * d[i] > 0:
-                a, b = 2 * h[i] + h[i - 1], h[i] + 2 * h[i - 1]
-                m[i] = (a + b) / (a / d[i - 1] + b / d[i])
-        for end, (h0, h1, d0, d1) in ((0, (h[0], h[1], d[0], d[1])), (-1, (h[-1], h[-2], d[-1], d[-2]))):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i in range(1, len(t) - 1):
+                a, b, left, right = 2 * h[i] + h[i - 1], h[i] + 2 * h[i - 1], d[..., i - 1], d[..., i]
+                m[..., i] = np.where(left * right > 0, (a + b) / (a / left + b / right), 0.0)
+        for end, (h0, h1, d0, d1) in ((0, (h[0], h[1], d[..., 0], d[..., 1])), (-1, (h[-1], h[-2], d[..., -1], d[..., -2]))):
             s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-            m[end] = 0.0 if s * d0 <= 0 else 3 * d0 if d0 * d1 < 0 and abs(s) > 3 * abs(d0) else s
+            m[..., end] = np.where(s * d0 <= 0, 0.0, np.where((d0 * d1 < 0) & (np.abs(s) > 3 * np.abs(d0)), 3 * d0, s))
     at = np.clip(at, t[0], t[-1])
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(h) - 1)
     u = (at - t[k]) / h[k]
-    return v[k] * (1 + 2 * u) * (1 - u) ** 2 + m[k] * h[k] * u * (1 - u) ** 2 + v[k + 1] * u * u * (3 - 2 * u) + m[k + 1] * h[k] * u * u * (u - 1)
+    return v[..., k] * (1 + 2 * u) * (1 - u) ** 2 + m[..., k] * h[k] * u * (1 - u) ** 2 + v[..., k + 1] * u * u * (3 - 2 * u) + m[..., k + 1] * h[k] * u * u * (u - 1)
 
 
 def upsample(points: Column, history: Column | None = None) -> Column:
-    """20 samples at 4 Hz through the origin and points at whole seconds, and two samples of history if there are three."""
-
-    def one(p, past) -> list[dict] | None:
-        if p is None or len(p) == 0:
-            return None
-        t, xy = [0.0, *range(1, len(p) + 1)], [(0.0, 0.0), *[(q["x"], q["y"]) for q in p]]
-        if past is not None and len(past) >= 3 and all(np.isfinite([q["x"], q["y"]]).all() for q in past[-3:-1]):
-            t, xy = [-0.5, -0.25, *t], [*[(q["x"], q["y"]) for q in past[-3:-1]], *xy]
-        t, xy, at = np.array(t, float), np.array(xy), np.arange(1, 21) * 0.25
-        return [{"x": a, "y": b} for a, b in zip(pchip(t, xy[:, 0], at).tolist(), pchip(t, xy[:, 1], at).tolist(), strict=True)]
-
-    @F.pandas_udf(_PATH)
-    def run(points: pd.Series, history: pd.Series) -> pd.Series:
-        return pd.Series([one(p, h) for p, h in zip(points, history, strict=True)], dtype=object)
-
-    return run(points, history if history is not None else F.lit(None).cast(_PATH))
-
-
-class RunMask:
-    """A mask as column-major run lengths, first run background; runs cut at column ends, never expanded to pixels."""
-
-    def __init__(self, height: int, counts: np.ndarray):
-        ends = np.cumsum(np.asarray(counts, np.int64))
-        starts = np.concatenate([[0], ends[:-1]])
-        s, e = starts[1::2], ends[1::2]
-        s, e = s[e > s], e[e > s]
+    """20 samples at 4 Hz through the origin and points at whole seconds, and two samples of history if there are three.
+
+    Paths of one length are interpolated together, a batch at a time.
+    """
+
+    @F.pandas_udf("x array<double>, y array<double>")
+    def run(xs: pd.Series, ys: pd.Series, past_x: pd.Series, past_y: pd.Series) -> pd.DataFrame:
+        kinds: dict[tuple[int, bool], list[int]] = {}
+        for i, (x, a, b) in enumerate(zip(xs, past_x, past_y, strict=True)):
+            if x is not None and len(x):
+                past = a is not None and len(a) >= 3 and bool(np.isfinite(np.array([*a[-3:-1], *b[-3:-1]], float)).all())
+                kinds.setdefault((len(x), past), []).append(i)
+        out = {"x": [None] * len(xs), "y": [None] * len(xs)}
+        for (n, past), rows in kinds.items():
+            t = np.array([*([-0.5, -0.25] if past else []), *range(n + 1)], float)
+            for c, now, before in (("x", xs, past_x), ("y", ys, past_y)):
+                v = np.zeros((len(rows), len(t)))
+                v[:, -n:] = np.stack([now[i] for i in rows])
+                if past:
+                    v[:, :2] = np.stack([before[i][-3:-1] for i in rows])
+                for i, path in zip(rows, pchip(t, v, np.arange(1, 21) * 0.25), strict=True):
+                    out[c][i] = path
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+
+    of = lambda path, c: F.transform(path, lambda p: p[c])
+    before = history if history is not None else F.lit(None).cast(_PATH)
+    found = run(of(points, "x"), of(points, "y"), of(before, "x"), of(before, "y"))
+    return F.zip_with(found["x"], found["y"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+
+class RunMasks:
+    """Masks as column-major run lengths, first run background; runs cut at column ends, never expanded to pixels."""
+
+    def __init__(self, heights: np.ndarray, counts: list[np.ndarray]):
+        n = np.array([len(c) for c in counts], np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
+        mask, first_run = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        ends = np.cumsum(flat)
+        ends -= np.concatenate([[0], ends])[first_run][mask]
+        drawn = ((np.arange(len(flat)) - first_run[mask]) % 2 == 1) & (flat > 0)
+        s, e, mask = (ends - flat)[drawn], ends[drawn], mask[drawn]
+        height = np.asarray(heights, np.int64)[mask]
         first, last = s // height, (e - 1) // height
         n = last - first + 1
         run = np.repeat(np.arange(len(s)), n)
+        self.masks, self.mask = len(counts), mask[run]
         self.x = first[run] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.top = np.where(self.x == first[run], s[run] % height, 0)
-        self.bottom = np.where(self.x == last[run], (e[run] - 1) % height, height - 1)
+        self.top = np.where(self.x == first[run], s[run] % height[run], 0)
+        self.bottom = np.where(self.x == last[run], (e[run] - 1) % height[run], height[run] - 1)
 
-    def distance(self, x: float, y: float) -> float:
-        """To the nearest pixel; zero on the mask; infinite without pixels."""
-        if not len(self.x):
-            return float("inf")
-        inside = (self.x == round(x)) & (self.top <= round(y)) & (round(y) <= self.bottom)
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of a point for each mask to its nearest pixel; zero on the mask; infinite without pixels."""
+        x, y = np.asarray(x, float)[self.mask], np.asarray(y, float)[self.mask]
+        inside = (self.x == np.round(x)) & (self.top <= np.round(y)) & (np.round(y) <= self.bottom)
         dy = np.maximum(np.maximum(self.top - y, y - self.bottom), 0.0)
         between = np.abs(np.clip(np.round(y), self.top, self.bottom) - y)
-        return 0.0 if inside.any() else float(np.hypot(self.x - x, np.maximum(dy, between)).min())
+        found = np.full(self.masks, np.inf)
+        np.minimum.at(found, self.mask, np.where(inside, 0.0, np.hypot(self.x - x, np.maximum(dy, between))))
+        return found
 
-    def centre_pixel(self) -> tuple[int, int] | None:
-        """The pixel nearest to the centroid; the first column and row of equals."""
-        if not len(self.x):
-            return None
+    def centre_pixels(self) -> tuple[np.ndarray, np.ndarray]:
+        """(x, y) of each mask's pixel nearest to its centroid; the first column and row of equals; NaN without pixels."""
         n = self.bottom - self.top + 1
-        cx, cy = (self.x * n).sum() / n.sum(), ((self.top + self.bottom) / 2 * n).sum() / n.sum()
+        total = np.maximum(np.bincount(self.mask, n, self.masks), 1)
+        cx = (np.bincount(self.mask, self.x * n, self.masks) / total)[self.mask]
+        cy = (np.bincount(self.mask, (self.top + self.bottom) / 2 * n, self.masks) / total)[self.mask]
         y = np.clip(np.floor(cy + 0.5), self.top, self.bottom)
-        k = np.lexsort((y, self.x, np.hypot(self.x - cx, y - cy)))[0]
-        return int(self.x[k]), int(y[k])
+        order = np.lexsort((y, self.x, np.hypot(self.x - cx, y - cy), self.mask))
+        some, at = np.unique(self.mask[order], return_index=True)
+        out = np.full((2, self.masks), np.nan)
+        out[:, some] = self.x[order[at]], y[order[at]]
+        return out[0], out[1]
+
+
+class RunMask(RunMasks):
+    """One mask."""
+
+    def __init__(self, height: int, counts: np.ndarray):
+        super().__init__(np.array([height]), [np.asarray(counts, np.int64)])
+
+    def distance(self, x: float, y: float) -> float:
+        return float(self.distances(np.array([x]), np.array([y]))[0])
+
+    def centre_pixel(self) -> tuple[int, int] | None:
+        x, y = self.centre_pixels()
+        return None if np.isnan(x[0]) else (int(x[0]), int(y[0]))
+
+
+def _masks(size: pd.Series, counts: pd.Series) -> tuple[np.ndarray, RunMasks]:
+    """The rows of a batch that have a mask, and their masks."""
+    rows = [i for i, (s, c) in enumerate(zip(size, counts, strict=True)) if s is not None and c is not None and len(s) == 2]
+    return np.array(rows, np.int64), RunMasks(np.array([int(size[i][0]) for i in rows], np.int64), [counts[i] for i in rows])
+
+
+def _box_centres(boxes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of boxes [x, y, w, h]; NaN without one."""
+    rows = [i for i, b in enumerate(boxes) if b is not None and len(b) == 4]
+    out = np.full((len(boxes), 2), np.nan)
+    if rows:
+        b = np.stack([boxes[i] for i in rows]).astype(float)
+        out[rows] = b[:, :2] + b[:, 2:] / 2
+    return out[:, 0], out[:, 1]
 
 
 def mask_point(segmentation: Column, bbox: Column) -> Column:
@@ -151,11 +202,12 @@ def mask_point(segmentation: Column, bbox: Column) -> Column:
 
     @F.pandas_udf("x double, y double")
     def run(size: pd.Series, counts: pd.Series, box: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, c, b in zip(size, counts, box, strict=True):
-            p = RunMask(int(s[0]), c).centre_pixel() if s is not None and c is not None and len(s) == 2 else None
-            out.append(p or ((b[0] + b[2] / 2, b[1] + b[3] / 2) if b is not None and len(b) == 4 else (None, None)))
-        return pd.DataFrame(out, columns=["x", "y"], dtype=float)
+        x, y = _box_centres(box)
+        rows, masks = _masks(size, counts)
+        mx, my = masks.centre_pixels()
+        drawn = ~np.isnan(mx)
+        x[rows[drawn]], y[rows[drawn]] = mx[drawn], my[drawn]
+        return pd.DataFrame({"x": x, "y": y})
 
     return run(segmentation["size"], segmentation["counts"], bbox)
 
@@ -165,15 +217,13 @@ def mask_distance(segmentation: Column, bbox: Column, x: Column, y: Column) -> C
 
     @F.pandas_udf("double")
     def run(size: pd.Series, counts: pd.Series, box: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, c, b, px, py in zip(size, counts, box, x, y, strict=True):
-            if px is None or py is None or np.isnan(px) or np.isnan(py):
-                out.append(None)
-            elif s is not None and c is not None and len(s) == 2:
-                out.append(RunMask(int(s[0]), c).distance(px, py))
-            else:
-                out.append(float(np.hypot(px - b[0] - b[2] / 2, py - b[1] - b[3] / 2)) if b is not None and len(b) == 4 else None)
-        return pd.Series(out, dtype=float)
+        px, py = x.to_numpy(float), y.to_numpy(float)
+        known = ~(np.isnan(px) | np.isnan(py))
+        cx, cy = _box_centres(box)
+        out = np.hypot(px - cx, py - cy)
+        rows, masks = _masks(size, counts)
+        out[rows] = masks.distances(px[rows], py[rows])
+        return pd.Series(np.where(known, out, np.nan))
 
     return run(segmentation["size"], segmentation["counts"], bbox, x, y)
 
