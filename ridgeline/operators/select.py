@@ -58,7 +58,9 @@ def least_seeds(df: DataFrame, quotas: DataFrame, stratum: str, seed: int | str,
     counts = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = counts.withColumn("_before", before).join(quotas.select(stratum, "quota"), stratum).select(stratum, "_b", (F.col("quota") - F.col("_before")).alias("_room")).where("_room > 0")
-    ranked = rows.join(room, [stratum, "_b"]).withColumn("_n", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", *keys)))
+    # the table itself must not become the broadcast side, however small its files are
+    few = few_enough(room, 100_000)
+    ranked = rows.join(F.broadcast(room) if few else room.hint("merge"), [stratum, "_b"]).withColumn("_n", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", *keys)))
     return ranked.where("_n <= _room").select(df.columns)
 
 

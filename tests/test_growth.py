@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry
-from ridgeline.operators import evaluate, metrics
+from ridgeline.operators import evaluate, metrics, select
 
 
 def plan(df):
@@ -47,3 +47,10 @@ def test_texts_of_matches_are_read_once_for_each_pair(spark):
     found = metrics.collapsed_to_moving(df)
     below = plan(found).rsplit("Aggregate", 1)[1].split("\n", 1)[1]
     assert [tuple(r) for r in found.collect()] == [("parked", 100)] and "RLIKE" not in below.upper()
+
+
+def test_a_draw_does_not_broadcast_its_table(spark):
+    df = spark.range(200).select("id", (F.col("id") % 2).alias("s"))
+    quotas = spark.createDataFrame([(0, 3), (1, 200)], "s long, quota long")
+    drawn = select.stratified_draw(df, quotas, "s", 1, "id")
+    assert "rightHint=(strategy=broadcast)" in plan(drawn) and drawn.groupBy("s").count().orderBy("s").collect() == [(0, 3), (1, 100)]
