@@ -693,7 +693,7 @@ def extraction_origins(spark, sf_dir):
     f = frames(spark, sf_dir).select("event_id", "frame_no")
     tagged = F.format_string("<reason>r</reason><final_plan>stop</final_plan><obj type=Car><rank>1</rank></obj><traj>[1, %d], [2, 0], [3, 0], [4, 0], [5, 0]</traj>", "frame_no")
     prose = F.format_string("A white car at (1200, 600) waits. There is no bus.\nReason: it waits\nPlan: stop\nTrajectory: (1.0, %d), (2.0, 0), (3.0, 0), (4.0, 0), (5.0, 0)", "frame_no")
-    return prose_module.extraction_stats(prose_module.extract_answers(f.withColumn("text", F.when(F.col("event_id") % 2 == 0, tagged).otherwise(prose)), "text"))
+    return prose_module.answer_stats(f.select(F.when(F.col("event_id") % 2 == 0, tagged).otherwise(prose).alias("text")), "text")
 
 
 @query("WITH " + FRAMES_SQL + """ SELECT event_id, '<context>weather=Fair;daytime=Unknown;visibility=Unknown;scenario=Unknown;road=Merge</context><events>' || event_type || '</events><has_objects>yes</has_objects><obj type=Car><point>' || frame_no || ',5</point><rank>1</rank><state>moving</state></obj><n_objects>1</n_objects>' AS target,

@@ -1,10 +1,11 @@
 """Work that grows with the rows: one pass over the frames, masks of a batch together, texts read once for each kind."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geometry
-from ridgeline.operators import evaluate, metrics, select
+from ridgeline.operators import evaluate, metrics, prose, select
 
 
 def plan(df):
@@ -54,3 +55,15 @@ def test_a_draw_does_not_broadcast_its_table(spark):
     quotas = spark.createDataFrame([(0, 3), (1, 200)], "s long, quota long")
     drawn = select.stratified_draw(df, quotas, "s", 1, "id")
     assert "rightHint=(strategy=broadcast)" in plan(drawn) and drawn.groupBy("s").count().orderBy("s").collect() == [(0, 3), (1, 100)]
+
+
+def test_answers_are_read_once(spark):
+    said = F.when(F.col("id") % 3 == 0, "<reason>r</reason><obj type=Car><rank>1</rank></obj>").when(F.col("id") % 3 == 1, "A dog at (1200, 600). There is no bus.\nPlan: stop")
+    df = spark.range(300).select(said.alias("text"))
+    found = prose.answer_stats(df, "text")
+    assert plan(found).count("run(") == 3 and plan(found).rsplit("ArrowEvalPython", 1)[1].count("Aggregate") == 1 and "Filter (size" not in plan(found)
+    got = {tuple(r) for r in found.collect()}
+    assert got == {tuple(r) for r in prose.extraction_stats(prose.extract_answers(df, "text")).collect()}
+    assert {("objects", "strict", 100), ("objects", "prose", 100), ("objects", "none", 100), ("reason", "none", 200), ("final_plan", "prose", 100)} <= got
+    read = []
+    assert prose.each_once(lambda t: read.append(t) or t, pa.array(["a", None, "b", "a", None]), pa.string()).to_pylist() == ["a", None, "b", "a", None] and sorted(read, key=str) == [None, "a", "b"]
