@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,21 +54,21 @@ def path_headings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def heading(path: Column) -> Column:
     """struct(theta, residual) of a path that starts at the origin; NULL path gives NULL."""
 
-    @F.pandas_udf("theta double, residual double")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        known = xs.notna().to_numpy()
-        size = np.array([len(v) for v in xs[known]], np.int64)
+    @F.arrow_udf("struct<theta:double,residual:double>")
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        known = xs.is_valid().to_numpy(zero_copy_only=False)
+        size = xs.drop_null().value_lengths().to_numpy()
         m = int(size.max(initial=0)) + 1
         inside = np.arange(1, m) <= size[:, None]
         grids = []
         for series in (xs, ys):
             grid = np.zeros((len(size), m))
             grid[:, 1:] = np.nan
-            grid[:, 1:][inside] = np.concatenate([np.asarray(v, float) for v in series[known]]) if len(size) else []
+            grid[:, 1:][inside] = series.flatten().to_numpy(zero_copy_only=False)
             grids.append(grid)
         out = np.full((len(xs), 2), np.nan)
         out[known] = np.column_stack(path_headings(*grids))
-        return pd.DataFrame({c: pd.Series(out[:, i], dtype=float).where(known) for i, c in enumerate(("theta", "residual"))})
+        return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in out.T], ["theta", "residual"])
 
     return run(F.transform(path, lambda p: p["x"]), F.transform(path, lambda p: p["y"]))
 

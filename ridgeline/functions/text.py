@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def each_once(read: Callable, texts: pa.Array, kind: pa.DataType, *more: pa.Array) -> pa.Array:
+    """read() of every text, and of what more columns say beside it: equal ones of a batch are read once and take that result."""
+    code = np.zeros(len(texts), np.int64)
+    for c in (texts, *more):
+        found = c.dictionary_encode(null_encoding="encode")
+        code = code * max(1, len(found.dictionary)) + found.indices.to_numpy()
+    _, first, place = np.unique(code, return_index=True, return_inverse=True)
+    different = [c.take(pa.array(first)).to_pylist() for c in (texts, *more)]
+    return pa.array([read(*row) for row in zip(*different, strict=True)], kind).take(pa.array(place))
+
+
 def norm_plan(plan: Column) -> Column:
     """Lower case, underscores and line ends as blanks, blanks collapsed, outer blanks and dots gone."""
     text = F.lower(F.coalesce(plan, F.lit("")))
@@ -284,9 +297,37 @@ def location_slots(value: Column) -> Column:
     return F.struct(side.alias("direction"), F.nullif(_first_rule(text, LANES), F.lit("other")).alias("lane"))
 
 
+#: Characters of a chunk that counts as repeated.
+CHUNK, LONGEST_CHUNK = 25, 200
+
+
+def repeats(text: str | None) -> bool:
+    """Whether a chunk of 25 to 200 characters stands three times in a row.
+
+    In the first 25 characters of such a run is a place divisible by 25, and the 25 characters from
+    there on stand again one chunk later: only those places are looked up. A pattern with a
+    back-reference would try each length at each place.
+    """
+    text = text or ""
+    for at in range(0, len(text) - 2 * CHUNK, CHUNK):
+        probe, again = text[at : at + CHUNK], at + CHUNK - 1
+        while (again := text.find(probe, again + 1, at + LONGEST_CHUNK + CHUNK)) >= 0:
+            start, size = at, again - at
+            while start > max(0, at - CHUNK + 1) and text[start - 1] == text[start - 1 + size]:
+                start -= 1
+            if start + 3 * size <= len(text) and text[start : start + 2 * size] == text[start + size : start + 3 * size]:
+                return True
+    return False
+
+
 def degenerate(text: Column) -> Column:
     """Whether a chunk of 25 to 200 characters stands three times in a row."""
-    return F.coalesce(F.regexp_like(text, F.lit(r"(?s)(.{25,200}?)\1\1")), F.lit(False))
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        return each_once(repeats, texts, pa.bool_())
+
+    return run(text)
 
 
 def without_thoughts(text: Column) -> Column:

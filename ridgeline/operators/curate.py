@@ -75,10 +75,11 @@ def label_path(df: DataFrame, path: str, v0: str, intent: str | None = None, spe
     tells wrong classes for a change that equals its bound.
     """
     speeds = path_speeds(path, speeds)
-    v_end, v_max = motion.end_speed(speeds), F.array_max(speeds)
-    rows = df.withColumn("_h", geometry.heading(F.col(path)))
+    # as columns, since the rules ask for them again and again
+    rows = df.withColumns({"_h": geometry.heading(F.col(path)), "_v_end": motion.end_speed(speeds), "_v_max": F.array_max(speeds)})
+    v_end, v_max = F.col("_v_end"), F.col("_v_max")
     lat = motion.lat_class(F.col("_h.theta"), F.col("_h.residual"), F.col(intent)) if intent else motion.heading_class(F.col("_h.theta"))
-    return rows.withColumn("label", F.struct(motion.sample_class(F.col(v0), v_end, v_max, "keep").alias("sample"), motion.lon_class(F.col(v0), v_end, v_max).alias("lon"), lat.alias("lat"))).drop("_h")
+    return rows.withColumn("label", F.struct(motion.sample_class(F.col(v0), v_end, v_max, "keep").alias("sample"), motion.lon_class(F.col(v0), v_end, v_max).alias("lon"), lat.alias("lat"))).drop("_h", "_v_end", "_v_max")
 
 
 def with_errors(caches: DataFrame, frames: DataFrame, unreadable: DataFrame | None = None, key: str = "frame_key") -> DataFrame:

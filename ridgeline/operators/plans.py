@@ -11,12 +11,13 @@ import re
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import plan_words as words
 from ridgeline.functions.motion import STOPPED
-from ridgeline.functions.text import STEP_BREAK, norm_plan, plan_first
+from ridgeline.functions.text import STEP_BREAK, each_once, norm_plan, plan_first
 
 LON = ("accelerate", "decelerate", "keep", "stop")
 _TABLES = [(name, [(label, re.compile(p)) for label, p in table]) for name, table in (("strong", words.STRONG), ("weak", words.WEAK), ("fallback", words.FALLBACK))]
@@ -50,6 +51,7 @@ def phrase_of(text: str) -> tuple[str, str, str] | None:
 
 
 _READ = "struct<lon:string,lat:string,notes:array<string>,matched_by:string,side:string>"
+_ROW = pa.struct([(c, pa.list_(pa.string()) if c == "notes" else pa.string()) for c in ("lon", "lat", "notes", "matched_by", "side")])
 
 
 #: How a speed is named where it decided a word's class.
@@ -90,9 +92,9 @@ def classify_plans(df: DataFrame, plan: str, v0: str, out: str = "plan_read") ->
     Row by row, as a worker knows the plans that it read: df is read once, and nothing is joined.
     """
 
-    @F.pandas_udf(_READ)
-    def read(plan: pd.Series, speed: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_plan(p, s) for p, s in zip(plan, speed, strict=True)], columns=["lon", "lat", "notes", "matched_by", "side"])
+    @F.arrow_udf(_READ)
+    def read(plan: pa.Array, speed: pa.Array) -> pa.Array:
+        return each_once(lambda p, s: dict(zip(_ROW.names, read_plan(p, s), strict=True)), plan, _ROW, speed)
 
     speed = F.when(F.col(v0) >= STOPPED, MOVING).when(F.col(v0) < STOPPED, STILL).otherwise(UNKNOWN)
     return df.withColumn(out, read(F.col(plan).cast("string"), speed))

@@ -1,11 +1,14 @@
 """Work that grows with the rows: one pass over the frames, masks of a batch together, texts read once for each kind."""
 
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ridgeline.functions import geometry
-from ridgeline.operators import evaluate, metrics, prose, select
+from ridgeline.functions import geometry, text
+from ridgeline.operators import curate, evaluate, metrics, prose, select
 
 
 def plan(df):
@@ -67,3 +70,23 @@ def test_answers_are_read_once(spark):
     assert {("objects", "strict", 100), ("objects", "prose", 100), ("objects", "none", 100), ("reason", "none", 200), ("final_plan", "prose", 100)} <= got
     read = []
     assert prose.each_once(lambda t: read.append(t) or t, pa.array(["a", None, "b", "a", None]), pa.string()).to_pylist() == ["a", None, "b", "a", None] and sorted(read, key=str) == [None, "a", "b"]
+
+
+def test_repeats_against_the_pattern():
+    pattern, rnd = re.compile(r"(?s)(.{25,200}?)\1\1"), random.Random(1)
+    for _ in range(400):
+        size, letters = rnd.choice([24, 25, 26, 49, 75, 200, 201]), rnd.choice(["a", "ab", "abcdefgh", "é車😀\n"])
+        some = lambda n: "".join(rnd.choices(letters, k=n))  # noqa: E731, B023
+        said = some(rnd.randrange(60)) + (some(size) * 3)[: 3 * size - rnd.choice([0, 0, 1, size])] + some(rnd.randrange(60))
+        assert text.repeats(said) == (pattern.search(said) is not None), said
+
+
+def test_chains_read_speeds_and_texts_once(spark):
+    one = F.struct(F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    df = spark.range(60).select("id", F.array(*[one] * 20).alias("p"), F.array(*[F.col("id").cast("double")] * 20).alias("v"), F.lit(1.0).alias("v0"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), F.lit(75))).alias("t"))
+    labelled = curate.label_path(df, "p", "v0", speeds="v")
+    assert plan(labelled).count("filter(") <= 2 and labelled.count() == 60
+    repeated = df.select(text.degenerate(F.col("t")).alias("r"))
+    assert "regexp" not in plan(repeated).lower() and repeated.where("r").count() == 40 and repeated.where("r IS NULL").count() == 0
+    headings = df.select(geometry.heading(F.when(F.col("id") < 30, F.col("p"))).alias("h")).groupBy("h").count().collect()
+    assert {(r.h.theta, r.h.residual, r["count"]) for r in headings} == {(None, None, 30), (0.0, 0.0, 30)}
