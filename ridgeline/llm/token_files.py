@@ -15,6 +15,7 @@ files that the manifest names count.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import struct
 import uuid
@@ -27,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.bpe import PieceCoder, chunks, cores
+from ridgeline.llm.bpe import CHUNK_CHARS, PieceCoder, chunks, cores
 from ridgeline.llm.common import hint, small_batches, staged, work_dir
 
 MAGIC = b"RLIDS001"
@@ -35,7 +36,8 @@ _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bytes of an id, seed, documents,
 NO_KEY = -(1 << 63)  # stands for a null key
 SHARD_IDS = 4 << 20
 ENCODED_TOGETHER = 5000
-ENCODED_PIECES = 1_600_000
+#: Pieces that a worker keeps, some 170 bytes each; the keys of 699,050 at most are a dict half as large as of more.
+ENCODED_PIECES = 600_000
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -185,7 +187,14 @@ class Encoder(PieceCoder):
 
     def cores(self, new: list[str]) -> list[tuple[str, str]]:
         found = cores(new)
-        return [x for x in found if not self.added(x[0])] if self.added else found
+        return [x for x in found if not self.added(x[0])] if self.added and self.added("\n".join(new)) else found
+
+    def learn(self, new: list[str]) -> None:
+        gc.disable()  # very many tuples, none in a cycle
+        try:
+            super().learn(new)
+        finally:
+            gc.enable()
 
     def ids_of(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
         """Side by side where each starts with the blank that the pre-tokenizer splits before, else on lines of their own."""
@@ -197,9 +206,10 @@ class Encoder(PieceCoder):
                 part = some[lo : lo + ENCODED_TOGETHER]
                 ids = self._ids([between.join(part)])[0]
                 data, gap = ids.tobytes(), len(between) * self.width
-                size = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + len(between) for p in part]) - len(between)
+                size = np.cumsum([(len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))) + len(between) for p in part]) - len(between)
                 ends = ((np.searchsorted(np.cumsum(self.lengths[ids]), size) + 1) * self.width).tolist()
-                found.update((p, data[a:b]) for p, a, b in zip(part, [0, *[e + gap for e in ends[:-1]]], ends, strict=True))
+                spans = map(slice, [0, *[e + gap for e in ends[:-1]]], ends)
+                found.update(zip(part, map(data.__getitem__, spans), strict=True))
         apart = [p for p in new if p not in found]
         for lo in range(0, len(apart), ENCODED_TOGETHER):
             part = apart[lo : lo + ENCODED_TOGETHER]
@@ -237,7 +247,7 @@ def _writer(folder: str, vocabulary: str, end_id: int | None, shard_ids: int, en
             row = (path.rpartition("/")[2], part, seq, keys[0], keys[-1], len(keys), nulls, sum(map(len, ids)))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _MANIFEST.types, strict=True)], schema=_MANIFEST)
 
-        for some, texts in chunks(batches):
+        for some, texts in chunks(batches, CHUNK_CHARS // 2):
             for key, found in zip(some, encoder.encode_many(texts), strict=True):
                 keys.append(NO_KEY if key is None else key)
                 nulls += key is None

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -315,6 +316,17 @@ def test_special_tokens_in_texts(spark, tmp_path):
         assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_token_table_is_bounded():
+    """What an encoder keeps of pieces that never come again doesn't grow with the texts, and ids stay right."""
+    coder, held = Encoder(JSON), 0
+    for lo in range(0, 800_000, 50_000):
+        text = " ".join(f"{i:x}" for i in range(lo, lo + 50_000))
+        ids = coder.encode(text)
+        held = max(held, sys.getsizeof(coder.table) + sum(sys.getsizeof(p) + sys.getsizeof(x) for p, x in coder.table.items()))
+    assert held < 90e6
+    assert ids.tolist() == LIBRARY_JSON.encode(text, add_special_tokens=False).ids
+
+
 def test_perfect_hash():
     for n in (1, 2, 3, 50, 1000):
         keys = np.unique(np.random.default_rng(n).integers(-(10**15), 10**15, n))
